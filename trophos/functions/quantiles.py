@@ -36,6 +36,8 @@ def quantile_summary(
     *,
     na: str = "raise",
     rows_per_group: int | None = None,
+    group_limit: int = GROUP_LIMIT,
+    bin_limit: int = BIN_LIMIT,
 ) -> DataFrame:
     """``keys`` plus ``q0 … q100`` of ``value`` per group.
 
@@ -45,14 +47,17 @@ def quantile_summary(
     large one, the values are written once to the shared scratch folder and
     the strategy follows from the counted group sizes.
     """
-    return spread(grouped_quantiles(values, keys, value, rows_per_group), keys, na)
+    arrays = grouped_quantiles(values, keys, value, rows_per_group, group_limit, bin_limit)
+    return spread(arrays, keys, na)
 
 
-def grouped_quantiles(values, keys, value="value", rows_per_group=None) -> DataFrame:
+def grouped_quantiles(
+    values, keys, value="value", rows_per_group=None, group_limit=GROUP_LIMIT, bin_limit=BIN_LIMIT
+) -> DataFrame:
     """``keys``, ``missing`` (NULL/NaN count) and the quantile array ``q``."""
-    if rows_per_group is not None and rows_per_group <= GROUP_LIMIT:
+    if rows_per_group is not None and rows_per_group <= group_limit:
         return _percentiles(values, keys, value)
-    return _select(values, keys, value)
+    return _select(values, keys, value, group_limit, bin_limit)
 
 
 def spread(quantiles: DataFrame, keys: Sequence[str], na: str = "raise") -> DataFrame:
@@ -91,7 +96,7 @@ def _percentiles(values, keys, value):
     )
 
 
-def _select(values, keys, value):
+def _select(values, keys, value, group_limit, bin_limit):
     scratch = Scratch(values.sparkSession)
     cells = scratch.keep(
         values.select(F.struct(*keys).alias("k"), F.col(value).alias("v")), "cells"
@@ -109,10 +114,10 @@ def _select(values, keys, value):
         ),
         "stats",
     )
-    if (stats.agg(F.max("n")).first()[0] or 0) <= GROUP_LIMIT:
+    if (stats.agg(F.max("n")).first()[0] or 0) <= group_limit:
         result = _percentiles(cells, ["k"], "v")
     else:
-        result = _interpolate(stats, _order_statistics(scratch, cells, stats))
+        result = _interpolate(stats, _order_statistics(scratch, cells, stats, bin_limit))
     result = scratch.keep(result.select("k.*", "missing", "q"), "result")
     scratch.drop("cells")
     return result
@@ -122,7 +127,7 @@ def _position(p: float) -> Column:
     return F.lit(p) * (F.col("n") - 1).cast("double")
 
 
-def _order_statistics(scratch, cells, stats):
+def _order_statistics(scratch, cells, stats, bin_limit):
     """``k, rank, value`` of every rank an interpolation needs.
 
     ``spans`` are disjoint value ranges per group; ``base`` counts the group's
@@ -142,7 +147,7 @@ def _order_statistics(scratch, cells, stats):
         largest = wide.agg(F.max("n")).first()[0]
         if largest is None:
             break
-        if largest <= BIN_LIMIT:
+        if largest <= bin_limit:
             found.append(_sorted_ranks(cells, wide))
             break
         step += 1
