@@ -170,7 +170,10 @@ def _bin() -> Column:
     The sum of an even scale and two logarithmic ones, towards either end of
     the span, resolves flat values as well as long tails.
     """
-    v, lo, hi = (F.col(c) / 2 for c in ("v", "flo", "fhi"))
+    # Scaled so that the difference of two values neither overflows nor vanishes.
+    largest = F.greatest(F.abs("flo"), F.abs("fhi"))
+    scale = F.when(largest < 1, F.lit(2.0**60)).otherwise(F.lit(0.5))
+    v, lo, hi = (F.col(c) * scale for c in ("v", "flo", "fhi"))
     x = (v - lo) / (hi - lo)
 
     def octaves(t):
