@@ -25,7 +25,7 @@ from trophos.sources.derived import Sales
 from trophos.sources.model import dimension, validate_model, value_columns
 
 SMALL = "/root/testdata/sf0.001"
-LABEL = "All regions"
+LABEL = "All"
 LINES = [2, 3, 5]
 
 
@@ -122,8 +122,8 @@ def model_tables(sales):
 def validate(sales):
     """The checks of a good model, and of one with a component listed twice
     and without its fluxes' targets."""
-    components, fluxes = _model(sales)
-    wide, _ = _wide(sales)
+    wide, fluxes = _wide(sales)
+    components = sales.components(fluxes)
     good = {
         "mcmc": wide, "components_param": components, "species": None, "fluxes_def": fluxes, "ntstep": None,
     }
@@ -163,17 +163,15 @@ def select_valid(sales):
 
 
 def _series(variable, group=False):
+    needs_biomass = variable.startswith(("Ratio", "Mortality"))
+    needs_info = variable in ("Consumption", "Predation and Fisheries")
+
     def run(sales):
-        names = sales.regions()
-        if variable == "Consumption" and not group:
-            names = names + sales.fleets()
-        info = _info(sales) if variable in ("Consumption", "Predation and Fisheries") else None
-        if variable == "Fluxes":
-            names = None
+        names = sales.regions() if needs_biomass else None
+        info = _info(sales) if needs_info else None
+        label = LABEL if group else None
         return _rounded(
-            compute(
-                variable, sales.long(), names, info, group, LABEL if group else None, samples=sales.samples()
-            )
+            compute(variable, sales.long(), names, info, group, label, samples=sales.samples())
         )
 
     return run
@@ -193,14 +191,14 @@ def _named(summary, *keys):
 
 
 def summary(sales):
-    values = series.biomass_values(sales.long(), sales.regions())
+    values = series.biomass_values(sales.long(), None)
     return _named(quantile_summary(values, ["Year", "ID"], rows_per_group=sales.samples()), "Year", "ID")
 
 
 def selection(sales):
     """All values of a kind and year pooled, with limits that make every group
     too large for one task."""
-    q = quantile_summary(sales.long(), ["Year", "kind"], group_limit=100, bin_limit=50)
+    q = quantile_summary(sales.long(), ["Year", "kind"], group_limit=1000, bin_limit=500)
     return _named(q, "Year", "kind")
 
 
@@ -218,7 +216,7 @@ def trajectory_sample(sales):
 
 
 def proportion_by_year(sales):
-    flows = series.predation_values(sales.long(), sales.regions(), _info(sales))
+    flows = series.predation_values(sales.long(), None, _info(sales))
     means = charts.mean_by_target(flows, ["Year", "ID", "target", "Colour_target"])
     # A mean of 5-decimal values over 32 samples ends in a tie at 9 decimals.
     shares = charts.proportion_by_year(means, ["ID"])
@@ -402,10 +400,10 @@ def _quant_sql(source, variable, unit, keys, label=None):
         from {source} group by {group})"""
 
 
-def _flow_sql(variable, focus, other, extra, all_label, group, where):
+def _flow_sql(variable, focus, other, extra, all_label, group):
     flows = f"""
 flows as (select "Year", Sample_id, {focus} as ID, label as "{extra}", lcol, value
-          from long join lab on lid = {other} where kind = 'flux' and {where}),"""
+          from long join lab on lid = {other} where kind = 'flux'),"""
     if group:
         flows = flows.replace("flows as", "raw as") + f"""
 flows as (select "Year", Sample_id, "{extra}", lcol, sum(value) as value
@@ -472,10 +470,9 @@ quant as ({_quant_sql("cells", variable, "1000t", ["Year", "ID"], LABEL)})"""
 cells as (select "Year", Sample_id, Var as ID, value from long where kind = '{kind}'),
 quant as ({_quant_sql("cells", variable, "1000t", ["Year", "ID"])})"""
     if variable == "Consumption":
-        where = "dst like 'R%'" if group else "true"
-        return _flow_sql(variable, "dst", "src", "Prey", "All prey", group, where)
+        return _flow_sql(variable, "dst", "src", "Prey", "All prey", group)
     if variable == "Predation and Fisheries":
-        return _flow_sql(variable, "src", "dst", "Predator", "All predators", group, "true")
+        return _flow_sql(variable, "src", "dst", "Predator", "All predators", group)
     if variable == "Mortality and Growth":
         return _mortality_sql(group)
     return _ratio_sql(variable, "dst" if "Consumption" in variable else "src", group)

@@ -30,7 +30,7 @@ def test_metadata_that_is_rejected(spark):
 
 def test_repeated_id(spark):
     raw = spark.createDataFrame([("A", "x", "#1"), ("A ", "y", "#2")], INFO)
-    with pytest.raises(ValueError, match="more than once: A"):
+    with pytest.raises(ValueError, match="more than once"):
         metadata.validate_metadata(raw)
 
 

@@ -29,11 +29,15 @@ def validate_metadata(df: DataFrame) -> DataFrame:
         return empty
     texts = [F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")).alias(c) for c in REQUIRED]
     clean = df.select(*texts)
-    if clean.filter(F.concat(*REQUIRED) != "").isEmpty():
+    key = F.when(F.col("ID") != "", F.col("ID"))
+    found = clean.agg(
+        F.max(F.concat(*REQUIRED) != "").alias("any"),
+        (F.count(key) - F.count_distinct(key)).alias("repeated"),
+    ).first()
+    if not found["any"]:
         return empty
-    twice = clean.filter("ID != ''").groupBy("ID").count().filter("count > 1")
-    if not twice.isEmpty():
-        raise ValueError(f"metadata ID occurs more than once: {twice.first()['ID']}")
+    if found["repeated"]:
+        raise ValueError("a metadata ID occurs more than once")
     return clean
 
 

@@ -1,14 +1,15 @@
 """Biomass, consumption, predation and flux series.
 
 Every ``*_values`` function gives one row per sample and series; every
-``*_series`` function gives its quantile table.  ``samples`` bounds the number
-of samples (see ``quantile_summary``); ``names`` are the names the model has,
-and a selection without any of them is an error.
+``*_series`` function gives its quantile table.  A selection of None takes all
+names that occur.  ``samples`` bounds the number of samples (see
+``quantile_summary``); ``names`` are the names the model has, and a selection
+without any of them is an error.
 """
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trophos.functions.numeric import strict_sum
@@ -16,14 +17,20 @@ from trophos.functions.quantiles import quantile_summary, quantiles_long
 from trophos.schemas import GROUP_COLOUR, VARIABLES
 
 
-def check_names(selected: Sequence[str], names: Iterable[str] | None) -> None:
+def check_names(selected: Sequence[str] | None, names: Iterable[str] | None) -> None:
+    if selected is None:
+        return
     if not selected or (names is not None and not set(selected) & set(names)):
         raise ValueError("param not recognized")
 
 
-def is_grouped(selected: Sequence[str], group: bool) -> bool:
+def is_grouped(selected: Sequence[str] | None, group: bool) -> bool:
     """Grouping applies to more than one selected member only."""
-    return group and len(selected) > 1
+    return group and (selected is None or len(selected) > 1)
+
+
+def is_selected(column: str, selected: Sequence[str] | None) -> Column:
+    return F.lit(True) if selected is None else F.col(column).isin(list(selected))
 
 
 def group_components(
@@ -50,7 +57,7 @@ def add_labels(values: DataFrame, info: DataFrame, group_label: str | None = Non
 
 def biomass_values(long, components, group=False, group_label=None):
     """``Year, Sample_id, ID, value`` of the selected components."""
-    own = long.filter((F.col("kind") == "component") & F.col("Var").isin(list(components)))
+    own = long.filter((F.col("kind") == "component") & is_selected("Var", components))
     values = own.select("Year", "Sample_id", F.col("Var").alias("ID"), "value")
     return group_components(values, group_label) if is_grouped(components, group) else values
 
@@ -92,23 +99,20 @@ def flow_totals(flows: DataFrame) -> DataFrame:
 
 def flux_values(long, selected=None, group=False, group_label=None):
     """``Year, Sample_id, ID, src, dst, value`` of the selected edges
-    (``From_To`` names; None selects all)."""
-    edges = long.filter(F.col("kind") == "flux")
-    if selected is not None:
-        edges = edges.filter(F.col("Var").isin(list(selected)))
-    if group and (selected is None or len(selected) > 1):
+    (``From_To`` names)."""
+    edges = long.filter((F.col("kind") == "flux") & is_selected("Var", selected))
+    if is_grouped(selected, group):
         return group_components(edges.select("Year", "Sample_id", "value"), group_label)
     return edges.select("Year", "Sample_id", F.col("Var").alias("ID"), "src", "dst", "value")
 
 
 def flux_series(long, selected=None, group=False, group_label=None, *, samples=None, names=None):
-    if selected is not None:
-        check_names(selected, names)
+    check_names(selected, names)
     return _quant(flux_values(long, selected, group, group_label), "Fluxes", samples)
 
 
 def _flows(long, components, info, focus, other, group, group_label):
-    flows = long.filter((F.col("kind") == "flux") & F.col(focus).isin(list(components)))
+    flows = long.filter((F.col("kind") == "flux") & is_selected(focus, components))
     labels = info.select(
         F.col("ID").alias("label_id"), "FullName", F.col("Colour").alias("Colour_target")
     )

@@ -49,8 +49,8 @@ def dimension(df: DataFrame, limit: int = DIMENSION_LIMIT) -> DataFrame:
     Spark broadcasts it when that is below its own threshold.  A table with
     more than ``limit`` rows is returned as it is and joined by a shuffle.
     """
-    rows = df.limit(limit + 1).collect()
-    return df if len(rows) > limit else df.sparkSession.createDataFrame(rows, df.schema)
+    rows = df.limit(limit + 1).toArrow()
+    return df if rows.num_rows > limit else df.sparkSession.createDataFrame(rows, df.schema)
 
 
 def validate_model(tables: Mapping[str, object]) -> DataFrame:
