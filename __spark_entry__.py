@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 
 from trophos.functions.quantiles import STATS, quantile_summary, quantiles_long
 from trophos.operators import charts, metadata, mortality, network, ratios, series
-from trophos.plans.analyze import compute
+from trophos.plans.analyze import analyze, compute
 from trophos.plans.scratch import Scratch
 from trophos.schemas import REGISTRY, VARIABLES, quant_columns
 from trophos.sources import store, trajectories
 from trophos.sources.derived import Sales
-from trophos.sources.model import dimension, validate_model, value_columns
+from trophos.sources.model import dimension, local_table, validate_model, value_columns
+from trophos.sources.metadata import read_metadata, write_metadata
 
 SMALL = "/root/testdata/sf0.001"
 LABEL = "All"
@@ -39,7 +40,7 @@ def entry(spark: SparkSession) -> DataFrame:
 def _info(sales: Sales) -> DataFrame:
     """Labels of all components, from the customers alone."""
     names = [(c,) for c in sales.regions() + sales.fleets()]
-    components = sales.spark.createDataFrame(names, "Component string")
+    components = local_table(sales.spark, names, "Component string")
     clean = metadata.validate_metadata(dimension(sales.raw_info()))
     return dimension(metadata.reconcile_metadata(clean, components))
 
@@ -178,10 +179,18 @@ def _series(variable, group=False):
 
 
 def analyze_all(sales):
-    parts = [_series(v)(sales) for v in VARIABLES]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
+    """All seven variables for a selection of every name there is, known to the
+    model or not: what a variable cannot use is left out."""
+    components, fluxes = _model(sales)
+    long, info, samples = sales.long(), _info(sales), sales.samples()
+    resolution = dimension(network.component_resolution(components, fluxes, long))
+    names = [r["ID"] for r in info.collect()] + ["Z0"]
+    edges = [r["Flux"] for r in fluxes.collect()]
+    out = None
+    for variable in VARIABLES:
+        selected = edges if variable == "Fluxes" else names
+        quant = _rounded(analyze(variable, long, selected, info, resolution, fluxes, samples=samples))
+        out = quant if out is None else out.unionByName(quant, allowMissingColumns=True)
     return out.select("Year", "Var", "Unit", "ID", "Prey", "Predator", "Metric", "Stat", "Value")
 
 
@@ -280,6 +289,39 @@ def export_series(sales):
     return store.export_rows(kept, wanted)
 
 
+def long_table(sales):
+    path = f"{Scratch(sales.spark).path}/long"
+    trajectories.write_long(sales.long(), path)
+    return trajectories.read_long(sales.spark, path).drop("Trophic")
+
+
+def metadata_file(sales):
+    path = f"{Scratch(sales.spark).path}/info"
+    write_metadata(sales.raw_info().withColumnRenamed("Color", "Colour"), path)
+    return read_metadata(sales.spark, path)
+
+
+def quantile_store(sales):
+    """A stored run, parts of which two later runs replace on disk."""
+    path = f"{Scratch(sales.spark).path}/store"
+    biomass = _series("Biomass")(sales)
+    store.write_quantiles(biomass.unionByName(_series("Fluxes")(sales)), path)
+    store.write_quantiles(biomass.withColumn("Value", F.round(F.col("Value") * 2, 9)), path)
+    store.write_quantiles(_series("Biomass", group=True)(sales), path)
+    return store.read_quantiles(sales.spark, path).drop("Prey", "Predator", "Metric")
+
+
+def export_csv(sales):
+    path = f"{Scratch(sales.spark).path}/csv"
+    kept = _series("Ratio Production/Biomass")(sales).unionByName(_series("Biomass")(sales))
+    wanted = kept.select(F.col("Var").alias("Variable"), F.col("ID").alias("Component")).distinct()
+    folders = store.export_series(kept, wanted, path)
+    return sales.spark.read.csv(
+        [f"{path}/{f}" for f in folders], header=True,
+        schema="Year int, Var string, Unit string, ID string, Stat string, Value double",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     runs = {
         "wide_scan": wide_scan,
@@ -306,6 +348,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "register_series": register_series,
         "upsert_quantiles": upsert_quantiles,
         "export_series": export_series,
+        "long_table": long_table,
+        "metadata_file": metadata_file,
+        "quantile_store": quantile_store,
+        "export_csv": export_csv,
     }
     for key, variable in SERIES_KEYS.items():
         runs[key] = _series(variable)
@@ -626,4 +672,10 @@ union all select * from ({sql["biomass_series_grouped"]})"""
     sql["export_series"] = f"""
 select *, 'Biomass' as file from ({sql["biomass_series"]})
 union all select *, 'Ratio_Production_Biomass' from ({sql["pb_ratio"]})"""
+    sql["long_table"] = WEB + end + """
+select Sample_id as "Sample_id", kind, Var as "Var", src, dst, "Year", value from long"""
+    sql["metadata_file"] = sql["metadata_clean"]
+    sql["quantile_store"] = sql["upsert_quantiles"]
+    sql["export_csv"] = f"""
+select * from ({sql["biomass_series"]}) union all select * from ({sql["pb_ratio"]})"""
     return sql

@@ -25,6 +25,8 @@ STATS = ("q0", "q2.5", "q25", "q50", "q75", "q97.5", "q100")
 GROUP_LIMIT = 200_000
 # Rows per value bin up to which a bin is sorted by one task.
 BIN_LIMIT = 1_000_000
+# Value ranges up to which they are broadcast (some 100 bytes each).
+BROADCAST_LIMIT = 500_000
 # Resolution of each of the three binning scales (see `_bin`).
 STEPS = 512
 
@@ -144,9 +146,11 @@ def _order_statistics(scratch, cells, stats, bin_limit):
             spans.filter("lo = hi").select("k", F.explode("ranks").alias("rank"), F.col("lo").alias("value"))
         )
         wide = spans.filter("lo < hi")
-        largest = wide.agg(F.max("n")).first()[0]
-        if largest is None:
+        count, largest = wide.agg(F.count("*"), F.max("n")).first()
+        if not count:
             break
+        if count <= BROADCAST_LIMIT:
+            wide = F.broadcast(wide)
         if largest <= bin_limit:
             found.append(_sorted_ranks(cells, wide))
             break
@@ -159,6 +163,8 @@ def _order_statistics(scratch, cells, stats, bin_limit):
 
 
 def _inside(cells, spans):
+    """The values inside a span, with the span.  Beyond the broadcast limit
+    Spark shuffles by group and splits the hot ones."""
     c, s = cells.alias("c"), spans.alias("s")
     match = (F.col("c.k") == F.col("s.k")) & F.col("c.v").between(F.col("s.lo"), F.col("s.hi"))
     return c.join(s, match).select("s.*", "c.v")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trophos.operators.metadata import cycle_colour
 from trophos.operators.mortality import is_fleet
+from trophos.sources.model import local_table
 
 # Flux colours, used in turn.
 FLUX_PALETTE = (
@@ -82,7 +83,7 @@ def select_valid(selected: DataFrame | Sequence[str], resolved: DataFrame) -> Da
     """The selected names that are resolved; an error when there is none."""
     spark = resolved.sparkSession
     if not isinstance(selected, DataFrame):
-        selected = spark.createDataFrame([(s,) for s in selected], "Component string")
+        selected = local_table(spark, [(s,) for s in selected], "Component string")
     valid = selected.select("Component").distinct().join(resolved, "Component", "left_semi")
     if valid.isEmpty():
         raise ValueError("No valid ecosystem components selected.")

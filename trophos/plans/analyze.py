@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trophos.operators.mortality import mortality_growth
-from trophos.operators.network import flux_names, resolved_components, select_valid
+from trophos.operators.network import flux_names, resolved_components
 from trophos.operators.ratios import consumption_biomass_ratio, production_biomass_ratio
 from trophos.operators.series import (
     biomass_series,
@@ -55,16 +55,16 @@ def valid_names(
     For ``Fluxes`` the selection may hold flux ids or ``From_To`` names and the
     result holds the latter.  Reads the model's tables only.
     """
-    if variable != "Fluxes":
-        valid = select_valid(selected, resolved_components(resolution, variable))
-        return sorted(r["Component"] for r in valid.collect())
-    names = flux_names(fluxes)
     wanted = list(selected)
-    edges = names.filter(F.col("Flux").isin(wanted) | F.col("Component").isin(wanted))
-    valid = [r["Component"] for r in edges.select("Component").distinct().collect()]
+    if variable == "Fluxes":
+        names = flux_names(fluxes)
+        names = names.filter(F.col("Flux").isin(wanted) | F.col("Component").isin(wanted))
+    else:
+        names = resolved_components(resolution, variable).filter(F.col("Component").isin(wanted))
+    valid = sorted({r["Component"] for r in names.select("Component").collect()})
     if not valid:
         raise ValueError("No valid ecosystem components selected.")
-    return sorted(valid)
+    return valid
 
 
 def analyze(

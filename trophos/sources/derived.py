@@ -144,7 +144,7 @@ class Sales:
 
 
 def _cents(column):
-    return F.round(F.col(column) * 100).cast("long")
+    return F.rint(F.col(column) * 100).cast("long")
 
 
 def _rows(cells, kind, name, src, dst):

@@ -3,6 +3,7 @@
 import re
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,14 @@ def dimension(df: DataFrame, limit: int = DIMENSION_LIMIT) -> DataFrame:
     return df if rows.num_rows > limit else df.sparkSession.createDataFrame(rows, df.schema)
 
 
+def local_table(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """Rows of the driver as a local relation, whose size the optimizer knows
+    (a plain ``createDataFrame`` of Python rows hides it)."""
+    fields = [f.split()[0] for f in schema.split(",")]
+    columns = zip(*rows) if rows else [[] for _ in fields]
+    return spark.createDataFrame(pa.table([pa.array(c) for c in columns], names=fields), schema)
+
+
 def validate_model(tables: Mapping[str, object]) -> DataFrame:
     """``position, check, ok, message`` of every structural and data check.
 

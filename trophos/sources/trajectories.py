@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trophos.plans.scratch import Scratch
 from trophos.schemas import LONG
-from trophos.sources.model import CELL, DIMENSION_LIMIT, dimension, value_columns
+from trophos.sources.model import CELL, DIMENSION_LIMIT, dimension, local_table, value_columns
 
 
 def read_trajectories(spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet") -> DataFrame:
@@ -32,11 +32,12 @@ def _read(spark, path, fmt):
         return spark.read.format(fmt).load(path)
     raw = spark.read.csv(path, header=True, nullValue="NA")
     types = {"chain": "int", "iter": "bigint"}
-    return raw.select(*[_quoted(c).cast(types.get(c, "double")).alias(c) for c in raw.columns])
+    casts = [f"cast({q} as {types.get(c, 'double')}) as {q}" for c in raw.columns for q in (_quoted(c),)]
+    return raw.selectExpr(*casts)
 
 
-def _quoted(name: str):
-    return F.col("`" + name.replace("`", "``") + "`")
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def number_samples(wide: DataFrame) -> DataFrame:
@@ -54,26 +55,30 @@ def number_samples(wide: DataFrame) -> DataFrame:
     rows = chains.orderBy("chain").limit(DIMENSION_LIMIT + 1).collect()
     if any(r["chain"] is None or r["n"] != r["distinct"] for r in rows):
         raise ValueError("chain and iter must identify each row")
-    steps, offset = [], 0
+    if len(rows) > DIMENSION_LIMIT:
+        return _ranked(wide)
+    starts, offset = [], 0
     for r in rows:
-        steps.append((r["chain"], r["first"], max((r["last"] - r["first"]) // max(r["n"] - 1, 1), 1), offset))
+        step, rest = divmod(r["last"] - r["first"], max(r["n"] - 1, 1))
+        if rest:
+            return _ranked(wide)
+        starts.append((r["chain"], r["first"], max(step, 1), offset))
         offset += r["n"]
-    starts = wide.sparkSession.createDataFrame(steps, "chain int, first bigint, step bigint, offset bigint")
+    chains = local_table(wide.sparkSession, starts, "chain int, first bigint, step bigint, offset bigint")
     since = F.col("iter") - F.col("first")
-    uneven = any(r["last"] - r["first"] != s[2] * (r["n"] - 1) for r, s in zip(rows, steps))
-    if len(rows) > DIMENSION_LIMIT or uneven or _any_off_step(ids, starts):
-        return _ranked(wide)
-    index = (since / F.col("step")).cast("long")
-    return wide.join(starts, "chain").select(
-        (F.col("offset") + index + 1).alias("Sample_id"), *map(_quoted, wide.columns)
+    # n different integers within a range of n values leave no gap; wider steps
+    # need a look at every iteration.
+    if any(step > 1 for _, _, step, _ in starts):
+        if not ids.join(chains, "chain").filter(since % F.col("step") != 0).isEmpty():
+            return _ranked(wide)
+    index = F.expr("(iter - first) div step")
+    return (
+        wide.join(chains, "chain")
+        .withColumn("Sample_id", F.col("offset") + index + 1)
+        .drop("first", "step", "offset")
     )
 
 
-def _any_off_step(ids, starts):
-    off = (F.col("iter") - F.col("first")) % F.col("step") != 0
-    return not ids.join(starts, "chain").filter(off).isEmpty()
-
-
 def _ranked(wide):
     scratch = Scratch(wide.sparkSession)
     # The id of a sorted row holds its partition (high bits) and its place in
@@ -98,7 +103,7 @@ def _ranked(wide):
     ids = ids.join(offsets, "part").select(
         "chain", "iter", (F.col("offset") + F.col("place") + 1).alias("Sample_id")
     )
-    return wide.join(ids, ["chain", "iter"]).select("Sample_id", *map(_quoted, wide.columns))
+    return wide.join(ids, ["chain", "iter"])
 
 
 def to_long(wide: DataFrame, fluxes: DataFrame) -> DataFrame:
@@ -112,7 +117,7 @@ def to_long(wide: DataFrame, fluxes: DataFrame) -> DataFrame:
     parsed = [(i, *_name_and_year(c)) for i, c in enumerate(columns)]
     trophic = F.col("Trophic").cast("int") if "Trophic" in fluxes.columns else F.lit(None).cast("int")
     edges = fluxes.select("Flux", "From", "To", trophic.alias("Trophic"))
-    names = spark.createDataFrame(parsed, "pos int, name string, Year int")
+    names = local_table(spark, parsed, "pos int, name string, Year int")
     labels = names.join(edges, F.col("name") == F.col("Flux"), "left").select(
         "pos",
         F.when(F.col("Flux").isNull(), "component").otherwise("flux").alias("kind"),
@@ -122,7 +127,7 @@ def to_long(wide: DataFrame, fluxes: DataFrame) -> DataFrame:
         "Year",
         "Trophic",
     )
-    cells = F.array(*[_quoted(c).cast("double") for c in columns])
+    cells = F.expr(f"array({', '.join(map(_quoted, columns))})").cast("array<double>")
     melted = wide.select("Sample_id", F.posexplode(cells).alias("pos", "value"))
     return melted.join(dimension(labels), "pos").select(*LONG.names)
 
