@@ -24,7 +24,7 @@ STATS = ("q0", "q2.5", "q25", "q50", "q75", "q97.5", "q100")
 # Rows per group up to which `percentile` keeps a group in one task.
 GROUP_LIMIT = 200_000
 # Rows per value bin up to which a bin is sorted by one task.
-BIN_LIMIT = 1_000_000
+BIN_LIMIT = 100_000
 # Value ranges up to which they are broadcast (some 100 bytes each).
 BROADCAST_LIMIT = 500_000
 # Resolution of each of the three binning scales (see `_bin`).
