@@ -41,7 +41,7 @@ def _info(sales: Sales) -> DataFrame:
     """Labels of all components, from the customers alone."""
     names = [(c,) for c in sales.regions() + sales.fleets()]
     components = local_table(sales.spark, names, "Component string")
-    clean = metadata.validate_metadata(dimension(sales.raw_info()))
+    clean = metadata.validate_metadata(sales.raw_info())
     return dimension(metadata.reconcile_metadata(clean, components))
 
 
@@ -137,7 +137,7 @@ def validate(sales):
 
 
 def metadata_clean(sales):
-    return metadata.validate_metadata(dimension(sales.raw_info()))
+    return metadata.validate_metadata(sales.raw_info())
 
 
 def metadata_reconcile(sales):
@@ -227,9 +227,10 @@ def trajectory_sample(sales):
 def proportion_by_year(sales):
     flows = series.predation_values(sales.long(), None, _info(sales))
     means = charts.mean_by_target(flows, ["Year", "ID", "target", "Colour_target"])
-    # A mean of 5-decimal values over 32 samples ends in a tie at 9 decimals.
+    # A mean of 5-decimal values over 32 or more samples may end in a tie at 9
+    # decimals; at 3 decimals that is rare.
     shares = charts.proportion_by_year(means, ["ID"])
-    return shares.withColumns({"value": F.round("value", 10), "proportion": F.round("proportion", 9)})
+    return shares.withColumns({"value": F.round("value", 3), "proportion": F.round("proportion", 9)})
 
 
 def _beta(share):
@@ -635,7 +636,7 @@ select "Year", ID as "ID", round(max(value) filter (where Sample_id = 2), 9) as
         "proportion_by_year": WEB + """
 m as (select "Year", src as ID, label as target, lcol as Colour_target, avg(value) as value
       from long join lab on lid = dst where kind = 'flux' group by all)
-select "Year", ID as "ID", target, Colour_target as "Colour_target", round(value, 10) as value,
+select "Year", ID as "ID", target, Colour_target as "Colour_target", round(value, 3) as value,
        round(value / sum(value) over (partition by ID, "Year"), 9) as proportion from m""",
         "beta_params": _beta_sql(False),
         "beta_params_share": _beta_sql(True),

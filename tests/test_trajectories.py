@@ -104,6 +104,16 @@ def test_series_filter_reaches_the_scan(spark, tmp_path, long, capsys):
     assert "EqualTo(Var,A)" in plan and "ReadSchema: struct<Var:string,Year:int,value:double>" in plan
 
 
+def test_rates_read_only_the_rows_they_need(spark, tmp_path, long, capsys):
+    trajectories.write_long(long, f"{tmp_path}/long")
+    back = trajectories.read_long(spark, f"{tmp_path}/long")
+    mortality.mortality_growth(back, ["A", "B"], samples=2).explain()
+    plan = capsys.readouterr().out
+    assert "PushedFilters: [Or(In(Var, [A,B]),In(src, [A,B]))]" in plan
+    # Sums per sample, the look ahead, the quantiles.
+    assert plan.count("Exchange") == 3
+
+
 def test_bucketed_table_sums_without_shuffle(spark, long, capsys):
     table = trajectories.save_long_table(long, "bucketed_long", 4)
     mortality.mortality_values(table, ["A", "B"], True, "AB").explain()
@@ -143,10 +153,15 @@ def test_faulty_tables(spark, wide, components, fluxes):
 
 
 def test_read_model(spark, tmp_path, components, fluxes):
-    components.withColumns({"X": F.lit(0.5), "Y": F.lit(None).cast("double")}).coalesce(1).write.csv(
-        f"{tmp_path}/components", header=True
-    )
-    fluxes.withColumn("Trophic", F.lit(1)).coalesce(1).write.csv(f"{tmp_path}/fluxes", header=True)
+    # Y and Trophic are optional; X has no value for one component; extra columns are ignored.
+    placed = components.withColumns({"X": F.when(F.col("Inside") == 1, 0.5), "more": F.lit("x")})
+    placed.coalesce(1).write.csv(f"{tmp_path}/components", header=True, nullValue="NA")
+    fluxes.coalesce(1).write.csv(f"{tmp_path}/fluxes", header=True)
     c, f = model.read_model(spark, str(tmp_path), "csv")
+    assert c.columns == ["Component", "Inside", "X", "Y", "Ord"]
+    assert [(r["X"], r["Y"]) for r in c.orderBy("Ord").collect()] == [(0.5, None), (0.5, None), (None, None)]
+    assert f.select("Trophic").distinct().collect() == [(None,)]
     assert [r["Component"] for r in c.orderBy("Ord").collect()] == ["A", "B", "FX"]
     assert [(r["Flux"], r["From"], r["To"]) for r in f.orderBy("Ord").collect()] == FLUXES
+    fluxes.drop("To").coalesce(1).write.mode("overwrite").csv(f"{tmp_path}/fluxes", header=True)
+    assert "To" not in model.read_model(spark, str(tmp_path), "csv")[1].columns

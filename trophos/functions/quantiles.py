@@ -121,7 +121,7 @@ def _select(values, keys, value, group_limit, bin_limit):
     else:
         result = _interpolate(stats, _order_statistics(scratch, cells, stats, bin_limit))
     result = scratch.keep(result.select("k.*", "missing", "q"), "result")
-    scratch.drop("cells")
+    scratch.keep_only("result")
     return result
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trophos.functions.numeric import ieee_div, lenient_sum, r_log, strict_sum
 from trophos.functions.quantiles import quantile_summary, quantiles_long
-from trophos.operators.series import check_names, is_grouped
+from trophos.operators.series import check_names, is_grouped, own_and_flows
 from trophos.schemas import VARIABLES
 
 # Rate column -> name in the quantile table.
@@ -37,13 +37,9 @@ def mortality_values(
     and ``P`` the predation.  Each sample's last year is left out; a year whose
     successor is missing keeps a row with NULL rates.
     """
-    ids = list(components)
-    own = F.col("kind") == "component"
-    rows = long.filter(F.when(own, F.col("Var").isin(ids)).otherwise(F.col("src").isin(ids)))
-    grouped = is_grouped(components, group)
-    name = F.lit(group_label) if grouped else F.when(own, F.col("Var")).otherwise(F.col("src"))
-    rows = rows.select(name.alias("ID"), "Sample_id", "Year", own.alias("own"), "dst", "value")
-    if grouped:
+    rows = own_and_flows(long, components, "src")
+    if is_grouped(components, group):
+        rows = rows.withColumn("ID", F.lit(group_label))
         # A predator's flow is missing when it is missing for any member.
         rows = rows.groupBy("ID", "Sample_id", "Year", "own", "dst").agg(
             strict_sum(F.col("value")).alias("value")

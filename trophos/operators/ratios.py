@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from trophos.functions.numeric import ieee_div, strict_sum
 from trophos.functions.quantiles import grouped_quantiles, quantiles_long, spread
-from trophos.operators.series import check_names, is_grouped
+from trophos.operators.series import check_names, is_grouped, own_and_flows
 
 
 def ratio_values(long, components, side, group=False, group_label=None) -> DataFrame:
@@ -15,13 +15,7 @@ def ratio_values(long, components, side, group=False, group_label=None) -> DataF
     (production).  Biomass and flow rows meet in one aggregation, which has the
     rows of a full outer join without joining; what is missing counts as 0.
     """
-    ids = list(components)
-    own = F.col("kind") == "component"
-    rows = long.filter(F.when(own, F.col("Var").isin(ids)).otherwise(F.col(side).isin(ids)))
-    rows = rows.select(
-        F.when(own, F.col("Var")).otherwise(F.col(side)).alias("ID"),
-        "Year", "Sample_id", own.alias("own"), "value",
-    )
+    rows = own_and_flows(long, components, side)
     v, own = F.col("value"), F.col("own")
     cells = rows.groupBy("ID", "Year", "Sample_id").agg(
         F.coalesce(strict_sum(v, own), F.lit(0.0)).alias("biomass"),

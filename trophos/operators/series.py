@@ -55,6 +55,18 @@ def add_labels(values: DataFrame, info: DataFrame, group_label: str | None = Non
     )
 
 
+def own_and_flows(long: DataFrame, components: Sequence[str], side: str) -> DataFrame:
+    """Biomass rows of the components and the flux rows with one at ``side``,
+    as ``ID, Year, Sample_id, own, dst, value``; ``own`` marks biomass."""
+    ids = list(components)
+    own = F.col("kind") == "component"
+    name = F.when(own, F.col("Var")).otherwise(F.col(side))
+    # The first filter is implied by the second; in this form it reaches the scan.
+    near = long.filter(F.col("Var").isin(ids) | F.col(side).isin(ids))
+    rows = near.select(name.alias("ID"), "Year", "Sample_id", own.alias("own"), "dst", "value")
+    return rows.filter(F.col("ID").isin(ids))
+
+
 def biomass_values(long, components, group=False, group_label=None):
     """``Year, Sample_id, ID, value`` of the selected components."""
     own = long.filter((F.col("kind") == "component") & is_selected("Var", components))

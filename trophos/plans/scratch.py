@@ -33,16 +33,19 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.path = f"{shared_folder(spark)}/trophos-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the written table."""
         target = f"{self.path}/{name}"
+        self.names.add(name)
         df.write.parquet(target)
         return self.spark.read.schema(df.schema).parquet(target)
 
-    def drop(self, name: str) -> None:
-        """Delete a table no later plan reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+    def keep_only(self, name: str) -> None:
+        """Delete the tables no later plan reads."""
         conf = self.spark._jsparkSession.sessionState().newHadoopConf()
-        path.getFileSystem(conf).delete(path, True)
+        for other in self.names - {name}:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{other}")
+            path.getFileSystem(conf).delete(path, True)
+        self.names = {name}

@@ -7,9 +7,13 @@ ordered in a year; a flux is what suppliers of one region sold to customers of
 another or, for urgent orders, to a segment.  Amounts are in thousands.
 """
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trophos.sources.model import DIMENSION_LIMIT, local_table
+
 ORDERS_PER_SAMPLE = 250
 
 # The columns in use; a given schema saves Spark a job that reads footers.
@@ -38,13 +42,27 @@ class Sales:
         last = self.table("orders").agg(F.max("o_orderkey")).first()[0]
         return last // ORDERS_PER_SAMPLE + 1
 
+    @cached_property
+    def _markets(self) -> list:
+        """(region key, region name, segment) of all customers, at most one row
+        per region and segment."""
+        customer, nation, region = map(self.table, ("customer", "nation", "region"))
+        pairs = (
+            customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+            .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+            .select("r_regionkey", "r_name", "c_mktsegment")
+            .distinct()
+        )
+        rows = pairs.limit(DIMENSION_LIMIT + 1).collect()
+        if len(rows) > DIMENSION_LIMIT:
+            raise ValueError("too many regions and segments for a food web")
+        return rows
+
     def regions(self) -> list[str]:
-        rows = self.table("region").select("r_regionkey").orderBy("r_regionkey").collect()
-        return [f"R{r[0]}" for r in rows]
+        return sorted({f"R{r['r_regionkey']}" for r in self._markets})
 
     def fleets(self) -> list[str]:
-        rows = self.table("customer").select("c_mktsegment").distinct().collect()
-        return sorted(f"F{r[0]}" for r in rows)
+        return sorted({f"F{r['c_mktsegment']}" for r in self._markets})
 
     # A fact table meets the customers or suppliers before the nations: Spark
     # then compares true table sizes when it picks the side to broadcast.
@@ -122,25 +140,10 @@ class Sales:
     def raw_info(self) -> DataFrame:
         """Metadata as a user might upload it: the regions with customers,
         untidy names, and one ID the model does not have."""
-        nation, region = self.table("nation"), self.table("region")
-        found = self.table("customer").select("c_nationkey").distinct()
-        regions = (
-            found.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-            .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-            .select("r_regionkey", "r_name").distinct()
-        )
-        key = F.col("r_regionkey").cast("string")
-        rows = regions.select(
-            F.concat(F.lit(" R"), key).alias("ID"),
-            F.concat("r_name", F.lit("  ")).alias("FullName"),
-            F.concat(F.lit("#00000"), key).alias("Color"),
-        )
-        unknown = regions.agg(F.count("*").alias("n")).select(
-            F.concat(F.lit("Z"), F.col("n").cast("string")).alias("ID"),
-            F.lit(" ").alias("FullName"),
-            F.lit(None).cast("string").alias("Color"),
-        )
-        return rows.unionByName(unknown)
+        regions = sorted({(r["r_regionkey"], r["r_name"]) for r in self._markets})
+        rows = [(f" R{key}", f"{name}  ", f"#00000{key}") for key, name in regions]
+        rows.append((f"Z{len(regions)}", " ", None))
+        return local_table(self.spark, rows, "ID string, FullName string, Color string")
 
 
 def _cents(column):

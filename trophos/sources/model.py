@@ -6,6 +6,7 @@ from collections.abc import Mapping
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from trophos.schemas import COMPONENTS, FLUXES
 
@@ -19,13 +20,28 @@ CELL = re.compile(r"(.*)\[(.*)\]", re.DOTALL)
 MODEL_TABLES = ("components_param", "species", "fluxes_def", "ntstep")
 COMPONENT_COLUMNS = ("Component", "Inside")
 FLUX_COLUMNS = ("Flux", "From", "To")
+OPTIONAL = ("X", "Y", "Trophic")
 
 
-def read_table(spark: SparkSession, path: str, fmt: str, schema) -> DataFrame:
-    reader = spark.read.schema(schema)
+def read_table(spark: SparkSession, path: str, fmt: str, schema: StructType) -> DataFrame:
+    """The columns of ``schema`` that the table has, in their types, and NULL
+    for optional ones it lacks.  Malformed CSV rows are an error."""
     if fmt == "csv":
-        return reader.csv(path, header=True, mode="FAILFAST", enforceSchema=False)
-    return reader.format(fmt).load(path)
+        types = {f.name: f.dataType for f in schema}
+        found = spark.read.csv(path, header=True).columns
+        own = StructType([StructField(c, types.get(c, StringType())) for c in found])
+        df = spark.read.schema(own).csv(
+            path, header=True, nullValue="NA", mode="FAILFAST", enforceSchema=False
+        )
+    else:
+        df = spark.read.format(fmt).load(path)
+    columns = []
+    for f in schema:
+        if f.name in df.columns:
+            columns.append(F.col(f.name).cast(f.dataType).alias(f.name))
+        elif f.name in OPTIONAL:
+            columns.append(F.lit(None).cast(f.dataType).alias(f.name))
+    return df.select(columns)
 
 
 def read_model(spark: SparkSession, path: str, fmt: str = "parquet"):
