@@ -220,7 +220,7 @@ def summary_long(sales):
 
 
 def trajectory_sample(sales):
-    values = ratios.ratio_values(sales.long(), sales.regions(), "dst")
+    values = ratios.ratio_samples(sales.long(), sales.regions(), "dst")
     return _round(charts.trajectory_sample(values, LINES), "S1", "S2", "S3")
 
 
@@ -318,7 +318,7 @@ def export_csv(sales):
     wanted = kept.select(F.col("Var").alias("Variable"), F.col("ID").alias("Component")).distinct()
     folders = store.export_series(kept, wanted, path)
     return sales.spark.read.csv(
-        [f"{path}/{f}" for f in folders], header=True,
+        [f"{path}/{f}" for f in folders], header=True, nullValue="NA",
         schema="Year int, Var string, Unit string, ID string, Stat string, Value double",
     )
 
@@ -629,7 +629,8 @@ b as (select Sample_id, Var as ID, "Year", value as biomass from long
 f as (select Sample_id, dst as ID, "Year", sum(value) as flow from long
       where kind = 'flux' and dst like 'R%' and Sample_id in (2, 3, 5) group by all),
 r as (select Sample_id, ID, "Year", coalesce(flow, 0) / coalesce(biomass, 0) as value
-      from b full join f using (Sample_id, ID, "Year"))
+      from b full join f using (Sample_id, ID, "Year")
+      where "Year" <> (select max("Year") from long where kind = 'component' or dst like 'R%'))
 select "Year", ID as "ID", round(max(value) filter (where Sample_id = 2), 9) as "S1",
        round(max(value) filter (where Sample_id = 3), 9) as "S2",
        round(max(value) filter (where Sample_id = 5), 9) as "S3" from r group by all""",

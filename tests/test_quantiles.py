@@ -39,6 +39,33 @@ def test_selection_equals_percentile(spark, limits):
     pd.testing.assert_frame_equal(plain, chosen, check_exact=True)
 
 
+def test_selection_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr("trophos.functions.quantiles.BROADCAST_LIMIT", -1)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(3000).select(
+            F.when(F.col("id") % 3 > 0, F.lit(0)).when(F.col("id") % 2 == 0, 1).alias("k"),
+            F.randn(1).alias("value"),
+        )
+        plain, chosen = both(df, ["k"], group_limit=10, bin_limit=5)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    pd.testing.assert_frame_equal(plain, chosen, check_exact=True)
+
+
+def test_selection_leaves_only_its_result(spark, tmp_path):
+    import os
+
+    from trophos.plans.scratch import shared_folder
+
+    before = set(os.listdir(shared_folder(spark)))
+    df = spark.range(100).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("value"))
+    assert quantile_summary(df, ["k"], group_limit=1, bin_limit=1).first()["q50"] == 49.5
+    (new,) = set(os.listdir(shared_folder(spark))) - before
+    assert os.listdir(f"{shared_folder(spark)}/{new}") == ["result"]
+
+
 def test_selection_reaches_the_ends_of_the_doubles(spark):
     xs = [5e-324, 1e-300, 0.0, -0.5, 1.7e308, -1.7e308, 3.0, 3.0000000000000004, 3.0, 1e-5] * 3
     df = spark.createDataFrame([(1, x) for x in xs], "k int, value double")

@@ -42,6 +42,11 @@ def test_production_ratio(long):
     assert median(group, "ID", "Year") == {("AB", 1): close(60 / 300), ("AB", 2): close(30 / 230)}
 
 
+def test_ratio_lines_end_before_the_last_year(long):
+    values = ratios.ratio_samples(long, ["A", "B"], "src")
+    assert {(r["Sample_id"], r["Year"]) for r in values.collect()} == {(i, y) for i in (1, 2) for y in (1, 2)}
+
+
 def test_ratio_of_missing_sides(make_long):
     rows = [r for r in long_rows(CELLS) if not (r[2] == "A" and r[5] == 1)]
     rows = [r for r in rows if not (r[2] == "B_A" and r[5] == 2)]

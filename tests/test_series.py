@@ -3,7 +3,7 @@ from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 from tests.conftest import CELLS, long_rows
-from trophos.operators import series
+from trophos.operators import network, series
 
 
 def table(quant, *keys):
@@ -70,6 +70,18 @@ def test_flux(long):
     assert table(group.filter("Stat = 'q0'"), "Year", "ID") == {(1, "G"): 30, (2, "G"): 15}
 
 
+def test_flux_ids(long, fluxes):
+    quant = series.flux_series(long, ["F01", "A_FX"], samples=2, fluxes=fluxes)
+    assert {r["ID"] for r in quant.collect()} == {"B_A", "A_FX"}
+    with pytest.raises(ValueError, match="param not recognized"):
+        series.flux_series(long, ["F99"], fluxes=fluxes)
+
+
+def test_flux_labels(long, fluxes, info):
+    values = network.add_flux_labels(series.flux_values(long, ["B_A"]), fluxes, info)
+    assert {(r["series"], r["Colour"]) for r in values.collect()} == {("From Beta to Alpha", "#5050ff")}
+
+
 def test_unknown_names(long, info):
     with pytest.raises(ValueError, match="param not recognized"):
         series.biomass_series(long, ["Q"], names=["A", "B"])

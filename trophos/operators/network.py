@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trophos.operators.metadata import cycle_colour
 from trophos.operators.mortality import is_fleet
-from trophos.sources.model import local_table
+from trophos.sources.model import dimension, local_table
 
 # Flux colours, used in turn.
 FLUX_PALETTE = (
@@ -74,11 +74,6 @@ def resolved_components(resolution: DataFrame, variable: str) -> DataFrame:
     return resolution.filter(ELIGIBLE[variable]).select("Component")
 
 
-def flux_names(fluxes: DataFrame) -> DataFrame:
-    """``Flux`` ids and the ``From_To`` names used in the long table."""
-    return fluxes.select("Flux", F.concat("From", F.lit("_"), "To").alias("Component"))
-
-
 def select_valid(selected: DataFrame | Sequence[str], resolved: DataFrame) -> DataFrame:
     """The selected names that are resolved; an error when there is none."""
     spark = resolved.sparkSession
@@ -152,3 +147,10 @@ def assign_colours(labels: DataFrame) -> DataFrame:
     # One row per edge label of the model, so one task is enough to number them.
     turn = F.row_number().over(Window.orderBy("first")) - 1
     return first.select("series", cycle_colour(FLUX_PALETTE, turn).alias("Colour"))
+
+
+def add_flux_labels(values: DataFrame, fluxes: DataFrame, info: DataFrame) -> DataFrame:
+    """Adds ``series`` and ``Colour`` to flux values by ``ID``."""
+    labels = flux_labels(fluxes, info)
+    named = labels.join(assign_colours(labels), "series").select("ID", "series", "Colour")
+    return values.join(dimension(named.distinct()), "ID", "left")

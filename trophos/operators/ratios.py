@@ -31,6 +31,14 @@ def ratio_values(long, components, side, group=False, group_label=None) -> DataF
     )
 
 
+def ratio_samples(long, components, side, group=False, group_label=None) -> DataFrame:
+    """``ratio_values`` before the last year of all selected rows, found by a
+    scan of the years alone.  For sample lines."""
+    last = own_and_flows(long, components, side).agg(F.max("Year"))
+    values = ratio_values(long, components, side, group, group_label)
+    return values.filter(F.col("Year") != last.scalar())
+
+
 def drop_last_year(df: DataFrame) -> DataFrame:
     """Rows before the last year of the whole frame.
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from trophos.functions.numeric import strict_sum
 from trophos.functions.quantiles import quantile_summary, quantiles_long
 from trophos.schemas import GROUP_COLOUR, VARIABLES
+from trophos.sources.model import edge_names
 
 
 def check_names(selected: Sequence[str] | None, names: Iterable[str] | None) -> None:
@@ -118,7 +119,12 @@ def flux_values(long, selected=None, group=False, group_label=None):
     return edges.select("Year", "Sample_id", F.col("Var").alias("ID"), "src", "dst", "value")
 
 
-def flux_series(long, selected=None, group=False, group_label=None, *, samples=None, names=None):
+def flux_series(
+    long, selected=None, group=False, group_label=None, *, samples=None, names=None, fluxes=None
+):
+    """With ``fluxes``, the selection may also hold flux ids."""
+    if fluxes is not None and selected is not None:
+        selected = edge_names(selected, fluxes)
     check_names(selected, names)
     return _quant(flux_values(long, selected, group, group_label), "Fluxes", samples)
 

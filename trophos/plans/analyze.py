@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trophos.operators.mortality import mortality_growth
-from trophos.operators.network import flux_names, resolved_components
+from trophos.operators.network import resolved_components
 from trophos.operators.ratios import consumption_biomass_ratio, production_biomass_ratio
 from trophos.operators.series import (
     biomass_series,
@@ -15,6 +15,7 @@ from trophos.operators.series import (
     predation_series,
 )
 from trophos.schemas import VARIABLES
+from trophos.sources.model import edge_names
 
 _WITH_INFO = {
     "Consumption": consumption_series,
@@ -55,13 +56,12 @@ def valid_names(
     For ``Fluxes`` the selection may hold flux ids or ``From_To`` names and the
     result holds the latter.  Reads the model's tables only.
     """
-    wanted = list(selected)
     if variable == "Fluxes":
-        names = flux_names(fluxes)
-        names = names.filter(F.col("Flux").isin(wanted) | F.col("Component").isin(wanted))
+        valid = edge_names(selected, fluxes)
     else:
-        names = resolved_components(resolution, variable).filter(F.col("Component").isin(wanted))
-    valid = sorted({r["Component"] for r in names.select("Component").collect()})
+        names = resolved_components(resolution, variable)
+        names = names.filter(F.col("Component").isin(list(selected)))
+        valid = sorted(r["Component"] for r in names.collect())
     if not valid:
         raise ValueError("No valid ecosystem components selected.")
     return valid

@@ -46,7 +46,7 @@ def read_table(spark: SparkSession, path: str, fmt: str, schema: StructType) ->
 
 def read_model(spark: SparkSession, path: str, fmt: str = "parquet"):
     """``(components, fluxes)`` of ``<path>/components`` and ``<path>/fluxes``,
-    each with its row order in ``Ord``."""
+    each with its row order (of a single file) in ``Ord``."""
     components = read_table(spark, f"{path}/components", fmt, COMPONENTS)
     fluxes = read_table(spark, f"{path}/fluxes", fmt, FLUXES)
     order = F.monotonically_increasing_id().alias("Ord")
@@ -70,6 +70,19 @@ def dimension(df: DataFrame, limit: int = DIMENSION_LIMIT) -> DataFrame:
     return df if rows.num_rows > limit else df.sparkSession.createDataFrame(rows, df.schema)
 
 
+def flux_names(fluxes: DataFrame) -> DataFrame:
+    """``Flux`` ids and the ``From_To`` names used in the long table."""
+    return fluxes.select("Flux", F.concat("From", F.lit("_"), "To").alias("Component"))
+
+
+def edge_names(selected, fluxes: DataFrame) -> list[str]:
+    """``From_To`` names of the edges selected by flux id or by that name."""
+    wanted = list(selected)
+    names = flux_names(fluxes)
+    found = names.filter(F.col("Flux").isin(wanted) | F.col("Component").isin(wanted))
+    return sorted({r["Component"] for r in found.collect()})
+
+
 def local_table(spark: SparkSession, rows, schema: str) -> DataFrame:
     """Rows of the driver as a local relation, whose size the optimizer knows
     (a plain ``createDataFrame`` of Python rows hides it)."""
@@ -85,7 +98,8 @@ def validate_model(tables: Mapping[str, object]) -> DataFrame:
     ``fluxes_def`` as DataFrames, and ``species`` and ``ntstep``, of which only
     the presence counts.  Checks whose table is missing fail too.
     """
-    spark = SparkSession.getActiveSession()
+    frames = [t for t in tables.values() if isinstance(t, DataFrame)]
+    spark = frames[0].sparkSession if frames else SparkSession.active()
     checks = [
         ("mcmc", "mcmc" in tables, "Missing the element mcmc"),
         ("mcmc columns", _has(tables, "mcmc", ("chain", "iter")),
@@ -97,7 +111,7 @@ def validate_model(tables: Mapping[str, object]) -> DataFrame:
          "components_param needs the columns Component and Inside"),
         ("fluxes_def columns", _has(tables, "fluxes_def", FLUX_COLUMNS),
          "fluxes_def needs the columns Flux, From and To"),
-        ("column names", "mcmc" in tables and all(_cell(c) for c in value_columns(tables["mcmc"])),
+        ("column names", _has(tables, "mcmc", ()) and all(map(_cell, value_columns(tables["mcmc"]))),
          "Every value column must be named <name>[<year>]"),
     ]
     known = spark.createDataFrame(

@@ -62,5 +62,5 @@ def export_series(store: DataFrame, selection: DataFrame, path: str) -> list[str
         if variable in files:
             rows.filter(F.col("Var") == variable).select(quant_columns(variable)).write.mode(
                 "overwrite"
-            ).csv(f"{path}/{files[variable]}.csv", header=True)
+            ).csv(f"{path}/{files[variable]}.csv", header=True, nullValue="NA")
     return [f"{files[v]}.csv" for v in VARIABLES if v in files]
