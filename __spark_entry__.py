@@ -94,13 +94,11 @@ def _round(df: DataFrame, *columns: str) -> DataFrame:
 
 def wide_scan(sales):
     wide, _ = _wide(sales)
-    cells = [F.col(f"`{c}`") for c in value_columns(wide)]
-    total = F.aggregate(
-        F.filter(F.array(*cells), lambda v: v.isNotNull()), F.lit(0.0), lambda s, v: s + v
-    )
-    filled = F.size(F.filter(F.array(*cells), lambda v: v.isNotNull()))
+    cells = F.expr("array(" + ", ".join(f"`{c}`" for c in value_columns(wide)) + ")")
+    filled = F.filter(cells, lambda v: v.isNotNull())
+    total = F.aggregate(filled, F.lit(0.0), lambda s, v: s + v)
     return wide.select(
-        "chain", "iter", "Sample_id", filled.cast("long").alias("cells"), F.round(total, 6).alias("total")
+        "chain", "iter", "Sample_id", F.size(filled).cast("long").alias("cells"), F.round(total, 6).alias("total")
     )
 
 
@@ -163,7 +161,7 @@ def select_valid(sales):
     return network.select_valid(selected, resolved)
 
 
-def _series(variable, group=False):
+def series_run(variable, group=False):
     needs_biomass = variable.startswith(("Ratio", "Mortality"))
     needs_info = variable in ("Consumption", "Predation and Fisheries")
 
@@ -276,14 +274,14 @@ def register_series(sales):
 def upsert_quantiles(sales):
     """A store of fluxes and biomasses; a later run replaces the biomasses and
     adds the group."""
-    old = _series("Fluxes")(sales).unionByName(_series("Biomass")(sales))
-    new = _series("Biomass")(sales).withColumn("Value", F.round(F.col("Value") * 2, 9))
-    again = _series("Biomass", group=True)(sales)
+    old = series_run("Fluxes")(sales).unionByName(series_run("Biomass")(sales))
+    new = series_run("Biomass")(sales).withColumn("Value", F.round(F.col("Value") * 2, 9))
+    again = series_run("Biomass", group=True)(sales)
     return store.upsert_quantiles(store.upsert_quantiles(old, new), again)
 
 
 def export_series(sales):
-    kept = _series("Ratio Production/Biomass")(sales).unionByName(_series("Biomass")(sales))
+    kept = series_run("Ratio Production/Biomass")(sales).unionByName(series_run("Biomass")(sales))
     wanted = register_series(sales).filter("Variable = 'Biomass'").unionByName(
         sales.flux().select(F.lit("Ratio Production/Biomass").alias("Variable"), F.col("src").alias("Component")).distinct()
     )
@@ -305,16 +303,16 @@ def metadata_file(sales):
 def quantile_store(sales):
     """A stored run, parts of which two later runs replace on disk."""
     path = f"{Scratch(sales.spark).path}/store"
-    biomass = _series("Biomass")(sales)
-    store.write_quantiles(biomass.unionByName(_series("Fluxes")(sales)), path)
+    biomass = series_run("Biomass")(sales)
+    store.write_quantiles(biomass.unionByName(series_run("Fluxes")(sales)), path)
     store.write_quantiles(biomass.withColumn("Value", F.round(F.col("Value") * 2, 9)), path)
-    store.write_quantiles(_series("Biomass", group=True)(sales), path)
+    store.write_quantiles(series_run("Biomass", group=True)(sales), path)
     return store.read_quantiles(sales.spark, path).drop("Prey", "Predator", "Metric")
 
 
 def export_csv(sales):
     path = f"{Scratch(sales.spark).path}/csv"
-    kept = _series("Ratio Production/Biomass")(sales).unionByName(_series("Biomass")(sales))
+    kept = series_run("Ratio Production/Biomass")(sales).unionByName(series_run("Biomass")(sales))
     wanted = kept.select(F.col("Var").alias("Variable"), F.col("ID").alias("Component")).distinct()
     folders = store.export_series(kept, wanted, path)
     return sales.spark.read.csv(
@@ -355,8 +353,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "export_csv": export_csv,
     }
     for key, variable in SERIES_KEYS.items():
-        runs[key] = _series(variable)
-        runs[f"{key}_grouped"] = _series(variable, group=True)
+        runs[key] = series_run(variable)
+        runs[f"{key}_grouped"] = series_run(variable, group=True)
     return {name: _on_folder(run) for name, run in runs.items()}
 
 

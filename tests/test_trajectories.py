@@ -72,6 +72,18 @@ def test_to_long(spark, wide, fluxes, long):
     assert filled.exceptAll(long).isEmpty() and long.exceptAll(filled).isEmpty()
 
 
+def test_melt_of_some_names_reads_their_columns(spark, tmp_path, wide, fluxes, capsys):
+    wide.write.parquet(f"{tmp_path}/wide")
+    numbered = trajectories.read_trajectories(spark, f"{tmp_path}/wide")
+    some = trajectories.to_long(numbered, fluxes, ["A", "F01"])
+    assert {r["Var"] for r in some.select("Var").distinct().collect()} == {"A", "B_A"}
+    some.explain()
+    plan = capsys.readouterr().out
+    assert "ReadSchema: struct<chain:int,iter:bigint,A[1]:double" in plan and "B[1]:double" not in plan
+    with pytest.raises(ValueError, match="param not recognized"):
+        trajectories.to_long(numbered, fluxes, ["Q"])
+
+
 def test_trophic_is_passed_through(spark, wide, fluxes):
     flagged = fluxes.withColumn("Trophic", F.lit(1))
     melted = trajectories.to_long(trajectories.number_samples(wide), flagged)

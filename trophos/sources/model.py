@@ -114,7 +114,8 @@ def validate_model(tables: Mapping[str, object]) -> DataFrame:
         ("column names", _has(tables, "mcmc", ()) and all(map(_cell, value_columns(tables["mcmc"]))),
          "Every value column must be named <name>[<year>]"),
     ]
-    known = spark.createDataFrame(
+    known = local_table(
+        spark,
         [(i, name, bool(ok), None if ok else message) for i, (name, ok, message) in enumerate(checks)],
         "position int, check string, ok boolean, message string",
     )

@@ -1,7 +1,7 @@
 """Sampled trajectories: the wide matrix, its sample ids, and the long table."""
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -106,14 +106,20 @@ def _ranked(wide):
     return wide.join(ids, ["chain", "iter"])
 
 
-def to_long(wide: DataFrame, fluxes: DataFrame) -> DataFrame:
+def to_long(wide: DataFrame, fluxes: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
     """One row per sample and value column, missing cells included.
 
     Names are parsed and matched with the fluxes once per column, not per row:
-    the melted rows carry a column number that looks up its label.
+    the melted rows carry a column number that looks up its label.  With
+    ``names`` (components and flux ids) only their columns are read.
     """
     spark = wide.sparkSession
     columns = value_columns(wide)
+    if names is not None:
+        wanted = set(names)
+        columns = [c for c in columns if _name_and_year(c)[0] in wanted]
+        if not columns:
+            raise ValueError("param not recognized")
     parsed = [(i, *_name_and_year(c)) for i, c in enumerate(columns)]
     trophic = F.col("Trophic").cast("int") if "Trophic" in fluxes.columns else F.lit(None).cast("int")
     edges = fluxes.select("Flux", "From", "To", trophic.alias("Trophic"))
