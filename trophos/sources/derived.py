@@ -67,6 +67,10 @@ class Sales:
     # A fact table meets the customers or suppliers before the nations: Spark
     # then compares true table sizes when it picks the side to broadcast.
 
+    def _regions_of_nations(self, key: str, name: str) -> DataFrame:
+        region = F.concat(F.lit("R"), F.col("n_regionkey").cast("string"))
+        return self.table("nation").select(F.col("n_nationkey").alias(key), region.alias(name))
+
     def _orders(self):
         orders = self.table("orders").select(
             "o_orderkey",
@@ -76,43 +80,35 @@ class Sales:
             (F.expr(f"o_orderkey div {ORDERS_PER_SAMPLE}") + 1).alias("Sample_id"),
             (F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
         )
-        customer, nation = self.table("customer"), self.table("nation")
-        return (
-            orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-            .withColumnRenamed("n_regionkey", "region")
-        )
+        return orders.join(
+            self.table("customer"), F.col("o_custkey") == F.col("c_custkey")
+        ).join(self._regions_of_nations("c_nationkey", "region"), "c_nationkey")
 
     def biomass(self) -> DataFrame:
         cells = self._orders().groupBy("Sample_id", "region", "Year").agg(
             F.sum(_cents("o_totalprice")).alias("cents")
         )
-        name = F.concat(F.lit("R"), F.col("region").cast("string"))
         none = F.lit(None).cast("string")
-        return _rows(cells, "component", name, none, none)
+        return _rows(cells, "component", F.col("region"), none, none)
 
     def flux(self) -> DataFrame:
-        lines = self.table("lineitem").select("l_orderkey", "l_suppkey", _cents("l_extendedprice").alias("cents"))
         sold = (
-            lines.join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-            .join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-            .select("l_orderkey", "cents", F.col("n_regionkey").alias("from_region"))
+            self.table("lineitem")
+            .select("l_orderkey", "l_suppkey", _cents("l_extendedprice").alias("cents"))
+            .join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(self._regions_of_nations("s_nationkey", "src"), "s_nationkey")
         )
+        fleet = F.concat(F.lit("F"), "c_mktsegment")
         buyers = self._orders().select(
             "o_orderkey", "Sample_id", "Year",
-            F.when(~F.col("urgent"), F.col("region")).alias("to_region"),
-            F.when(F.col("urgent"), F.col("c_mktsegment")).alias("to_fleet"),
+            F.when(F.col("urgent"), fleet).otherwise(F.col("region")).alias("dst"),
         )
-        # Region numbers travel through the shuffles; names are built after.
         cells = (
             sold.join(buyers, F.col("l_orderkey") == F.col("o_orderkey"))
-            .groupBy("Sample_id", "from_region", "to_region", "to_fleet", "Year")
+            .groupBy("Sample_id", "src", "dst", "Year")
             .agg(F.sum("cents").alias("cents"))
         )
-        src = F.concat(F.lit("R"), F.col("from_region").cast("string"))
-        dst = F.coalesce(
-            F.concat(F.lit("F"), "to_fleet"), F.concat(F.lit("R"), F.col("to_region").cast("string"))
-        )
+        src, dst = F.col("src"), F.col("dst")
         return _rows(cells, "flux", F.concat(src, F.lit("_"), dst), src, dst)
 
     def long(self) -> DataFrame:
