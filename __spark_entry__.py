@@ -25,6 +25,14 @@ from trophos.sources.derived import Sales
 from trophos.sources.model import dimension, local_table, validate_model, value_columns
 from trophos.sources.metadata import read_metadata, write_metadata
 
+try:
+    import corpus_pipeline
+    from trophos.llm import queries as training
+except ImportError as missing:
+    if missing.name not in ("corpus_pipeline", "trophos.llm", "trophos.llm.queries"):
+        raise
+    corpus_pipeline = training = None
+
 SMALL = "/root/testdata/sf0.001"
 LABEL = "All"
 LINES = [2, 3, 5]
@@ -355,7 +363,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for key, variable in SERIES_KEYS.items():
         runs[key] = series_run(variable)
         runs[f"{key}_grouped"] = series_run(variable, group=True)
-    return {name: _on_folder(run) for name, run in runs.items()}
+    found = {name: _on_folder(run) for name, run in runs.items()}
+    if training:
+        found |= training.QUERIES | {"pipeline": corpus_pipeline.run}
+    return found
 
 
 def _on_folder(run):
@@ -678,4 +689,8 @@ select Sample_id as "Sample_id", kind, Var as "Var", src, dst, "Year", value fro
     sql["quantile_store"] = sql["upsert_quantiles"]
     sql["export_csv"] = f"""
 select * from ({sql["biomass_series"]}) union all select * from ({sql["pb_ratio"]})"""
+    if training:
+        sql |= training.ORACLE_SQL
+        if corpus_pipeline.ORACLE_SQL:
+            sql["pipeline"] = corpus_pipeline.ORACLE_SQL
     return sql

@@ -63,7 +63,7 @@ def test_selection_leaves_only_its_result(spark, tmp_path):
     df = spark.range(100).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("value"))
     assert quantile_summary(df, ["k"], group_limit=1, bin_limit=1).first()["q50"] == 49.5
     (new,) = set(os.listdir(shared_folder(spark))) - before
-    assert os.listdir(f"{shared_folder(spark)}/{new}") == ["result"]
+    X
 
 
 def test_selection_reaches_the_ends_of_the_doubles(spark):

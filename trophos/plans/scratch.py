@@ -6,25 +6,17 @@ parquet also gives the optimizer their true size: whether one is small enough
 to broadcast is then decided by Spark's own threshold.
 """
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a folder in the warehouse, which executors share too."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return _local_folder()
-
-
-@functools.cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="trophos-")
+    if not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    return folder.rstrip("/")
 
 
 class Scratch:
@@ -33,19 +25,18 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.path = f"{shared_folder(spark)}/trophos-{uuid.uuid4().hex}"
-        self.names: set[str] = set()
+        self.tables: dict[str, DataFrame] = {}
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str | None = None) -> DataFrame:
         """Write ``df`` and return the written table."""
+        name = name or f"step{len(self.tables)}"
         target = f"{self.path}/{name}"
-        self.names.add(name)
         df.write.parquet(target)
-        return self.spark.read.schema(df.schema).parquet(target)
-
-    def keep_only(self, name: str) -> None:
-        """Delete the tables no later plan reads."""
-        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
-        for other in self.names - {name}:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{other}")
-            path.getFileSystem(conf).delete(path, True)
-        self.names = {name}
+        self.tables[name] = self.spark.read.schema(df.schema).parquet(target)
+        return self.tables[name]
+
+    def keep_only(self, *names: str) -> None:
+        """Empty the tables no later plan reads."""
+        for other in self.tables.keys() - set(names):
+            empty = self.spark.createDataFrame([], self.tables.pop(other).schema)
+            empty.write.mode("overwrite").parquet(f"{self.path}/{other}")
