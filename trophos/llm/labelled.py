@@ -12,12 +12,17 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
+def held_out(doc_id: Column, modulus: int, fold: int) -> Column:
+    """Whether the id is in the fold that is not learned from; a null id is not."""
+    return F.coalesce(remainder(doc_id, modulus) == fold, F.lit(False))
+
+
 def training_rows(
     documents: DataFrame,
     labels: DataFrame,
     target: str,
     modulus: int = 5,
-    held_out: int = 0,
+    fold: int = 0,
     limit: int = MAX_LABELLED,
 ) -> DataFrame:
     """(text, label) of at most ``limit`` labelled documents outside the held-out fold.
@@ -29,7 +34,7 @@ def training_rows(
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull())
-        .where(remainder(F.col("doc_id"), modulus) != held_out)
+        .where(~held_out(F.col("doc_id"), modulus, fold))
         .groupBy("doc_id")
         .agg(F.max(F.col(target).cast("int")).alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")

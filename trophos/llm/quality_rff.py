@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trophos.llm import words as W
-from trophos.llm.labelled import MAX_LABELLED, remainder, training_rows
+from trophos.llm.labelled import MAX_LABELLED, held_out, training_rows
 from trophos.plans.scratch import Scratch
 
 FEATURES = 256
@@ -218,7 +218,7 @@ def score_documents(documents: DataFrame, labels: DataFrame, threshold: float =
     scored = documents.select("doc_id", score(documents, fit(documents, labels)).alias("score"))
     return scored.select(
         "doc_id",
-        (remainder(F.col("doc_id"), 5) == 0).alias("held_out"),
+        held_out(F.col("doc_id"), 5, 0).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )

@@ -6,8 +6,10 @@ Each reads its whole tables.  ``QUERIES``: (spark, folder) to a DataFrame.
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trophos.llm import minhash_dedup, mixing, packing, quality_rff, toxicity
+from trophos.llm import minhash_dedup, mixing, ngram_lm, packing, quality_rff, toxicity
+from trophos.llm.labelled import held_out
 
 
 def tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -25,6 +27,12 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    fold = held_out(F.col("doc_id"), 7, 2)
+    scored = ngram_lm.score_documents(table(spark, folder, "documents"), fold)
+    return scored.withColumn("held_out", fold)
+
+
 def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, folder, "documents"), size=2)
 
@@ -46,6 +54,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_lm_score": op3_lm_score,
     "op5_near_duplicates": op5_near_duplicates,
     "op7_packing": op7_packing,
     "op8_quality_score": op8_quality_score,

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trophos.llm.labelled import MAX_LABELLED, remainder, training_rows
+from trophos.llm.labelled import MAX_LABELLED, held_out, training_rows
 from trophos.plans.scratch import Scratch
 
 # Look-alikes in other scripts, and digits and signs used as letters.
@@ -269,7 +269,7 @@ def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     scored = documents.select("doc_id", score(documents, lexicon).alias("score"))
     return scored.select(
         "doc_id",
-        (remainder(F.col("doc_id"), 5) == 0).alias("held_out"),
+        held_out(F.col("doc_id"), 5, 0).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
