@@ -115,9 +115,9 @@ def _lower(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Sentences, which end at a line or at a mark before white space."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?;:])[\x20\x09-\x0D]+", "$1\n")
-    return F.split(marked, "\n")
+    """Sentences, which end at a blank line or at a mark before white space."""
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?;:])[\x20\x09-\x0D]+", "$1\u0001")
+    return F.split(marked, r"\x01|\n[\x20\x09-\x0D]*\n")
 
 
 def normalised(sentence: Column) -> Column:
@@ -132,16 +132,22 @@ def scan(documents: DataFrame) -> DataFrame:
     """
     table = known_sentences()
     known = F.map_from_arrays(F.split(F.lit("\n".join(table)), "\n"), F.split(F.lit("\n".join(table.values())), "\n"))
+    known_as = lambda x: F.try_element_at(known, normalised(x))
+
+    def identifiers(sentence: Column) -> Column:
+        """The sentence's, which may span lines, or else those of its lines."""
+        lines = F.filter(F.split(sentence, "\n"), lambda x: x.rlike(TRIGGER))
+        whole = known_as(sentence)
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.array_compact(F.transform(lines, known_as)))
+
     rows = documents.select("doc_id", sentences(F.col("text")).alias("_sentences"))
-    candidates = F.filter(
-        F.transform("_sentences", lambda s, i: F.when(s.rlike(TRIGGER), F.struct(i.alias("sentence"), normalised(s).alias("s")))),
-        lambda x: x.isNotNull(),
-    )
-    rows = rows.select("doc_id", candidates.alias("_candidates"))
+    numbered = F.transform("_sentences", lambda s, i: F.when(s.rlike(TRIGGER), F.struct(i.alias("i"), s.alias("s"))))
+    rows = rows.select("doc_id", F.array_compact(numbered).alias("_candidates"))
     looked_up = F.transform(
-        "_candidates", lambda x: F.struct(x["sentence"].alias("sentence"), F.try_element_at(known, x["s"]).alias("identifier"))
+        "_candidates",
+        lambda x: F.transform(identifiers(x["s"]), lambda d: F.struct(x["i"].alias("sentence"), d.alias("identifier"))),
     )
-    rows = rows.select("doc_id", F.filter(looked_up, lambda x: x["identifier"].isNotNull()).alias("found"))
+    rows = rows.select("doc_id", F.flatten(looked_up).alias("found"))
     chain = F.concat(F.lit(" "), F.array_join("found.identifier", " "), F.lit(" "))
     rows = rows.withColumn("_chain", F.when(F.size("found") > 0, chain))
     rules = F.array(*[F.struct(F.lit(n).alias("licence"), F.lit(f" {' '.join(ids)} ").alias("ids")) for n, ids in RULES])

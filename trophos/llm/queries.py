@@ -8,8 +8,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trophos.llm import minhash_dedup, mixing, ngram_lm, packing, quality_rff, toxicity
+from trophos.llm import (
+    fingerprints,
+    licenses,
+    line_quality,
+    minhash_dedup,
+    mixing,
+    ngram_lm,
+    packing,
+    quality_rff,
+    token_counts,
+    toxicity,
+)
 from trophos.llm.labelled import held_out
+from trophos.llm.oracle import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES", "table", "tokenizer"]
 
 
 def tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -27,16 +41,28 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op2_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, folder, "documents"))
+
+
 def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     fold = held_out(F.col("doc_id"), 7, 2)
     scored = ngram_lm.score_documents(table(spark, folder, "documents"), fold)
     return scored.withColumn("held_out", fold)
 
 
+def op4_line_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return line_quality.judge(table(spark, folder, "documents"))
+
+
 def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, folder, "documents"), size=2)
 
 
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.beside_next(table(spark, folder, "documents"))
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     packed = packing.pack(table(spark, folder, "documents"), tokenizer())
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -46,6 +72,12 @@ def op8_quality_score(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rff.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Three edits of every document, counted by its tree."""
+    edits = token_counts.with_edits(table(spark, folder, "documents"))
+    return token_counts.recount(edits, tokenizer()).drop("leaf_chars", "leaf_tokens")
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     labelled = mixing.labelled_rows(documents, table(spark, folder, "labels"), "lang")
@@ -54,11 +86,13 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_licences": op2_licences,
     "op3_lm_score": op3_lm_score,
+    "op4_line_quality": op4_line_quality,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_fingerprints": op6_fingerprints,
     "op7_packing": op7_packing,
     "op8_quality_score": op8_quality_score,
+    "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
 }
-
-ORACLE_SQL: dict[str, str] = {}
