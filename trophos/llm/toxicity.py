@@ -17,13 +17,13 @@ Without labelled texts of both kinds the lexicon is empty and every score is 0.
 
 import math
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,18 +127,39 @@ def _probability(lexicon: Lexicon, raw: np.ndarray) -> np.ndarray:
 # --- learning ---------------------------------------------------------------
 
 
-def _candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts with each word and word beginning, counted by label."""
-    counts: tuple[Counter, Counter] = Counter(), Counter()
-    for frame in frames:
-        for text, label in zip(frame["text"], frame["label"]):
-            words = set(fold(text or "").split())
-            found = {f" {w} " for w in words}
-            found.update(f" {w[:n]}" for w in words for n in PREFIXES if len(w) > n)
-            counts[int(label > 0)].update(found)
-    clean, toxic = counts
-    terms = sorted(clean.keys() | toxic.keys())
-    yield pd.DataFrame({"term": terms, "toxic": [toxic[t] for t in terms], "clean": [clean[t] for t in terms]})
+#: Terms that a task counts before it passes them on.
+COUNTED = 500_000
+
+
+def _counted(batches: Iterator[pa.RecordBatch], found_in) -> Iterator[pa.RecordBatch]:
+    """(term, toxic, clean): texts of each label with a term, added up within the task."""
+    counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    for batch in batches:
+        for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist()):
+            for term in found_in(fold(text or "")):
+                counts[term][label <= 0] += 1
+            if len(counts) > COUNTED:
+                yield from _passed_on(counts)
+                counts.clear()
+    yield from _passed_on(counts)
+
+
+def _passed_on(counts: dict[str, list[int]], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    items = iter(counts.items())
+    while part := list(islice(items, rows)):
+        terms, both = zip(*part)
+        columns = [pa.array(terms, pa.string()), *(pa.array(n, pa.int64()) for n in zip(*both))]
+        yield pa.RecordBatch.from_arrays(columns, ["term", "toxic", "clean"])
+
+
+def _count(rows: DataFrame, found_in) -> DataFrame:
+    found = rows.mapInArrow(lambda batches: _counted(batches, found_in), "term string, toxic long, clean long")
+    return found.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def _words_and_beginnings(folded: str) -> set[str]:
+    words = set(folded.split())
+    return {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in PREFIXES if len(w) > n}
 
 
 def _choose(rows: list, toxic: int, clean: int) -> dict[str, float]:
@@ -165,20 +186,21 @@ def _weight(row, toxic: int, clean: int) -> float:
     return math.log((row["toxic"] + 0.5) / (toxic + 1)) - math.log((row["clean"] + 0.5) / (clean + 1))
 
 
-def _phrases(frames: Iterator[pd.DataFrame], lexicon: Lexicon) -> Iterator[pd.DataFrame]:
-    """Matches with the word before, or after, counted by label."""
-    automaton = lexicon.automaton()
-    counts: tuple[Counter, Counter] = Counter(), Counter()
-    for frame in frames:
-        for text, label in zip(frame["text"], frame["label"]):
-            folded, found = fold(text or ""), set()
-            for end, (n, _) in automaton.iter(folded):
-                start, stop = end - n + 1, folded.index(" ", end)
-                found.add(folded[folded.rfind(" ", 0, start) if start else 0 : stop + 1])
-                found.add(folded[start : (folded.find(" ", stop + 1) + 1 or len(folded))])
-            counts[int(label > 0)].update(found)
-    clean, toxic = counts
-    yield pd.DataFrame({"phrase": list(clean), "clean": list(clean.values()), "toxic": [toxic[p] for p in clean]})
+def _phrases(lexicon: Lexicon):
+    """Function of a folded text: its matches with the word before, and with the word after."""
+    ready = []
+
+    def find(folded: str) -> set[str]:
+        if not ready:
+            ready.append(lexicon.automaton())
+        found = set()
+        for end, (n, _) in ready[0].iter(folded):
+            start, stop = end - n + 1, folded.index(" ", end)
+            found.add(folded[folded.rfind(" ", 0, start) if start else 0 : stop + 1])
+            found.add(folded[start : (folded.find(" ", stop + 1) + 1 or len(folded))])
+        return found
+
+    return find
 
 
 def _calibrate(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
@@ -203,12 +225,7 @@ def learn(rows: DataFrame, max_entries: int = MAX_ENTRIES) -> Lexicon:
     toxic, clean = totals.get(True, 0), totals.get(False, 0)
     if not toxic or not clean:
         return Lexicon()
-    terms = (
-        rows.mapInPandas(_candidates, "term string, toxic long, clean long")
-        .groupBy("term")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    )
-    terms = Scratch(rows.sparkSession).keep(terms.where("toxic >= 3"), "terms")
+    terms = Scratch(rows.sparkSession).keep(_count(rows, _words_and_beginnings).where("toxic >= 3"), "terms")
     n, share = F.col("toxic") + F.col("clean"), toxic / (toxic + clean)
     evidence = 2 * (
         F.col("toxic") * F.log(F.col("toxic") / (n * share))
@@ -224,16 +241,9 @@ def learn(rows: DataFrame, max_entries: int = MAX_ENTRIES) -> Lexicon:
     )
     lexicon = Lexicon(_choose(strong, toxic, clean))
     if any(r["clean"] for r in strong if r["term"] in lexicon.entries):
-        bare = lexicon
-        found = (
-            rows.mapInPandas(lambda it: _phrases(it, bare), "phrase string, clean long, toxic long")
-            .groupBy("phrase")
-            .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-            .where("clean >= 3 and toxic = 0")
-            .orderBy(F.desc("clean"), "phrase")
-            .limit(max_entries)
-        )
-        lexicon = Lexicon(lexicon.entries, sorted(r["phrase"] for r in found.collect()))
+        found = _count(rows, _phrases(lexicon)).where("clean >= 3 and toxic = 0")
+        found = found.orderBy(F.desc("clean"), "term").limit(max_entries)
+        lexicon = Lexicon(lexicon.entries, sorted(r["term"] for r in found.collect()))
     full = lexicon
 
     def raw(texts: pa.Array) -> pa.Array:
