@@ -22,7 +22,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     grows with the logarithm of the longest chain.
     """
     state = scratch.keep(_directed(edges))
-    while True:
+    while not _stars(state):
         # large star: larger neighbours of a node move to its smallest, which may be itself
         both = state.union(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("m"))
@@ -32,15 +32,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         # small star: smaller neighbours of a node, and itself, move to its smallest
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = scratch.keep(small.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        # stars: every node has one smaller neighbour, and none of these has one
-        roots = new.select(F.col("b").alias("a")).distinct()
-        if not new.join(roots, "a", "left_semi").limit(1).count() and not _forked(new):
-            labels = new.select(F.col("a").alias("id"), F.col("b").alias("component"))
-            return labels.union(roots.select(F.col("a").alias("id"), F.col("a").alias("component")))
-        state = new
-
-
-def _forked(edges: DataFrame) -> bool:
-    ends = edges.groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y"))
-    return bool(ends.where("x <> y").limit(1).count())
+        state = scratch.keep(small.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+    labels = state.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return labels.union(state.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour that has none itself."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(edges.select(F.col("b").alias("id"), F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.where("up > 1 or up = 1 and down = 1").isEmpty()

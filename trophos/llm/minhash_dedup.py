@@ -16,14 +16,14 @@ Two documents are linked if 100 * intersection >= ``percent`` * union.
 3. Classes that agree in all ``ROWS`` bins of one of ``BANDS`` bands are
    candidates.  At similarity 0.8 a pair shares no band with probability
    (1 - 0.8 ** 7) ** 50, about 7e-6.
-4. Rounds link the candidates within a bucket without making all its pairs: a
-   few leaders are compared with all others, exactly and on full sets, and
-   then leave the bucket.  What is connected needs no further comparison, so a
-   bucket is finished once all its members are in one component, which takes
-   one round for a group of copies.  The leaders come from the smallest
-   components of the bucket, and their number grows fourfold by round.  No
-   candidate is dropped: a bucket ends when it has one component or no
-   uncompared pair between components.
+4. In each bucket all members are compared with its smallest id, on full sets.
+   That connects a group of copies at once, with as many comparisons as members.
+5. A bucket whose members are still in several components is compared across
+   them.  Its members fall into blocks of about ``BLOCK``, and a task takes two
+   blocks at a time: it gets their sets, shortened to 32 bits an element, counts
+   all intersections as a matrix product, and returns the pairs that may be
+   linked, which are then verified on full sets.  Only buckets of unlike members
+   need this, no task holds more than two blocks, and no candidate is left out.
 """
 
 import hashlib
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trophos.llm import words as W
@@ -39,8 +39,8 @@ from trophos.llm.components import components
 from trophos.plans.scratch import Scratch
 
 BANDS, ROWS = 50, 7
-#: Leaders of a bucket in the second round; one in the first.
-LEADERS = 8
+#: Members of a block, about; shingles that a matrix product takes at once.
+BLOCK, COLUMNS = 512, 8_192
 
 
 def sketch(elements: np.ndarray, bins: int) -> np.ndarray:
@@ -94,80 +94,129 @@ def digests(documents: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(len(s), _name(s), _band_keys(s) if len(s) else None) for s in shingle_sets(batch["text"], size)]
-            n, key, bands = zip(*found) if found else ((), (), ())
-            columns = [pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            n, keys, sketches = [], [], []
+            for own in shingle_sets(batch["text"], size):
+                n.append(len(own))
+                keys.append(_name(own))
+                if len(own):
+                    sketches.append(sketch(own, BANDS * ROWS))
+            filled = np.array(n, dtype=np.int64) > 0
+            ends = np.concatenate([[0], np.cumsum(filled) * BANDS])
+            bands = pa.ListArray.from_arrays(
+                pa.array(ends, pa.int32()), pa.array(_band_keys(sketches), pa.int64()), mask=pa.array(~filled)
+            )
+            columns = [pa.array(n, pa.int64()), pa.array(keys, pa.binary()), bands]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], ["doc_id", "n", "key", "bands"])
 
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return source.mapInArrow(run, "doc_id long, n long, key binary, bands array<long>")
 
 
-def _band_keys(elements: np.ndarray) -> np.ndarray:
-    rows = sketch(elements, BANDS * ROWS).reshape(BANDS, ROWS)
-    key = W.stream(9 << 32, BANDS)
-    for column in rows.T:
-        key = W.pair_hash(key, column)
-    return key.view(np.int64)
+def _band_keys(sketches: list[np.ndarray]) -> np.ndarray:
+    """The keys of all bands of each sketch, one sketch after the other."""
+    rows = np.array(sketches, np.uint64).reshape(-1, BANDS, ROWS)
+    key = np.broadcast_to(W.stream(9 << 32, BANDS), rows.shape[:2])
+    for r in range(ROWS):
+        key = W.pair_hash(key, rows[:, :, r])
+    return np.ascontiguousarray(key).view(np.int64).ravel()
 
 
 def _sets(size: int):
-    """Arrow function: name and elements of each text's set."""
+    """Arrow function: name, elements, and the high 32 bits of the elements of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(batch["text"], size))
             keys = pa.array([_name(s) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([keys, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["key", "set"])
+            whole = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+            short = pa.array([np.unique((s >> np.uint64(32)).astype("<u4")).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([keys, whole, short], ["key", "set", "short"])
 
     return run
 
 
-def _leaders(members: DataFrame, leaders: int) -> DataFrame:
-    """Up to ``leaders`` members of each bucket, those of its smallest components first.
+def _across(percent: int):
+    """Arrow function of two blocks of a bucket: pairs of unlike label that may be linked."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        block, label, n = (np.asarray(rows[c]) for c in ("block", "label", "n"))
+        short = [np.frombuffer(x, "<u4") for x in rows["short"].to_pylist()]
+        sizes = np.array([len(x) for x in short])
+        # what two elements of a text have in common when shortened is counted for both
+        lost = n - sizes
+        owner = np.repeat(np.arange(len(short)), sizes)
+        elements, column, often = np.unique(np.concatenate(short), return_inverse=True, return_counts=True)
+        shared = often[column] > 1
+        column = (np.cumsum(often > 1) - 1)[column[shared]]
+        owner = owner[shared]
+        left, right = (np.flatnonzero(block == b) for b in (block.min(), block.max()))
+        place = np.zeros(len(short), np.int64)
+        place[left] = np.arange(len(left))
+        place_right = np.zeros(len(short), np.int64)
+        place_right[right] = np.arange(len(right))
+        both = np.zeros((len(left), len(right)), np.float32)
+        for start in range(0, int((often > 1).sum()), COLUMNS):
+            own = (column >= start) & (column < start + COLUMNS)
+            x, y = np.zeros((len(left), COLUMNS), np.float32), np.zeros((len(right), COLUMNS), np.float32)
+            of = owner[own]
+            at_left, at_right = np.isin(of, left), np.isin(of, right)
+            x[place[of[at_left]], column[own][at_left] - start] = 1
+            y[place_right[of[at_right]], column[own][at_right] - start] = 1
+            both += x @ y.T
+        both = both.astype(np.int64) + np.minimum(lost[left][:, None], lost[right][None, :])
+        union = n[left][:, None] + n[right][None, :] - both
+        near = (100 * both >= percent * union) & (label[left][:, None] != label[right][None, :])
+        i, j = np.nonzero(near)
+        ids = np.asarray(rows["id"])
+        a, b = ids[left[i]], ids[right[j]]
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
-    Row numbers with a limit are cut in each partition before rows are moved.
-    """
-    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("size"))
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("size", "label"))
-    starts = sizes.withColumn("place", place).where(F.col("place") <= leaders).drop("size")
-    pool = members.join(starts, ["bucket", "label"])
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("place", "id"))
-    return pool.withColumn("rank", rank).where(F.col("rank") <= leaders).select("bucket", "id", "n", "label")
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked) by comparing full sets."""
+    pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+    pairs = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    counted = pairs.select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b")).alias("sum"))
+    return counted.select("a", "b", (F.col("both") * 100 >= percent * (F.col("sum") - F.col("both"))).alias("linked"))
+
+
+def _merged(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Labels after components are joined by edges between their members."""
+    a = labels.select(F.col("id").alias("a"), F.col("component").alias("x"))
+    b = labels.select(F.col("id").alias("b"), F.col("component").alias("y"))
+    ends = edges.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    to = components(ends, scratch).select(F.col("id").alias("component"), F.col("component").alias("to"))
+    joined = labels.join(to, "component", "left")
+    return scratch.keep(joined.select("id", F.coalesce("to", "component").alias("component")))
 
 
-def links(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
-    """Linked pairs (a, b) that connect whatever is linked; None without a candidate.
+def link(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(id, component) of all candidates: the smallest id that links reach.
 
-    ``members``: written (bucket, id, n), at least two a bucket.  ``sets``: written (id, set).
+    ``members``: written (bucket, id, n), at least two a bucket.  ``sets``: written
+    (id, set, short).
     """
-    found, labels, leaders = None, None, 1
-    while True:
-        if labels is None:
-            members = members.withColumn("label", F.col("id"))
-            first = members.groupBy("bucket").agg(F.min(F.struct("id", "n", "label")).alias("lead"))
-            leads = scratch.keep(first.select("bucket", "lead.*"))
-        else:
-            rows = members.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id"))
-            mixed = rows.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-            members = scratch.keep(rows.select("bucket", "id", "n", "label").join(mixed, "bucket", "left_semi"))
-            leads = scratch.keep(_leaders(members, leaders))
-        if not leads.limit(1).count():
-            return found
-        lead = leads.select("bucket", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-        fits = F.least("n", "n_b") * 100 >= percent * F.greatest("n", "n_b")
-        pairs = members.join(lead, "bucket").where((F.col("label") != F.col("label_b")) & fits)
-        pairs = pairs.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-        pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-        pairs = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-        both = F.size(F.array_intersect("set_a", "set_b"))
-        counted = pairs.select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b")).alias("sum"))
-        new = counted.where(F.col("both") * 100 >= percent * (F.col("sum") - F.col("both")))
-        new = scratch.keep(new.select("a", "b"))
-        found = new if found is None else found.union(new)
-        labels = components(found, scratch)
-        members = members.select("bucket", "id", "n").join(leads.select("bucket", "id"), ["bucket", "id"], "left_anti")
-        leaders = LEADERS if leaders == 1 else 4 * leaders
+    fits = F.least("n", "n_b") * 100 >= percent * F.greatest("n", "n_b")
+    lead = members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("lead"))
+    lead = lead.select("bucket", F.col("lead.id").alias("b"), F.col("lead.n").alias("n_b"))
+    pairs = members.join(lead, "bucket").where((F.col("id") != F.col("b")) & fits)
+    found = scratch.keep(_verified(pairs.select(F.col("id").alias("a"), "b").distinct(), sets, percent))
+    labels = sets.select("id", F.col("id").alias("component"))
+    labels = _merged(labels, found.where("linked").select("a", "b"), scratch)
+
+    rows = members.join(labels, "id").withColumnRenamed("component", "label")
+    mixed = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y"))
+    mixed = mixed.where("x <> y").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    rows = rows.join(sets.select("id", "short"), "id").select("bucket", "i", "j", "id", "n", "label", "block", "short")
+    pairs = rows.groupBy("bucket", "i", "j").applyInArrow(_across(percent), "a long, b long").distinct()
+    found = scratch.keep(_verified(pairs, sets, percent))
+    return _merged(labels, found.where("linked").select("a", "b"), scratch)
 
 
 def near_duplicates(documents: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
@@ -193,16 +242,13 @@ def near_duplicates(documents: DataFrame, size: int = 2, percent: int = 80) -> D
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").alias("d")
     wanted = candidates.select("doc_id").distinct().alias("w")
     texts = texts.join(wanted, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
-    sets = texts.mapInArrow(_sets(size), "key binary, set array<long>")
-    sets = sets.join(candidates.select("key", "id"), "key").groupBy("id").agg(F.first("set").alias("set"))
-    edges = links(members, scratch.keep(sets), percent, scratch)
-    if edges is None:
-        named = own.select("key", F.col("doc_id").alias("component_id"))
-    else:
-        parts = own.select("id", "key", "doc_id").join(components(edges, scratch), "id", "left")
-        parts = scratch.keep(parts.withColumn("component", F.coalesce("component", "id")).drop("id"))
-        least = parts.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-        named = scratch.keep(parts.join(least, "component").select("key", "component_id"))
+    sets = texts.mapInArrow(_sets(size), "key binary, set array<long>, short binary")
+    sets = sets.join(candidates.select("key", "id"), "key").dropDuplicates(["id"]).select("id", "set", "short")
+    labels = link(members, scratch.keep(sets), percent, scratch)
+    parts = own.select("id", "key", "doc_id").join(labels, "id", "left")
+    parts = scratch.keep(parts.withColumn("component", F.coalesce("component", "id")).drop("id"))
+    least = parts.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = parts.join(least, "component").select("key", "component_id")
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "key").join(named, "key", "left")
     whole = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", whole.alias("component_id")).withColumn(
