@@ -22,7 +22,7 @@ from trophos.plans.scratch import Scratch
 from trophos.schemas import REGISTRY, VARIABLES, quant_columns
 from trophos.sources import store, trajectories
 from trophos.sources.derived import Sales
-from trophos.sources.model import dimension, local_table, validate_model, value_columns
+from trophos.sources.model import dimension, local_table, read_model, validate_model, value_columns
 from trophos.sources.metadata import read_metadata, write_metadata
 
 try:
@@ -116,7 +116,12 @@ def to_long(sales):
 
 
 def model_tables(sales):
-    components, fluxes = _model(sales)
+    """The derived tables written as CSV files and read as a model's."""
+    path = f"{Scratch(sales.spark).path}/model"
+    fluxes = sales.fluxes()
+    sales.components(fluxes).write.csv(f"{path}/components", header=True, nullValue="NA")
+    fluxes.write.csv(f"{path}/fluxes", header=True, nullValue="NA")
+    components, fluxes = read_model(sales.spark, path, "csv")
     nodes = components.select(
         F.lit("component").alias("kind"), F.col("Component").alias("name"),
         F.lit(None).cast("string").alias("From"), F.lit(None).cast("string").alias("To"),
@@ -177,25 +182,23 @@ def series_run(variable, group=False):
         names = sales.regions() if needs_biomass else None
         info = _info(sales) if needs_info else None
         label = LABEL if group else None
-        return _rounded(
-            compute(variable, sales.long(), names, info, group, label, samples=sales.samples())
-        )
+        return _rounded(compute(variable, sales.long(), names, info, group, label, names=names))
 
     return run
 
 
-def analyze_all(sales):
+def _analyze(sales, group=False):
     """All seven variables for a selection of every name there is, known to the
     model or not: what a variable cannot use is left out."""
     components, fluxes = _model(sales)
-    long, info, samples = sales.long(), _info(sales), sales.samples()
+    long, info = sales.long(), _info(sales)
     resolution = dimension(network.component_resolution(components, fluxes, long))
     names = [r["ID"] for r in info.collect()] + ["Z0"]
     edges = [r["Flux"] for r in fluxes.collect()]
     out = None
     for variable in VARIABLES:
         selected = edges if variable == "Fluxes" else names
-        quant = _rounded(analyze(variable, long, selected, info, resolution, fluxes, samples=samples))
+        quant = _rounded(analyze(variable, long, selected, info, resolution, fluxes, group, LABEL))
         out = quant if out is None else out.unionByName(quant, allowMissingColumns=True)
     return out.select("Year", "Var", "Unit", "ID", "Prey", "Predator", "Metric", "Stat", "Value")
 
@@ -207,21 +210,18 @@ def _named(summary, *keys):
 
 def summary(sales):
     values = series.biomass_values(sales.long(), None)
-    return _named(quantile_summary(values, ["Year", "ID"], rows_per_group=sales.samples()), "Year", "ID")
+    return _named(quantile_summary(values, ["Year", "ID"]), "Year", "ID")
 
 
 def selection(sales):
-    """All values of a kind and year pooled, with limits that make every group
-    too large for one task."""
-    q = quantile_summary(sales.long(), ["Year", "kind"], group_limit=1000, bin_limit=500)
+    """All values of a kind and year pooled: the largest groups there are."""
+    q = quantile_summary(sales.long(), ["Year", "kind"])
     return _named(q, "Year", "kind")
 
 
 def summary_long(sales):
     values = sales.flux().select("Year", F.col("src").alias("ID"), "value")
-    # A prey has at most one value per sample and edge.
-    rows = sales.samples() * (len(sales.regions()) + len(sales.fleets()))
-    q = quantile_summary(values, ["Year", "ID"], rows_per_group=rows)
+    q = quantile_summary(values, ["Year", "ID"])
     return _rounded(quantiles_long(q, ["Year", "ID"], "Fluxes by prey", "1000t"))
 
 
@@ -230,15 +230,34 @@ def trajectory_sample(sales):
     return _round(charts.trajectory_sample(values, LINES), "S1", "S2", "S3")
 
 
-def proportion_by_year(sales):
-    flows = series.predation_values(sales.long(), None, _info(sales))
-    means = charts.mean_by_target(flows, ["Year", "ID", "target", "Colour_target"])
+def _proportions(values, keys, chart_keys=()):
+    means = charts.mean_by_target(values, keys)
     # A mean of 5-decimal values over 32 or more samples may end in a tie at 9
     # decimals; at 3 decimals that is rare.
-    shares = charts.proportion_by_year(means, ["ID"])
+    shares = charts.proportion_by_year(means, chart_keys)
     return shares.withColumns({"value": F.round("value", 3), "proportion": F.round("proportion", 9)})
 
 
+def proportion_by_year(sales):
+    flows = series.predation_values(sales.long(), None, _info(sales))
+    return _proportions(flows, ["Year", "ID", "target", "Colour_target"], ["ID"])
+
+
+def proportion_consumption(sales):
+    flows = series.consumption_values(sales.long(), None, _info(sales))
+    return _proportions(flows, ["Year", "ID", "target", "Colour_target"], ["ID"])
+
+
+def proportion_biomass(sales):
+    """Shares of the members of a group of all components."""
+    return _proportions(series.biomass_values(sales.long(), sales.regions()), ["Year", "ID"])
+
+
+def proportion_flux(sales):
+    """Shares of the members of a group of all edges."""
+    return _proportions(series.flux_values(sales.long()), ["Year", "ID"])
+
+
 def _beta(share):
     def run(sales):
         rates = mortality.mortality_values(sales.long(), sales.regions())
@@ -247,9 +266,14 @@ def _beta(share):
     return run
 
 
-def beta_bands(sales):
-    rates = mortality.mortality_values(sales.long(), sales.regions())
-    return charts.beta_bands(charts.beta_params(rates, share=True))
+def _bands(share):
+    def run(sales):
+        rates = mortality.mortality_values(sales.long(), sales.regions())
+        bands = charts.beta_bands(charts.beta_params(rates, share=share))
+        # the two sides sum series of different forms: 6 decimals are common to both
+        return bands.withColumns({c: F.round(c, 6) for c in ("bottom", "top", "mean_F", "q05", "q95")})
+
+    return run
 
 
 def flux_colours(sales):
@@ -345,11 +369,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "quantiles_long": summary_long,
         "trajectory_sample": trajectory_sample,
         "proportion_by_year": proportion_by_year,
+        "proportion_consumption": proportion_consumption,
+        "proportion_biomass": proportion_biomass,
+        "proportion_flux": proportion_flux,
         "beta_params": _beta(False),
         "beta_params_share": _beta(True),
-        "beta_bands": beta_bands,
+        "beta_bands": _bands(True),
+        "beta_bands_rate": _bands(False),
         "flux_colours": flux_colours,
-        "analyze_all": analyze_all,
+        "analyze_all": _analyze,
+        "analyze_grouped": lambda sales: _analyze(sales, group=True),
         "foodweb_nodes": foodweb_nodes,
         "foodweb_edges": lambda sales: network.foodweb_edges(sales.fluxes()),
         "register_series": register_series,
@@ -506,7 +535,7 @@ rates as (select Sample_id, ID, "Year", Z, C / (C + P) * Z as F, P / (C + P) * Z
 
 
 def _mortality_sql(group):
-    metrics = ", ".join(f"('{c}', '{m}')" for c, m in mortality.METRICS.items())
+    metrics = "('Z', 'Total Mortality'), ('F', 'Fishing Mortality'), ('M', 'Natural Mortality'), ('G', 'Growth')"
     return _rates_sql(group) + f""",
 melted as (
   select "Year", ID, m.name as "Metric",
@@ -547,23 +576,80 @@ def _named_sql(source, keys):
   select {keys}, quantile_cont(value, [0, 0.025, 0.25, 0.5, 0.75, 0.975, 1]) as q from {source} group by {keys})"""
 
 
-def _beta_sql(share):
+def _share_sql(kind):
+    return f"""
+m as (select "Year", Var as ID, avg(value) as value from long where kind = '{kind}' group by all)
+select "Year", ID as "ID", round(value, 3) as value,
+       round(value / sum(value) over (partition by "Year"), 9) as proportion from m"""
+
+
+def _fit_sql(share):
     x = "case when F + M <> 0 then F / (F + M) end" if share else "F"
     return WEB + _rates_sql(False) + f""",
 moments as (select "Year", ID, avg({x}) as m, var_samp({x}) as v from rates group by all),
 fit as (select *, greatest(greatest(m * (1 - m), 1e-8) / greatest(v, 1e-8) - 1, 1e-8) as t,
-               m > 1e-8 and m < 1 - 1e-8 and v is not null as ok from moments)
+               m > 1e-8 and m < 1 - 1e-8 and v is not null as ok from moments)"""
+
+
+def _beta_cdf_sql(x, a, b):
+    """Incomplete beta function by its power series, at the side of the mean where it converges fast."""
+    def series(x, a, b):
+        return f"""exp({a} * ln({x}) + {b} * ln(1 - {x}) + lgamma({a} + {b}) - lgamma({a} + 1) - lgamma({b}))
+          * list_sum(list_transform(range(0, 500), lambda n:
+              exp(lgamma({a} + {b} + n) - lgamma({a} + {b}) - lgamma({a} + 1 + n) + lgamma({a} + 1) + n * ln({x}))))"""
+
+    low, high = series(x, a, b), series(f"(1 - {x})", b, a)
+    return f"case when {x} * ({a} + {b} + 2) <= {a} + 1 then {low} else 1 - {high} end"
+
+
+def _bands_sql(share):
+    def unless_flat(fit, at0, at1):
+        return f"round(case when m <= 1e-8 then {at0} when m >= 1 - 1e-8 then {at1} else {fit} end, 6)"
+
+    fit = _fit_sql(share).strip().removeprefix("with")
+    return f"""
+with recursive {fit},
+params as (select "Year", ID, m, case when ok then greatest(m * t, 1e-8) end as a,
+                  case when ok then greatest((1 - m) * t, 1e-8) end as b from fit),
+search as (
+  select "Year", ID, a, b, p, 0.0::double as lo, 1.0::double as hi, 0 as step
+  from params, (values (0.05::double), (0.95::double)) v(p) where a is not null
+  union all
+  select "Year", ID, a, b, p, case when cdf < p then mid else lo end, case when cdf < p then hi else mid end, step + 1
+  from (select *, {_beta_cdf_sql("mid", "a", "b")} as cdf from (select *, (lo + hi) / 2 as mid from search) where step < 50)),
+quantiles as (
+  select "Year", ID, max((lo + hi) / 2) filter (where p < 0.5) as q05, max((lo + hi) / 2) filter (where p > 0.5) as q95
+  from search where step = 50 group by all),
+bins as (select *, (k + 0.5) / 1000.0::double as x from params, (select unnest(range(0, 1000)) as k)),
+below as (select *, {_beta_cdf_sql("x", "a", "b")} as c from bins)
+select "Year", ID as "ID", k / 1000.0::double as y0, (k + 1) / 1000.0::double as y1,
+       {unless_flat("1 - c", 0.0, 1.0)} as bottom, {unless_flat("c", 1.0, 0.0)} as top,
+       {unless_flat("a / (a + b)", 0.0, 1.0)} as "mean_F",
+       {unless_flat("q05", 0.0, 1.0)} as q05, {unless_flat("q95", 0.0, 1.0)} as q95
+from below left join quantiles using ("Year", ID)"""
+
+
+def _beta_sql(share):
+    return _fit_sql(share) + """
 select "Year", ID as "ID", round(m, 9) as mean, round(v, 9) as var,
        case when ok then round(greatest(m * t, 1e-8), 9) end as a,
        case when ok then round(greatest((1 - m) * t, 1e-8), 9) end as b from fit"""
 
 
+MORTALITY_ELIGIBLE = "IsBiomass and IsPredatedCatched and IsConsumer and not IsCatchedOnly and not IsPredatedOnly"
+
+
 def _resolved_sql():
-    parts = [
-        f"select '{v}' as \"Variable\", Component as \"Component\" from resolution where {flags}"
-        for v, flags in network.ELIGIBLE.items()
-    ]
-    return " union all ".join(parts)
+    return f"""
+select v as "Variable", Component as "Component" from resolution, (values
+  ('Biomass'), ('Consumption'), ('Predation and Fisheries'), ('Ratio Consumption/Biomass'),
+  ('Ratio Production/Biomass'), ('Mortality and Growth')) t(v)
+where case v when 'Biomass' then IsBiomass
+             when 'Consumption' then IsConsumer
+             when 'Predation and Fisheries' then IsPredatedCatched
+             when 'Ratio Consumption/Biomass' then IsConsumer and IsBiomass
+             when 'Ratio Production/Biomass' then IsPredatedCatched and IsBiomass
+             else {MORTALITY_ELIGIBLE} end"""
 
 
 REGISTRY_SQL = """
@@ -574,9 +660,8 @@ registry as (
 
 
 def _checks_sql():
-    from trophos.sources.model import MODEL_TABLES
-
-    names = ["mcmc", "mcmc columns", *MODEL_TABLES, "components_param columns", "fluxes_def columns", "column names"]
+    names = ["mcmc", "mcmc columns", "components_param", "species", "fluxes_def", "ntstep"]
+    names += ["components_param columns", "fluxes_def columns", "column names"]
     rows = []
     for name in names:
         rows.append(f"select 'good' as model, '{name}' as \"check\", true as ok, cast(null as varchar) as message")
@@ -648,15 +733,24 @@ m as (select "Year", src as ID, label as target, lcol as Colour_target, avg(valu
       from long join lab on lid = dst where kind = 'flux' group by all)
 select "Year", ID as "ID", target, Colour_target as "Colour_target", round(value, 3) as value,
        round(value / sum(value) over (partition by ID, "Year"), 9) as proportion from m""",
+        "proportion_consumption": WEB + """
+m as (select "Year", dst as ID, label as target, lcol as Colour_target, avg(value) as value
+      from long join lab on lid = src where kind = 'flux' group by all)
+select "Year", ID as "ID", target, Colour_target as "Colour_target", round(value, 3) as value,
+       round(value / sum(value) over (partition by ID, "Year"), 9) as proportion from m""",
+        "proportion_biomass": WEB + _share_sql("component"),
+        "proportion_flux": WEB + _share_sql("flux"),
         "beta_params": _beta_sql(False),
         "beta_params_share": _beta_sql(True),
+        "beta_bands": _bands_sql(True),
+        "beta_bands_rate": _bands_sql(False),
         "flux_colours": WEB + f"""
 series as (select 'From ' || p.label || ' to ' || q.label as series, "To" as t, "From" as s
            from fluxes join lab p on p.lid = "From" join lab q on q.lid = "To")
 select series, list_extract({list(network.FLUX_PALETTE)},
          cast((row_number() over (order by t, s) - 1) % 51 + 1 as int)) as "Colour" from series""",
         "foodweb_nodes": WEB + """
-eligible as (select Component as e from resolution where """ + network.ELIGIBLE["Mortality and Growth"] + """)
+eligible as (select Component as e from resolution where """ + MORTALITY_ELIGIBLE + """)
 select ID as id, FullName as "FullName", Colour as "Colour", ID in (select e from eligible) as is_resolved,
        case when ID in (select e from eligible) then 1.0::double else 0.4::double end as opacity,
        X * 1000 as pos_x, Y * 1000 as pos_y
@@ -670,12 +764,13 @@ from info join components on ID = Component""",
         sql[f"{key}_grouped"] = WEB + _series_sql(variable, group=True) + select
 
     wide_columns = ["Year", "Var", "Unit", "ID", "Prey", "Predator", "Metric", "Stat"]
-    parts = []
-    for key, variable in SERIES_KEYS.items():
-        has = quant_columns(variable)
-        columns = ", ".join(f'"{c}"' if c in has else f'null as "{c}"' for c in wide_columns)
-        parts.append(f'select {columns}, "Value" from ({sql[key]})')
-    sql["analyze_all"] = " union all ".join(parts)
+    for name, suffix in (("analyze_all", ""), ("analyze_grouped", "_grouped")):
+        parts = []
+        for key, variable in SERIES_KEYS.items():
+            has = quant_columns(variable)
+            columns = ", ".join(f'"{c}"' if c in has else f'null as "{c}"' for c in wide_columns)
+            parts.append(f'select {columns}, "Value" from ({sql[key + suffix]})')
+        sql[name] = " union all ".join(parts)
     sql["upsert_quantiles"] = f"""
 select * from ({sql["flux_series"]})
 union all select "Year", "Var", "Unit", "ID", "Stat", round("Value" * 2, 9) as "Value" from ({sql["biomass_series"]})

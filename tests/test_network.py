@@ -123,9 +123,9 @@ def test_analyze(long, info, components, fluxes):
         args = (variable, long, selected.get(variable, ["A", "FX"]), info, resolution, fluxes)
         if variable == "Mortality and Growth":
             with pytest.raises(ValueError, match="No valid"):
-                analyze(*args, samples=2)
+                analyze(*args)
             continue
-        quant = analyze(*args, samples=2)
+        quant = analyze(*args)
         assert {r["Var"] for r in quant.select("Var").distinct().collect()} == {variable}
         assert quant.filter("Value is null").isEmpty()
     with pytest.raises(ValueError, match="unknown variable"):
@@ -137,7 +137,7 @@ def test_analyze(long, info, components, fluxes):
 def test_fluxes_by_either_name(long, info, components, fluxes):
     resolution = network.component_resolution(components, fluxes, ["A", "B"])
     got = [
-        {r["ID"] for r in analyze("Fluxes", long, s, info, resolution, fluxes, samples=2).collect()}
+        {r["ID"] for r in analyze("Fluxes", long, s, info, resolution, fluxes).collect()}
         for s in (["F01"], ["B_A"])
     ]
     assert got == [{"B_A"}, {"B_A"}]

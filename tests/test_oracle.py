@@ -44,9 +44,7 @@ def test_query(spark, duck, name):
 
 
 def test_queries_without_twin(spark):
-    assert set(own(entry.queries())) - set(entry.oracle_sql()) == {"beta_bands"}
-    assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert entry.queries()["beta_bands"](spark, FOLDER).count() % 1000 == 0
+    assert set(own(entry.queries())) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_flagship(spark):

@@ -6,104 +6,102 @@ from hypothesis import strategies as st
 from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
+from trophos.functions import quantiles
 from trophos.functions.quantiles import PROBS, STATS, quantile_summary, quantiles_long
 
 
-def both(df, keys, **limits):
-    """Summary by `percentile` and by selection, ordered alike."""
-    plain = quantile_summary(df, keys, rows_per_group=1).orderBy(*keys).toPandas()
-    chosen = quantile_summary(df, keys, **limits).orderBy(*keys).toPandas()
-    return plain, chosen
+def by_percentile(df, keys):
+    """The same numbers from the built-in aggregate, which holds a group in one task."""
+    v = F.when(~F.isnan("value"), F.col("value"))
+    q = df.groupBy(*keys).agg(F.percentile(v, F.array(*map(F.lit, PROBS))).alias("q"))
+    return q.select(*keys, *[F.col("q")[i].alias(s) for i, s in enumerate(STATS)]).orderBy(*keys).toPandas()
+
+
+def same(df, keys):
+    pd.testing.assert_frame_equal(
+        by_percentile(df, keys), quantile_summary(df, keys).orderBy(*keys).toPandas(), check_exact=True
+    )
 
 
 def test_matches_numpy(spark):
     x = np.random.default_rng(0).lognormal(size=501)
-    row = quantile_summary(
-        spark.createDataFrame(pd.DataFrame({"k": 1, "value": x})), ["k"], rows_per_group=501
-    ).first()
+    row = quantile_summary(spark.createDataFrame(pd.DataFrame({"k": 1, "value": x})), ["k"]).first()
     assert [row[s] for s in STATS] == pytest.approx(list(np.quantile(x, PROBS)), rel=1e-12)
 
 
-@pytest.mark.parametrize("limits", [(10, 7), (10, 1), (10, 100_000)])
-def test_selection_equals_percentile(spark, limits):
-    # Long tails, a third of all rows tied, infinities, a NULL key, one hot key.
-    df = spark.range(20_000).select(
+def skewed(spark, n):
+    """Long tails, a third of all rows tied, infinities, a NULL key, one hot key."""
+    return spark.range(n).select(
         F.when(F.col("id") % 3 > 0, F.lit(0)).when(F.col("id") % 2 == 0, (F.col("id") % 5).cast("int")).alias("k"),
         F.when(F.rand(1) < 0.3, 0.0).when(F.rand(2) < 0.01, 1e15 * F.rand(3))
         .when(F.rand(4) < 0.001, -F.lit(float("inf"))).when(F.rand(5) < 0.001, float("inf"))
-        .otherwise(F.exp(6 * F.randn(6))).alias("value"),
-    ).cache()
-    if limits[1] == 1:
-        df = df.limit(300).cache()
-    plain, chosen = both(df, ["k"], group_limit=limits[0], bin_limit=limits[1])
-    pd.testing.assert_frame_equal(plain, chosen, check_exact=True)
+        .otherwise(F.exp(6 * F.randn(6)) * F.signum(F.randn(7))).alias("value"),
+    )
+
+
+@pytest.mark.parametrize("n", [1, 300, 20_000])
+def test_equals_percentile(spark, n):
+    same(skewed(spark, n).cache(), ["k"])
+
 
+@pytest.mark.parametrize("steps", [1, 16])
+def test_any_bins_will_do(spark, monkeypatch, steps):
+    monkeypatch.setattr(quantiles, "STEPS", steps)
+    same(skewed(spark, 3000).cache(), ["k"])
 
-def test_selection_without_broadcasts(spark, monkeypatch):
-    monkeypatch.setattr("trophos.functions.quantiles.BROADCAST_LIMIT", -1)
+
+def test_without_broadcasts(spark):
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        df = spark.range(3000).select(
-            F.when(F.col("id") % 3 > 0, F.lit(0)).when(F.col("id") % 2 == 0, 1).alias("k"),
-            F.randn(1).alias("value"),
-        )
-        plain, chosen = both(df, ["k"], group_limit=10, bin_limit=5)
+        same(skewed(spark, 3000).cache(), ["k"])
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-    pd.testing.assert_frame_equal(plain, chosen, check_exact=True)
-
 
-def test_selection_leaves_only_its_result(spark, tmp_path):
-    import os
 
-    from trophos.plans.scratch import shared_folder
+def test_reaches_the_ends_of_the_doubles(spark):
+    xs = [5e-324, 1e-300, 0.0, -0.0, -0.5, 1.7e308, -1.7e308, 3.0, 3.0000000000000004, 8.0, 7.999999999999999, 1e-5] * 3
+    same(spark.createDataFrame([(1, x) for x in xs], "k int, value double"), ["k"])
 
-    before = set(os.listdir(shared_folder(spark)))
-    df = spark.range(100).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("value"))
-    assert quantile_summary(df, ["k"], group_limit=1, bin_limit=1).first()["q50"] == 49.5
-    (new,) = set(os.listdir(shared_folder(spark))) - before
-    X
 
-
-def test_selection_reaches_the_ends_of_the_doubles(spark):
-    xs = [5e-324, 1e-300, 0.0, -0.5, 1.7e308, -1.7e308, 3.0, 3.0000000000000004, 3.0, 1e-5] * 3
-    df = spark.createDataFrame([(1, x) for x in xs], "k int, value double")
-    plain, chosen = both(df, ["k"], group_limit=1, bin_limit=2)
-    pd.testing.assert_frame_equal(plain, chosen, check_exact=True)
+def test_bins_rise_with_the_values(spark):
+    powers = 2.0 ** np.arange(-1074, 1024)
+    xs = np.concatenate([powers, np.nextafter(powers, 0), np.nextafter(powers, np.inf), 1.5 * powers[:-1], [np.inf]])
+    xs = np.unique(np.concatenate([xs, -xs]))
+    df = spark.createDataFrame(pd.DataFrame({"v": xs})).select("v", quantiles._bin(F.col("v")).alias("bin"))
+    bins = df.orderBy("v").toPandas()["bin"]
+    assert (bins.diff().dropna() >= 0).all()
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.floats(-1e9, 1e9), min_size=1, max_size=40))
-def test_quantiles_are_ordered_and_strategies_agree(spark, xs):
+def test_quantiles_are_ordered(spark, xs):
     df = spark.createDataFrame([(1, x) for x in xs], "k int, value double")
-    plain, chosen = both(df, ["k"], group_limit=0, bin_limit=3)
-    row = plain[list(STATS)].iloc[0].to_numpy()
+    row = quantile_summary(df, ["k"]).toPandas()[list(STATS)].iloc[0].to_numpy()
     slack = 1e-9 * max(1.0, np.abs(row).max())
     assert (np.diff(row) >= -slack).all()
-    np.testing.assert_array_equal(row, chosen[list(STATS)].iloc[0].to_numpy())
+    np.testing.assert_array_equal(row, by_percentile(df, ["k"])[list(STATS)].iloc[0].to_numpy())
 
 
 def test_missing_values(spark):
     nan = float("nan")
     df = spark.createDataFrame([(1, 1.0), (1, None), (1, nan), (2, nan)], "k int, value double")
-    for rows in (10, None):
-        kept = quantile_summary(df, ["k"], na="drop", rows_per_group=rows).orderBy("k").collect()
-        assert kept[0]["q50"] == 1.0 and kept[1]["q50"] is None
-        with pytest.raises(SparkRuntimeException, match="missing values"):
-            quantile_summary(df, ["k"], rows_per_group=rows).collect()
-    forced = quantile_summary(df, ["k"], na="drop", group_limit=0, bin_limit=0).orderBy("k").collect()
-    assert forced[0]["q50"] == 1.0 and forced[1]["q50"] is None
+    kept = quantile_summary(df, ["k"], na="drop").orderBy("k").collect()
+    assert kept[0]["q50"] == 1.0 and kept[1]["q50"] is None
+    with pytest.raises(SparkRuntimeException, match="missing values"):
+        quantile_summary(df, ["k"]).collect()
 
 
 def test_long_form_keeps_empty_groups(spark):
     df = spark.createDataFrame([(1, "a", None)], "Year int, ID string, value double")
-    summary = quantile_summary(df, ["Year", "ID"], na="drop", rows_per_group=1)
+    summary = quantile_summary(df, ["Year", "ID"], na="drop")
     rows = quantiles_long(summary, ["Year", "ID"], "V", "u").collect()
     assert [r["Stat"] for r in rows] == list(STATS) and {r["Value"] for r in rows} == {None}
 
 
-def test_bounded_plan_is_lazy_and_has_one_shuffle(spark, capsys):
-    df = spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("value"))
-    quantile_summary(df, ["k"], rows_per_group=100).explain()
-    assert capsys.readouterr().out.count("Exchange") == 1
+def test_values_are_combined_before_they_move(spark, capsys):
+    """What leaves a task are counts by bin, and the values of the bins that hold a rank."""
+    df = spark.range(100_000).select(F.lit(1).alias("k"), F.rand(1).alias("value"))
+    quantile_summary(df, ["k"]).explain()
+    plan = capsys.readouterr().out
+    assert "partial_count" in plan and "percentile" not in plan and "BatchEvalPython" not in plan

@@ -28,17 +28,17 @@ def test_ieee(spark):
 
 
 def test_consumption_ratio(long):
-    quant = ratios.consumption_biomass_ratio(long, ["A"], samples=2)
+    quant = ratios.consumption_biomass_ratio(long, ["A"])
     assert median(quant, "Year") == {(1,): close(0.2), (2,): close(0.125)}
 
 
 def test_production_ratio(long):
-    quant = ratios.production_biomass_ratio(long, ["A", "B"], samples=2)
+    quant = ratios.production_biomass_ratio(long, ["A", "B"])
     assert median(quant, "ID", "Year") == {
         ("A", 1): close(0.1), ("A", 2): close(0.0625),
         ("B", 1): close(0.25), ("B", 2): close(25 / 150),
     }
-    group = ratios.production_biomass_ratio(long, ["A", "B"], True, "AB", samples=2)
+    group = ratios.production_biomass_ratio(long, ["A", "B"], True, "AB")
     assert median(group, "ID", "Year") == {("AB", 1): close(60 / 300), ("AB", 2): close(30 / 230)}
 
 
@@ -50,19 +50,19 @@ def test_ratio_lines_end_before_the_last_year(long):
 def test_ratio_of_missing_sides(make_long):
     rows = [r for r in long_rows(CELLS) if not (r[2] == "A" and r[5] == 1)]
     rows = [r for r in rows if not (r[2] == "B_A" and r[5] == 2)]
-    quant = ratios.consumption_biomass_ratio(make_long(rows), ["A"], samples=2)
+    quant = ratios.consumption_biomass_ratio(make_long(rows), ["A"])
     assert median(quant, "Year") == {(1,): math.inf, (2,): 0.0}
 
 
 def test_missing_flow_counts_as_zero(make_long):
     rows = long_rows(CELLS) + [(1, "flux", "B_A", "B", "A", 1, None, None)]
-    quant = ratios.consumption_biomass_ratio(make_long(rows), ["A"], samples=2)
+    quant = ratios.consumption_biomass_ratio(make_long(rows), ["A"])
     low = {r["Year"]: r["Value"] for r in quant.filter("Stat = 'q0'").collect()}
     assert low == {1: 0.0, 2: close(0.125)}
 
 
 def test_mortality(long):
-    quant = mortality.mortality_growth(long, ["B"], samples=2)
+    quant = mortality.mortality_growth(long, ["B"])
     got = median(quant, "Year", "Metric")
     assert got == {
         (1, "Total Mortality"): close(0.2876821), (1, "Fishing Mortality"): close(0.1726092),
@@ -74,12 +74,12 @@ def test_mortality(long):
 
 
 def test_mortality_without_predation_is_missing(long):
-    got = median(mortality.mortality_growth(long, ["A"], samples=2), "Year", "Metric")
+    got = median(mortality.mortality_growth(long, ["A"]), "Year", "Metric")
     assert len(got) == 8 and set(got.values()) == {None}
 
 
 def test_mortality_group(long):
-    got = median(mortality.mortality_growth(long, ["A", "B"], True, "AB", samples=2), "Year", "Metric")
+    got = median(mortality.mortality_growth(long, ["A", "B"], True, "AB"), "Year", "Metric")
     assert got[1, "Total Mortality"] == close(math.log(290 / 230))
 
 
@@ -101,7 +101,7 @@ def test_zero_next_biomass_and_zero_flows(make_long):
     got = {r["Year"]: r for r in values.filter("Sample_id = 1").collect()}
     assert got[1]["Z"] == math.inf and got[2]["G"] == math.inf
     assert math.isnan(got[2]["F"]) and got[2]["Z"] == 0
-    quant = mortality.mortality_growth(make_long(long_rows(cells)), ["B"], samples=2)
+    quant = mortality.mortality_growth(make_long(long_rows(cells)), ["B"])
     assert median(quant, "Year", "Metric")[2, "Fishing Mortality"] is None
 
 

@@ -11,7 +11,7 @@ def table(quant, *keys):
 
 
 def test_biomass(long):
-    quant = series.biomass_series(long, ["A", "B"], samples=2)
+    quant = series.biomass_series(long, ["A", "B"])
     got = table(quant.filter("ID = 'A' and Year = 1"), "Stat")
     assert got == {
         ("q0",): 100, ("q2.5",): 102.5, ("q25",): 125, ("q50",): 150, ("q75",): 175,
@@ -22,18 +22,18 @@ def test_biomass(long):
 
 
 def test_biomass_group(long):
-    quant = series.biomass_series(long, ["A", "B"], True, "AB", samples=2)
+    quant = series.biomass_series(long, ["A", "B"], True, "AB")
     got = table(quant.filter("Stat = 'q50'"), "Year", "ID")
     assert got == {(1, "AB"): 450, (2, "AB"): 345, (3, "AB"): 270}
 
 
 def test_group_of_one_stays_single(long):
-    quant = series.biomass_series(long, ["A"], True, "AB", samples=2)
+    quant = series.biomass_series(long, ["A"], True, "AB")
     assert {r["ID"] for r in quant.collect()} == {"A"}
 
 
 def test_consumption(long, info):
-    quant = series.consumption_series(long, ["A"], info, samples=2)
+    quant = series.consumption_series(long, ["A"], info)
     got = table(quant.filter("Stat = 'q50'"), "Year", "ID", "Prey")
     assert got == {
         (1, "A", "All prey"): 30, (1, "A", "Beta"): 30,
@@ -42,13 +42,13 @@ def test_consumption(long, info):
 
 
 def test_predation(long, info):
-    quant = series.predation_series(long, ["B"], info, samples=2)
+    quant = series.predation_series(long, ["B"], info)
     got = table(quant.filter("Stat = 'q50' and Year = 1"), "Predator")
     assert got == {("All predators",): 75, ("Alpha",): 30, ("Fleet",): 45}
 
 
 def test_predation_group_sums_per_predator(long, info):
-    quant = series.predation_series(long, ["A", "B"], info, True, "AB", samples=2)
+    quant = series.predation_series(long, ["A", "B"], info, True, "AB")
     got = table(quant.filter("Stat = 'q0' and Year = 1"), "ID", "Predator")
     assert got == {("AB", "All predators"): 60, ("AB", "Alpha"): 20, ("AB", "Fleet"): 40}
 
@@ -63,15 +63,15 @@ def test_targets_with_one_label_are_pooled(long, spark):
 
 
 def test_flux(long):
-    quant = series.flux_series(long, ["B_A", "A_FX"], samples=2)
+    quant = series.flux_series(long, ["B_A", "A_FX"])
     got = table(quant.filter("Stat = 'q100'"), "Year", "ID")
     assert got == {(1, "B_A"): 40, (2, "B_A"): 20, (1, "A_FX"): 20, (2, "A_FX"): 10}
-    group = series.flux_series(long, ["B_A", "A_FX"], True, "G", samples=2)
+    group = series.flux_series(long, ["B_A", "A_FX"], True, "G")
     assert table(group.filter("Stat = 'q0'"), "Year", "ID") == {(1, "G"): 30, (2, "G"): 15}
 
 
 def test_flux_ids(long, fluxes):
-    quant = series.flux_series(long, ["F01", "A_FX"], samples=2, fluxes=fluxes)
+    quant = series.flux_series(long, ["F01", "A_FX"], fluxes=fluxes)
     assert {r["ID"] for r in quant.collect()} == {"B_A", "A_FX"}
     with pytest.raises(ValueError, match="param not recognized"):
         series.flux_series(long, ["F99"], fluxes=fluxes)
@@ -92,19 +92,19 @@ def test_unknown_names(long, info):
 def test_missing_value_is_an_error(make_long):
     rows = long_rows(CELLS) + [(3, "component", "A", None, None, 1, None, None)]
     with pytest.raises(SparkRuntimeException, match="missing values"):
-        series.biomass_series(make_long(rows), ["A"], samples=3).collect()
+        series.biomass_series(make_long(rows), ["A"]).collect()
 
 
 def test_missing_member_makes_the_group_missing(make_long):
     rows = [r for r in long_rows(CELLS) if not (r[2] == "B" and r[0] == 1 and r[5] == 1)]
     rows.append((1, "component", "B", None, None, 1, float("nan"), None))
     with pytest.raises(SparkRuntimeException, match="missing values"):
-        series.biomass_series(make_long(rows), ["A", "B"], True, "AB", samples=2).collect()
+        series.biomass_series(make_long(rows), ["A", "B"], True, "AB").collect()
 
 
 def test_names_with_underscore(make_long, info):
     rows = [(1, "flux", "B_x_A", "B_x", "A", 1, 5.0, None)]
-    quant = series.consumption_series(make_long(rows), ["A"], info, samples=1)
+    quant = series.consumption_series(make_long(rows), ["A"], info)
     assert {r["Prey"] for r in quant.collect()} == {"All prey", "B_x"}
 
 

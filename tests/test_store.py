@@ -19,8 +19,8 @@ def test_register(spark):
 
 
 def test_upsert(long):
-    old = series.biomass_series(long, ["A", "B"], samples=2)
-    new = series.biomass_series(long.withColumn("value", long["value"] + 1), ["A"], samples=2)
+    old = series.biomass_series(long, ["A", "B"])
+    new = series.biomass_series(long.withColumn("value", long["value"] + 1), ["A"])
     both = store.upsert_quantiles(old, new)
     assert both.count() == old.count()
     got = {(r["ID"], r["Value"]) for r in both.filter("Year = 1 and Stat = 'q0'").collect()}
@@ -30,13 +30,13 @@ def test_upsert(long):
 
 def test_upsert_on_disk(spark, tmp_path, long, info):
     path = f"{tmp_path}/store"
-    biomass = series.biomass_series(long, ["A", "B"], samples=2)
+    biomass = series.biomass_series(long, ["A", "B"])
     store.write_quantiles(biomass, path)
-    store.write_quantiles(series.consumption_series(long, ["A"], info, samples=2), path)
+    store.write_quantiles(series.consumption_series(long, ["A"], info), path)
     before = rows(store.read_quantiles(spark, path))
     store.write_quantiles(biomass, path)
     assert rows(store.read_quantiles(spark, path)) == before
-    more = series.biomass_series(long.withColumn("value", long["value"] + 1), ["A"], samples=2)
+    more = series.biomass_series(long.withColumn("value", long["value"] + 1), ["A"])
     store.write_quantiles(more, path)
     got = store.read_quantiles(spark, path).filter("Var = 'Biomass' and Year = 1 and Stat = 'q0'")
     assert {(r["ID"], r["Value"]) for r in got.collect()} == {("A", 101), ("B", 200)}
@@ -45,7 +45,7 @@ def test_upsert_on_disk(spark, tmp_path, long, info):
 
 def test_export(spark, tmp_path, long, info):
     kept = store.upsert_quantiles(
-        series.biomass_series(long, ["A", "B"], samples=2), series.predation_series(long, ["B"], info, samples=2)
+        series.biomass_series(long, ["A", "B"]), series.predation_series(long, ["B"], info)
     )
     picked = spark.createDataFrame(
         [("Biomass", "A"), ("Predation and Fisheries", "B"), ("Fluxes", "B_A")], REGISTRY

@@ -110,7 +110,7 @@ def test_long_round_trip(spark, tmp_path, long):
 def test_series_filter_reaches_the_scan(spark, tmp_path, long, capsys):
     trajectories.write_long(long, f"{tmp_path}/long")
     back = trajectories.read_long(spark, f"{tmp_path}/long")
-    series.biomass_series(back, ["A"], samples=2).explain()
+    series.biomass_series(back, ["A"]).explain()
     plan = capsys.readouterr().out
     assert "PartitionFilters: [isnotnull(kind" in plan and "(kind" in plan
     assert "EqualTo(Var,A)" in plan and "ReadSchema: struct<Var:string,Year:int,value:double>" in plan
@@ -119,7 +119,7 @@ def test_series_filter_reaches_the_scan(spark, tmp_path, long, capsys):
 def test_rates_read_only_the_rows_they_need(spark, tmp_path, long, capsys):
     trajectories.write_long(long, f"{tmp_path}/long")
     back = trajectories.read_long(spark, f"{tmp_path}/long")
-    mortality.mortality_growth(back, ["A", "B"], samples=2).explain()
+    mortality.mortality_growth(back, ["A", "B"]).explain()
     plan = capsys.readouterr().out
     assert "PushedFilters: [Or(In(Var, [A,B]),In(src, [A,B]))]" in plan
     # Sums per sample, the look ahead, the quantiles.

@@ -11,19 +11,21 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 
+def _lgamma(x):
+    return np.vectorize(math.lgamma, otypes=[float])(x)
+
+
 def beta_cdf(x, a, b):
-    """Regularised incomplete beta function, elementwise."""
-    x, a, b = np.broadcast_arrays(*(np.asarray(t, dtype=float) for t in (x, a, b)))
+    """Regularised incomplete beta function of arrays that broadcast together."""
+    x, a, b = (np.asarray(t, dtype=float) for t in (x, a, b))
+    log_beta = _lgamma(a) + _lgamma(b) - _lgamma(a + b)  # once for each (a, b)
+    x, a, b, log_beta = np.broadcast_arrays(x, a, b, log_beta)
     # The continued fraction converges fast below the mean; use symmetry above.
     swap = x > (a + 1) / (a + b + 2)
     p, q = np.where(swap, b, a), np.where(swap, a, b)
     z = np.where(swap, 1 - x, x)
-    lgamma = np.vectorize(math.lgamma, otypes=[float])
     with np.errstate(divide="ignore", invalid="ignore"):
-        log_front = (
-            p * np.log(z) + q * np.log1p(-z)
-            - (lgamma(p) + lgamma(q) - lgamma(p + q)) - np.log(p)
-        )
+        log_front = p * np.log(z) + q * np.log1p(-z) - log_beta - np.log(p)
         tail = np.exp(log_front) * _fraction(z, p, q)
     tail = np.where(z <= 0, 0.0, np.where(z >= 1, 1.0, tail))
     return np.clip(np.where(swap, 1 - tail, tail), 0.0, 1.0)
@@ -47,8 +49,8 @@ def _fraction(x, a, b, limit=20_000, accuracy=1e-15):
             c = away(1 + term / c)
             h = h * d * c
         if np.all(np.abs(d * c - 1) < accuracy):
-            break
-    return h
+            return h
+    raise ArithmeticError(f"the incomplete beta function did not converge in {limit} steps")
 
 
 def beta_quantile(p, a, b):
@@ -68,11 +70,12 @@ def cdf_at_midpoints(k: int):
 
     @F.pandas_udf("array<double>")
     def cdf(a: pd.Series, b: pd.Series) -> pd.Series:
-        fitted = a.notna() & b.notna()
-        return pd.Series(
-            [beta_cdf(mid, s, t) if ok else None for s, t, ok in zip(a, b, fitted)],
-            dtype=object,
-        )
+        out = pd.Series([None] * len(a), dtype=object)
+        fitted = np.flatnonzero(a.notna() & b.notna())
+        if len(fitted):  # the block as one matrix
+            values = beta_cdf(mid, a.to_numpy()[fitted, None], b.to_numpy()[fitted, None])
+            out.iloc[fitted] = pd.Series(list(values), index=fitted)
+        return out
 
     return cdf
 

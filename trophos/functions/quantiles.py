@@ -1,12 +1,10 @@
 """Seven-quantile summaries with linear interpolation between order statistics.
 
-Two exact strategies give the same numbers:
-
-* ``percentile``: one aggregation; it holds a group's distinct values in one
-  task, so it is used only where the rows per group are known to be few;
-* selection: counts per value bin (combined on the map side) narrow each
-  wanted rank down to a bin, and only the rows of those few bins are sorted.
-  No task ever sees a whole group, and ties collapse into their bin's count.
+One exact strategy for every size, in one lazy plan.  Values are counted by
+group and value bin, combined on the map side; running sums of the counts say
+which few bins hold a wanted rank.  Only the values of those bins are looked at
+again, and ties collapse into a count before they are sorted.  No task sees a
+whole group, and one group with a third of all rows is as good as many.
 """
 
 from collections.abc import Sequence
@@ -14,52 +12,97 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trophos.functions.numeric import is_missing, known
-from trophos.plans.scratch import Scratch
+from trophos.functions.numeric import known
 
 # Probabilities and the names of their quantiles.
 PROBS = (0.0, 0.025, 0.25, 0.5, 0.75, 0.975, 1.0)
 STATS = ("q0", "q2.5", "q25", "q50", "q75", "q97.5", "q100")
 
-# Rows per group up to which `percentile` keeps a group in one task.
-GROUP_LIMIT = 200_000
-# Rows per value bin up to which a bin is sorted by one task.
-BIN_LIMIT = 100_000
-# Value ranges up to which they are broadcast (some 100 bytes each).
-BROADCAST_LIMIT = 500_000
-# Resolution of each of the three binning scales (see `_bin`).
-STEPS = 512
+# Bins between a number and its double.
+STEPS = 1024
 
 
 def quantile_summary(
-    values: DataFrame,
-    keys: Sequence[str],
-    value: str = "value",
-    *,
-    na: str = "raise",
-    rows_per_group: int | None = None,
-    group_limit: int = GROUP_LIMIT,
-    bin_limit: int = BIN_LIMIT,
+    values: DataFrame, keys: Sequence[str], value: str = "value", *, na: str = "raise"
 ) -> DataFrame:
     """``keys`` plus ``q0 … q100`` of ``value`` per group.
 
     ``na='raise'`` fails on NULL or NaN values, ``na='drop'`` ignores them.
-    ``rows_per_group`` is an upper bound of the rows in one group (the number
-    of samples).  With a small bound the plan is lazy.  Without one, or with a
-    large one, the values are written once to the shared scratch folder and
-    the strategy follows from the counted group sizes.
     """
-    arrays = grouped_quantiles(values, keys, value, rows_per_group, group_limit, bin_limit)
-    return spread(arrays, keys, na)
+    return spread(grouped_quantiles(values, keys, value), keys, na)
 
 
-def grouped_quantiles(
-    values, keys, value="value", rows_per_group=None, group_limit=GROUP_LIMIT, bin_limit=BIN_LIMIT
-) -> DataFrame:
+def grouped_quantiles(values: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """``keys``, ``missing`` (NULL/NaN count) and the quantile array ``q``."""
-    if rows_per_group is not None and rows_per_group <= group_limit:
-        return _percentiles(values, keys, value)
-    return _select(values, keys, value, group_limit, bin_limit)
+    v = known(F.col(value).cast("double"))
+    cells = values.select(F.struct(*keys).alias("k"), v.alias("v"), _bin(v).alias("bin"))
+    group = Window.partitionBy("k")
+    known_rows = F.when(F.col("bin").isNotNull(), F.col("n"))
+    below = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = (
+        cells.groupBy("k", "bin")
+        .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        .withColumn("total", F.coalesce(F.sum(known_rows).over(group), F.lit(0)))
+        .withColumn("start", F.coalesce(F.sum(known_rows).over(below), F.lit(0)))
+    )
+    missing = F.sum(F.when(F.col("bin").isNull(), F.col("n")))
+    groups = bins.groupBy("k").agg(
+        F.coalesce(missing, F.lit(0)).alias("missing"), F.max("total").alias("total")
+    )
+    wanted = F.array_distinct(F.array(*[r for p in PROBS for r in (F.floor(_position(p)), F.ceil(_position(p)))]))
+    holding = bins.filter("bin is not null").withColumn("ranks", _within(wanted, F.col("start"), F.col("n")))
+    holding = holding.filter(F.size("ranks") > 0)
+    single = holding.filter("lo = hi").select("k", F.explode("ranks").alias("rank"), F.col("lo").alias("value"))
+    found = single.unionByName(_sorted(cells, holding.filter("lo < hi"))).groupBy("k").agg(
+        F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at")
+    )
+    g, a = groups.alias("g"), found.alias("a")
+    joined = g.join(a, F.col("g.k") == F.col("a.k"), "left").select("g.k", "missing", "total", "at")
+    q = F.when(F.col("at").isNotNull(), F.array(*map(_quantile, PROBS)))
+    return joined.select("k.*", "missing", q.alias("q"))
+
+
+def _position(p: float) -> Column:
+    return F.lit(p) * (F.col("total") - 1).cast("double")
+
+
+def _within(ranks: Column, start: Column, n: Column) -> Column:
+    return F.filter(ranks, lambda r: (r >= start) & (r < start + n))
+
+
+def _bin(v: Column) -> Column:
+    """Number of a value's bin: any non-decreasing function is correct.
+
+    The exponent and the first bits of the fraction; where ``log2`` rounds to
+    the next exponent, the fraction makes up for it.
+    """
+    size = F.abs(v)
+    exponent = F.floor(F.log2(size)).cast("double")
+    place = F.floor((exponent - 1 + size / F.pow(F.lit(2.0), exponent)) * STEPS)
+    place = F.when(size == float("inf"), F.lit(2048 * STEPS)).otherwise(place) + 1100 * STEPS
+    return F.when(v == 0, F.lit(0)).when(v > 0, place).when(v < 0, -place).cast("long")
+
+
+def _sorted(cells: DataFrame, bins: DataFrame) -> DataFrame:
+    """``k, rank, value`` of the wanted ranks in bins of several values."""
+    c, b = cells.alias("c"), bins.alias("b")
+    inner = c.join(b, (F.col("c.k") == F.col("b.k")) & (F.col("c.bin") == F.col("b.bin")))
+    ties = (
+        inner.groupBy("c.k", "c.bin", "c.v")
+        .agg(F.count("*").alias("n"), F.first("b.start").alias("start"), F.first("b.ranks").alias("ranks"))
+        .select("k", "bin", "v", "n", "start", "ranks")
+    )
+    below = Window.partitionBy("k", "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("start") + F.coalesce(F.sum("n").over(below), F.lit(0))
+    ties = ties.withColumn("first", first)
+    own = _within(F.col("ranks"), F.col("first"), F.col("n"))
+    return ties.select("k", F.explode(own).alias("rank"), F.col("v").alias("value"))
+
+
+def _quantile(p: float) -> Column:
+    at = _position(p)
+    low, high = F.col("at")[F.floor(at)], F.col("at")[F.ceil(at)]
+    return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
 
 
 def spread(quantiles: DataFrame, keys: Sequence[str], na: str = "raise") -> DataFrame:
@@ -88,157 +131,3 @@ def quantiles_long(
     return rows.select(
         "Year", F.lit(var).alias("Var"), F.lit(unit).alias("Unit"), *others, "Stat", "Value"
     )
-
-
-def _percentiles(values, keys, value):
-    v = F.col(value)
-    return values.groupBy(*keys).agg(
-        F.sum(is_missing(v).cast("int")).alias("missing"),
-        F.percentile(known(v), F.array(*map(F.lit, PROBS))).alias("q"),
-    )
-
-
-def _select(values, keys, value, group_limit, bin_limit):
-    scratch = Scratch(values.sparkSession)
-    cells = scratch.keep(
-        values.select(F.struct(*keys).alias("k"), F.col(value).alias("v")), "cells"
-    )
-    v = F.col("v")
-    finite = F.when(F.abs(v) < float("inf"), v)
-    stats = scratch.keep(
-        cells.groupBy("k").agg(
-            F.sum(is_missing(v).cast("int")).alias("missing"),
-            F.count(known(v)).alias("n"),
-            F.min(known(v)).alias("lo"),
-            F.max(known(v)).alias("hi"),
-            F.min(finite).alias("flo"),
-            F.max(finite).alias("fhi"),
-        ),
-        "stats",
-    )
-    if (stats.agg(F.max("n")).first()[0] or 0) <= group_limit:
-        result = _percentiles(cells, ["k"], "v")
-    else:
-        result = _interpolate(stats, _order_statistics(scratch, cells, stats, bin_limit))
-    result = scratch.keep(result.select("k.*", "missing", "q"), "result")
-    scratch.keep_only("result")
-    return result
-
-
-def _position(p: float) -> Column:
-    return F.lit(p) * (F.col("n") - 1).cast("double")
-
-
-def _order_statistics(scratch, cells, stats, bin_limit):
-    """``k, rank, value`` of every rank an interpolation needs.
-
-    ``spans`` are disjoint value ranges per group; ``base`` counts the group's
-    values below the span, ``n`` those inside it.
-    """
-    ranks = [r for p in PROBS for r in (F.floor(_position(p)), F.ceil(_position(p)))]
-    spans = stats.filter("n > 0").select(
-        "k", "lo", "hi", "flo", "fhi", F.lit(0).cast("long").alias("base"), "n",
-        F.array_distinct(F.array(*ranks)).alias("ranks"),
-    )
-    found, step = [], 0
-    while True:
-        found.append(
-            spans.filter("lo = hi").select("k", F.explode("ranks").alias("rank"), F.col("lo").alias("value"))
-        )
-        wide = spans.filter("lo < hi")
-        count, largest = wide.agg(F.count("*"), F.max("n")).first()
-        if not count:
-            break
-        if count <= BROADCAST_LIMIT:
-            wide = F.broadcast(wide)
-        if largest <= bin_limit:
-            found.append(_sorted_ranks(cells, wide))
-            break
-        step += 1
-        spans = scratch.keep(_split(cells, wide), f"spans{step}")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def _inside(cells, spans):
-    """The values inside a span, with the span.  Beyond the broadcast limit
-    Spark shuffles by group and splits the hot ones."""
-    c, s = cells.alias("c"), spans.alias("s")
-    match = (F.col("c.k") == F.col("s.k")) & F.col("c.v").between(F.col("s.lo"), F.col("s.hi"))
-    return c.join(s, match).select("s.*", "c.v")
-
-
-def _bin() -> Column:
-    """Bin of ``v`` within its span: any non-decreasing function is correct.
-
-    The sum of an even scale and two logarithmic ones, towards either end of
-    the span, resolves flat values as well as long tails.
-    """
-    # Scaled so that the difference of two values neither overflows nor vanishes.
-    largest = F.greatest(F.abs("flo"), F.abs("fhi"))
-    scale = F.when(largest < 1, F.lit(2.0**60)).otherwise(F.lit(0.5))
-    v, lo, hi = (F.col(c) * scale for c in ("v", "flo", "fhi"))
-    x = (v - lo) / (hi - lo)
-
-    def octaves(t):
-        return F.greatest(F.lit(0.0), 1 + F.log2(F.greatest(t, F.lit(2.0**-60))) / 60)
-
-    scales = (x, octaves(x), 1 - octaves(1 - x))
-    inner = sum((F.floor(F.lit(STEPS) * s) for s in scales), F.lit(0))
-    return (
-        F.when(F.col("v") < F.col("flo"), F.lit(-1))
-        .when(F.col("v") > F.col("fhi"), F.lit(3 * STEPS + 1))
-        .when(F.col("flo") == F.col("fhi"), F.lit(0))
-        .otherwise(inner)
-        .cast("int")
-    )
-
-
-def _split(cells, spans):
-    bins = (
-        _inside(cells, spans)
-        .select("k", "base", "v", _bin().alias("bin"))
-        .groupBy("k", "base", "bin")
-        .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    )
-    below = Window.partitionBy("k", "base").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("start", F.col("base") + F.coalesce(F.sum("n").over(below), F.lit(0)))
-    wanted = spans.select("k", "base", "ranks")
-    inside = F.filter("ranks", lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("n")))
-    return (
-        bins.join(wanted, ["k", "base"])
-        .select("k", "lo", "hi", F.col("lo").alias("flo"), F.col("hi").alias("fhi"),
-                F.col("start").alias("base"), "n", inside.alias("ranks"))
-        .filter(F.size("ranks") > 0)
-    )
-
-
-def _sorted_ranks(cells, spans):
-    order = Window.partitionBy("k", "base").orderBy("v")
-    rank = F.col("base") + F.row_number().over(order) - 1
-    return (
-        _inside(cells, spans)
-        .select("k", "v", "ranks", rank.alias("rank"))
-        .filter(F.array_contains("ranks", F.col("rank")))
-        .select("k", "rank", F.col("v").alias("value"))
-    )
-
-
-def _interpolate(stats, found):
-    at = found.groupBy("k").agg(
-        F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at")
-    )
-
-    def quantile(p):
-        pos = _position(p)
-        low = F.col("at")[F.floor(pos)]
-        high = F.col("at")[F.ceil(pos)]
-        return F.when(low == high, low).otherwise(
-            (F.ceil(pos) - pos) * low + (pos - F.floor(pos)) * high
-        )
-
-    q = F.when(F.col("at").isNotNull(), F.array(*[quantile(p) for p in PROBS]))
-    s, a = stats.alias("s"), at.alias("a")
-    return s.join(a, F.col("s.k") == F.col("a.k"), "left").select("s.k", "missing", q.alias("q"))

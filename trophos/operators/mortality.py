@@ -30,6 +30,7 @@ def mortality_values(
     group: bool = False,
     group_label: str | None = None,
     fleet: Callable[[Column], Column] = is_fleet,
+    fluxes: DataFrame | None = None,
 ) -> DataFrame:
     """``Year, Sample_id, ID, B, B1, C, P, Z, F, M, G`` per sample.
 
@@ -37,7 +38,7 @@ def mortality_values(
     and ``P`` the predation.  Each sample's last year is left out; a year whose
     successor is missing keeps a row with NULL rates.
     """
-    rows = own_and_flows(long, components, "src")
+    rows = own_and_flows(long, components, "src", fluxes)
     if is_grouped(components, group):
         rows = rows.withColumn("ID", F.lit(group_label))
         # A predator's flow is missing when it is missing for any member.
@@ -79,11 +80,11 @@ def mortality_rates(values: DataFrame) -> DataFrame:
 
 
 def mortality_growth(
-    long, components, group=False, group_label=None, *, samples=None, names=None, fleet=is_fleet
+    long, components, group=False, group_label=None, *, names=None, fleet=is_fleet, fluxes=None
 ) -> DataFrame:
-    check_names(components, names)
-    rates = mortality_rates(mortality_values(long, components, group, group_label, fleet))
+    check_names(components, names, own_and_flows(long, components, "src", fluxes))
+    rates = mortality_rates(mortality_values(long, components, group, group_label, fleet, fluxes))
     keys = ["Year", "ID", "Metric"]
-    summary = quantile_summary(rates, keys, na="drop", rows_per_group=samples)
+    summary = quantile_summary(rates, keys, na="drop")
     variable = "Mortality and Growth"
     return quantiles_long(summary, keys, variable, VARIABLES[variable][0])

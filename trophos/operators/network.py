@@ -21,7 +21,7 @@ FLUX_PALETTE = (
     "#00d68f", "#14ffb1",
 )
 
-# The flags a component needs per variable.
+# The flags a component needs per variable.
 ELIGIBLE = {
     "Biomass": "IsBiomass",
     "Consumption": "IsConsumer",
@@ -81,7 +81,7 @@ def select_valid(selected: DataFrame | Sequence[str], resolved: DataFrame) -> Da
         selected = local_table(spark, [(s,) for s in selected], "Component string")
     valid = selected.select("Component").distinct().join(resolved, "Component", "left_semi")
     if valid.isEmpty():
-        raise ValueError("No valid ecosystem components selected.")
+        raise ValueError("none of the selected components is resolved")
     return valid
 
 

@@ -8,14 +8,14 @@ from trophos.functions.quantiles import grouped_quantiles, quantiles_long, sprea
 from trophos.operators.series import check_names, is_grouped, own_and_flows
 
 
-def ratio_values(long, components, side, group=False, group_label=None) -> DataFrame:
+def ratio_values(long, components, side, group=False, group_label=None, fluxes=None) -> DataFrame:
     """``Year, Sample_id, ID, biomass, flow, value`` including the last year.
 
     ``side`` is ``'dst'`` for inflows (consumption) and ``'src'`` for outflows
     (production).  Biomass and flow rows meet in one aggregation, which has the
     rows of a full outer join without joining; what is missing counts as 0.
     """
-    rows = own_and_flows(long, components, side)
+    rows = own_and_flows(long, components, side, fluxes)
     v, own = F.col("value"), F.col("own")
     cells = rows.groupBy("ID", "Year", "Sample_id").agg(
         F.coalesce(strict_sum(v, own), F.lit(0.0)).alias("biomass"),
@@ -48,21 +48,21 @@ def drop_last_year(df: DataFrame) -> DataFrame:
     return df.withColumn("last", last).filter(F.col("Year") != F.col("last")).drop("last")
 
 
-def consumption_biomass_ratio(long, components, group=False, group_label=None, *, samples=None, names=None):
-    check_names(components, names)
-    values = ratio_values(long, components, "dst", group, group_label)
-    return _quant(values, "Ratio Consumption/Biomass", samples)
+def consumption_biomass_ratio(long, components, group=False, group_label=None, *, names=None, fluxes=None):
+    check_names(components, names, own_and_flows(long, components, "dst", fluxes))
+    values = ratio_values(long, components, "dst", group, group_label, fluxes)
+    return _quant(values, "Ratio Consumption/Biomass")
 
 
-def production_biomass_ratio(long, components, group=False, group_label=None, *, samples=None, names=None):
-    check_names(components, names)
-    values = ratio_values(long, components, "src", group, group_label)
-    return _quant(values, "Ratio Production/Biomass", samples)
+def production_biomass_ratio(long, components, group=False, group_label=None, *, names=None, fluxes=None):
+    check_names(components, names, own_and_flows(long, components, "src", fluxes))
+    values = ratio_values(long, components, "src", group, group_label, fluxes)
+    return _quant(values, "Ratio Production/Biomass")
 
 
-def _quant(values, variable, samples):
+def _quant(values, variable):
     keys = ["Year", "ID"]
     # The last year is dropped from the summary: finding it there needs no
     # second pass over the samples.
-    summary = drop_last_year(grouped_quantiles(values, keys, rows_per_group=samples))
+    summary = drop_last_year(grouped_quantiles(values, keys))
     return quantiles_long(spread(summary, keys, "raise"), keys, variable, "Unitless")

@@ -2,9 +2,10 @@
 
 Every ``*_values`` function gives one row per sample and series; every
 ``*_series`` function gives its quantile table.  A selection of None takes all
-names that occur.  ``samples`` bounds the number of samples (see
-``quantile_summary``); ``names`` are the names the model has, and a selection
-without any of them is an error.
+names that occur.  ``names`` are the names the model has, and a selection
+without any of them is an error; where they are not given, a selection without
+any row is.  ``fluxes``, the model's flux table, turns a selection of components
+into edge names, by which a scan of the long table skips all other rows.
 """
 
 from collections.abc import Iterable, Sequence
@@ -18,10 +19,11 @@ from trophos.schemas import GROUP_COLOUR, VARIABLES
 from trophos.sources.model import edge_names
 
 
-def check_names(selected: Sequence[str] | None, names: Iterable[str] | None) -> None:
+def check_names(selected: Sequence[str] | None, names: Iterable[str] | None, rows: DataFrame) -> None:
+    """An error if nothing is selected; ``rows`` are looked at only without ``names``."""
     if selected is None:
         return
-    if not selected or (names is not None and not set(selected) & set(names)):
+    if not selected or (rows.isEmpty() if names is None else not set(selected) & set(names)):
         raise ValueError("param not recognized")
 
 
@@ -56,14 +58,29 @@ def add_labels(values: DataFrame, info: DataFrame, group_label: str | None = Non
     )
 
 
-def own_and_flows(long: DataFrame, components: Sequence[str], side: str) -> DataFrame:
+def edges_at(long: DataFrame, components: Sequence[str] | None, side: str, fluxes: DataFrame | None) -> Column:
+    """Filter of the flux rows with a component at ``side``.
+
+    The long table is sorted by ``Var``, which begins with the source: by edge
+    names a scan also skips the row groups without a selected target.
+    """
+    if components is None or fluxes is None:
+        return is_selected(side, components)
+    end = {"src": "From", "dst": "To"}[side]
+    names = fluxes.filter(F.col(end).isin(list(components)))
+    return F.col("Var").isin(edge_names([r["Flux"] for r in names.select("Flux").collect()], fluxes))
+
+
+def own_and_flows(
+    long: DataFrame, components: Sequence[str], side: str, fluxes: DataFrame | None = None
+) -> DataFrame:
     """Biomass rows of the components and the flux rows with one at ``side``,
     as ``ID, Year, Sample_id, own, dst, value``; ``own`` marks biomass."""
     ids = list(components)
     own = F.col("kind") == "component"
     name = F.when(own, F.col("Var")).otherwise(F.col(side))
     # The first filter is implied by the second; in this form it reaches the scan.
-    near = long.filter(F.col("Var").isin(ids) | F.col(side).isin(ids))
+    near = long.filter(F.col("Var").isin(ids) | edges_at(long, ids, side, fluxes))
     rows = near.select(name.alias("ID"), "Year", "Sample_id", own.alias("own"), "dst", "value")
     return rows.filter(F.col("ID").isin(ids))
 
@@ -75,39 +92,34 @@ def biomass_values(long, components, group=False, group_label=None):
     return group_components(values, group_label) if is_grouped(components, group) else values
 
 
-def biomass_series(long, components, group=False, group_label=None, *, samples=None, names=None):
-    check_names(components, names)
+def biomass_series(long, components, group=False, group_label=None, *, names=None):
+    check_names(components, names, biomass_values(long, components))
     values = biomass_values(long, components, group, group_label)
-    return _quant(values, "Biomass", samples)
+    return _quant(values, "Biomass")
 
 
-def consumption_values(long, components, info, group=False, group_label=None):
+def consumption_values(long, components, info, group=False, group_label=None, fluxes=None):
     """Inflows of the selected predators: ``Year, Sample_id, ID, target,
     Colour_target, value`` with the prey's label as target."""
-    return _flows(long, components, info, "dst", "src", group, group_label)
+    return _flows(long, components, info, "dst", "src", group, group_label, fluxes).drop("edge")
 
 
-def consumption_series(long, components, info, group=False, group_label=None, *, samples=None, names=None):
-    check_names(components, names)
-    flows = consumption_values(long, components, info, group, group_label)
-    return _flow_quant(flows, "Consumption", "All prey", samples)
+def consumption_series(long, components, info, group=False, group_label=None, *, names=None, fluxes=None):
+    check_names(components, names, long.filter(is_selected("dst", components)))
+    flows = _flows(long, components, info, "dst", "src", group, group_label, fluxes)
+    return _flow_quant(flows, "Consumption", "All prey")
 
 
-def predation_values(long, components, info, group=False, group_label=None):
+def predation_values(long, components, info, group=False, group_label=None, fluxes=None):
     """Outflows of the selected prey; the target is the predator's or fleet's
     label.  Columns as in ``consumption_values``."""
-    return _flows(long, components, info, "src", "dst", group, group_label)
+    return _flows(long, components, info, "src", "dst", group, group_label, fluxes).drop("edge")
 
 
-def predation_series(long, components, info, group=False, group_label=None, *, samples=None, names=None):
-    check_names(components, names)
-    flows = predation_values(long, components, info, group, group_label)
-    return _flow_quant(flows, "Predation and Fisheries", "All predators", samples)
-
-
-def flow_totals(flows: DataFrame) -> DataFrame:
-    """Sum over the targets per sample."""
-    return flows.groupBy("Year", "Sample_id", "ID").agg(strict_sum(F.col("value")).alias("value"))
+def predation_series(long, components, info, group=False, group_label=None, *, names=None, fluxes=None):
+    check_names(components, names, long.filter(is_selected("src", components)))
+    flows = _flows(long, components, info, "src", "dst", group, group_label, fluxes)
+    return _flow_quant(flows, "Predation and Fisheries", "All predators")
 
 
 def flux_values(long, selected=None, group=False, group_label=None):
@@ -120,17 +132,18 @@ def flux_values(long, selected=None, group=False, group_label=None):
 
 
 def flux_series(
-    long, selected=None, group=False, group_label=None, *, samples=None, names=None, fluxes=None
+    long, selected=None, group=False, group_label=None, *, names=None, fluxes=None
 ):
     """With ``fluxes``, the selection may also hold flux ids."""
     if fluxes is not None and selected is not None:
         selected = edge_names(selected, fluxes)
-    check_names(selected, names)
-    return _quant(flux_values(long, selected, group, group_label), "Fluxes", samples)
+    check_names(selected, names, flux_values(long, selected))
+    return _quant(flux_values(long, selected, group, group_label), "Fluxes")
 
 
-def _flows(long, components, info, focus, other, group, group_label):
-    flows = long.filter((F.col("kind") == "flux") & is_selected(focus, components))
+def _flows(long, components, info, focus, other, group, group_label, fluxes=None):
+    """Flows of the focus with the label of the other end; ``edge`` tells targets of one label apart."""
+    flows = long.filter((F.col("kind") == "flux") & edges_at(long, components, focus, fluxes))
     labels = info.select(
         F.col("ID").alias("label_id"), "FullName", F.col("Colour").alias("Colour_target")
     )
@@ -141,21 +154,27 @@ def _flows(long, components, info, focus, other, group, group_label):
         F.coalesce("FullName", other).alias("target"),
         "Colour_target",
         "value",
+        F.col(other).alias("edge"),
     )
     if is_grouped(components, group):
         flows = group_components(flows, group_label, ["target", "Colour_target"])
+        flows = flows.withColumn("edge", F.col("Colour_target"))
     return flows
 
 
-def _quant(values, variable, samples, keys=("Year", "ID"), na="raise"):
-    summary = quantile_summary(values, keys, na=na, rows_per_group=samples)
-    return quantiles_long(summary, keys, variable, VARIABLES[variable][0])
+def _quant(values, variable, keys=("Year", "ID"), na="raise"):
+    return quantiles_long(quantile_summary(values, keys, na=na), keys, variable, VARIABLES[variable][0])
 
 
-def _flow_quant(flows, variable, all_label, samples):
+def _flow_quant(flows, variable, all_label):
+    """Totals and the flows behind them, summed and summarised in one pass."""
     extra = VARIABLES[variable][1]
-    columns = ["Year", "Var", "Unit", "ID", extra, "Stat", "Value"]
-    total = _quant(flow_totals(flows), variable, samples).withColumn(extra, F.lit(all_label))
-    by_target = flows.withColumnRenamed("target", extra)
-    split = _quant(by_target, variable, samples, ("Year", "ID", extra))
-    return total.select(columns).unionByName(split.select(columns))
+    total = ["Year", "Sample_id", "ID"]
+    each = [*total, "target", "edge"]
+    cells = flows.groupingSets([total, each], *each).agg(
+        strict_sum(F.col("value")).alias("value"), (F.grouping("edge") == 1).alias("whole")
+    )
+    label = F.when(F.col("whole"), F.lit(all_label)).otherwise(F.col("target"))
+    cells = cells.select("Year", "ID", "whole", label.alias(extra), "value")
+    quant = _quant(cells, variable, ("Year", "ID", "whole", extra))
+    return quant.select("Year", "Var", "Unit", "ID", extra, "Stat", "Value")

@@ -38,14 +38,17 @@ def compute(
     group: bool = False,
     group_label: str | None = None,
     *,
-    samples: int | None = None,
+    names: Sequence[str] | None = None,
+    fluxes: DataFrame | None = None,
 ) -> DataFrame:
-    """Quantile table of a variable for names known to be valid."""
+    """Quantile table of a variable.  ``names`` and ``fluxes`` of the model are
+    used as in ``trophos.operators.series``."""
     if variable not in VARIABLES:
         raise ValueError(f"unknown variable: {variable}")
+    model = {"names": names} if variable == "Biomass" else {"names": names, "fluxes": fluxes}
     if variable in _WITH_INFO:
-        return _WITH_INFO[variable](long, selected, info, group, group_label, samples=samples)
-    return _PLAIN[variable](long, selected, group, group_label, samples=samples)
+        return _WITH_INFO[variable](long, selected, info, group, group_label, **model)
+    return _PLAIN[variable](long, selected, group, group_label, **model)
 
 
 def valid_names(
@@ -63,7 +66,7 @@ def valid_names(
         names = names.filter(F.col("Component").isin(list(selected)))
         valid = sorted(r["Component"] for r in names.collect())
     if not valid:
-        raise ValueError("No valid ecosystem components selected.")
+        raise ValueError(f"{variable} cannot be computed for any selected name")
     return valid
 
 
@@ -76,9 +79,8 @@ def analyze(
     fluxes: DataFrame,
     group: bool = False,
     group_label: str | None = None,
-    *,
-    samples: int | None = None,
 ) -> DataFrame:
     """Checks the selection against the model, then computes the variable."""
-    names = valid_names(variable, selected, resolution, fluxes)
-    return compute(variable, long, names, info, group, group_label, samples=samples)
+    valid = valid_names(variable, selected, resolution, fluxes)
+    edges = None if variable == "Fluxes" else fluxes
+    return compute(variable, long, valid, info, group, group_label, names=valid, fluxes=edges)

@@ -12,7 +12,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trophos.sources.model import DIMENSION_LIMIT, local_table
 
 ORDERS_PER_SAMPLE = 250
 
@@ -37,32 +36,29 @@ class Sales:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}.parquet")
 
-    def samples(self) -> int:
-        """Number of samples, from the largest order key alone."""
-        last = self.table("orders").agg(F.max("o_orderkey")).first()[0]
-        return last // ORDERS_PER_SAMPLE + 1
-
-    @cached_property
-    def _markets(self) -> list:
-        """(region key, region name, segment) of all customers, at most one row
-        per region and segment."""
+    def _markets(self) -> DataFrame:
+        """(region key, region name, segment) of all customers."""
         customer, nation, region = map(self.table, ("customer", "nation", "region"))
-        pairs = (
+        return (
             customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
             .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
             .select("r_regionkey", "r_name", "c_mktsegment")
             .distinct()
         )
-        rows = pairs.limit(DIMENSION_LIMIT + 1).collect()
-        if len(rows) > DIMENSION_LIMIT:
-            raise ValueError("too many regions and segments for a food web")
-        return rows
+
+    @cached_property
+    def _names(self) -> tuple[list[str], list[str]]:
+        """Names of the regions and the fleets: the components of the model."""
+        region = F.concat(F.lit("R"), F.col("r_regionkey").cast("string"))
+        fleet = F.concat(F.lit("F"), "c_mktsegment")
+        found = self._markets().agg(F.collect_set(region).alias("r"), F.collect_set(fleet).alias("f")).first()
+        return sorted(found["r"]), sorted(found["f"])
 
     def regions(self) -> list[str]:
-        return sorted({f"R{r['r_regionkey']}" for r in self._markets})
+        return self._names[0]
 
     def fleets(self) -> list[str]:
-        return sorted({f"F{r['c_mktsegment']}" for r in self._markets})
+        return self._names[1]
 
     # A fact table meets the customers or suppliers before the nations: Spark
     # then compares true table sizes when it picks the side to broadcast.
@@ -136,10 +132,17 @@ class Sales:
     def raw_info(self) -> DataFrame:
         """Metadata as a user might upload it: the regions with customers,
         untidy names, and one ID the model does not have."""
-        regions = sorted({(r["r_regionkey"], r["r_name"]) for r in self._markets})
-        rows = [(f" R{key}", f"{name}  ", f"#00000{key}") for key, name in regions]
-        rows.append((f"Z{len(regions)}", " ", None))
-        return local_table(self.spark, rows, "ID string, FullName string, Color string")
+        key = F.col("r_regionkey").cast("string")
+        regions = self._markets().select("r_regionkey", "r_name").distinct()
+        rows = regions.select(
+            F.concat(F.lit(" R"), key).alias("ID"),
+            F.concat("r_name", F.lit("  ")).alias("FullName"),
+            F.concat(F.lit("#00000"), key).alias("Color"),
+        )
+        unknown = regions.agg(F.count("*").alias("n")).select(
+            F.concat(F.lit("Z"), F.col("n").cast("string")), F.lit(" "), F.lit(None).cast("string")
+        )
+        return rows.union(unknown)
 
 
 def _cents(column):

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trophos.plans.scratch import Scratch
 from trophos.schemas import QUANT, VARIABLES, quant_columns
 
 KEY = ["Var", "ID"]
@@ -36,6 +37,9 @@ def write_quantiles(quant: DataFrame, path: str) -> None:
     for field in QUANT.fields:
         if field.name not in full.columns:
             full = full.withColumn(field.name, F.lit(None).cast(field.dataType))
+    # a folder name cannot hold an empty key: it would be read back as NULL
+    key = F.when(F.col("ID") == "", F.raise_error(F.lit("a stored series needs an ID"))).otherwise(F.col("ID"))
+    full = full.withColumn("ID", key.cast("string"))
     full.select(*QUANT.names).repartition(*KEY).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy(*KEY).parquet(path)
@@ -54,13 +58,20 @@ def export_rows(store: DataFrame, selection: DataFrame) -> DataFrame:
 
 
 def export_series(store: DataFrame, selection: DataFrame, path: str) -> list[str]:
-    """One CSV folder per selected variable below ``path``, with the columns of
-    that variable.  Returns the folders' names."""
-    rows = export_rows(store, selection)
-    files = {r["Var"]: r["file"] for r in rows.select("Var", "file").distinct().collect()}
-    for variable in VARIABLES:
-        if variable in files:
-            rows.filter(F.col("Var") == variable).select(quant_columns(variable)).write.mode(
-                "overwrite"
-            ).csv(f"{path}/{files[variable]}.csv", header=True, nullValue="NA")
-    return [f"{files[v]}.csv" for v in VARIABLES if v in files]
+    """One CSV folder per selected variable below ``path``.
+
+    A variable of the model has its own columns, any other all of them.  The
+    store is evaluated once.  Returns the folders' names in their order.
+    """
+    scratch = Scratch(store.sparkSession)
+    full = export_rows(store, selection)
+    for name in set(QUANT.names) - set(full.columns):
+        full = full.withColumn(name, F.lit(None).cast(QUANT[name].dataType))
+    rows = scratch.keep(full, "export")
+    files = sorted((r["file"], r["Var"]) for r in rows.select("Var", "file").distinct().collect())
+    for file, variable in files:
+        columns = quant_columns(variable) if variable in VARIABLES else QUANT.names
+        own = rows.filter(F.col("Var") == variable).select(columns)
+        own.write.mode("overwrite").csv(f"{path}/{file}.csv", header=True, nullValue="NA")
+    scratch.keep_only()
+    return [f"{file}.csv" for file, _ in files]

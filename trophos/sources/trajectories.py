@@ -5,10 +5,11 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from trophos.plans.scratch import Scratch
 from trophos.schemas import LONG
-from trophos.sources.model import CELL, DIMENSION_LIMIT, dimension, local_table, value_columns
+from trophos.sources.model import CELL, DIMENSION_LIMIT, local_table, value_columns
 
 
 def read_trajectories(spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet") -> DataFrame:
@@ -30,7 +31,9 @@ def read_trajectories(spark: SparkSession, path: str | Sequence[str], fmt: str =
 def _read(spark, path, fmt):
     if fmt != "csv":
         return spark.read.format(fmt).load(path)
-    raw = spark.read.csv(path, header=True, nullValue="NA")
+    # the header of every file must be that of the first; longer and shorter rows are errors
+    text = StructType([StructField(c, StringType()) for c in spark.read.csv(path, header=True).columns])
+    raw = spark.read.schema(text).csv(path, header=True, nullValue="NA", mode="FAILFAST", enforceSchema=False)
     types = {"chain": "int", "iter": "bigint"}
     casts = [f"cast({q} as {types.get(c, 'double')}) as {q}" for c in raw.columns for q in (_quoted(c),)]
     return raw.selectExpr(*casts)
@@ -52,9 +55,11 @@ def number_samples(wide: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.count_distinct("iter").alias("distinct"),
         F.min("iter").alias("first"), F.max("iter").alias("last"),
     )
-    rows = chains.orderBy("chain").limit(DIMENSION_LIMIT + 1).collect()
-    if any(r["chain"] is None or r["n"] != r["distinct"] for r in rows):
+    # every chain is looked at, however many there are; a NULL iter is not distinct from anything
+    repeated = F.col("chain").isNull() | (F.col("n") != F.col("distinct"))
+    if chains.agg(F.bool_or(repeated)).first()[0]:
         raise ValueError("chain and iter must identify each row")
+    rows = chains.orderBy("chain").limit(DIMENSION_LIMIT + 1).collect()
     if len(rows) > DIMENSION_LIMIT:
         return _ranked(wide)
     starts, offset = [], 0
@@ -135,7 +140,8 @@ def to_long(wide: DataFrame, fluxes: DataFrame, names: Iterable[str] | None = No
     )
     cells = F.expr(f"array({', '.join(map(_quoted, columns))})").cast("array<double>")
     melted = wide.select("Sample_id", F.posexplode(cells).alias("pos", "value"))
-    return melted.join(dimension(labels), "pos").select(*LONG.names)
+    # one row per column of the matrix, so the driver has its names already
+    return melted.join(F.broadcast(labels), "pos").select(*LONG.names)
 
 
 def _name_and_year(column):
