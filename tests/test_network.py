@@ -42,6 +42,10 @@ def test_metadata_file_with_bom(spark, tmp_path):
     write_metadata(info, f"{tmp_path}/out")
     assert rows(read_metadata(spark, f"{tmp_path}/out")) == rows(info)
     assert read_metadata(spark, f"{tmp_path}/absent").isEmpty()
+    for k, body in enumerate(("ID,FullName,Colour\nA,Alpha\n", "ID,FullName,Colour\nA,Alpha,#1,more\n")):
+        bad = tmp_path / f"bad{k}.csv"
+        bad.write_text(body)
+        assert read_metadata(spark, str(bad)).isEmpty()
 
 
 def test_reconcile(spark):
@@ -85,7 +89,7 @@ def test_resolved_components(components, fluxes):
 
 def test_selection(components):
     assert rows(network.select_valid(["A", "Q", "A"], components.select("Component"))) == [("A",)]
-    with pytest.raises(ValueError, match="No valid"):
+    with pytest.raises(ValueError, match="resolved|cannot be computed"):
         network.select_valid(["Q"], components.select("Component"))
 
 
@@ -122,7 +126,7 @@ def test_analyze(long, info, components, fluxes):
     for variable in VARIABLES:
         args = (variable, long, selected.get(variable, ["A", "FX"]), info, resolution, fluxes)
         if variable == "Mortality and Growth":
-            with pytest.raises(ValueError, match="No valid"):
+            with pytest.raises(ValueError, match="resolved|cannot be computed"):
                 analyze(*args)
             continue
         quant = analyze(*args)
@@ -130,7 +134,7 @@ def test_analyze(long, info, components, fluxes):
         assert quant.filter("Value is null").isEmpty()
     with pytest.raises(ValueError, match="unknown variable"):
         compute("Depth", long, ["A"], info)
-    with pytest.raises(ValueError, match="No valid"):
+    with pytest.raises(ValueError, match="resolved|cannot be computed"):
         analyze("Fluxes", long, ["nothing"], info, resolution, fluxes)
 
 

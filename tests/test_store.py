@@ -1,5 +1,8 @@
 import os
 
+import pytest
+from pyspark.sql import functions as F
+
 from trophos.operators import series
 from trophos.schemas import REGISTRY
 from trophos.sources import store
@@ -43,6 +46,22 @@ def test_upsert_on_disk(spark, tmp_path, long, info):
     assert len(before) == store.read_quantiles(spark, path).count()
 
 
+def test_an_empty_id_is_refused(spark, tmp_path, long):
+    from pyspark.errors import PySparkException
+
+    quant = series.biomass_series(long, ["A"]).withColumn("ID", F.lit(""))
+    with pytest.raises(PySparkException, match="needs an ID"):
+        store.write_quantiles(quant, f"{tmp_path}/store")
+
+
+def test_any_variable_is_exported(spark, tmp_path, long):
+    own = series.biomass_series(long, ["A"]).withColumn("Var", F.lit("Fluxes by prey"))
+    kept = store.upsert_quantiles(series.biomass_series(long, ["B"]), own)
+    picked = kept.select(F.col("Var").alias("Variable"), F.col("ID").alias("Component")).distinct()
+    assert store.export_series(kept, picked, f"{tmp_path}/out") == ["Biomass.csv", "Fluxes_by_prey.csv"]
+    assert spark.read.csv(f"{tmp_path}/out/Fluxes_by_prey.csv", header=True).count() == 3 * 7
+
+
 def test_export(spark, tmp_path, long, info):
     kept = store.upsert_quantiles(
         series.biomass_series(long, ["A", "B"]), series.predation_series(long, ["B"], info)

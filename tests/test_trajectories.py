@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import CELLS, FLUXES, YEARS
-from trophos.operators import mortality, series
+from trophos.operators import mortality, ratios, series
 from trophos.sources import model, trajectories
 
 
@@ -122,8 +122,57 @@ def test_rates_read_only_the_rows_they_need(spark, tmp_path, long, capsys):
     mortality.mortality_growth(back, ["A", "B"]).explain()
     plan = capsys.readouterr().out
     assert "PushedFilters: [Or(In(Var, [A,B]),In(src, [A,B]))]" in plan
-    # Sums per sample, the look ahead, the quantiles.
-    assert plan.count("Exchange") == 3
+    mortality.mortality_values(back, ["A", "B"]).explain()
+    # Sums per sample, the look ahead.
+    assert capsys.readouterr().out.count("Exchange") == 2
+
+
+def test_selections_reach_the_scan_as_edge_names(spark, tmp_path, long, info, fluxes, capsys):
+    trajectories.write_long(long, f"{tmp_path}/long")
+    back = trajectories.read_long(spark, f"{tmp_path}/long")
+    series.consumption_series(back, ["A", "FX"], info, names=["A"], fluxes=fluxes).explain()
+    assert "In(Var, [A_FX,B_A,B_FX])" in capsys.readouterr().out
+    ratios.consumption_biomass_ratio(back, ["A"], names=["A"], fluxes=fluxes).explain()
+    assert "dst" not in capsys.readouterr().out.split("PushedFilters: ")[1].split("ReadSchema")[0]
+    plain = series.consumption_series(back, ["A", "FX"], info)
+    pruned = series.consumption_series(back, ["A", "FX"], info, fluxes=fluxes)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, pruned.collect()))
+
+
+def test_unknown_names_are_an_error_for_every_caller(long, info, fluxes):
+    for call in (
+        lambda **k: series.biomass_series(long, ["Q"], **k),
+        lambda **k: series.consumption_series(long, ["Q"], info, **k),
+        lambda **k: series.predation_series(long, ["Q"], info, **k),
+        lambda **k: series.flux_series(long, ["Q_Q"], **k),
+        lambda **k: ratios.consumption_biomass_ratio(long, ["Q"], **k),
+        lambda **k: ratios.production_biomass_ratio(long, ["Q"], **k),
+        lambda **k: mortality.mortality_growth(long, ["Q"], **k),
+    ):
+        for known in ({}, {"names": ["A", "B", "B_A"]}):
+            with pytest.raises(ValueError, match="param not recognized"):
+                call(**known)
+
+
+def test_every_chain_is_checked(spark):
+    """A repeat, and a NULL, in the last of more chains than the driver looks at."""
+    chains = spark.range(20_050).select(F.col("id").cast("int").alias("chain"), F.lit(1).cast("long").alias("iter"), F.lit(1.0).alias("A[1]"))
+    last = chains.filter("chain = 20049")
+    for more in (last, last.withColumn("iter", F.lit(None).cast("long"))):
+        with pytest.raises(ValueError, match="identify"):
+            trajectories.number_samples(chains.unionByName(more))
+    got = trajectories.number_samples(chains).agg(F.count("*"), F.max("Sample_id")).first()
+    assert tuple(got) == (20_050, 20_050)
+
+
+def test_chains_with_another_header_or_short_rows_are_refused(spark, tmp_path):
+    for name, bad in (("order", "chain,iter,B[1],A[1]\n2,1,5,6\n"), ("short", "chain,iter,A[1],B[1]\n2,1,5\n")):
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "a.csv").write_text("chain,iter,A[1],B[1]\n1,1,3,4\n")
+        (folder / "b.csv").write_text(bad)
+        with pytest.raises(Exception, match="MALFORMED|CSV header"):
+            trajectories.read_trajectories(spark, str(folder), "csv").collect()
 
 
 def test_bucketed_table_sums_without_shuffle(spark, long, capsys):

@@ -31,7 +31,7 @@ def beta_cdf(x, a, b):
     return np.clip(np.where(swap, 1 - tail, tail), 0.0, 1.0)
 
 
-def _fraction(x, a, b, limit=20_000, accuracy=1e-15):
+def _fraction(x, a, b, limit=20_000, accuracy=8e-15):
     """Continued fraction of the incomplete beta function (modified Lentz)."""
     tiny = 1e-300
 

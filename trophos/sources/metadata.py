@@ -1,5 +1,8 @@
 """Metadata CSV files."""
 
+import re
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
@@ -7,6 +10,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from trophos.operators.metadata import validate_metadata
 from trophos.schemas import INFO
 
+MALFORMED = re.compile("MALFORMED|CSV header")
+
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Validated metadata; an unreadable or malformed file gives an empty frame.
@@ -23,8 +28,10 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema(text).csv(path, **options)
     try:
         return validate_metadata(raw)  # reads every field of every row
-    except PySparkException:
-        return empty
+    except (PySparkException, Py4JJavaError) as error:
+        if MALFORMED.search(str(error)):
+            return empty
+        raise
 
 
 def write_metadata(info: DataFrame, path: str) -> None:
