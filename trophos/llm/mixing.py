@@ -8,7 +8,7 @@
    memberships soft for long texts.
 3. Rates x >= 0 of documents are fitted so that the expected tokens of each
    domain, the sum of rate * words * posterior, match the targets: weighted least
-   squares by projected gradient steps.  A step needs one sum per domain over
+   squares by accelerated projected gradient steps.  A step needs one sum per domain over
    all documents; rates are columns of a written table and are never collected.
 
 Only DataFrame operations are used.  Tokens are words, runs of characters other
@@ -54,6 +54,7 @@ def labelled_rows(documents: DataFrame, labels: DataFrame, domain: str, limit: i
 def fit_domains(rows: DataFrame) -> tuple[list[str], list[float], DataFrame]:
     """Domains in order, their log shares, and (bucket, l0, l1, ...): log probability of a bucket by domain."""
     scratch = Scratch(rows.sparkSession)
+    rows = rows.where("domain is not null")
     words = rows.select("domain", F.monotonically_increasing_id().alias("row"), F.explode(_words(F.col("text"))).alias("word"))
     counts = words.groupBy("domain", _bucket(F.col("word")).alias("bucket"))
     counts = scratch.keep(counts.agg(F.count("*").alias("n")))
@@ -120,12 +121,12 @@ def fit_rates(
     without tokens cannot be filled and is left out of the targets.
     """
     d = [c for c in members.columns if c.startswith("p") and c[1:].isdigit()]
-    expected = [F.coalesce(F.sum(F.col("rate") * F.col("n") * F.col(p)), F.lit(0.0)).alias(p) for p in d]
-    rated = members.withColumn("rate", F.lit(1.0))
+    expected = [F.coalesce(F.sum(F.col("ahead") * F.col("n") * F.col(p)), F.lit(0.0)).alias(p) for p in d]
+    rated = members.withColumns({"rate": F.lit(1.0), "ahead": F.lit(1.0)})
     have = list(rated.agg(*expected).first())
     wanted = [w if h > 0 else 0.0 for w, h in zip(weights or [h**power for h in have], have)]
     if not sum(wanted):
-        return rated
+        return rated.drop("ahead")
     wanted = [w / sum(wanted) for w in wanted]
     if total == 0:
         total = max(h / w for h, w in zip(have, wanted) if w)
@@ -135,12 +136,15 @@ def fit_rates(
         gap = [(a - t) / h if h else 0.0 for a, t, h in zip(now, goal, have)]
         if max(map(abs, gap)) <= TOLERANCE:
             break
+        # a gradient step from the point ahead, back to the feasible rates, and on by momentum
         slope = _sum([F.col(p) * F.lit(g) for p, g in zip(d, gap)])
-        rated = rated.withColumn("rate", F.greatest(F.lit(floor), F.col("rate") - slope))
+        rated = rated.withColumn("next", F.greatest(F.lit(floor), F.col("ahead") - slope))
+        ahead = F.col("next") + (F.col("next") - F.col("rate")) * ((step - 1) / (step + 2))
+        rated = rated.withColumn("ahead", ahead).drop("rate").withColumnRenamed("next", "rate")
         if step % WRITE_EVERY == 0:
             rated = scratch.keep(rated)
         now = list(rated.agg(*expected).first())
-    return rated
+    return rated.drop("ahead")
 
 
 def mix(
