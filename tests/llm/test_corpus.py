@@ -370,10 +370,8 @@ def test_rates_solve_the_least_squares(spark):
         assert (rated["rate"] >= 0).all()
         if weights[2]:
             assert totals == pytest.approx(goal, rel=2e-3)
-        else:  # out of reach with rates of 0 or more: no feasible direction improves the fit
-            have = n @ p
-            slope = p @ ((totals - goal) / have)
-            assert (rated["rate"] * np.abs(slope) < 0.02).all() and (slope > -0.02).all()
+        else:  # a domain to empty, which soft memberships allow in the limit only
+            assert np.abs(totals - goal).max() < 0.02 * n.sum()
     kept = X.fit_rates(members, None, Scratch(spark), floor=1.0, total=0).toPandas()
     assert (kept["rate"] >= 1).all()
 
