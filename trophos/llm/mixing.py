@@ -29,8 +29,6 @@ from trophos.plans.scratch import Scratch
 BUCKETS = 1 << 14
 MAX_DOMAINS = 256
 STEPS, TOLERANCE = 100, 1e-4
-#: Steps between two writes of the rates.
-WRITE_EVERY = 10
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -131,18 +129,21 @@ def fit_rates(
     if total == 0:
         total = max(h / w for h, w in zip(have, wanted) if w)
     goal = [w * (sum(have) if total is None else total) for w in wanted]
-    now = have
+    now, last = have, None
     for step in range(1, STEPS + 1):
         gap = [(a - t) / h if h else 0.0 for a, t, h in zip(now, goal, have)]
-        if max(map(abs, gap)) <= TOLERANCE:
+        # the targets are met, or the rates have come to rest at their bound
+        if max(map(abs, gap)) <= TOLERANCE or last and max(abs(g - x) for g, x in zip(gap, last)) <= TOLERANCE / 2:
             break
+        last = gap
         # a gradient step from the point ahead, back to the feasible rates, and on by momentum
         slope = _sum([F.col(p) * F.lit(g) for p, g in zip(d, gap)])
         rated = rated.withColumn("next", F.greatest(F.lit(floor), F.col("ahead") - slope))
         ahead = F.col("next") + (F.col("next") - F.col("rate")) * ((step - 1) / (step + 2))
         rated = rated.withColumn("ahead", ahead).drop("rate").withColumnRenamed("next", "rate")
-        if step % WRITE_EVERY == 0:
-            rated = scratch.keep(rated)
+        # written at each step: a plan of nested steps grows too fast to be optimised
+        rated = scratch.keep(rated, f"rates{step}")
+        scratch.keep_only(f"rates{step}")
         now = list(rated.agg(*expected).first())
     return rated.drop("ahead")
 
