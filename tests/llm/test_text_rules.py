@@ -58,6 +58,71 @@ def test_longer_rule_wins(spark):
     assert found[1] == "BSD-3-Clause"
 
 
+GPL = """This program is free software{a} you can redistribute it and/or modify
+it under the terms of the GNU {kind}General Public License as published by
+the Free Software Foundation{b} either version {version} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {kind}General Public License for more details.
+
+You should have received a copy of the GNU {kind}General Public License
+along with this program{c}"""
+NOTICE_TEXTS = {
+    "GPL-2.0-or-later": GPL.format(a=";", b=";", kind="", version="2", c="; if not, write to the Free Software\nFoundation, Inc."),
+    "GPL-3.0-or-later": GPL.format(a=":", b=",", kind="", version="3", c=".  If not, see <https://www.gnu.org/licenses/>."),
+    "AGPL-3.0-or-later": GPL.format(a=":", b=",", kind="Affero ", version="3", c=".  If not, see <https://www.gnu.org/licenses/>."),
+    "LGPL-2.1-or-later": GPL.format(a=";", b=";", kind="Lesser ", version="2.1", c="; if not, write").replace(" program", " library"),
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE""",
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy",
+}
+
+
+def test_standard_notices(spark):
+    texts = list(NOTICE_TEXTS.values())
+    commented = ["\n".join(f" * {line}".rstrip() for line in t.split("\n")) for t in texts]
+    names = list(NOTICE_TEXTS)
+    assert [x[1] for x in _scan(spark, *texts, *commented)] == names * 2
+    other = [t.replace("version 2", "version 7").replace("version 3", "version 7").replace("v. 2.0", "v. 1.1") for t in texts[:5]]
+    assert {x[1] for x in _scan(spark, *other)} == {""}
+
+
+def test_gnu_rules_in_all_their_forms(spark):
+    """Each mark before the version and before "without even", each subject."""
+    texts, names = [], []
+    for name, kind, version in (
+        ("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("AGPL-3.0", "Affero ", "3"),
+    ):
+        for mark in ";,":
+            for last in ";,":
+                for subject in ("program", "library"):
+                    text = GPL.format(a=";", b=mark, kind=kind, version=version, c=".").replace("WARRANTY;", "WARRANTY" + last)
+                    texts.append(text.replace(" program", " " + subject))
+                    names.append(f"{name}-or-later")
+    assert [x[1] for x in _scan(spark, *texts)] == names
+    assert len(texts) == sum(name in L.GNU_GRANTS for name, _ in L.RULES)
+
+
 def test_odd_rows_of_the_scan(odd, empty):
     rows = L.scan_documents(odd).collect()
     assert len(rows) == len(ODD) and {r["n_found"] for r in rows} == {0}

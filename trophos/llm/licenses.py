@@ -7,7 +7,7 @@ ordered list of identifiers that must follow one another.  A rule that lies
 inside a longer matching rule of the text says nothing of its own and is left out.
 
 All of it happens within the row; the tables are constants of bounded size.  Only
-sentences with one of the trigger words are looked up, and every sentence of the
+sentences with one of the triggers are looked up, and every sentence of the
 table has one.  A null or empty text has no sentence and no licence.  Repeated
 rows and ids are scanned one by one.
 """
@@ -65,16 +65,39 @@ SENTENCES = {
     "apache-use": "you may not use this file except in compliance with the license",
     "apache-copy": "you may obtain a copy of the license at",
     "apache-basis": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    # The GNU notices have a semicolon or a comma before the version and before "without even": cut there, or whole.
+    "gpl-grant": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "lgpl-grant": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "agpl-grant": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+    "version-2": "either version 2 of the license or at your option any later version",
+    "version-2.1": "either version 2.1 of the license or at your option any later version",
+    "version-3": "either version 3 of the license or at your option any later version",
     "gpl2-grant": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "gpl3-grant": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "lgpl21-grant": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version",
     "agpl3-grant": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl-no-warranty": "this program is distributed in the hope that it will be useful but without any warranty",
+    "lgpl-no-warranty": "this library is distributed in the hope that it will be useful but without any warranty",
+    "gpl-implied": "without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl-warranty": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl-warranty": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl-copy": "you should have received a copy of the gnu general public license along with this program",
-    "mpl-terms": "this source code form is subject to the terms of the mozilla public license v. 2.0",
+    # "v. 2.0" is cut, too
+    "mpl-terms": "this source code form is subject to the terms of the mozilla public license v",
+    "mpl-version": "2.0",
     "unlicense-domain": "this is free and unencumbered software released into the public domain",
 }
 
+GNU_GRANTS = {
+    "GPL-2.0-or-later": (("gpl-grant", "version-2"), ("gpl2-grant",)),
+    "GPL-3.0-or-later": (("gpl-grant", "version-3"), ("gpl3-grant",)),
+    "LGPL-2.1-or-later": (("lgpl-grant", "version-2.1"), ("lgpl21-grant",)),
+    "AGPL-3.0-or-later": (("agpl-grant", "version-3"), ("agpl3-grant",)),
+}
+GNU_WARRANTIES = (
+    ("gpl-no-warranty", "gpl-implied"), ("lgpl-no-warranty", "gpl-implied"), ("gpl-warranty",), ("lgpl-warranty",),
+)
+
 #: Each rule: a licence, and identifiers that follow one another.
 RULES = [
     ("MIT", ("mit-grant", "mit-notice", "as-is", "no-liability")),
@@ -84,16 +107,13 @@ RULES = [
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is")),
     ("Apache-2.0", ("apache-grant", "apache-use", "apache-copy", "apache-basis")),
     ("Apache-2.0", ("apache-grant", "apache-use")),
-    ("GPL-2.0-or-later", ("gpl2-grant", "gpl-warranty")),
-    ("GPL-3.0-or-later", ("gpl3-grant", "gpl-warranty")),
-    ("LGPL-2.1-or-later", ("lgpl21-grant", "gpl-warranty")),
-    ("AGPL-3.0-or-later", ("agpl3-grant", "gpl-warranty")),
-    ("MPL-2.0", ("mpl-terms",)),
+    *[(name, (*grant, *rest)) for name, grants in GNU_GRANTS.items() for grant in grants for rest in GNU_WARRANTIES],
+    ("MPL-2.0", ("mpl-terms", "mpl-version")),
     ("Unlicense", ("unlicense-domain",)),
     *[(name, (f"notice:{name}",)) for name in NAMES],
 ]
 
-TRIGGER = r"(?i)licen[sc]e|unencumbered|permission|copyright|copy of|distribut|released|published|available|warrant|provided"
+TRIGGER = r"(?i)licen[sc]e|unencumbered|permission|copyright|copy of|distribut|released|published|available|warrant|provided|2\.0"
 
 
 def known_sentences() -> dict[str, str]:
