@@ -15,6 +15,7 @@ from trophos.llm import minhash_dedup as M
 from trophos.llm import mixing as X
 from trophos.llm import ngram_lm as N
 from trophos.llm import packing as K
+from trophos.llm import queries
 from trophos.llm import token_counts as C
 from trophos.llm import words as W
 from trophos.llm.bpe import encoder
@@ -238,6 +239,79 @@ def test_scores_of_odd_rows(spark, odd, empty):
     _compare(N.score_documents(blank, F.col("doc_id") == 3), [(1, ""), (2, None), (3, "new")], [False, False, True])
 
 
+def plain_trigram_scores(rows, held):
+    """(doc_id, score) by trigrams over bigrams that count the tokens before them."""
+    texts = [[1, *words(t), 0] for _, t in rows]
+    train = [t for t, h in zip(texts, held) if not h]
+    triples = collections.Counter(x for t in train for x in zip(t, t[1:], t[2:]))
+    raw = collections.Counter(x for t in train for x in zip(t, t[1:]))
+    pairs = collections.Counter((v, w) for _, v, w in triples)
+    pairs.update({p: n for p, n in raw.items() if p[0] == 1})
+    before = collections.Counter(w for _, w in raw)
+
+    def level(counts):
+        n = [sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if all(n) else 0
+        d = [min(max(k + 1 - (k + 2) * y * n[k + 1] / n[k], 0.01), k + 0.99) for k in range(3)] if all(n) else [0.5] * 3
+        total, gone = collections.Counter(), collections.Counter()
+        for key, c in counts.items():
+            total[key[:-1]] += c
+            gone[key[:-1]] += d[min(c, 3) - 1]
+
+        def p(key, lower):
+            h = key[:-1]
+            own = max(counts[key] - d[min(counts[key], 3) - 1], 0) if counts[key] else 0
+            return (own + gone[h] * lower) / total[h] if h in total else lower
+
+        return p
+
+    p3, p2, p1 = level(triples), level(pairs), level(collections.Counter({(w,): n for w, n in before.items()}))
+    types = len(before)
+
+    def prob(t, i):
+        low = p2((t[i - 1], t[i]), p1((t[i],), 1 / (types + 1)))
+        return p3((t[i - 2], t[i - 1], t[i]), low) if i > 1 else low
+
+    if triples:
+        for u, v in list({x[:2]: 0 for x in triples})[:5]:
+            own = sum(prob([u, v, w], 2) for w in before)
+            assert own + prob([u, v, "never seen"], 2) == pytest.approx(1)
+    return [(doc, sum(math.log10(prob(t, i)) for i in range(1, len(t)))) for (doc, _), t in zip(rows, texts)]
+
+
+def _compare_trigrams(frame, rows, held):
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    got = sorted(((r["doc_id"], r["score"]) for r in frame.collect()), key=key)
+    expected = sorted(plain_trigram_scores(rows, held), key=key)
+    assert [a[0] for a in got] == [b[0] for b in expected]
+    assert [a[1] for a in got] == pytest.approx([b[1] for b in expected])
+
+
+def test_trigram_scores(spark, documents, odd, empty, monkeypatch):
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    held = [zlib.crc32(str(doc).encode()) % 7 == 2 for doc, _ in rows]
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    monkeypatch.setattr(N, "GATHER", 1 << 12)
+    _compare_trigrams(N.score_documents(documents, fold, order=3), rows, held)
+    rows = [r for r in ODD if r[0] != 7] + [(9, "so " * 1000), (10, "so so"), (11, "so it so so")]
+    more = table(spark, rows)
+    _compare_trigrams(N.score_documents(more, F.col("doc_id").eqNullSafe(2), order=3), rows, [doc == 2 for doc, _ in rows])
+    blank = [(1, ""), (2, None), (3, "new words")]
+    _compare_trigrams(N.score_documents(table(spark, blank), F.col("doc_id") == 3, order=3), blank, [False, False, True])
+    nothing = N.score_documents(odd, F.lit(True), order=3).collect()
+    assert {(r["train_tokens"], r["score"]) for r in nothing} == {(0, 0.0)}
+    assert N.score_documents(empty, F.lit(False), order=3).count() == 0
+    with pytest.raises(ValueError):
+        N.score_documents(odd, F.lit(False), order=4)
+
+
+def test_query_scores_by_trigrams(spark, folder, documents):
+    frame = queries.op3_lm_score(spark, folder)
+    held = {r["doc_id"]: r["held_out"] for r in frame.collect()}
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    _compare_trigrams(frame, rows, [held[doc] for doc, _ in rows])
+
+
 def test_folder_must_be_mounted():
     assert N.local_path("file:///shared/x") == "/shared/x" == N.local_path("/shared/x")
     with pytest.raises(ValueError):

@@ -1,18 +1,25 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark.
+"""Interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark.
 
 Tokens of a text are its words, A-Z in lower case, and one end.  The model:
 
-    p(w | v) = (c(v w) - D) / c(v) + g(v) * p1(w)     p1(w | unseen v) = p1(w)
-    p1(w)    = (c'(w) - D') / C'  + g' / (V + 1)
+    p(w | u v) = (c(u v w) - D") / c(u v) + g(u v) * p(w | v)     p(w | v) if u v is unseen
+    p(w | v)   = (c(v w) - D) / c(v) + g(v) * p1(w)               p1(w) if v is unseen
+    p1(w)      = (c'(w) - D') / C'  + g' / (V + 1)
 
-c counts bigrams, c'(w) the distinct words before w; the discounts D depend on
-the count (1, 2, 3 or more), and g gives what they take to the next level.
+The highest order counts n-grams as they occur.  Below order 3, c(v w) is the
+number of distinct tokens before v w, and only bigrams that begin a text, which
+have none, keep their count; c(v) is the sum of the c(v w).  c'(w) is the number
+of distinct words before w.  The discounts D depend on the count (1, 2, 3 or
+more), and g gives what they take to the next level.
 
 Counting: tasks add up their own words and bigrams, and send sorted blocks of
 (key, count) to the shard that holds the key; the shard merges its blocks into
 one sorted array.  Words are 64-bit hashes in hash order, so the place of a word
 in that order is its number, bigrams are pairs of such numbers, and everything
-known of a word is an array by number.
+known of a word is an array by number.  Trigrams are pairs of the place of their
+first bigram in the order of all bigrams, and a number.  Of sorted keys the files
+hold the lower halves, and where each upper half begins; of counts a byte, and
+those that need more apart.
 
 The arrays are files in the shared folder, and workers map them into memory to
 score: pages are read as they are looked up and shared by the workers of a
@@ -27,7 +34,7 @@ probability 1 / (V + 1) = 1.
 
 import functools
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from urllib.parse import urlparse
 
@@ -118,6 +125,42 @@ def local_path(path: str) -> str:
     return parts.path
 
 
+def _write_keys(folder: str, kind: str, shard: int, keys: np.ndarray) -> None:
+    """Distinct sorted keys, counted from the first that the shard could have."""
+    upper = (keys >> np.uint64(32)).astype(np.int64)
+    _write(folder, kind, shard, (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+    _write(folder, f"{kind}_upper", shard, np.searchsorted(upper, np.arange(upper[-1] + 2)))
+
+
+def _places(folder: str, kind: str, shard: int, keys: np.ndarray) -> np.ndarray:
+    """Places of keys in a file of keys; -1 if it does not have them."""
+    lower, begins = _mapped(folder, kind, shard), _mapped(folder, f"{kind}_upper", shard)
+    upper, wanted = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    inside = upper < len(begins) - 1
+    upper = np.where(inside, upper, 0)
+    low, end = np.array(begins[upper]), np.where(inside, begins[upper + 1], begins[upper])
+    high = end
+    for _ in range(int((high - low).max(initial=0)).bit_length()):
+        middle = (low + high) >> 1
+        less = (low < high) & (lower[np.minimum(middle, len(lower) - 1)] < wanted)
+        low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+    return np.where((low < end) & (lower[np.minimum(low, len(lower) - 1)] == wanted), low, -1)
+
+
+def _write_counts(folder: str, kind: str, shard: int, counts: np.ndarray) -> None:
+    large = np.flatnonzero(counts >= 255)
+    _write(folder, kind, shard, np.minimum(counts, 255).astype(np.uint8))
+    _write(folder, f"{kind}_large", shard, np.stack([large, counts[large].astype(np.int64)]))
+
+
+def _counts(folder: str, kind: str, shard: int, places: np.ndarray) -> np.ndarray:
+    out = _mapped(folder, kind, shard)[places].astype(np.int64)
+    if (large := out == 255).any():
+        at, counts = _mapped(folder, f"{kind}_large", shard)
+        out[large] = counts[np.searchsorted(at, places[large])]
+    return out
+
+
 def _write(folder: str, kind: str, shard: int, values: np.ndarray) -> None:
     target = f"{folder}/{kind}-{shard:06d}.npy"
     os.makedirs(folder, exist_ok=True)
@@ -145,8 +188,13 @@ class Model:
     first: np.ndarray  # number of the first word of each word shard, and the end
     documents: int = 0
     tokens: int = 0  # training tokens, ends included
+    order: int = 2
     pair_shards: int = 1
+    pair_first: np.ndarray | None = None  # place of the first bigram of each shard by number, and the end
     pairs: int = 0  # distinct bigrams
+    triple_shards: int = 1
+    triples: int = 0  # distinct trigrams
+    triple_discounts: tuple = (0.0, 0.0, 0.0)
     discounts: tuple = (0.0, 0.0, 0.0)
     word_discounts: tuple = (0.0, 0.0, 0.0)
     word_rest: float = 1.0  # g'
@@ -208,14 +256,68 @@ class Model:
             out[own] = _mapped(self.folder, kind, shard)[numbers[own] - self.pair_start(shard)]
         return out
 
+    def pair_places(self, keys: np.ndarray) -> np.ndarray:
+        """Places of distinct sorted bigrams; -1 if unknown."""
+        out = np.full(len(keys), -1, np.int64)
+        for shard, own in self._parts(self.pair_shard(keys >> np.uint64(32))):
+            at = _places(self.folder, "pair", shard, self.in_pair_shard(keys[own], shard))
+            out[own] = np.where(at >= 0, at + self.pair_first[shard], -1)
+        return out
+
+    def in_pair_shard(self, keys: np.ndarray, shard: int) -> np.ndarray:
+        return keys - (np.uint64(self.pair_start(shard)) << np.uint64(32))
+
+    def _pair_parts(self, places: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray]]:
+        for shard, own in self._parts(np.searchsorted(self.pair_first, places, "right") - 1):
+            yield shard, own, places[own] - self.pair_first[shard]
+
+    def by_pair(self, kind: str, places: np.ndarray) -> np.ndarray:
+        """Counts of the bigrams at distinct sorted places."""
+        out = np.zeros(len(places), np.int64)
+        for shard, own, at in self._pair_parts(places):
+            out[own] = _counts(self.folder, kind, shard, at)
+        return out
+
+    def pair_second(self, places: np.ndarray) -> np.ndarray:
+        """Second number of the bigrams at distinct sorted places."""
+        out = np.zeros(len(places), np.uint64)
+        for shard, own, at in self._pair_parts(places):
+            out[own] = _mapped(self.folder, "pair", shard)[at]
+        return out
+
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of distinct sorted bigrams."""
+        """Counts of distinct sorted bigrams, as their level has them."""
+        places = self.pair_places(keys)
         out = np.zeros(len(keys), np.int64)
-        for shard, own in self._parts(self.pair_shard(keys >> np.uint64(32))):
-            known = _mapped(self.folder, "pair", shard)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, keys[own]), len(known) - 1)
-                out[own] = np.where(known[at] == keys[own], _mapped(self.folder, "pairs", shard)[at], 0)
+        out[places >= 0] = self.by_pair("pairs" if self.order == 2 else "adjusted", places[places >= 0])
+        return out
+
+    def triple_keys(self, places: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        return places.astype(np.uint64) * np.uint64(self.words + 2) + numbers.astype(np.uint64)
+
+    def triple_shard(self, places: np.ndarray) -> np.ndarray:
+        return places.astype(np.int64) * self.triple_shards // self.pairs
+
+    def triple_start(self, shard: int) -> int:
+        """The smallest place of a first bigram in a shard of trigrams."""
+        return -(-shard * self.pairs // self.triple_shards)
+
+    def by_context(self, kind: str, places: np.ndarray) -> np.ndarray:
+        """What the shards of trigrams know of the bigrams at distinct sorted places."""
+        out = np.zeros(len(places), np.int64)
+        for shard, own in self._parts(self.triple_shard(places)):
+            out[own] = _counts(self.folder, kind, shard, places[own] - self.triple_start(shard))
+        return out
+
+    def triple_counts(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of distinct sorted trigrams whose first bigram is known."""
+        out = np.zeros(len(keys), np.int64)
+        base = np.uint64(self.words + 2)
+        for shard, own in self._parts(self.triple_shard(keys // base)):
+            at = _places(self.folder, "triple", shard, keys[own] - np.uint64(self.triple_start(shard)) * base)
+            found = np.zeros(len(at), np.int64)
+            found[at >= 0] = _counts(self.folder, "triples", shard, at[at >= 0])
+            out[own] = found
         return out
 
     def lower(self, numbers: np.ndarray) -> np.ndarray:
@@ -255,12 +357,14 @@ def _token_numbers(model: Model, s: W.Words) -> tuple[np.ndarray, np.ndarray, np
     return out, text, starts
 
 
-def train(texts: DataFrame, scratch: Scratch) -> Model:
+def train(texts: DataFrame, scratch: Scratch, order: int = 2) -> Model:
     """Model of the column ``text``.  Only sizes of shards come to the driver."""
+    if order not in (2, 3):
+        raise ValueError(f"order {order}: the model has order 2 or 3")
     spark = texts.sparkSession
     folder = f"{local_path(scratch.path)}/model"
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    model = Model(folder, shards, np.zeros(shards + 1, np.int64))
+    model = Model(folder, shards, np.zeros(shards + 1, np.int64), order=order)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts_seen, held, size = 0, [], 0
@@ -314,16 +418,20 @@ def train(texts: DataFrame, scratch: Scratch) -> Model:
             keys, counts = _sum_up(np.concatenate(held))
             yield _batch(_blocks(model.pair_shard(keys >> np.uint64(32)), keys, counts))
 
+    def write_contexts(shard: int, keys: np.ndarray, counts: np.ndarray) -> None:
+        start, stop = model.pair_start(shard), model.pair_start(shard + 1)
+        at = (keys >> np.uint64(32)).astype(np.int64) - start
+        sums = lambda x: np.bincount(at, weights=x, minlength=stop - start)
+        _write(folder, "after", shard, sums(counts))
+        for k, own in enumerate((counts == 1, counts == 2, counts > 2)):
+            _write(folder, f"kinds{k}", shard, sums(own).astype(np.uint32))
+
     def merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, keys, counts in _merged(batches):
-            _write(folder, "pair", shard, keys)
-            _write(folder, "pairs", shard, counts.astype(np.uint32 if counts.max() < 1 << 32 else np.uint64))
-            start, stop = model.pair_start(shard), model.pair_start(shard + 1)
-            at = (keys >> np.uint64(32)).astype(np.int64) - start
-            sums = lambda x: np.bincount(at, weights=x, minlength=stop - start)
-            _write(folder, "after", shard, sums(counts))
-            for k, own in enumerate((counts == 1, counts == 2, counts > 2)):
-                _write(folder, f"kinds{k}", shard, sums(own).astype(np.uint32))
+            _write_keys(folder, "pair", shard, model.in_pair_shard(keys, shard))
+            _write_counts(folder, "pairs", shard, counts)
+            if order == 2:
+                write_contexts(shard, keys, counts)
             after, n = _sum_up(keys & np.uint64(0xFFFFFFFF))
             rows = _blocks(model.pair_shard(after), after, n)
             tally = np.array([len(keys), *((counts == k).sum() for k in range(1, 5))])
@@ -339,17 +447,90 @@ def train(texts: DataFrame, scratch: Scratch) -> Model:
 
     blocks = _by_shard(source.mapInArrow(count_pairs, _BLOCK), model.pair_shards)
     merged = scratch.keep(blocks.mapInArrow(merge_pairs, _BLOCK))
-    tallies = [_unpress(bytes(r["keys"]), 5) for r in merged.where("shard < 0").collect()]
-    model.pairs, *n = map(int, np.sum(tallies, axis=0))
+    tallies = {-1 - r["shard"]: _unpress(bytes(r["keys"]), 5) for r in merged.where("shard < 0").collect()}
+    model.pairs, *n = map(int, np.sum(list(tallies.values()), axis=0))
+    model.pair_first = np.cumsum([0, *(int(tallies[s][0]) if s in tallies else 0 for s in range(model.pair_shards))])
     model.discounts = _discounts(n)
     rows = scratch.keep(_by_shard(merged.where("shard >= 0"), model.pair_shards).mapInArrow(merge_before, _SIZES)).collect()
     n = [sum(r["n"] for r in rows if r["total"] == k) for k in range(1, 5)]
     model.word_discounts = _discounts(n)
     kinds = [n[0], n[1], model.types - n[0] - n[1]]  # every token follows some token
     model.word_rest = sum(d * k for d, k in zip(model.word_discounts, kinds)) / model.pairs
+    if order == 3:
+        _train_triples(source, model, write_contexts)
     return model
 
 
+def _train_triples(source: DataFrame, model: Model, write_contexts: Callable) -> None:
+    """The level of trigrams, and what the level of bigrams counts below it.
+
+    Blocks of shard -1 are numbers of trigrams, in all and with count 1 to 4;
+    before the trigrams are merged, those from -2 down are bigrams that begin a text.
+    """
+    folder, base = model.folder, np.uint64(model.words + 2)
+    if model.pairs * (model.words + 2) >= 1 << 64:
+        raise ValueError("trigrams do not fit into 64 bits")
+    model.triple_shards = max(model.word_shards, model.tokens // (SHARD // 2) + 1)
+
+    def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, begins, size = [], [], 0
+
+        def added_up() -> pa.RecordBatch:
+            keys, counts = _sum_up(np.concatenate(held))
+            pairs, n = _sum_up(np.concatenate(begins))
+            rows = _blocks(model.triple_shard(keys // base), keys, counts)
+            return _batch([*rows, *_blocks(-2 - model.pair_shard(pairs >> np.uint64(32)), pairs, n)])
+
+        for batch in batches:
+            for s in W.slices(batch["text"]):
+                numbers, text, starts = _token_numbers(model, s)
+                pairs = numbers[:-1].astype(np.uint64) << np.uint64(32) | numbers[1:].astype(np.uint64)
+                follows = np.flatnonzero(text[2:] == text[:-2])
+                held.append(model.triple_keys(_once(model.pair_places, pairs[follows]), numbers[follows + 2]))
+                begins.append(pairs[starts])
+                size += len(numbers)
+                if size > GATHER:
+                    yield added_up()
+                    held, begins, size = [], [], 0
+        if held:
+            yield added_up()
+
+    def merge_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, keys, counts in _merged(batches):
+            if shard < 0:
+                yield _batch([_block(-2 - shard, keys, counts)])
+                continue
+            start, stop = model.triple_start(shard), model.triple_start(shard + 1)
+            _write_keys(folder, "triple", shard, keys - np.uint64(start) * base)
+            _write_counts(folder, "triples", shard, counts)
+            places = (keys // base).astype(np.int64)
+            for k, own in enumerate((counts == 1, counts == 2, counts > 2)):
+                _write_counts(folder, f"triple_kinds{k}", shard, np.bincount(places[own] - start, minlength=stop - start))
+            pairs, n = _sum_up(_once(model.pair_second, places) << np.uint64(32) | keys % base)
+            tally = np.array([len(keys), *((counts == k).sum() for k in range(1, 5))])
+            rows = _blocks(model.pair_shard(pairs >> np.uint64(32)), pairs, n)
+            yield _batch([*rows, _block(-1, np.arange(5, dtype=np.uint64), tally)])
+
+    def merge_adjusted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, keys, counts in _merged(batches):
+            if shard < 0:
+                yield _sizes([(shard, int(n), int(k)) for k, n in zip(keys, counts)])
+                continue
+            if len(keys) != model.pair_first[shard + 1] - model.pair_first[shard]:
+                raise ValueError(f"shard {shard}: bigrams without a token before them")
+            _write_counts(folder, "adjusted", shard, counts)
+            write_contexts(shard, keys, counts)
+            yield _sizes([(shard, int((counts == k).sum()), k) for k in range(1, 5)])
+
+    blocks = _by_shard(source.mapInArrow(count_triples, _BLOCK), model.triple_shards)
+    adjusted = _by_shard(blocks.mapInArrow(merge_triples, _BLOCK), model.pair_shards)
+    rows = adjusted.mapInArrow(merge_adjusted, _SIZES).collect()
+    tally = {r["total"]: r["n"] for r in rows if r["shard"] < 0}
+    model.triples = tally.get(0, 0)
+    model.triple_discounts = _discounts([tally.get(k, 0) for k in range(1, 5)])
+    model.discounts = _discounts([sum(r["n"] for r in rows if r["shard"] >= 0 and r["total"] == k) for k in range(1, 5)])
+
+
 _SIZES = "shard int, n long, total long"
 
 
@@ -375,6 +556,16 @@ def _conditional(model: Model, v: np.ndarray, w: np.ndarray, lower: np.ndarray)
     return _discounted(counts, model.discounts) / after[back] + rest[back] * lower
 
 
+def _conditional_on_two(model: Model, places: np.ndarray, w: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """p(w | u v) from p(w | v); ``places`` are those of the known bigrams u v."""
+    contexts, back = np.unique(places, return_inverse=True)
+    after = model.by_pair("pairs", contexts)  # a token follows every u v
+    rest = sum(d * model.by_context(f"triple_kinds{k}", contexts) for k, d in enumerate(model.triple_discounts)) / after
+    seen, counts = w >= 0, np.zeros(len(w), np.int64)
+    counts[seen] = _once(model.triple_counts, model.triple_keys(places[seen], w[seen]))
+    return _discounted(counts, model.triple_discounts) / after[back] + rest[back] * lower
+
+
 def score_slice(model: Model, s: W.Words) -> tuple[np.ndarray, ...]:
     """Per text: tokens, known tokens, base score and score."""
     numbers, text, starts = _token_numbers(model, s)
@@ -390,6 +581,13 @@ def score_slice(model: Model, s: W.Words) -> tuple[np.ndarray, ...]:
     known = v >= 0
     if model.pairs:
         score[known] = _conditional(model, v[known], w[known], score[known])
+    if model.triples:
+        two = np.flatnonzero(known & (v != model.begin))
+        u = numbers[at[two] - 2]
+        two, u = two[u >= 0], u[u >= 0]
+        places = _once(model.pair_places, u.astype(np.uint64) << np.uint64(32) | v[two].astype(np.uint64))
+        two, places = two[places >= 0], places[places >= 0]
+        score[two] = _conditional_on_two(model, places, w[two], score[two])
     add = lambda x: np.bincount(own, weights=x, minlength=s.texts)
     return add(np.ones(len(own))), add(count > 0), add(base), add(np.log10(score))
 
@@ -410,12 +608,12 @@ def score_texts(documents: DataFrame, model: Model) -> DataFrame:
     return source.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def score_documents(documents: DataFrame, held_out: Column) -> DataFrame:
+def score_documents(documents: DataFrame, held_out: Column, order: int = 2) -> DataFrame:
     """Scores of all rows by a model of the rows that are not ``held_out``.
 
     doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity.
     """
-    model = train(documents.where(~held_out), Scratch(documents.sparkSession))
+    model = train(documents.where(~held_out), Scratch(documents.sparkSession), order)
     scored = score_texts(documents, model)
     return scored.select(
         "doc_id",

@@ -47,7 +47,7 @@ def op2_licences(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     fold = held_out(F.col("doc_id"), 7, 2)
-    scored = ngram_lm.score_documents(table(spark, folder, "documents"), fold)
+    scored = ngram_lm.score_documents(table(spark, folder, "documents"), fold, order=3)
     return scored.withColumn("held_out", fold)
 
 
