@@ -21,6 +21,14 @@ def test_fold():
     assert T.fold("") == "  "
 
 
+def test_digits_between_letters():
+    assert T.fold("bi9ot ma66ot cra2y NI9HT u6ly") == " bigot maggot crazy night ugiy "
+    assert T.fold("in 2026 9 to 6, 2nd mp2 6ft") == " in o to nd mp ft "
+    assert T.fold("b19ot f@9got ma６9ot bi\u200b9\u200bot 1960s") == " bigot faggot maggot bigot i os "
+    value = lambda text: T.statistic(T.fold(text), T.Lexicon({" bigot ": 1.0, " crazy ": 1.0}).automaton())
+    assert value("a bi9ot") > 0 and value("bi6ot") > 0 and value("cra2y!") > 0 and value("a big 9") == 0
+
+
 def test_statistic_counts_matches_outside_exceptions_and_divides_by_length():
     lexicon = T.Lexicon({" idiot ": 2.0, " scum": 1.0}, [" pond scum "])
     value = lambda text: T.statistic(T.fold(text), lexicon.automaton())

@@ -16,6 +16,7 @@ Without labelled texts of both kinds the lexicon is empty and every score is 0.
 """
 
 import math
+import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -63,6 +64,9 @@ class _Fold(dict):
 
 
 _FOLD = _Fold()
+# 2, 6 and 9 are letters where a run of digits and signs has letters on both sides; elsewhere they are numbers.
+_BETWEEN = str.maketrans("269２６９", "zggzgg")
+_INSIDE = re.compile(r"(?<=[^\W\d_])[\d@$|\u00AD\u0300-\u036F\u200B-\u200F\u2060\uFEFF]+(?=[^\W\d_])")
 _AFTER_WORD = str.maketrans({"@": " ", "$": " ", "|": " "})
 
 
@@ -71,7 +75,9 @@ def fold(text: str) -> str:
     words = text.split()
     if "$" in text or "@" in text or "|" in text:  # as letters only inside or before a word
         words = [w[: len(r)] + w[len(r) :].translate(_AFTER_WORD) for w in words for r in (w.rstrip("@$|.,;:!?"),)]
-    return f" {' '.join(' '.join(words).translate(_FOLD).split())} "
+    text = " ".join(words)
+    text = _INSIDE.sub(lambda m: m[0].translate(_BETWEEN), text)
+    return f" {' '.join(text.translate(_FOLD).split())} "
 
 
 @dataclass
