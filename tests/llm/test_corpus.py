@@ -127,6 +127,18 @@ def test_odd_rows_of_near_duplicates(spark, odd, empty):
     assert M.drop_near_duplicates(empty).count() == 0
 
 
+def test_kept_rows_of_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = lambda text: text + " tail"
+    rows = [(5, a), (5, b), (3, near(b)), (None, near(near(b))), (None, c), (8, "x y z " + c + " q"), (8, near(a) + " more"), (9, "")]
+    rows += [(7, "one two three four five six"), (7, "one two three four five six")]
+    frame = table(spark, rows).repartition(3)
+    kept = sorted(((r["doc_id"], r["text"]) for r in M.drop_near_duplicates(frame, 1).collect()), key=str)
+    assert kept == sorted([rows[0], rows[2], rows[5], rows[7], rows[8]], key=str)
+    near_copies = table(spark, [(5, a), (5, near(a)), (6, near(near(a)))])
+    assert [r["doc_id"] for r in M.drop_near_duplicates(near_copies, 1).collect()] == [5]
+
+
 def test_sketch_fills_all_bins_and_estimates_similarity():
     rng = np.random.default_rng(0)
     for n in (1, 3, 40, 2000):

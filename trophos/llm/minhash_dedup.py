@@ -228,6 +228,11 @@ def near_duplicates(documents: DataFrame, size: int = 2, percent: int = 80) -> D
     component_id is null and every row is kept.  Rows that repeat an id are
     documents of their own that happen to have the same id.
     """
+    return _judged(documents, size, percent).drop("key", "component")
+
+
+def _judged(documents: DataFrame, size: int, percent: int) -> DataFrame:
+    """``near_duplicates`` with the name of each row's set and the number of its component, null without words."""
     scratch = Scratch(documents.sparkSession)
     rows = scratch.keep(digests(documents, size))
     # one row a set, numbered anew: ids may be null or repeated
@@ -248,10 +253,10 @@ def near_duplicates(documents: DataFrame, size: int = 2, percent: int = 80) -> D
     parts = own.select("id", "key", "doc_id").join(labels, "id", "left")
     parts = scratch.keep(parts.withColumn("component", F.coalesce("component", "id")).drop("id"))
     least = parts.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = parts.join(least, "component").select("key", "component_id")
+    named = parts.join(least, "component").select("key", "component", "component_id")
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "key").join(named, "key", "left")
     whole = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", whole.alias("component_id")).withColumn(
+    return out.select("doc_id", "n_shingles", whole.alias("component_id"), "key", "component").withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
 
@@ -259,20 +264,26 @@ def near_duplicates(documents: DataFrame, size: int = 2, percent: int = 80) -> D
 def drop_near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all columns, with one of each component.
 
-    Of rows that repeat a kept id with one text, one stays.
+    Of the rows of one id in a component one stays, and so it does of those of one
+    id and text without words: the least by text and the other columns.
     """
     scratch = Scratch(documents.sparkSession)
-    kept = near_duplicates(documents, size, percent).where("kept").groupBy("doc_id").agg(F.count("*").alias("times"))
-    kept = scratch.keep(kept)
-    once = kept.where("times = 1").alias("k")
+    judged = scratch.keep(_judged(documents, size, percent).select("doc_id", "key", "component", "kept"))
+    ids = judged.groupBy("doc_id").agg(F.count("*").alias("times"), F.max("kept").alias("kept"))
+    ids = scratch.keep(ids.where("kept"))
     same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id"))
-    out = documents.alias("d").join(once, same, "left_semi")
-    again = kept.where("times > 1")
+    out = documents.alias("d").join(ids.where("times = 1").alias("k"), same, "left_semi")
+    again = ids.where("times > 1")
     if not again.limit(1).count():
         return out
-    # repeated ids: one row of each text, by its smallest values in the other columns
-    rows = documents.alias("d").join(again.alias("k"), same, "left_semi")
-    others = [c for c in documents.columns if c not in ("doc_id", "text")]
-    least = rows.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("_least")) if others else rows.distinct()
-    columns = ["doc_id", "text", *(F.col("_least").getField(c).alias(c) for c in others)]
-    return out.unionByName(least.select(*columns).select(*documents.columns))
+    # an id of several rows does not tell which of them is kept; their sets do
+    name = F.arrow_udf(lambda texts: pa.array([_name(s) for s in shingle_sets(texts, size)], pa.binary()), "binary")
+    rows = documents.alias("d").join(again.alias("k"), same, "left_semi").withColumn("_key", name(F.col("d.text")))
+    kept = judged.where("kept").select("doc_id", "key", "component").distinct().alias("k")
+    rows = rows.alias("d").join(kept, same & F.col("d._key").eqNullSafe(F.col("k.key")))
+    columns = ["text", *(c for c in documents.columns if c not in ("doc_id", "text"))]
+    wordless = F.when(F.col("k.component").isNull(), F.coalesce(F.col("d.text"), F.lit("")))
+    groups = rows.groupBy(F.col("d.doc_id").alias("doc_id"), F.col("k.component"), wordless)
+    least = groups.agg(F.min(F.struct(*[F.col(f"d.{c}").alias(c) for c in columns])).alias("_least"))
+    least = least.select("doc_id", *[F.col("_least").getField(c).alias(c) for c in columns])
+    return out.unionByName(least.select(*documents.columns))
