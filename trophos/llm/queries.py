@@ -16,6 +16,7 @@ from trophos.llm import (
     mixing,
     ngram_lm,
     packing,
+    prefix_trie,
     quality_rff,
     token_counts,
     toxicity,
@@ -84,6 +85,10 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents, labelled)
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.build(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_licences": op2_licences,
@@ -95,4 +100,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_score": op8_quality_score,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
+    "op12_prefix_trie": op12_prefix_trie,
 }
