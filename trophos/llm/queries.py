@@ -20,6 +20,7 @@ from trophos.llm import (
     quality_rff,
     token_counts,
     toxicity,
+    vector_graph,
 )
 from trophos.llm.labelled import held_out
 from trophos.llm.oracle import ORACLE_SQL
@@ -85,6 +86,10 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents, labelled)
 
 
+def op11_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_graph.nearest_neighbours(table(spark, folder, "embeddings"))
+
+
 def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.build(table(spark, folder, "conversations"))
 
@@ -100,5 +105,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_score": op8_quality_score,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
+    "op11_neighbours": op11_neighbours,
     "op12_prefix_trie": op12_prefix_trie,
 }
