@@ -1,7 +1,7 @@
 """Nearest neighbours by largest inner product over pruned directed graphs.
 
-1. Equal vectors are one node, named by its smallest vec_id; of its ids only the
-   ``k + 1`` smallest can be among anyone's nearest, so no more are kept.
+1. Equal vectors are one node; of its ids only the ``k + 1`` smallest can be among
+   anyone's nearest, so no more are kept.
 2. Nodes are dealt to cells by the nearest of some centroids, fitted on a bounded
    sample; a cell of more than ``shard_rows`` nodes is split by a hash.  Every
    node is in one shard, and a shard is all that a task holds.
@@ -285,7 +285,7 @@ def nodes_of(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     least = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     few = rows.withColumn("place", least).where(F.col("place") <= k + 1)
     nodes = few.groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    return nodes.select(F.get("ids", F.lit(0)).alias("node"), "vector", "ids"), rows
+    return nodes.select(F.monotonically_increasing_id().alias("node"), "vector", "ids"), rows
 
 
 def _cell_of(cells: Cells, count: bool) -> Column:
@@ -301,24 +301,24 @@ def build_index(
 ) -> tuple[DataFrame, Cells, DataFrame]:
     """(index, cells, rows): written (shard, cell, node, vector, ids, edges, entry); fitted cells; usable rows.
 
-    ``edges`` hold the places of neighbours within the shard, in the order of node.
+    ``edges`` hold the places of neighbours within the shard, in the order of ids and vector.
     """
     scratch = Scratch(rows.sparkSession)
     nodes, rows = nodes_of(usable(rows), k)
     nodes = scratch.keep(nodes, "nodes")
     total = nodes.count()
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vector").collect()
+    sample = nodes.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE).collect()
     cells = fit_cells([r["vector"] for r in sample], min(CELLS, -(-total // shard_rows)), k, cover)
     dealt = nodes.withColumn("cell", F.get(_cell_of(cells, False), F.lit(0))).withColumn("length", F.size("vector"))
     dealt = scratch.keep(dealt, "dealt")
     sizes = dealt.groupBy("length", "cell").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts"))
     sizes = scratch.keep(sizes, "sizes")
     dealt = dealt.join(sizes, ["length", "cell"])
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    part = F.pmod(F.xxhash64("vector"), F.col("parts")).cast("int")
     dealt = dealt.select(F.struct("length", "cell", part.alias("part")).alias("shard"), "node", "vector", "ids")
 
     def grown(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node")
+        table = _in_order(table)
         x = with_one_length(_matrix(table["vector"]))
         edges, entry = build_graph(x, degree, beam, relax)
         edges = pa.array(list(edges.astype(np.int32)), pa.list_(pa.int32()))
@@ -329,6 +329,12 @@ def build_index(
     return scratch.keep(index, "index"), cells, rows
 
 
+def _in_order(table: pa.Table) -> pa.Table:
+    """The nodes of a shard in one order, however they came."""
+    least = np.array([i[0] for i in table["ids"].to_pylist()])
+    return table.take(np.lexsort((*_matrix(table["vector"]).T[::-1], least)))
+
+
 def _matrix(column) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
@@ -360,7 +366,7 @@ def _searched(graph: pa.Table, queries: pa.Table, k: int, beam: int) -> pa.Table
     schema = pa.schema([("node", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
     if not len(graph) or not len(queries):
         return schema.empty_table()
-    graph = graph.sort_by("node")
+    graph = _in_order(graph)
     vectors = _matrix(graph["vector"])
     x = with_one_length(vectors)
     edges, entry = _matrix(graph["edges"]).astype(np.int64), int(graph["entry"][0].as_py())
