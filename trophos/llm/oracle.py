@@ -112,8 +112,86 @@ least_id as (select doc_id, min(other) as c from reach group by doc_id)
 select d.doc_id, coalesce(n, 0) as n_shingles, coalesce(c, d.doc_id) as component_id, coalesce(c, d.doc_id) = d.doc_id as kept
 from documents d left join n using (doc_id) left join least_id using (doc_id)"""
 
+# The checksum is worked out bit by bit; prefixes are told apart by the list of their turns' hashes.
+PREFIX_TRIE = """
+with own as (
+  select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as i,
+         coalesce(role, '') as role, coalesce(text, '') as text
+  from conversations where conv_id is not null),
+heads as (
+  select c, xor(list_reduce(
+           list_concat([4294967295::ubigint], list_transform(range(1, length(c::varchar) + 1), lambda k: ascii(substr(c::varchar, k, 1))::ubigint)),
+           lambda x, y: list_reduce(list_concat([xor(x, y)], range(8)::ubigint[]), lambda v, s: xor(v >> 1, 3988292384::ubigint * (v & 1)))),
+         4294967295::ubigint) % 6 as h
+  from (select distinct c from own)),
+rebuilt as (
+  select h.c, o.i as place, o.role, o.text from heads h join own o on o.c = h.c - h.c % 100 and o.i <= h.h
+  union all
+  select h.c, 1000000 + o.i, o.role, o.text from heads h join own o on o.c = h.c and o.i > h.h),
+numbered as (
+  select c, row_number() over (partition by c order by place) as d, text, sha256(role || chr(0) || text) as t from rebuilt),
+lengths as (select h.c, count(n.d) as n from heads h left join numbered n using (c) group by h.c),
+members as (
+  select c, 0 as d, 'root' as node, null as above, 0 as chars from heads
+  union all
+  select n.c, n.d, sha256((select string_agg(m.t, ',' order by m.d) from numbered m where m.c = n.c and m.d <= n.d)),
+         case when n.d = 1 then 'root'
+              else sha256((select string_agg(m.t, ',' order by m.d) from numbered m where m.c = n.c and m.d < n.d)) end,
+         length(n.text)
+  from numbered n),
+nodes as (
+  select node, any_value(above) as above, min(m.c) as conv_id, min(m.d) as depth, count(*) as n_convs,
+         (count(*) - 1) * min(chars) as own,
+         sha256(coalesce(string_agg(m.c::varchar, ',' order by m.c) filter (where m.d = l.n), '')) as ends_sha256
+  from members m join lengths l using (c) group by node),
+children as (select above as node, count(*) as n from nodes where above is not null group by above),
+-- each node's ancestors, itself among them, lie on its smallest member's way
+below as (
+  select a.node, n.node as lower, n.own, not exists (select 1 from children k where k.node = n.node) as leaf
+  from nodes n join members a on a.c = n.conv_id and a.d <= n.depth),
+sums as (select node, sum(own)::bigint as saved_tokens, count(*) filter (where leaf) as n_leaves from below group by node)
+select n.conv_id, n.depth::bigint as depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(k.n, 0) as n_children,
+       s.n_leaves, s.saved_tokens, n.ends_sha256
+from nodes n join sums s using (node) left join nodes p on p.node = n.above left join children k on k.node = n.node"""
+
+COLLOCATIONS = rf"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex({LOWER.format('text')}, '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+words as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') as ws from pieces),
+grams as (
+  select lang, unnest(list_concat(
+    list_transform(range(1, len(ws) + 1), lambda i: ws[i : i]),
+    list_transform(range(1, len(ws)), lambda i: ws[i : i + 1]),
+    list_transform(range(1, len(ws) - 1), lambda i: ws[i : i + 2]))) as g
+  from words),
+f as (select lang, g, count(*) as n from grams group by lang, g),
+totals as (select lang, sum(n)::bigint as n from f where len(g) = 1 group by lang),
+candidates as (select lang, g, n as a from f where len(g) > 1 and n >= 10),
+within as (
+  select lang, part, max(a) as a from (
+    select lang, unnest([g[1 : 2], g[2 : 3]]) as part, a from candidates where len(g) = 3) group by lang, part),
+kept as (
+  select c.* from candidates c left join within w on w.lang = c.lang and w.part = c.g
+  where len(c.g) = 3 or w.a is null or 100 * w.a < 50 * c.a),
+cuts as (
+  select k.lang, k.g, k.a, cut, x.n as l, y.n as r,
+         (1000000::hugeint * k.a * k.a) // (x.n::hugeint * y.n) as score
+  from (select *, unnest(range(1, len(g))) as cut from kept) k
+  join f x on x.lang = k.lang and x.g = k.g[1 : cut]
+  join f y on y.lang = k.lang and y.g = k.g[cut + 1 : len(k.g)]),
+lowest as (
+  select lang, array_to_string(g, ' ') as phrase, a, l, r, score from cuts
+  qualify row_number() over (partition by lang, g order by score, cut) = 1)
+select o.lang, row_number() over (partition by o.lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, t.n,
+       score::bigint as score
+from lowest o join totals t on t.lang = o.lang
+qualify row_number() over (partition by o.lang order by score desc, a desc, phrase) <= 2000"""
+
 ORACLE_SQL = {
     "op2_licences": licences(),
     "op4_line_quality": LINE_QUALITY,
     "op5_near_duplicates": NEAR_DUPLICATES,
+    "op12_prefix_trie": PREFIX_TRIE,
+    "op13_collocations": COLLOCATIONS,
 }
