@@ -17,10 +17,11 @@ def by_percentile(df, keys):
     return q.select(*keys, *[F.col("q")[i].alias(s) for i, s in enumerate(STATS)]).orderBy(*keys).toPandas()
 
 
-def same(df, keys):
-    pd.testing.assert_frame_equal(
-        by_percentile(df, keys), quantile_summary(df, keys).orderBy(*keys).toPandas(), check_exact=True
-    )
+def same(df, keys, methods=("sort", "bins")):
+    expected = by_percentile(df, keys)
+    for method in methods:
+        found = quantile_summary(df, keys, method=method).orderBy(*keys).toPandas()
+        pd.testing.assert_frame_equal(expected, found, check_exact=True)
 
 
 def test_matches_numpy(spark):
@@ -47,7 +48,7 @@ def test_equals_percentile(spark, n):
 @pytest.mark.parametrize("steps", [1, 16])
 def test_any_bins_will_do(spark, monkeypatch, steps):
     monkeypatch.setattr(quantiles, "STEPS", steps)
-    same(skewed(spark, 3000).cache(), ["k"])
+    same(skewed(spark, 3000).cache(), ["k"], ["bins"])
 
 
 def test_without_broadcasts(spark):
@@ -68,7 +69,7 @@ def test_bins_rise_with_the_values(spark):
     powers = 2.0 ** np.arange(-1074, 1024)
     xs = np.concatenate([powers, np.nextafter(powers, 0), np.nextafter(powers, np.inf), 1.5 * powers[:-1], [np.inf]])
     xs = np.unique(np.concatenate([xs, -xs]))
-    df = spark.createDataFrame(pd.DataFrame({"v": xs})).select("v", quantiles._bin(F.col("v")).alias("bin"))
+    df = spark.createDataFrame(pd.DataFrame({"v": xs})).select("v", F.expr(quantiles._bin("v")).alias("bin"))
     bins = df.orderBy("v").toPandas()["bin"]
     assert (bins.diff().dropna() >= 0).all()
 
@@ -83,13 +84,16 @@ def test_quantiles_are_ordered(spark, xs):
     np.testing.assert_array_equal(row, by_percentile(df, ["k"])[list(STATS)].iloc[0].to_numpy())
 
 
-def test_missing_values(spark):
+@pytest.mark.parametrize("method", ["sort", "bins"])
+def test_missing_values(spark, method):
     nan = float("nan")
     df = spark.createDataFrame([(1, 1.0), (1, None), (1, nan), (2, nan)], "k int, value double")
-    kept = quantile_summary(df, ["k"], na="drop").orderBy("k").collect()
+    kept = quantile_summary(df, ["k"], na="drop", method=method).orderBy("k").collect()
     assert kept[0]["q50"] == 1.0 and kept[1]["q50"] is None
     with pytest.raises(SparkRuntimeException, match="missing values"):
-        quantile_summary(df, ["k"]).collect()
+        quantile_summary(df, ["k"], method=method).collect()
+    with pytest.raises(ValueError, match="method"):
+        quantile_summary(df, ["k"], method="guess")
 
 
 def test_long_form_keeps_empty_groups(spark):
@@ -99,9 +103,35 @@ def test_long_form_keeps_empty_groups(spark):
     assert [r["Stat"] for r in rows] == list(STATS) and {r["Value"] for r in rows} == {None}
 
 
-def test_values_are_combined_before_they_move(spark, capsys):
-    """What leaves a task are counts by bin, and the values of the bins that hold a rank."""
+def final_plan(df, capsys):
+    """The plan that ran, after the adaptive steps."""
+    df.collect()
+    capsys.readouterr()
+    df.explain()
+    plan = capsys.readouterr().out
+    return plan.split("== Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize("method", ["sort", "bins"])
+def test_the_input_is_evaluated_once(spark, capsys, tmp_path, method):
+    rows = spark.range(5_000).select((F.col("id") % 7).alias("k"), F.rand(1).alias("value"))
+    rows.write.parquet(str(tmp_path / "rows"))
+    plan = final_plan(quantile_summary(spark.read.parquet(str(tmp_path / "rows")), ["k"], method=method), capsys)
+    assert plan.count("FileScan") == 1 and "BatchEvalPython" not in plan
+    if method == "sort":
+        assert plan.count(" Exchange hashpartitioning") == 1
+
+
+def test_ties_are_combined_before_they_move(spark, capsys):
     df = spark.range(100_000).select(F.lit(1).alias("k"), F.rand(1).alias("value"))
-    quantile_summary(df, ["k"]).explain()
+    quantile_summary(df, ["k"], method="bins").explain()
     plan = capsys.readouterr().out
-    assert "partial_count" in plan and "percentile" not in plan and "BatchEvalPython" not in plan
+    assert "partial_count" in plan and "percentile" not in plan
+
+
+@pytest.mark.parametrize("method", ["sort", "bins"])
+def test_large_groups(spark, method):
+    """100 groups of 20,000 values, one of 200,000; the built-in aggregate holds each in memory."""
+    k = F.when(F.col("id") < 200_000, 0).otherwise(F.col("id") % 100)
+    df = spark.range(2_200_000).select(k.cast("int").alias("k"), F.exp(2 * F.randn(3)).alias("value"))
+    same(df, ["k"], [method])

@@ -1,15 +1,23 @@
 """Seven-quantile summaries with linear interpolation between order statistics.
 
-One exact strategy for every size, in one lazy plan.  Values are counted by
-group and value bin, combined on the map side; running sums of the counts say
-which few bins hold a wanted rank.  Only the values of those bins are looked at
-again, and ties collapse into a count before they are sorted.  No task sees a
-whole group, and one group with a third of all rows is as good as many.
+Exact, in one lazy plan that evaluates its input once.  ``method`` says how the
+wanted ranks are found; both give the same numbers, and no size decides between
+them:
+
+``"sort"``  one shuffle by group; a task sorts the groups it gets, spilling to
+    disk, and numbers their values.  Work is spread over as many tasks as there
+    are groups: meant for the series, whose groups (series and year) have one
+    row per sample each.
+``"bins"``  ties are counted on the map side and dealt by group and value bin;
+    running sums of the bins' counts say which few bins hold a wanted rank, and
+    only their values are sorted.  No task sees a whole group, so one group with
+    a third of all rows is as good as many.  Some three times the fixed cost.
+``"sketch"``  not exact, see ``trophos.functions.sketches``.
 """
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trophos.functions.numeric import known
@@ -18,91 +26,101 @@ from trophos.functions.numeric import known
 PROBS = (0.0, 0.025, 0.25, 0.5, 0.75, 0.975, 1.0)
 STATS = ("q0", "q2.5", "q25", "q50", "q75", "q97.5", "q100")
 
-# Bins between a number and its double.
-STEPS = 1024
+# Bins between a number and its double; the bin of missing values.
+STEPS, MISSING = 64, -(1 << 62)
 
 
 def quantile_summary(
-    values: DataFrame, keys: Sequence[str], value: str = "value", *, na: str = "raise"
+    values: DataFrame, keys: Sequence[str], value: str = "value", *, na: str = "raise", method: str = "sort"
 ) -> DataFrame:
     """``keys`` plus ``q0 … q100`` of ``value`` per group.
 
     ``na='raise'`` fails on NULL or NaN values, ``na='drop'`` ignores them.
     """
-    return spread(grouped_quantiles(values, keys, value), keys, na)
+    return spread(grouped_quantiles(values, keys, value, method), keys, na)
 
 
-def grouped_quantiles(values: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+def grouped_quantiles(
+    values: DataFrame, keys: Sequence[str], value: str = "value", method: str = "sort"
+) -> DataFrame:
     """``keys``, ``missing`` (NULL/NaN count) and the quantile array ``q``."""
-    v = known(F.col(value).cast("double"))
-    cells = values.select(F.struct(*keys).alias("k"), v.alias("v"), _bin(v).alias("bin"))
-    group = Window.partitionBy("k")
-    known_rows = F.when(F.col("bin").isNotNull(), F.col("n"))
-    below = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = (
-        cells.groupBy("k", "bin")
-        .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        .withColumn("total", F.coalesce(F.sum(known_rows).over(group), F.lit(0)))
-        .withColumn("start", F.coalesce(F.sum(known_rows).over(below), F.lit(0)))
-    )
-    missing = F.sum(F.when(F.col("bin").isNull(), F.col("n")))
-    groups = bins.groupBy("k").agg(
-        F.coalesce(missing, F.lit(0)).alias("missing"), F.max("total").alias("total")
+    cells = values.select(F.struct(*keys).alias("k"), known(F.col(value).cast("double")).alias("v"))
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {', '.join(METHODS)}")
+    return METHODS[method](cells)
+
+
+def _by_sorting(cells: DataFrame) -> DataFrame:
+    group = "over (partition by k"
+    # missing values come last: they change no rank
+    ranked = cells.selectExpr(
+        "k", "v", f"count(v) {group}) as total", f"count(*) {group}) as rows",
+        f"row_number() {group} order by v nulls last) - 1 as first",
+    )
+    held = " or ".join(f"first = {r}" for r in _RANKS)
+    found = ranked.filter(f"(first < total and ({held})) or (total = 0 and first = 0)")
+    return _interpolated(found.selectExpr("k", "total", "rows - total as missing", "first", "1L as n", "v"))
+
+
+def _by_bins(cells: DataFrame) -> DataFrame:
+    ties = cells.selectExpr("k", f"{_bin('v')} as bin", "v").groupBy("k", "bin", "v").agg(F.count("*").alias("n"))
+    # the rest reads this one shuffle, twice
+    ties = ties.repartition("k", "bin")
+    bins = ties.groupBy("k", "bin").agg(F.sum("n").alias("rows"))
+    real = f"sum(if(bin <> {MISSING}, rows, 0L)) over (partition by k"
+    bins = bins.selectExpr(
+        "k", "bin", "rows", f"{real}) as total",
+        f"sum(if(bin = {MISSING}, rows, 0L)) over (partition by k) as missing",
+        f"{real} order by bin) - if(bin <> {MISSING}, rows, 0L) as start",
+    )
+    held = " or ".join(f"({r} >= start and {r} < start + rows)" for r in _RANKS)
+    holding = bins.filter(f"total = 0 or bin <> {MISSING} and ({held})").drop("rows")
+    t, h = ties.alias("t"), holding.alias("h")
+    inner = t.join(h, F.expr("t.k = h.k and t.bin = h.bin")).selectExpr(
+        "t.k", "total", "missing", "start + sum(n) over (partition by t.k, t.bin order by v) - n as first", "n", "v"
     )
-    wanted = F.array_distinct(F.array(*[r for p in PROBS for r in (F.floor(_position(p)), F.ceil(_position(p)))]))
-    holding = bins.filter("bin is not null").withColumn("ranks", _within(wanted, F.col("start"), F.col("n")))
-    holding = holding.filter(F.size("ranks") > 0)
-    single = holding.filter("lo = hi").select("k", F.explode("ranks").alias("rank"), F.col("lo").alias("value"))
-    found = single.unionByName(_sorted(cells, holding.filter("lo < hi"))).groupBy("k").agg(
-        F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at")
+    held = " or ".join(f"({r} >= first and {r} < first + n)" for r in _RANKS)
+    return _interpolated(inner.filter(f"total = 0 or {held}"))
+
+
+def _interpolated(found: DataFrame) -> DataFrame:
+    """From ``k, total, missing, first, n, v``: the values that hold the wanted ranks, ``n`` of each from ``first`` on."""
+    ranks = f"filter(array({', '.join(_RANKS)}), r -> r >= first and r < first + n)"
+    found = found.selectExpr("k", "total", "missing", f"transform({ranks}, r -> struct(r, v)) as at")
+    found = found.groupBy("k").agg(
+        F.max("total").alias("total"), F.max("missing").alias("missing"), F.flatten(F.collect_list("at")).alias("at")
     )
-    g, a = groups.alias("g"), found.alias("a")
-    joined = g.join(a, F.col("g.k") == F.col("a.k"), "left").select("g.k", "missing", "total", "at")
-    q = F.when(F.col("at").isNotNull(), F.array(*map(_quantile, PROBS)))
-    return joined.select("k.*", "missing", q.alias("q"))
+    found = found.selectExpr("k", "total", "missing", "map_from_entries(array_distinct(at)) as at")
+    q = f"if(total > 0, array({', '.join(map(_quantile, PROBS))}), null) as q"
+    return found.selectExpr("k.*", "missing", q)
+
 
+def _position(p: float) -> str:
+    return f"({p}D * cast(total - 1 as double))"
 
-def _position(p: float) -> Column:
-    return F.lit(p) * (F.col("total") - 1).cast("double")
 
+def _quantile(p: float) -> str:
+    at = _position(p)
+    low, high = f"at[floor({at})]", f"at[ceil({at})]"
+    return f"if({low} = {high}, {low}, (ceil({at}) - {at}) * {low} + ({at} - floor({at})) * {high})"
 
-def _within(ranks: Column, start: Column, n: Column) -> Column:
-    return F.filter(ranks, lambda r: (r >= start) & (r < start + n))
 
+# SQL of the ranks, from 0, that the quantiles lie at or between.
+_RANKS = tuple(dict.fromkeys(f"{side}({_position(p)})" for p in PROBS for side in ("floor", "ceil")))
+METHODS = {"sort": _by_sorting, "bins": _by_bins}
 
-def _bin(v: Column) -> Column:
-    """Number of a value's bin: any non-decreasing function is correct.
+
+def _bin(v: str) -> str:
+    """SQL of the number of a value's bin: any non-decreasing function is correct.
 
     The exponent and the first bits of the fraction; where ``log2`` rounds to
     the next exponent, the fraction makes up for it.
     """
-    size = F.abs(v)
-    exponent = F.floor(F.log2(size)).cast("double")
-    place = F.floor((exponent - 1 + size / F.pow(F.lit(2.0), exponent)) * STEPS)
-    place = F.when(size == float("inf"), F.lit(2048 * STEPS)).otherwise(place) + 1100 * STEPS
-    return F.when(v == 0, F.lit(0)).when(v > 0, place).when(v < 0, -place).cast("long")
-
-
-def _sorted(cells: DataFrame, bins: DataFrame) -> DataFrame:
-    """``k, rank, value`` of the wanted ranks in bins of several values."""
-    c, b = cells.alias("c"), bins.alias("b")
-    inner = c.join(b, (F.col("c.k") == F.col("b.k")) & (F.col("c.bin") == F.col("b.bin")))
-    ties = (
-        inner.groupBy("c.k", "c.bin", "c.v")
-        .agg(F.count("*").alias("n"), F.first("b.start").alias("start"), F.first("b.ranks").alias("ranks"))
-        .select("k", "bin", "v", "n", "start", "ranks")
-    )
-    below = Window.partitionBy("k", "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.col("start") + F.coalesce(F.sum("n").over(below), F.lit(0))
-    ties = ties.withColumn("first", first)
-    own = _within(F.col("ranks"), F.col("first"), F.col("n"))
-    return ties.select("k", F.explode(own).alias("rank"), F.col("v").alias("value"))
-
-
-def _quantile(p: float) -> Column:
-    at = _position(p)
-    low, high = F.col("at")[F.floor(at)], F.col("at")[F.ceil(at)]
-    return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+    exponent = f"floor(log2(abs({v})))"
+    place = f"floor(({exponent} - 1 + abs({v}) / pow(2.0D, {exponent})) * {STEPS})"
+    place = f"(if(abs({v}) = double('infinity'), {2048 * STEPS}L, {place}) + {1100 * STEPS}L)"
+    # never null, or the join by bin would filter the input of one of its sides
+    return f"coalesce(case when {v} = 0 then 0L when {v} > 0 then {place} when {v} < 0 then -{place} end, {MISSING}L)"
 
 
 def spread(quantiles: DataFrame, keys: Sequence[str], na: str = "raise") -> DataFrame:
