@@ -7,7 +7,8 @@ from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 from trophos.functions import quantiles
-from trophos.functions.quantiles import PROBS, STATS, quantile_summary, quantiles_long
+from trophos.functions.quantiles import PROBS, STATS, quantile_summary, quantiles_long, vector_quantiles
+from trophos.functions.sketches import merge_states, sketch_state, state_quantiles
 
 
 def by_percentile(df, keys):
@@ -135,3 +136,53 @@ def test_large_groups(spark, method):
     k = F.when(F.col("id") < 200_000, 0).otherwise(F.col("id") % 100)
     df = spark.range(2_200_000).select(k.cast("int").alias("k"), F.exp(2 * F.randn(3)).alias("value"))
     same(df, ["k"], [method])
+
+
+@pytest.mark.parametrize("method", ["sort", "bins"])
+def test_several_columns_at_once(spark, capsys, method):
+    df = skewed(spark, 600).withColumn("other", F.rand(9)).withColumnRenamed("value", "a").cache()
+    both = vector_quantiles(df, ["k"], ["a", "other"], method)
+    for i, column in enumerate(("a", "other")):
+        one = quantile_summary(df.withColumnRenamed(column, "value"), ["k"], na="drop").orderBy("k").collect()
+        own = both.filter(F.col("measure") == i).orderBy("k").collect()
+        assert [tuple(r)[1:] for r in one] == [tuple(r["q"]) for r in own]
+    if method == "sort":
+        assert final_plan(both, capsys).count(" Exchange hashpartitioning") == 1
+
+
+def rank_errors(df, states, k):
+    """How far, in parts of the rows, each quantile's ranks are from where they should be."""
+    found = {r["k"]: r["q"] for r in state_quantiles(states, ["k"], PROBS).collect()}
+    out = []
+    for key, rows in df.toPandas().groupby("k", dropna=False):
+        x = np.sort(rows["value"].dropna().to_numpy())
+        q = found[None if pd.isna(key) else key]
+        low, high = np.searchsorted(x, q, "left") / len(x), np.searchsorted(x, q, "right") / len(x)
+        out += list(np.maximum(0, np.maximum(low - PROBS, PROBS - high)))
+    return max(out)
+
+
+@pytest.mark.parametrize("k, bound", [(200, 0.025), (2000, 0.004)])
+def test_sketches_keep_to_their_rank_error(spark, k, bound):
+    """Skew, ties of a third of the rows, a hot key; of one state and of merged ones."""
+    df = skewed(spark, 60_000).cache()
+    assert rank_errors(df, sketch_state(df, ["k"], k=k), k) <= bound
+    parts = [sketch_state(df.filter(F.pmod(F.xxhash64("value"), F.lit(7)) == i), ["k"], k=k) for i in range(7)]
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part)
+    merged = merge_states(stacked, ["k"], k)
+    assert rank_errors(df, merged, k) <= 1.5 * bound
+    sizes = [r[0] for r in merged.select(F.length("sketch")).collect()]
+    assert max(sizes) < 40 * k + 4000
+
+
+def test_sketch_of_groups_without_values(spark):
+    df = spark.createDataFrame([(1, None), (2, 1.5), (2, float("nan"))], "k int, value double")
+    states = sketch_state(df, ["k"])
+    merged = merge_states(states.unionByName(states), ["k"]).orderBy("k")
+    assert [(r["missing"], r["n"]) for r in merged.collect()] == [(2, 0), (2, 2)]
+    kept = quantile_summary(df, ["k"], na="drop", method="sketch").orderBy("k").collect()
+    assert kept[0]["q50"] is None and [kept[1][s] for s in STATS] == [1.5] * 7
+    with pytest.raises(SparkRuntimeException, match="missing values"):
+        quantile_summary(df, ["k"], method="sketch").collect()

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trophos.functions.numeric import known
+from trophos.functions.sketches import sketch_state, state_quantiles
 
 # Probabilities and the names of their quantiles.
 PROBS = (0.0, 0.025, 0.25, 0.5, 0.75, 0.975, 1.0)
@@ -44,26 +45,47 @@ def grouped_quantiles(
     values: DataFrame, keys: Sequence[str], value: str = "value", method: str = "sort"
 ) -> DataFrame:
     """``keys``, ``missing`` (NULL/NaN count) and the quantile array ``q``."""
-    cells = values.select(F.struct(*keys).alias("k"), known(F.col(value).cast("double")).alias("v"))
-    if method not in METHODS:
+    cells = values.select(F.struct(*keys).alias("k"), F.lit(0).alias("m"), known(F.col(value).cast("double")).alias("v"))
+    return _method(method)(cells).select("k.*", "missing", "q")
+
+
+def vector_quantiles(
+    values: DataFrame, keys: Sequence[str], columns: Sequence[str], method: str = "sort"
+) -> DataFrame:
+    """``keys``, ``measure`` (the place of a column in ``columns``), ``missing`` and ``q``, for several columns at once.
+
+    Rows go to the tasks of their group as they are, all columns in one, and are
+    taken apart there.
+    """
+    vector = F.array(*[known(F.col(c).cast("double")) for c in columns])
+    rows = values.select(F.struct(*keys).alias("k"), vector.alias("vector"))
+    if method == "sort":
+        rows = rows.repartition("k")
+    cells = rows.select("k", F.posexplode("vector").alias("m", "v"))
+    return _method(method)(cells).select("k.*", F.col("m").alias("measure"), "missing", "q")
+
+
+def _method(name: str):
+    if name not in METHODS:
         raise ValueError(f"method must be one of {', '.join(METHODS)}")
-    return METHODS[method](cells)
+    return METHODS[name]
 
 
 def _by_sorting(cells: DataFrame) -> DataFrame:
-    group = "over (partition by k"
+    group = "over (partition by k, m"
     # missing values come last: they change no rank
     ranked = cells.selectExpr(
-        "k", "v", f"count(v) {group}) as total", f"count(*) {group}) as rows",
+        "k", "m", "v", f"count(v) {group}) as total", f"count(*) {group}) as rows",
         f"row_number() {group} order by v nulls last) - 1 as first",
     )
     held = " or ".join(f"first = {r}" for r in _RANKS)
     found = ranked.filter(f"(first < total and ({held})) or (total = 0 and first = 0)")
-    return _interpolated(found.selectExpr("k", "total", "rows - total as missing", "first", "1L as n", "v"))
+    return _interpolated(found.selectExpr("k", "m", "total", "rows - total as missing", "first", "1L as n", "v"))
 
 
 def _by_bins(cells: DataFrame) -> DataFrame:
-    ties = cells.selectExpr("k", f"{_bin('v')} as bin", "v").groupBy("k", "bin", "v").agg(F.count("*").alias("n"))
+    cells = cells.selectExpr("struct(k, m) as k", f"{_bin('v')} as bin", "v")
+    ties = cells.groupBy("k", "bin", "v").agg(F.count("*").alias("n"))
     # the rest reads this one shuffle, twice
     ties = ties.repartition("k", "bin")
     bins = ties.groupBy("k", "bin").agg(F.sum("n").alias("rows"))
@@ -80,19 +102,19 @@ def _by_bins(cells: DataFrame) -> DataFrame:
         "t.k", "total", "missing", "start + sum(n) over (partition by t.k, t.bin order by v) - n as first", "n", "v"
     )
     held = " or ".join(f"({r} >= first and {r} < first + n)" for r in _RANKS)
-    return _interpolated(inner.filter(f"total = 0 or {held}"))
+    return _interpolated(inner.filter(f"total = 0 or {held}").select("k.*", "total", "missing", "first", "n", "v"))
 
 
 def _interpolated(found: DataFrame) -> DataFrame:
-    """From ``k, total, missing, first, n, v``: the values that hold the wanted ranks, ``n`` of each from ``first`` on."""
+    """From ``k, m, total, missing, first, n, v``: the values that hold the wanted ranks, ``n`` of each from ``first`` on."""
     ranks = f"filter(array({', '.join(_RANKS)}), r -> r >= first and r < first + n)"
-    found = found.selectExpr("k", "total", "missing", f"transform({ranks}, r -> struct(r, v)) as at")
-    found = found.groupBy("k").agg(
+    found = found.selectExpr("k", "m", "total", "missing", f"transform({ranks}, r -> struct(r, v)) as at")
+    found = found.groupBy("k", "m").agg(
         F.max("total").alias("total"), F.max("missing").alias("missing"), F.flatten(F.collect_list("at")).alias("at")
     )
-    found = found.selectExpr("k", "total", "missing", "map_from_entries(array_distinct(at)) as at")
+    found = found.selectExpr("k", "m", "total", "missing", "map_from_entries(array_distinct(at)) as at")
     q = f"if(total > 0, array({', '.join(map(_quantile, PROBS))}), null) as q"
-    return found.selectExpr("k.*", "missing", q)
+    return found.selectExpr("k", "m", "missing", q)
 
 
 def _position(p: float) -> str:
@@ -107,7 +129,13 @@ def _quantile(p: float) -> str:
 
 # SQL of the ranks, from 0, that the quantiles lie at or between.
 _RANKS = tuple(dict.fromkeys(f"{side}({_position(p)})" for p in PROBS for side in ("floor", "ceil")))
-METHODS = {"sort": _by_sorting, "bins": _by_bins}
+
+
+def _by_sketches(cells: DataFrame) -> DataFrame:
+    return state_quantiles(sketch_state(cells, ["k", "m"], "v"), ["k", "m"], PROBS)
+
+
+METHODS = {"sort": _by_sorting, "bins": _by_bins, "sketch": _by_sketches}
 
 
 def _bin(v: str) -> str:

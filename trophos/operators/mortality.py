@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trophos.functions.numeric import ieee_div, lenient_sum, r_log, strict_sum
-from trophos.functions.quantiles import quantile_summary, quantiles_long
+from trophos.functions.quantiles import quantiles_long, spread, vector_quantiles
 from trophos.operators.series import check_names, is_grouped, own_and_flows
 from trophos.schemas import VARIABLES
 
@@ -80,11 +80,13 @@ def mortality_rates(values: DataFrame) -> DataFrame:
 
 
 def mortality_growth(
-    long, components, group=False, group_label=None, *, names=None, fleet=is_fleet, fluxes=None
+    long, components, group=False, group_label=None, *, names=None, fleet=is_fleet, fluxes=None, method="sort"
 ) -> DataFrame:
     check_names(components, names, own_and_flows(long, components, "src", fluxes))
-    rates = mortality_rates(mortality_values(long, components, group, group_label, fleet, fluxes))
+    values = mortality_values(long, components, group, group_label, fleet, fluxes)
+    names = F.array(*map(F.lit, METRICS.values()))
+    rates = vector_quantiles(values, ["Year", "ID"], list(METRICS), method)
+    rates = rates.withColumn("Metric", F.get(names, F.col("measure")))
     keys = ["Year", "ID", "Metric"]
-    summary = quantile_summary(rates, keys, na="drop")
     variable = "Mortality and Growth"
-    return quantiles_long(summary, keys, variable, VARIABLES[variable][0])
+    return quantiles_long(spread(rates, keys, "drop"), keys, variable, VARIABLES[variable][0])

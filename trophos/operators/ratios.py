@@ -48,21 +48,25 @@ def drop_last_year(df: DataFrame) -> DataFrame:
     return df.withColumn("last", last).filter(F.col("Year") != F.col("last")).drop("last")
 
 
-def consumption_biomass_ratio(long, components, group=False, group_label=None, *, names=None, fluxes=None):
+def consumption_biomass_ratio(
+    long, components, group=False, group_label=None, *, names=None, fluxes=None, method="sort"
+):
     check_names(components, names, own_and_flows(long, components, "dst", fluxes))
     values = ratio_values(long, components, "dst", group, group_label, fluxes)
-    return _quant(values, "Ratio Consumption/Biomass")
+    return _quant(values, "Ratio Consumption/Biomass", method)
 
 
-def production_biomass_ratio(long, components, group=False, group_label=None, *, names=None, fluxes=None):
+def production_biomass_ratio(
+    long, components, group=False, group_label=None, *, names=None, fluxes=None, method="sort"
+):
     check_names(components, names, own_and_flows(long, components, "src", fluxes))
     values = ratio_values(long, components, "src", group, group_label, fluxes)
-    return _quant(values, "Ratio Production/Biomass")
+    return _quant(values, "Ratio Production/Biomass", method)
 
 
-def _quant(values, variable):
+def _quant(values, variable, method):
     keys = ["Year", "ID"]
     # The last year is dropped from the summary: finding it there needs no
     # second pass over the samples.
-    summary = drop_last_year(grouped_quantiles(values, keys))
+    summary = drop_last_year(grouped_quantiles(values, keys, method=method))
     return quantiles_long(spread(summary, keys, "raise"), keys, variable, "Unitless")

@@ -9,6 +9,8 @@ into edge names, by which a scan of the long table skips all other rows.
 """
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +18,10 @@ from pyspark.sql import functions as F
 from trophos.functions.numeric import strict_sum
 from trophos.functions.quantiles import quantile_summary, quantiles_long
 from trophos.schemas import GROUP_COLOUR, VARIABLES
-from trophos.sources.model import edge_names
+from trophos.sources.model import edge_names, flux_names
+
+# Names of a list that Parquet compares one by one (spark.sql.parquet.pushdown.inFilterThreshold).
+PUSHED = 10
 
 
 def check_names(selected: Sequence[str] | None, names: Iterable[str] | None, rows: DataFrame) -> None:
@@ -33,7 +38,7 @@ def is_grouped(selected: Sequence[str] | None, group: bool) -> bool:
 
 
 def is_selected(column: str, selected: Sequence[str] | None) -> Column:
-    return F.lit(True) if selected is None else F.col(column).isin(list(selected))
+    return F.lit(True) if selected is None else is_one_of(column, selected)
 
 
 def group_components(
@@ -58,6 +63,23 @@ def add_labels(values: DataFrame, info: DataFrame, group_label: str | None = Non
     )
 
 
+def is_one_of(column: str, names: Sequence[str]) -> Column:
+    """``column`` is one of the names, however many, in a form that a scan can skip row groups and pages by.
+
+    Parquet gets a list of more than ten names as the range from the least to
+    the greatest.  Lists of ten arrive as they are; the whole list, a hash set,
+    is looked up first for each row that is read.
+    """
+    names = sorted(set(names))
+    whole = F.col(column).isin(names)
+    if len(names) <= PUSHED:
+        return whole
+    parts = [F.col(column).isin(names[i : i + PUSHED]) for i in range(0, len(names), PUSHED)]
+    while len(parts) > 1:  # a balanced tree of any number of lists
+        parts = [reduce(or_, parts[i : i + 8]) for i in range(0, len(parts), 8)]
+    return whole & parts[0]
+
+
 def edges_at(long: DataFrame, components: Sequence[str] | None, side: str, fluxes: DataFrame | None) -> Column:
     """Filter of the flux rows with a component at ``side``.
 
@@ -68,7 +90,7 @@ def edges_at(long: DataFrame, components: Sequence[str] | None, side: str, fluxe
         return is_selected(side, components)
     end = {"src": "From", "dst": "To"}[side]
     names = fluxes.filter(F.col(end).isin(list(components)))
-    return F.col("Var").isin(edge_names([r["Flux"] for r in names.select("Flux").collect()], fluxes))
+    return is_one_of("Var", [r["Flux"] for r in flux_names(names).select(F.col("Component").alias("Flux")).collect()])
 
 
 def own_and_flows(
@@ -80,7 +102,7 @@ def own_and_flows(
     own = F.col("kind") == "component"
     name = F.when(own, F.col("Var")).otherwise(F.col(side))
     # The first filter is implied by the second; in this form it reaches the scan.
-    near = long.filter(F.col("Var").isin(ids) | edges_at(long, ids, side, fluxes))
+    near = long.filter(is_one_of("Var", ids) | edges_at(long, ids, side, fluxes))
     rows = near.select(name.alias("ID"), "Year", "Sample_id", own.alias("own"), "dst", "value")
     return rows.filter(F.col("ID").isin(ids))
 
@@ -92,10 +114,10 @@ def biomass_values(long, components, group=False, group_label=None):
     return group_components(values, group_label) if is_grouped(components, group) else values
 
 
-def biomass_series(long, components, group=False, group_label=None, *, names=None):
+def biomass_series(long, components, group=False, group_label=None, *, names=None, method="sort"):
     check_names(components, names, biomass_values(long, components))
     values = biomass_values(long, components, group, group_label)
-    return _quant(values, "Biomass")
+    return _quant(values, "Biomass", method=method)
 
 
 def consumption_values(long, components, info, group=False, group_label=None, fluxes=None):
@@ -104,10 +126,12 @@ def consumption_values(long, components, info, group=False, group_label=None, fl
     return _flows(long, components, info, "dst", "src", group, group_label, fluxes).drop("edge")
 
 
-def consumption_series(long, components, info, group=False, group_label=None, *, names=None, fluxes=None):
+def consumption_series(
+    long, components, info, group=False, group_label=None, *, names=None, fluxes=None, method="sort"
+):
     check_names(components, names, long.filter(is_selected("dst", components)))
     flows = _flows(long, components, info, "dst", "src", group, group_label, fluxes)
-    return _flow_quant(flows, "Consumption", "All prey")
+    return _flow_quant(flows, "Consumption", "All prey", method)
 
 
 def predation_values(long, components, info, group=False, group_label=None, fluxes=None):
@@ -116,10 +140,12 @@ def predation_values(long, components, info, group=False, group_label=None, flux
     return _flows(long, components, info, "src", "dst", group, group_label, fluxes).drop("edge")
 
 
-def predation_series(long, components, info, group=False, group_label=None, *, names=None, fluxes=None):
+def predation_series(
+    long, components, info, group=False, group_label=None, *, names=None, fluxes=None, method="sort"
+):
     check_names(components, names, long.filter(is_selected("src", components)))
     flows = _flows(long, components, info, "src", "dst", group, group_label, fluxes)
-    return _flow_quant(flows, "Predation and Fisheries", "All predators")
+    return _flow_quant(flows, "Predation and Fisheries", "All predators", method)
 
 
 def flux_values(long, selected=None, group=False, group_label=None):
@@ -132,13 +158,13 @@ def flux_values(long, selected=None, group=False, group_label=None):
 
 
 def flux_series(
-    long, selected=None, group=False, group_label=None, *, names=None, fluxes=None
+    long, selected=None, group=False, group_label=None, *, names=None, fluxes=None, method="sort"
 ):
     """With ``fluxes``, the selection may also hold flux ids."""
     if fluxes is not None and selected is not None:
         selected = edge_names(selected, fluxes)
     check_names(selected, names, flux_values(long, selected))
-    return _quant(flux_values(long, selected, group, group_label), "Fluxes")
+    return _quant(flux_values(long, selected, group, group_label), "Fluxes", method=method)
 
 
 def _flows(long, components, info, focus, other, group, group_label, fluxes=None):
@@ -162,11 +188,11 @@ def _flows(long, components, info, focus, other, group, group_label, fluxes=None
     return flows
 
 
-def _quant(values, variable, keys=("Year", "ID"), na="raise"):
-    return quantiles_long(quantile_summary(values, keys, na=na), keys, variable, VARIABLES[variable][0])
+def _quant(values, variable, keys=("Year", "ID"), method="sort"):
+    return quantiles_long(quantile_summary(values, keys, method=method), keys, variable, VARIABLES[variable][0])
 
 
-def _flow_quant(flows, variable, all_label):
+def _flow_quant(flows, variable, all_label, method):
     """Totals and the flows behind them, summed and summarised in one pass."""
     extra = VARIABLES[variable][1]
     total = ["Year", "Sample_id", "ID"]
@@ -176,5 +202,5 @@ def _flow_quant(flows, variable, all_label):
     )
     label = F.when(F.col("whole"), F.lit(all_label)).otherwise(F.col("target"))
     cells = cells.select("Year", "ID", "whole", label.alias(extra), "value")
-    quant = _quant(cells, variable, ("Year", "ID", "whole", extra))
+    quant = _quant(cells, variable, ("Year", "ID", "whole", extra), method)
     return quant.select("Year", "Var", "Unit", "ID", extra, "Stat", "Value")

@@ -40,12 +40,15 @@ def compute(
     *,
     names: Sequence[str] | None = None,
     fluxes: DataFrame | None = None,
+    method: str = "sort",
 ) -> DataFrame:
     """Quantile table of a variable.  ``names`` and ``fluxes`` of the model are
-    used as in ``trophos.operators.series``."""
+    used as in ``trophos.operators.series``, ``method`` as in ``trophos.functions.quantiles``."""
     if variable not in VARIABLES:
         raise ValueError(f"unknown variable: {variable}")
-    model = {"names": names} if variable == "Biomass" else {"names": names, "fluxes": fluxes}
+    model = {"names": names, "method": method}
+    if variable != "Biomass":
+        model["fluxes"] = fluxes
     if variable in _WITH_INFO:
         return _WITH_INFO[variable](long, selected, info, group, group_label, **model)
     return _PLAIN[variable](long, selected, group, group_label, **model)
@@ -79,8 +82,9 @@ def analyze(
     fluxes: DataFrame,
     group: bool = False,
     group_label: str | None = None,
+    method: str = "sort",
 ) -> DataFrame:
     """Checks the selection against the model, then computes the variable."""
     valid = valid_names(variable, selected, resolution, fluxes)
     edges = None if variable == "Fluxes" else fluxes
-    return compute(variable, long, valid, info, group, group_label, names=valid, fluxes=edges)
+    return compute(variable, long, valid, info, group, group_label, names=valid, fluxes=edges, method=method)
