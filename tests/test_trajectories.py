@@ -154,15 +154,128 @@ def test_unknown_names_are_an_error_for_every_caller(long, info, fluxes):
                 call(**known)
 
 
+@pytest.mark.parametrize("chains", [1, 30_000])
+def test_any_number_of_chains(spark, chains):
+    """One path for every number: ids go on over the chains, each of an own length and step."""
+    rows = spark.range(chains).select(F.col("id").cast("int").alias("chain"), F.expr("id % 3 + 1").alias("n"))
+    rows = rows.select("chain", "n", F.explode(F.expr("sequence(1, n)")).alias("i"))
+    iters = F.expr("100 + i * (1 + chain % 2)")
+    wide = rows.select("chain", iters.alias("iter"), F.lit(1.0).alias("A[1]"))
+    got = trajectories.number_samples(wide.repartition(5)).orderBy("Sample_id").select("chain", "iter", "Sample_id")
+    expected = sorted((c, 100 + i * (1 + c % 2)) for c in range(chains) for i in range(1, c % 3 + 2))
+    assert [tuple(r) for r in got.collect()] == [(*pair, i) for i, pair in enumerate(expected, 1)]
+
+
 def test_every_chain_is_checked(spark):
-    """A repeat, and a NULL, in the last of more chains than the driver looks at."""
+    """A repeat, and a NULL, in the last of many chains."""
     chains = spark.range(20_050).select(F.col("id").cast("int").alias("chain"), F.lit(1).cast("long").alias("iter"), F.lit(1.0).alias("A[1]"))
     last = chains.filter("chain = 20049")
     for more in (last, last.withColumn("iter", F.lit(None).cast("long"))):
         with pytest.raises(ValueError, match="identify"):
             trajectories.number_samples(chains.unionByName(more))
-    got = trajectories.number_samples(chains).agg(F.count("*"), F.max("Sample_id")).first()
-    assert tuple(got) == (20_050, 20_050)
+
+
+def test_many_paths_are_one_scan(spark, tmp_path, capsys):
+    """500 chains in files and folders with odd names; the order of the list counts."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    paths = []
+    for i in range(500):
+        path = tmp_path / f"chain {499 - i:03d} %41.parquet"
+        table = pa.table({"iter": pa.array([1, 2]), "A[1]": [float(i), i + 0.5]})
+        if i % 100 == 0:
+            path.mkdir()
+            pq.write_table(table, path / "part.parquet")
+        else:
+            pq.write_table(table, path)
+        paths.append(str(path))
+    wide = trajectories.read_trajectories(spark, paths)
+    rows = wide.orderBy("Sample_id").select("chain", "iter", "`A[1]`").collect()
+    assert [tuple(r) for r in rows] == [(i + 1, j, i + (j - 1) / 2) for i in range(500) for j in (1, 2)]
+    wide.explain()
+    assert capsys.readouterr().out.count("FileScan parquet [iter") == 1
+
+
+def test_chain_without_a_column(spark, tmp_path):
+    frames = {"a": [(1, 2.0, 3.0)], "b": [(1, 4.0)]}
+    for name, rows in frames.items():
+        columns = ["iter", "A[1]", "B[1]"][: len(rows[0])]
+        spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/{name}")
+    wide = trajectories.read_trajectories(spark, [f"{tmp_path}/{n}" for n in "ba"]).orderBy("Sample_id")
+    assert [tuple(r) for r in wide.select("`A[1]`", "`B[1]`").collect()] == [(4.0, None), (2.0, 3.0)]
+    with pytest.raises(ValueError):
+        trajectories.read_trajectories(spark, [])
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_order_over_several_files(spark, tmp_path, fmt):
+    """Palette colours follow files and rows, however the files are split and read."""
+    from trophos.operators.metadata import reconcile_metadata
+
+    names = [f"C{i * 37 % 1000:03d}" for i in range(1000)]
+    for k in range(4):
+        part = spark.createDataFrame([(n, 1) for n in names[250 * k : 250 * k + 250]], "Component string, Inside int")
+        part.coalesce(1).write.format(fmt).option("header", True).save(f"{tmp_path}/components/k={k}")
+    spark.createDataFrame(FLUXES, "Flux string, From string, To string").write.format(fmt).option("header", True).save(f"{tmp_path}/fluxes")
+    empty = spark.createDataFrame([], "ID string, FullName string, Colour string")
+    key, found = "spark.sql.files.maxPartitionBytes", []
+    for size in ("128m", "600", "2000"):
+        spark.conf.set(key, size)
+        try:
+            components, _ = model.read_model(spark, str(tmp_path), fmt)
+            assert [r["Component"] for r in components.orderBy("Ord").collect()] == names
+            found.append(sorted(map(tuple, reconcile_metadata(empty, model.dimension(components)).collect())))
+        finally:
+            spark.conf.unset(key)
+    assert found[0] == found[1] == found[2]
+
+
+def test_dimension_of_any_size(spark):
+    for n in (0, 3, 30_000):
+        table = model.dimension(spark.range(n).select(F.col("id").cast("string").alias("ID")))
+        assert table.count() == n and table.columns == ["ID"]
+
+
+def scanned_rows(df):
+    """Rows that the file scans of a query gave, after row groups and pages were skipped."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    seen, todo = 0, [plan.executedPlan() if "Adaptive" in plan.getClass().getSimpleName() else plan]
+    while todo:
+        node = todo.pop()
+        if "QueryStage" in node.getClass().getSimpleName():
+            node = node.plan()
+        if "FileSourceScan" in node.getClass().getSimpleName():
+            seen += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return seen
+
+
+def test_forty_edges_do_not_read_the_others(spark, tmp_path):
+    """The edges of one predator lie all over the names; more than ten reach Parquet one by one."""
+    edges = [(f"X{i}", f"P{i // 40:03d}", f"Q{i % 40:02d}") for i in range(8_000)]
+    fluxes = spark.createDataFrame(edges, "Flux string, From string, To string")
+    rows = spark.createDataFrame([(f"{f}_{t}", f, t) for _, f, t in edges], "Var string, src string, dst string")
+    long = rows.crossJoin(spark.range(1, 26).withColumnRenamed("id", "Sample_id")).select(
+        "Sample_id", F.lit("flux").alias("kind"), "Var", "src", "dst", F.lit(1).alias("Year"),
+        F.lit(1.0).alias("value"), F.lit(None).cast("int").alias("Trophic"),
+    )
+    key = "parquet.page.row.count.limit"
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set(key, "500")
+    try:
+        trajectories.write_long(long.coalesce(1), f"{tmp_path}/long")
+    finally:
+        conf.unset(key)
+    back = trajectories.read_long(spark, f"{tmp_path}/long")
+    chosen = [f"Q{i:02d}" for i in (7,)]
+    info = spark.createDataFrame([], "ID string, FullName string, Colour string")
+    some = fluxes.filter(F.col("From") < "P040")
+    few = series.consumption_values(back, chosen, info, fluxes=some)
+    assert few.count() == 40 * 25
+    assert scanned_rows(few) < 40 * 25 * 25 < long.count() / 4
 
 
 def test_chains_with_another_header_or_short_rows_are_refused(spark, tmp_path):

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from trophos.plans.scratch import Scratch
 from trophos.schemas import COMPONENTS, FLUXES
 
-# Rows up to which a dimension table is held as a local relation.
-DIMENSION_LIMIT = 20_000
+# Where a row stands: its file, the beginning of its split, and its number there.
+# Splits and partitions number rows differently, but always in this order.
+PLACE = ("_metadata.file_path", "_metadata.file_block_start")
 
 # A wide column: <name>[<year>].
 CELL = re.compile(r"(.*)\[(.*)\]", re.DOTALL)
@@ -25,7 +27,8 @@ OPTIONAL = ("X", "Y", "Trophic")
 
 def read_table(spark: SparkSession, path: str, fmt: str, schema: StructType) -> DataFrame:
     """The columns of ``schema`` that the table has, in their types, and NULL
-    for optional ones it lacks.  Malformed CSV rows are an error."""
+    for optional ones it lacks, with the order of the rows in ``Ord``: files by
+    name, and the order within each.  Malformed CSV rows are an error."""
     if fmt == "csv":
         types = {f.name: f.dataType for f in schema}
         found = spark.read.csv(path, header=True).columns
@@ -41,16 +44,15 @@ def read_table(spark: SparkSession, path: str, fmt: str, schema: StructType) ->
             columns.append(F.col(f.name).cast(f.dataType).alias(f.name))
         elif f.name in OPTIONAL:
             columns.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return df.select(columns)
+    place = F.struct(*map(F.col, PLACE), F.monotonically_increasing_id().alias("row"))
+    return df.select(*columns, place.alias("Ord"))
 
 
 def read_model(spark: SparkSession, path: str, fmt: str = "parquet"):
     """``(components, fluxes)`` of ``<path>/components`` and ``<path>/fluxes``,
-    each with its row order (of a single file) in ``Ord``."""
+    each of any number of files, with its row order in ``Ord``."""
     components = read_table(spark, f"{path}/components", fmt, COMPONENTS)
-    fluxes = read_table(spark, f"{path}/fluxes", fmt, FLUXES)
-    order = F.monotonically_increasing_id().alias("Ord")
-    return components.select("*", order), fluxes.select("*", order)
+    return components, read_table(spark, f"{path}/fluxes", fmt, FLUXES)
 
 
 def in_order(components: DataFrame) -> DataFrame:
@@ -60,14 +62,13 @@ def in_order(components: DataFrame) -> DataFrame:
     return components.withColumn("Ord", F.col("Component"))
 
 
-def dimension(df: DataFrame, limit: int = DIMENSION_LIMIT) -> DataFrame:
-    """A small table fetched once, so that plans know its exact size.
+def dimension(df: DataFrame) -> DataFrame:
+    """A model's table computed once, so that later plans read it and know its size.
 
-    Spark broadcasts it when that is below its own threshold.  A table with
-    more than ``limit`` rows is returned as it is and joined by a shuffle.
+    It is written to the shared folder, whatever its size; nothing of it goes
+    through the driver.  Spark broadcasts it where it is below its own threshold.
     """
-    rows = df.limit(limit + 1).toArrow()
-    return df if rows.num_rows > limit else df.sparkSession.createDataFrame(rows, df.schema)
+    return Scratch(df.sparkSession).keep(df, "dimension")
 
 
 def flux_names(fluxes: DataFrame) -> DataFrame:

@@ -9,34 +9,44 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from trophos.plans.scratch import Scratch
 from trophos.schemas import LONG
-from trophos.sources.model import CELL, DIMENSION_LIMIT, local_table, value_columns
+from trophos.sources.model import CELL, local_table, value_columns
 
 
 def read_trajectories(spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet") -> DataFrame:
     """The wide matrix with ``Sample_id`` 1 … n over its stacked chains.
 
     One path holds all chains (columns ``chain, iter, "<name>[<year>]" …``);
-    a list holds one chain per path, numbered in that order.
+    a list holds one chain per path, numbered in that order.  A list is one
+    scan, in which a row's file tells its chain; a value column that only some
+    Parquet chains have is missing in the others, CSV chains need one header.
     """
     if isinstance(path, str):
-        wide = _read(spark, path, fmt)
-    else:
-        parts = [_read(spark, p, fmt).withColumn("chain", F.lit(i)) for i, p in enumerate(path, 1)]
-        wide = parts[0]
-        for part in parts[1:]:
-            wide = wide.unionByName(part)
-    return number_samples(wide)
+        return number_samples(_read(spark, path, fmt))
+    if not path:
+        raise ValueError("no chain to read")
+    numbers = [(file, i) for i, p in enumerate(path, 1) for file in _files(spark, p)]
+    # one row per file, which the driver has listed anyway
+    chains = local_table(spark, numbers, "file string, chain int")
+    file = F.regexp_replace("_metadata.file_path", "^file:///", "file:/").alias("_file")
+    rows = _read(spark, list(dict.fromkeys(path)), fmt, file)
+    rows = rows.drop("chain").join(F.broadcast(chains), F.col("_file") == F.col("file"))
+    return number_samples(rows.drop("_file", "file"))
 
 
-def _read(spark, path, fmt):
+def _files(spark, path):
+    """The files of a chain, as their rows name them; no file is opened."""
+    return [re.sub("^file:///", "file:/", f) for f in spark.read.format("text").load(path).inputFiles()]
+
+
+def _read(spark, path, fmt, *more):
     if fmt != "csv":
-        return spark.read.format(fmt).load(path)
+        return spark.read.option("mergeSchema", "true").format(fmt).load(path).select("*", *more)
     # the header of every file must be that of the first; longer and shorter rows are errors
     text = StructType([StructField(c, StringType()) for c in spark.read.csv(path, header=True).columns])
     raw = spark.read.schema(text).csv(path, header=True, nullValue="NA", mode="FAILFAST", enforceSchema=False)
     types = {"chain": "int", "iter": "bigint"}
     casts = [f"cast({q} as {types.get(c, 'double')}) as {q}" for c in raw.columns for q in (_quoted(c),)]
-    return raw.selectExpr(*casts)
+    return raw.select(*map(F.expr, casts), *more)
 
 
 def _quoted(name: str) -> str:
@@ -47,35 +57,40 @@ def number_samples(wide: DataFrame) -> DataFrame:
     """Adds ``Sample_id``: contiguous from 1 in the order of (chain, iter).
 
     Evenly spaced iterations give the id by arithmetic from per-chain counts,
-    without moving a row.  Otherwise the (chain, iter) pairs alone are sorted
-    by range over all tasks and their ids joined back.
+    without moving a row; the ids before each chain are a prefix sum over the
+    chains, of which there may be any number.  Otherwise the (chain, iter) pairs
+    alone are sorted by range over all tasks and their ids joined back.
     """
+    scratch = Scratch(wide.sparkSession)
     ids = wide.select("chain", "iter")
     chains = ids.groupBy("chain").agg(
         F.count("*").alias("n"), F.count_distinct("iter").alias("distinct"),
         F.min("iter").alias("first"), F.max("iter").alias("last"),
     )
-    # every chain is looked at, however many there are; a NULL iter is not distinct from anything
-    repeated = F.col("chain").isNull() | (F.col("n") != F.col("distinct"))
-    if chains.agg(F.bool_or(repeated)).first()[0]:
+    gaps = F.greatest(F.col("n") - 1, F.lit(1))
+    chains = scratch.keep(
+        chains.select(
+            "chain", "n", "first",
+            # a NULL iter is not distinct from anything
+            (F.col("chain").isNull() | (F.col("n") != F.col("distinct"))).alias("repeated"),
+            ((F.col("last") - F.col("first")) % gaps != 0).alias("uneven"),
+            F.greatest(F.expr("(last - first) div greatest(n - 1, 1)"), F.lit(1)).alias("step"),
+        ),
+        "chains",
+    )
+    seen = chains.agg(F.bool_or("repeated"), F.bool_or("uneven"), F.max("step")).first()
+    if seen[0]:
         raise ValueError("chain and iter must identify each row")
-    rows = chains.orderBy("chain").limit(DIMENSION_LIMIT + 1).collect()
-    if len(rows) > DIMENSION_LIMIT:
-        return _ranked(wide)
-    starts, offset = [], 0
-    for r in rows:
-        step, rest = divmod(r["last"] - r["first"], max(r["n"] - 1, 1))
-        if rest:
-            return _ranked(wide)
-        starts.append((r["chain"], r["first"], max(step, 1), offset))
-        offset += r["n"]
-    chains = local_table(wide.sparkSession, starts, "chain int, first bigint, step bigint, offset bigint")
-    since = F.col("iter") - F.col("first")
+    if seen[1]:
+        return _ranked(wide, scratch)
+    chains = running_total(chains, "chain", "n", "offset", scratch).select("chain", "first", "step", "offset")
+    chains = scratch.keep(chains, "offsets")
     # n different integers within a range of n values leave no gap; wider steps
     # need a look at every iteration.
-    if any(step > 1 for _, _, step, _ in starts):
-        if not ids.join(chains, "chain").filter(since % F.col("step") != 0).isEmpty():
-            return _ranked(wide)
+    if (seen[2] or 1) > 1:
+        beside = (F.col("iter") - F.col("first")) % F.col("step") != 0
+        if not ids.join(chains, "chain").filter(beside).isEmpty():
+            return _ranked(wide, scratch)
     index = F.expr("(iter - first) div step")
     return (
         wide.join(chains, "chain")
@@ -84,22 +99,35 @@ def number_samples(wide: DataFrame) -> DataFrame:
     )
 
 
-def _ranked(wide):
-    scratch = Scratch(wide.sparkSession)
+def running_total(table: DataFrame, order: str, value: str, name: str, scratch: Scratch) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows before, by ``order``, which must be unique.
+
+    The rows are sorted by range over all tasks; each sums its own, and one sum
+    per sorted partition says what comes before it.
+    """
+    rows = _sorted(table, [order], scratch, f"{name}_sorted")
+    parts = rows.groupBy("part").agg(F.sum(value).alias("sum"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("earlier"))
+    own = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("own", F.coalesce(F.sum(value).over(own), F.lit(0)))
+    rows = rows.join(parts, "part").withColumn(name, F.col("earlier") + F.col("own"))
+    return rows.drop("part", "place", "earlier", "own")
+
+
+def _sorted(rows, order, scratch, name):
+    """``rows`` written in order, with the number of a row's sorted partition and its place in it."""
     # The id of a sorted row holds its partition (high bits) and its place in
     # it (low 33 bits).  It is written so that later reads see the same ids.
-    ids = scratch.keep(
-        wide.select("chain", "iter")
-        .repartitionByRange("chain", "iter")
-        .sortWithinPartitions("chain", "iter")
-        .withColumn("at", F.monotonically_increasing_id()),
-        "ids",
-    )
-    ids = ids.select(
-        "chain", "iter",
-        F.shiftright("at", 33).alias("part"),
-        F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"),
-    )
+    ids = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    ids = scratch.keep(ids, name)
+    return ids.withColumns(
+        {"part": F.shiftright("at", 33), "place": F.col("at").bitwiseAND(F.lit((1 << 33) - 1))}
+    ).drop("at")
+
+
+def _ranked(wide, scratch):
+    ids = _sorted(wide.select("chain", "iter"), ["chain", "iter"], scratch, "ids")
     # One row per sorted partition.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ids.groupBy("part").count().select(
