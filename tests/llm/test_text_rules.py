@@ -100,6 +100,100 @@ MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE""",
 }
 
 
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+{m}Redistributions of source code must retain the above copyright notice,
+  this list of conditions and the following disclaimer.
+{m}Redistributions in binary form must reproduce the above copyright notice,
+  this list of conditions and the following disclaimer in the documentation
+  and/or other materials provided with the distribution.
+{clause}
+THIS SOFTWARE IS PROVIDED BY {by} "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL {by} BE LIABLE FOR ANY DIRECT DAMAGES."""
+NAMES_CLAUSE = """{m}Neither the name of {who} nor the names of its
+  contributors may be used to endorse or promote products derived from
+  this software without specific prior written permission.
+"""
+HOLDERS = "THE COPYRIGHT HOLDERS AND CONTRIBUTORS"
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+ONLY = GPL.replace("either version {version} of the License, or\n(at your option) any later version.", "version {version} of the License.")
+
+
+def _bsd(mark="* ", who=None, by=HOLDERS, clause=""):
+    return BSD.format(m=mark, by=by, clause=NAMES_CLAUSE.format(m=mark, who=who) if who else clause)
+
+
+#: Real notices, as they are found in files, and what they are.
+EXPECTED = [
+    (_bsd(), "BSD-2-Clause"),
+    (_bsd("1. ", by="THE REGENTS"), "BSD-2-Clause"),
+    (_bsd("", by="JANE DOE"), "BSD-2-Clause"),
+    (_bsd(who="the copyright holder"), "BSD-3-Clause"),
+    (_bsd(who="Google Inc."), "BSD-3-Clause"),
+    (_bsd("   - ", who="the University of California, Berkeley"), "BSD-3-Clause"),
+    (_bsd("3. ", who="the <organization>", by="<COPYRIGHT HOLDER>"), "BSD-3-Clause"),
+    (_bsd(clause="* The name of the author must be spelled in the permission notice of each copy of the work.\n"), ""),
+    (_bsd(clause="* Neither the name of A nor anyone may distribute this software on weekdays.\n"), ""),
+    (MIT, "MIT"),
+    ("Copyright (c) 2020 Someone\n\n" + MIT + " IN NO EVENT", "MIT"),
+    (MIT.replace("substantial portions of the Software.", "portions. Permission to sell copies is withheld."), ""),
+    (ONLY.format(a=";", b=";", kind="", version="2", c="."), "GPL-2.0-only"),
+    (ONLY.format(a=":", b=",", kind="", version="3", c="."), "GPL-3.0-only"),
+    (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License version 2 as published by the Free Software Foundation.\n\nThis program is distributed in the hope that it "
+        "will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+        "PARTICULAR PURPOSE.",
+        "GPL-2.0-only",
+    ),
+    (GPL.format(a=":", b=",", kind="Lesser ", version="3", c=".").replace(" program", " library"), "LGPL-3.0-or-later"),
+    (
+        "This software is provided 'as-is', without any express or implied\nwarranty.  In no event will the authors be held "
+        "liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone to use this "
+        "software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to "
+        "the following restrictions:\n\n1. The origin of this software must not be misrepresented;",
+        "Zlib",
+    ),
+    ("// Distributed under the Boost Software License, Version 1.0.\n// (See accompanying file LICENSE_1_0.txt)", "BSL-1.0"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
+    ("Licensed under Creative Commons Attribution-ShareAlike 3.0 Unported.", "CC-BY-SA-3.0"),
+    ("This work is licensed under the Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "CC-BY-NC-ND-4.0"),
+    ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+    ("// SPDX-License-Identifier: Apache-2.0\n#include <x>", "Apache-2.0"),
+    ("/* SPDX-License-Identifier: GPL-2.0-only */", "GPL-2.0-only"),
+    ("# SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"),
+    ("SPDX-License-Identifier: Made-Up-1.0", ""),
+    (
+        "This program and the accompanying materials are made available under the\nterms of the Eclipse Public License v. 2.0 "
+        "which is available at\nhttps://www.eclipse.org/legal/epl-2.0.",
+        "EPL-2.0",
+    ),
+    ("This file is released under the zlib License.", "Zlib"),
+    ("This project is available under the ISC license.", "ISC"),
+    ("Copyright 2001 A. Person. All rights reserved.", ""),
+]
+
+
+def test_notices_with_names_and_clauses(spark):
+    found = _scan(spark, *[text for text, _ in EXPECTED])
+    assert [(i, *f) for i, (f, (_, name)) in enumerate(zip(found, EXPECTED)) if f[1] != name] == []
+
+
 def test_standard_notices(spark):
     texts = list(NOTICE_TEXTS.values())
     commented = ["\n".join(f" * {line}".rstrip() for line in t.split("\n")) for t in texts]
@@ -113,7 +207,8 @@ def test_gnu_rules_in_all_their_forms(spark):
     """Each mark before the version and before "without even", each subject."""
     texts, names = [], []
     for name, kind, version in (
-        ("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("AGPL-3.0", "Affero ", "3"),
+        ("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser ", "2.1"),
+        ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3"),
     ):
         for mark in ";,":
             for last in ";,":
@@ -122,7 +217,7 @@ def test_gnu_rules_in_all_their_forms(spark):
                     texts.append(text.replace(" program", " " + subject))
                     names.append(f"{name}-or-later")
     assert [x[1] for x in _scan(spark, *texts)] == names
-    assert len(texts) == sum(name in L.GNU_GRANTS for name, _ in L.RULES)
+    assert len(texts) == sum(name in L.GNU_GRANTS and name.endswith("or-later") for name, _ in L.RULES)
 
 
 def test_odd_rows_of_the_scan(odd, empty):

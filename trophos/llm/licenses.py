@@ -3,7 +3,9 @@
 A text is cut into sentences, and each is normalised: lower case, letters, digits,
 ``+`` and inner dots only.  A table maps normalised sentences to identifiers; the
 identifiers of a text, in order, are matched with the licence rules, each an
-ordered list of identifiers that must follow one another.  A rule that lies
+ordered list of identifiers that must follow one another.  Sentences with a name
+in them are known by a pattern.  A sentence with licence words that is not known
+parts those beside it, so that a rule never skips a clause.  A rule that lies
 inside a longer matching rule of the text says nothing of its own and is left out.
 
 All of it happens within the row; the tables are constants of bounded size.  Only
@@ -17,6 +19,21 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The long names of the Creative Commons licences, normalised, and what follows their version.
+CREATIVE_COMMONS = {
+    "by": ("attribution",),
+    "by sa": ("attribution sharealike", "attribution share alike"),
+    "by nc": ("attribution noncommercial", "attribution non commercial"),
+    "by nd": ("attribution noderivatives", "attribution noderivs", "attribution no derivatives"),
+    "by nc sa": ("attribution noncommercial sharealike", "attribution non commercial share alike"),
+    "by nc nd": ("attribution noncommercial noderivatives", "attribution noncommercial noderivs"),
+}
+ENDS = {
+    "2.0": ("generic", "generic license", "license"),
+    "3.0": ("unported", "unported license", "license"),
+    "4.0": ("international", "international license", "international public license", "license"),
+}
+
 # Names of licences in notices, normalised.
 NAMES = {
     "MIT": ("mit license", "mit licence", "expat license"),
@@ -28,18 +45,32 @@ NAMES = {
     "AGPL-3.0": ("gnu affero general public license version 3", "agplv3", "agpl 3.0"),
     "MPL-2.0": ("mozilla public license version 2.0", "mozilla public license 2.0", "mpl 2.0"),
     "EPL-2.0": ("eclipse public license version 2.0", "eclipse public license 2.0", "epl 2.0"),
+    "BSL-1.0": ("boost software license version 1.0", "boost software license 1.0", "boost license 1.0"),
+    "Zlib": ("zlib license",),
     "BSD-2-Clause": ("bsd 2 clause license", "2 clause bsd license", "simplified bsd license"),
     "BSD-3-Clause": ("bsd 3 clause license", "3 clause bsd license", "new bsd license"),
     "ISC": ("isc license",),
     "Unlicense": ("unlicense",),
     "CC0-1.0": ("cc0 1.0", "creative commons zero 1.0", "cc0 1.0 universal"),
 } | {
-    f"CC-{kind.upper().replace(' ', '-')}-{version}": (f"cc {kind} {version}", f"creative commons {kind} {version}")
-    for kind in ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd")
+    f"CC-{kind.upper().replace(' ', '-')}-{version}": (
+        f"cc {kind} {version}",
+        f"creative commons {kind} {version}",
+        *(
+            f"creative commons {words} {version} {end}"
+            for words in long for end in ENDS[version]
+        ),
+    )
+    for kind, long in CREATIVE_COMMONS.items()
     for version in ("2.0", "3.0", "4.0")
-}
+}
+# Identifiers of licences as files name them.
+SPDX = (
+    *NAMES, "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later",
+    "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-4-Clause",
+)
 NOTICES = (
-    "licensed under {}", "licensed under the {}", "released under {}", "released under the {}",
+    "licensed under {}", "licensed under the {}", "licensed under a {}", "released under {}", "released under the {}",
     "distributed under {}", "distributed under the {}", "distributed under the terms of the {}",
     "available under the {}", "published under the {}", "license {}",
 )
@@ -60,6 +91,7 @@ SENTENCES = {
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd-names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-advertising": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
     "bsd-as-is": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
     "apache-grant": "licensed under the apache license version 2.0 the license",
     "apache-use": "you may not use this file except in compliance with the license",
@@ -69,12 +101,18 @@ SENTENCES = {
     "gpl-grant": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
     "lgpl-grant": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
     "agpl-grant": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+    "version-2-only": "version 2 of the license",
+    "version-3-only": "version 3 of the license",
+    "gpl2-only-grant": "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "gpl2-only-whole": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license",
+    "gpl3-only-whole": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license",
     "version-2": "either version 2 of the license or at your option any later version",
     "version-2.1": "either version 2.1 of the license or at your option any later version",
     "version-3": "either version 3 of the license or at your option any later version",
     "gpl2-grant": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "gpl3-grant": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "lgpl21-grant": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version",
+    "lgpl3-grant": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "agpl3-grant": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl-no-warranty": "this program is distributed in the hope that it will be useful but without any warranty",
     "lgpl-no-warranty": "this library is distributed in the hope that it will be useful but without any warranty",
@@ -85,10 +123,34 @@ SENTENCES = {
     # "v. 2.0" is cut, too
     "mpl-terms": "this source code form is subject to the terms of the mozilla public license v",
     "mpl-version": "2.0",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-liable": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "boost-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "epl-terms": "this program and the accompanying materials are made available under the terms of the eclipse public license v",
+    "epl-version": "2.0 which is available at https www.eclipse.org legal epl 2.0",
+    "epl-whole": "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https www.eclipse.org legal epl 2.0",
     "unlicense-domain": "this is free and unencumbered software released into the public domain",
 }
 
+#: Sentences with a place for a name: a pattern of the normalised sentence, and the sentence it stands for.
+SLOTS = (
+    (
+        r"^neither the names? of (?:.*) n?or the names of (?:.*)contributors may be used to endorse or promote products"
+        r" derived from this software without specific prior written permission$",
+        SENTENCES["bsd-names"],
+    ),
+    (
+        r"^this software is provided by (?:.*) as is and any express or implied warranties including but not limited to the"
+        r" implied warranties of merchantability and fitness for a particular purpose are disclaimed$",
+        SENTENCES["bsd-as-is"],
+    ),
+)
+
 GNU_GRANTS = {
+    "GPL-2.0-only": (("gpl-grant", "version-2-only"), ("gpl2-only-grant",), ("gpl2-only-whole",)),
+    "GPL-3.0-only": (("gpl-grant", "version-3-only"), ("gpl3-only-whole",)),
+    "LGPL-3.0-or-later": (("lgpl-grant", "version-3"), ("lgpl3-grant",)),
     "GPL-2.0-or-later": (("gpl-grant", "version-2"), ("gpl2-grant",)),
     "GPL-3.0-or-later": (("gpl-grant", "version-3"), ("gpl3-grant",)),
     "LGPL-2.1-or-later": (("lgpl-grant", "version-2.1"), ("lgpl21-grant",)),
@@ -104,16 +166,30 @@ RULES = [
     ("MIT", ("mit-grant", "mit-notice", "as-is")),
     ("ISC", ("isc-grant", "isc-as-is")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-as-is")),
+    ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-names", "bsd-as-is")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is")),
     ("Apache-2.0", ("apache-grant", "apache-use", "apache-copy", "apache-basis")),
     ("Apache-2.0", ("apache-grant", "apache-use")),
     *[(name, (*grant, *rest)) for name, grants in GNU_GRANTS.items() for grant in grants for rest in GNU_WARRANTIES],
     ("MPL-2.0", ("mpl-terms", "mpl-version")),
+    ("Zlib", ("zlib-as-is", "zlib-liable", "zlib-grant")),
+    ("BSL-1.0", ("boost-grant",)),
+    ("EPL-2.0", ("epl-terms", "epl-version")),
+    ("EPL-2.0", ("epl-whole",)),
     ("Unlicense", ("unlicense-domain",)),
-    *[(name, (f"notice:{name}",)) for name in NAMES],
+    *[(name, (f"notice:{name}",)) for name in SPDX],
 ]
 
-TRIGGER = r"(?i)licen[sc]e|unencumbered|permission|copyright|copy of|distribut|released|published|available|warrant|provided|2\.0"
+TRIGGER = (
+    r"(?i)licen[sc]e|unencumbered|permission|copyright|copy of|distribut|released|published|available|warrant|provided"
+    r"|advertising|in no event|2\.0"
+)
+#: What stands in the chain of identifiers for a sentence of licence words that is not known; links stand for nothing.
+UNKNOWN, LINK = "?", r"^\W*(?:https?:|<https?:|www\.)"
+#: A dot that ends no sentence.
+SHORTENED = r"(?i)\b(inc|ltd|corp|co|llc)[.](,?[\x20\x09-\x0D]+(?-i:[a-z]))"
+#: A file's tag is a sentence of its own.
+TAG, TAGGED = r"(?i)SPDX-License-Identifier:[\x20\x09]*([A-Za-z0-9.+-]*[A-Za-z0-9+])", "spdx license identifier"
 
 
 def known_sentences() -> dict[str, str]:
@@ -124,6 +200,8 @@ def known_sentences() -> dict[str, str]:
             for notice in NOTICES:
                 for subject in SUBJECTS:
                     found.setdefault(subject + notice.format(name), f"notice:{licence}")
+    for name in SPDX:
+        found[f"{TAGGED} {re.sub('[^a-z0-9.+]+', ' ', name.lower())}"] = f"notice:{name}"
     missing = [s for s in found if not re.search(TRIGGER, s)]
     if missing:
         raise ValueError(f"no trigger word in {missing}")
@@ -136,12 +214,17 @@ def _lower(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences, which end at a blank line or at a mark before white space."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?;:])[\x20\x09-\x0D]+", "$1\u0001")
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), SHORTENED, "$1$2")
+    tagged = F.regexp_replace(plain, TAG, f"\u0001{TAGGED} $1\u0001")
+    marked = F.regexp_replace(tagged, r"([.!?;:])[\x20\x09-\x0D]+", "$1\u0001")
     return F.split(marked, r"\x01|\n[\x20\x09-\x0D]*\n")
 
 
 def normalised(sentence: Column) -> Column:
-    return F.btrim(F.regexp_replace(_lower(sentence), r"[^a-z0-9.+]+", " "), F.lit(" ."))
+    plain = F.btrim(F.regexp_replace(_lower(sentence), r"[^a-z0-9.+]+", " "), F.lit(" ."))
+    for pattern, stands_for in SLOTS:
+        plain = F.regexp_replace(plain, pattern, stands_for)
+    return plain
 
 
 def scan(documents: DataFrame) -> DataFrame:
@@ -167,8 +250,16 @@ def scan(documents: DataFrame) -> DataFrame:
         "_candidates",
         lambda x: F.transform(identifiers(x["s"]), lambda d: F.struct(x["i"].alias("sentence"), d.alias("identifier"))),
     )
-    rows = rows.select("doc_id", F.flatten(looked_up).alias("found"))
-    chain = F.concat(F.lit(" "), F.array_join("found.identifier", " "), F.lit(" "))
+    looked_up = rows.withColumn("_found", looked_up)
+    rows = looked_up.select("doc_id", F.flatten("_found").alias("found"), "_found", "_candidates")
+    # what is not known parts the sentences before and after it
+    links = F.transform(
+        F.arrays_zip("_found", "_candidates"),
+        lambda x: F.when(F.size(x["_found"]) > 0, F.transform(x["_found"], lambda f: f["identifier"]))
+        .when(x["_candidates"]["s"].rlike(LINK), F.array().cast("array<string>"))
+        .otherwise(F.array(F.lit(UNKNOWN))),
+    )
+    chain = F.concat(F.lit(" "), F.array_join(F.flatten(links), " "), F.lit(" "))
     rows = rows.withColumn("_chain", F.when(F.size("found") > 0, chain))
     rules = F.array(*[F.struct(F.lit(n).alias("licence"), F.lit(f" {' '.join(ids)} ").alias("ids")) for n, ids in RULES])
     matching = F.filter(rules, lambda r: F.instr(F.col("_chain"), r["ids"]) > 0)

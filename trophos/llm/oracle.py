@@ -1,6 +1,6 @@
 """DuckDB twins of the queries that SQL can express, in formulations of their own."""
 
-from trophos.llm.licenses import NAMES, NOTICES, RULES, SENTENCES, SUBJECTS
+from trophos.llm.licenses import LINK, NAMES, NOTICES, RULES, SENTENCES, SHORTENED, SLOTS, SPDX, SUBJECTS, TAG, TAGGED, TRIGGER
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -20,12 +20,13 @@ subjects(subject) as (values {_values((s,) for s in SUBJECTS)}),
 known as (
   select subject || replace(notice, '{{}}', alias) as s, 'notice:' || licence as identifier
   from names, notices, subjects
-  union all select * from (values {_values((t, n) for n, t in SENTENCES.items())})),
+  union all select * from (values {_values((t, n) for n, t in SENTENCES.items())})
+  union all select * from (values {_values((TAGGED + " " + n.lower().replace("-", " "), "notice:" + n) for n in SPDX)})),
 rules(licence, ids) as (values {_values((n, ' ' + ' '.join(ids) + ' ') for n, ids in RULES)}),
 cut as (
   select doc_id, unnest(list_zip(s, range(len(s))), recursive := true)
   from (select doc_id, regexp_split_to_array(
-          regexp_replace(coalesce(text, ''), '([.!?;:])[\x20\x09-\x0D]+', '\1' || chr(1), 'g'),
+          regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '{SHORTENED}', '\1\2', 'g'), '{TAG}', chr(1) || '{TAGGED} \1' || chr(1), 'g'), '([.!?;:])[\x20\x09-\x0D]+', '\1' || chr(1), 'g'),
           '\x01|\n[\x20\x09-\x0D]*\n') as s from documents)),
 sentences(doc_id, sentence, i) as (select * from cut),
 norm as (
@@ -39,10 +40,18 @@ found as (
   select * from whole
   union all
   select doc_id, i, line, identifier from (select doc_id, i, line, {_normal('sentence')} as s from lines) join known using (s)),
+parted as (
+  select doc_id, i, line, identifier from found
+  union all
+  select doc_id, i, 0, '?' from norm n
+  where regexp_matches(sentence, '{TRIGGER}') and not regexp_matches(sentence, '{LINK}')
+    and not exists (select 1 from found f where f.doc_id = n.doc_id and f.i = n.i)),
 chains as (
-  select doc_id, count(*) as n_found, string_agg(identifier, ' ' order by i, line) as identifiers from found group by doc_id),
+  select doc_id, count(*) filter (where identifier <> '?') as n_found, string_agg(identifier, ' ' order by i, line) as chain,
+         string_agg(identifier, ' ' order by i, line) filter (where identifier <> '?') as identifiers
+  from parted group by doc_id),
 matching as (
-  select doc_id, r.licence, r.ids from chains c join rules r on contains(' ' || c.identifiers || ' ', r.ids)),
+  select doc_id, r.licence, r.ids from chains c join rules r on n_found > 0 and contains(' ' || c.chain || ' ', r.ids)),
 own as (
   select distinct doc_id, licence from matching m where not exists (
     select 1 from matching o where o.doc_id = m.doc_id and len(o.ids) > len(m.ids) and contains(o.ids, m.ids))),
@@ -52,7 +61,10 @@ from documents d left join chains using (doc_id) left join named using (doc_id)"
 
 
 def _normal(column: str) -> str:
-    return f"trim(regexp_replace({LOWER.format(column)}, '[^a-z0-9.+]+', ' ', 'g'), ' .')"
+    plain = f"trim(regexp_replace({LOWER.format(column)}, '[^a-z0-9.+]+', ' ', 'g'), ' .')"
+    for pattern, stands_for in SLOTS:
+        plain = f"regexp_replace({plain}, '{pattern}', '{stands_for}')"
+    return plain
 
 
 LINE_QUALITY = rf"""
