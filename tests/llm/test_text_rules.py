@@ -217,7 +217,8 @@ def test_gnu_rules_in_all_their_forms(spark):
                     texts.append(text.replace(" program", " " + subject))
                     names.append(f"{name}-or-later")
     assert [x[1] for x in _scan(spark, *texts)] == names
-    assert len(texts) == sum(name in L.GNU_GRANTS and name.endswith("or-later") for name, _ in L.RULES)
+    own = [name for name, ids in L.RULES if name in L.GNU_GRANTS and name.endswith("or-later") and ids[0][:7] != "notice:"]
+    assert len(texts) == len(own)
 
 
 def test_odd_rows_of_the_scan(odd, empty):
