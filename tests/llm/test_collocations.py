@@ -87,7 +87,7 @@ def test_scores_beyond_64_bits(spark):
 
 def _random_paths(seed, n, labels):
     pick = np.random.default_rng(seed)
-    paths = pick.integers(0, labels, size=(n, C.DEPTH))
+    paths = pick.integers(0, labels, size=(n, C.DEPTH)).astype(np.int32)
     ends = pick.integers(2, C.DEPTH + 1, size=n)
     paths[np.arange(C.DEPTH) >= ends[:, None]] = -1
     return C.summed_paths(paths, pick.integers(1, 3, size=n))
@@ -128,7 +128,7 @@ def test_bounds_cut_where_python_would():
     plain = [tuple(names[i] for i in p if i >= 0) for p in paths]
     assert plain == sorted(plain)
     bounds = C.Bounds([plain[40], plain[41][:2], (b"w3",), (b"w30", b"a"), (b"w5", b"w50", b"x"), (b"z",)])
-    parts = dict(C._cut(C.Transducer.of_paths(pa.array(names, pa.binary()), paths, weights), bounds))
+    parts = dict(C._cut(pa.array(names, pa.binary()), paths, weights, bounds))
     for r in range(len(bounds.paths) + 1):
         low, high = (bounds.paths[r - 1] if r else ()), (bounds.paths[r] if r < len(bounds.paths) else (b"\xff",))
         own = [p for p in plain if low <= p < high]

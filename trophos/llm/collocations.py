@@ -40,9 +40,11 @@ from trophos.llm.words import LOWER, byte_view
 from trophos.plans.scratch import Scratch
 
 #: Bytes of text that a task turns into one transducer, about; words at most.
-TEXT_BYTES, TEXT_WORDS = 6 << 20, 1 << 20
+TEXT_BYTES, TEXT_WORDS = 3 << 20, 1 << 20
+#: Paths of the transducers that a task unites at a time, about.
+MERGED = 1 << 19
 #: Bytes of text that a range stands for, about.
-RANGE_BYTES = 12 << 20
+RANGE_BYTES = 6 << 20
 #: Sampled texts, and paths of each, that the bounds come from.
 SAMPLE_TEXTS, SAMPLE_PATHS = 4096, 32
 #: Words of a path: a phrase is up to three words of a lang.
@@ -66,8 +68,9 @@ class Transducer:
     arc.  Level 0 has one state.
     """
 
-    def __init__(self, labels: pa.Array, first: list, label: list, weight: list, target: list):
+    def __init__(self, labels: pa.Array, first: list, label: list, weight: list, target: list, size: int):
         self.labels, self.first, self.label, self.weight, self.target = labels, first, label, weight, target
+        self.size = size  # paths
 
     @classmethod
     def of_paths(cls, labels: pa.Array, paths: np.ndarray, weights: np.ndarray) -> "Transducer":
@@ -90,8 +93,8 @@ class Transducer:
             first.append(np.asarray(bounds, np.int64))
             label.append(own)
             weight.append(sums)
-            target.append(np.arange(len(own)))
-        out = cls(labels, first, label, weight, target)
+            target.append(np.arange(len(own), dtype=np.int32))
+        out = cls(labels, first, label, weight, target, n)
         out._share_states()
         return out
 
@@ -100,7 +103,7 @@ class Transducer:
         for i in range(DEPTH - 1, 0, -1):
             first, count = self.first[i], np.diff(self.first[i])
             if i == DEPTH - 1:
-                self.target[i] = np.full(len(self.label[i]), -1)
+                self.target[i] = np.full(len(self.label[i]), -1, np.int32)
             # states of one arc are told apart by it; those of more seldom are equal and stay
             one = np.flatnonzero(count == 1)
             arcs = first[one]
@@ -114,7 +117,7 @@ class Transducer:
             stands_for[one] = same_as
             stands_for[count == 0] = -1
             kept = np.unique(stands_for[stands_for >= 0])
-            number = np.full(len(count) + 1, -1, np.int64)
+            number = np.full(len(count) + 1, -1, np.int32)
             number[kept] = np.arange(len(kept))
             self.target[i - 1] = np.where(stands_for >= 0, number[stands_for], -1)
             take, begins = _spans(first[kept], count[kept])
@@ -124,7 +127,7 @@ class Transducer:
     def paths(self) -> tuple[np.ndarray, np.ndarray]:
         """The sorted paths and their weights without those that go on."""
         rows, weights = [], []
-        state, prefix = np.zeros(1, np.int64), np.zeros((1, 0), np.int64)
+        state, prefix = np.zeros(1, np.int64), np.zeros((1, 0), np.int32)
         for i in range(DEPTH):
             take, begins = _spans(self.first[i][state], self.first[i][state + 1] - self.first[i][state])
             owner = np.repeat(np.arange(len(state)), np.diff(begins))
@@ -145,7 +148,7 @@ class Transducer:
 
     def arcs(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """All prefixes of ``depth`` labels, sorted, and their weights."""
-        state, prefix = np.zeros(1, np.int64), np.zeros((1, 0), np.int64)
+        state, prefix = np.zeros(1, np.int64), np.zeros((1, 0), np.int32)
         for i in range(depth):
             take, begins = _spans(self.first[i][state], self.first[i][state + 1] - self.first[i][state])
             owner = np.repeat(np.arange(len(state)), np.diff(begins))
@@ -156,12 +159,12 @@ class Transducer:
         return prefix, weight
 
     def to_bytes(self) -> bytes:
-        columns = {"labels": self.labels}
+        columns = {"labels": self.labels, "size": pa.array([self.size])}
         for i in range(DEPTH):
             columns[f"first{i}"] = pa.array(np.diff(self.first[i], prepend=0).astype(np.int32))
-            columns[f"label{i}"] = pa.array(self.label[i].astype(np.int32))
+            columns[f"label{i}"] = pa.array(self.label[i])
             columns[f"weight{i}"] = pa.array(self.weight[i])
-            columns[f"target{i}"] = pa.array(self.target[i].astype(np.int32))
+            columns[f"target{i}"] = pa.array(self.target[i])
         rows = [pa.LargeListArray.from_arrays(pa.array([0, len(c)], pa.int64()), c) for c in columns.values()]
         batch = pa.RecordBatch.from_arrays(rows, list(columns))
         sink = pa.BufferOutputStream()
@@ -173,10 +176,10 @@ class Transducer:
     def from_bytes(cls, data) -> "Transducer":
         batch = pa.ipc.open_stream(data).read_next_batch()
         part = lambda name: batch[name].flatten()
-        number = lambda name: part(name).to_numpy(zero_copy_only=False).astype(np.int64)
+        number = lambda name: part(name).to_numpy(zero_copy_only=False)
         columns = [[number(f"{name}{i}") for i in range(DEPTH)] for name in ("first", "label", "weight", "target")]
-        columns[0] = [np.cumsum(c) for c in columns[0]]
-        return cls(part("labels"), *columns)
+        columns[0] = [np.cumsum(c, dtype=np.int64) for c in columns[0]]
+        return cls(part("labels"), *columns, int(number("size")[0]))
 
 
 def _spans(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +192,7 @@ def _sorted_labels(labels: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Distinct labels in the order of their bytes, and the number of each of the given."""
     coded = labels.dictionary_encode()
     order = pc.sort_indices(coded.dictionary).to_numpy()
-    rank = np.empty(len(order), np.int64)
+    rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order))
     return coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy(zero_copy_only=False)]
 
@@ -198,9 +201,8 @@ def summed_paths(paths: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np
     """Distinct sorted paths and the sums of their weights."""
     if not len(paths):
         return paths, weights
-    # two labels are one number, and pairs of pairs become one where they fit
-    high = (paths[:, 0] + 1).astype(np.uint64) << np.uint64(32) | (paths[:, 1] + 1).astype(np.uint64)
-    low = (paths[:, 2] + 1).astype(np.uint64) << np.uint64(32) | (paths[:, 3] + 1).astype(np.uint64)
+    # two labels make one number
+    high, low = ((paths[:, i].astype(np.int64) + 1 << 32) + paths[:, i + 1] + 1 for i in (0, 2))
     order = np.lexsort((low, high))
     high, low = high[order], low[order]
     new = np.ones(len(order), bool)
@@ -215,7 +217,7 @@ def united(parts: list[Transducer]) -> Transducer:
     labels, number = _sorted_labels(labels)
     all_paths, all_weights, start = [], [], 0
     for p in parts:
-        own = np.append(number[start : start + len(p.labels)], -1)  # -1 stays -1
+        own = np.append(number[start : start + len(p.labels)], np.int32(-1))  # -1 stays -1
         start += len(p.labels)
         paths, weights = p.paths()
         all_paths.append(own[paths])
@@ -228,7 +230,7 @@ def composed(asked: Transducer, counts: Transducer) -> list[tuple[np.ndarray, np
     """Per depth, the prefixes of ``asked`` in its labels and what they weigh in ``counts``: the arcs of the product."""
     of = pc.index_in(asked.labels, value_set=counts.labels.cast(asked.labels.type))
     of = of.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-    left, right, prefix = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros((1, 0), np.int64)
+    left, right, prefix = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros((1, 0), np.int32)
     out = []
     for i in range(DEPTH):
         take, begins = _spans(asked.first[i][left], asked.first[i][left + 1] - asked.first[i][left])
@@ -237,7 +239,7 @@ def composed(asked: Transducer, counts: Transducer) -> list[tuple[np.ndarray, np
         state = right[owner]
         # arcs of a state are sorted by label: find each within its state's
         key = np.repeat(np.arange(len(counts.first[i]) - 1), np.diff(counts.first[i])) * (len(counts.labels) + 1) + counts.label[i]
-        wanted = state * (len(counts.labels) + 1) + label
+        wanted = state.astype(np.int64) * (len(counts.labels) + 1) + label
         at = np.minimum(np.searchsorted(key, wanted), max(len(key) - 1, 0))
         hit = (label >= 0) & (key[at] == wanted) if len(key) else np.zeros(len(wanted), bool)
         take, owner, at = take[hit], owner[hit], at[hit]
@@ -307,19 +309,18 @@ def _words(langs: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndar
         yield words, marked, follows[a:c], lang.dictionary
 
 
-def transducer_of(words, lang, follows, langs) -> Transducer:
-    """The count transducer of the paths that begin at each word with a lang."""
+def counted_paths(words, lang, follows, langs) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Labels, and the distinct sorted paths that begin at each word with a lang, with their numbers."""
     names = langs.cast(pa.string()).cast(pa.binary())
     labels, number = _sorted_labels(pa.concat_arrays([names, words]))
     lang_number, word = number[: len(names)], number[len(names) :]
     n = int((lang >= 0).sum())
-    one, two = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-    after = np.flatnonzero(follows[:n])
-    one[after] = word[after + 1]
-    after = after[follows[after + 1]]
-    two[after] = word[after + 2]
-    paths = np.stack([lang_number[lang[:n]], word[:n], one, two], axis=1)
-    return Transducer.of_paths(labels, *summed_paths(paths, np.ones(n, np.int64)))
+    paths = np.full((n, DEPTH), -1, np.int32)
+    paths[:, 0], paths[:, 1] = lang_number[lang[:n]], word[:n]
+    for i in range(2, DEPTH):
+        after = np.flatnonzero(follows[:n]) if i == 2 else after[follows[after + i - 2]]
+        paths[after, i] = word[after + i - 1]
+    return labels, *summed_paths(paths, np.ones(n, np.int64))
 
 
 # --- ranges -----------------------------------------------------------------------
@@ -374,17 +375,17 @@ def _rank(labels: pa.Array, name: bytes) -> int:
     return low
 
 
-def _cut(whole: Transducer, bounds: Bounds) -> Iterator[tuple[int, Transducer]]:
-    """The parts of a transducer by range, each with the labels it uses."""
-    paths, weights = whole.paths()
-    edges = [0, *bounds.places(whole.labels, paths), len(paths)]
+def _cut(labels: pa.Array, paths: np.ndarray, weights: np.ndarray, bounds: Bounds) -> Iterator[tuple[int, Transducer]]:
+    """The transducers of sorted paths by range, each with the labels it uses."""
+    edges = [0, *bounds.places(labels, paths), len(paths)]
     for r, (a, b) in enumerate(zip(edges, edges[1:])):
         if a < b:
-            used, number = np.unique(paths[a:b], return_inverse=True)
-            number = number.reshape(-1, DEPTH)
-            if used[0] < 0:  # -1, after the end, stays
-                used, number = used[1:], number - 1
-            yield r, Transducer.of_paths(whole.labels.take(pa.array(used)), number, weights[a:b])
+            used = np.zeros(len(labels) + 1, bool)
+            used[paths[a:b] + 1] = True
+            used[0] = False  # -1, after the end, stays
+            number = np.cumsum(used, dtype=np.int32) - 1
+            own = Transducer.of_paths(labels.take(pa.array(np.flatnonzero(used[1:]))), number[paths[a:b] + 1], weights[a:b])
+            yield r, own
 
 
 def _sampled_paths(documents: DataFrame, total: int) -> list[tuple[bytes, ...]]:
@@ -435,7 +436,7 @@ def shard_transducers(documents: DataFrame, bounds: Bounds) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
             for found in _words(*block):
-                rows = [(r, part.to_bytes()) for r, part in _cut(transducer_of(*found), bounds)]
+                rows = [(r, part.to_bytes()) for r, part in _cut(*counted_paths(*found), bounds)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["range", "part"])
 
     return documents.mapInArrow(run, "range long, part binary")
@@ -458,10 +459,10 @@ def united_ranges(parts: DataFrame, ranges: int) -> DataFrame:
                     waiting, held = [], 0
                 current = r
                 waiting.append(Transducer.from_bytes(data.as_buffer()))
-                held += len(waiting[-1].label[-1])
-                if held > TEXT_WORDS and len(waiting) > 8:  # never many at once
+                held += waiting[-1].size
+                if held > MERGED and held > 2 * waiting[0].size:  # never many at once
                     waiting = [united(waiting)]
-                    held = len(waiting[0].label[-1])
+                    held = waiting[0].size
         if waiting:
             yield finished()
 
@@ -543,7 +544,7 @@ def _answers(langs: pa.Array, phrases: pa.Array, counts: Transducer) -> Iterator
     langs, words = langs.cast(pa.binary()), phrases.flatten().cast(pa.binary())
     labels, number = _sorted_labels(pa.concat_arrays([langs, words]))
     sizes = pc.list_value_length(phrases).to_numpy(zero_copy_only=False)
-    paths = np.full((len(langs), DEPTH), -1, np.int64)
+    paths = np.full((len(langs), DEPTH), -1, np.int32)
     paths[:, 0] = number[: len(langs)]
     take, begins = _spans(np.zeros(len(sizes), np.int64), sizes)
     paths[np.repeat(np.arange(len(sizes)), sizes), take + 1] = number[len(langs) :]
