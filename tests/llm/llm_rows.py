@@ -27,6 +27,7 @@ ODD = [
 CLASHING = (
     "score", "label", "held_out", "predicted", "id", "key", "n", "bands", "bucket", "set", "rate", "row", "bucket_id",
     "lang", "source", "n_chars", "task", "place", "length", "edits", "fingerprint", "_text", "_words", "_part", "_cell",
+    "_copy", "_key", "_least", "_times", "times", "component", "kept", "moved", "domain", "order",
 )
 
 

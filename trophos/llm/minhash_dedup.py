@@ -265,7 +265,7 @@ def drop_near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80)
     """The documents, all columns, with one of each component.
 
     Of the rows of one id in a component one stays, and so it does of those of one
-    id and text without words: the least by text and the other columns.
+    id and text without words: the least by text and then by the columns as JSON.
     """
     scratch = Scratch(documents.sparkSession)
     judged = scratch.keep(_judged(documents, size, percent).select("doc_id", "key", "component", "kept"))
@@ -278,12 +278,13 @@ def drop_near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80)
         return out
     # an id of several rows does not tell which of them is kept; their sets do
     name = F.arrow_udf(lambda texts: pa.array([_name(s) for s in shingle_sets(texts, size)], pa.binary()), "binary")
-    rows = documents.alias("d").join(again.alias("k"), same, "left_semi").withColumn("_key", name(F.col("d.text")))
+    rows = documents.alias("d").join(again.alias("k"), same, "left_semi")
+    # the document's columns, whatever their names and types, stay together in one
+    rows = rows.select(F.struct("d.*").alias("row"), F.col("d.doc_id").cast("long").alias("doc_id"), F.col("d.text").alias("text"))
+    rows = rows.select("row", "doc_id", "text", name("text").alias("key")).alias("d")
     kept = judged.where("kept").select("doc_id", "key", "component").distinct().alias("k")
-    rows = rows.alias("d").join(kept, same & F.col("d._key").eqNullSafe(F.col("k.key")))
-    columns = ["text", *(c for c in documents.columns if c not in ("doc_id", "text"))]
+    rows = rows.join(kept, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & F.col("d.key").eqNullSafe(F.col("k.key")))
     wordless = F.when(F.col("k.component").isNull(), F.coalesce(F.col("d.text"), F.lit("")))
-    groups = rows.groupBy(F.col("d.doc_id").alias("doc_id"), F.col("k.component"), wordless)
-    least = groups.agg(F.min(F.struct(*[F.col(f"d.{c}").alias(c) for c in columns])).alias("_least"))
-    least = least.select("doc_id", *[F.col("_least").getField(c).alias(c) for c in columns])
-    return out.unionByName(least.select(*documents.columns))
+    order = F.struct("d.text", F.to_json("d.row"))
+    least = rows.groupBy(F.col("d.doc_id"), F.col("k.component"), wordless).agg(F.min_by("d.row", order).alias("row"))
+    return out.unionByName(least.select("row.*"))

@@ -28,7 +28,8 @@ from trophos.plans.scratch import Scratch
 
 BUCKETS = 1 << 14
 MAX_DOMAINS = 256
-STEPS, TOLERANCE = 100, 1e-4
+#: Most steps; relative gap that counts as met; change of a rate that counts as none.
+STEPS, TOLERANCE, REST = 100, 1e-4, 1e-6
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -110,13 +111,15 @@ def fit_rates(
     floor: float = 0.0,
     total: float | None = None,
     power: float = 0.0,
-) -> DataFrame:
+) -> tuple[DataFrame, list[float]]:
     """``members`` with rate >= ``floor``; domains get shares ``weights`` of ``total`` tokens.
 
     ``weights`` None means proportional to the domain's tokens to ``power``, at
     0 equal ones.  ``total`` None means as many tokens as
     there are; 0 means the least at which no domain has to shrink.  A domain
-    without tokens cannot be filled and is left out of the targets.
+    without tokens cannot be filled and is left out of the targets.  The steps end
+    when the targets are met or the projected gradient has vanished; also returned
+    is what each domain is then off its target, as a part of its tokens.
     """
     d = [c for c in members.columns if c.startswith("p") and c[1:].isdigit()]
     expected = [F.coalesce(F.sum(F.col("ahead") * F.col("n") * F.col(p)), F.lit(0.0)).alias(p) for p in d]
@@ -124,28 +127,29 @@ def fit_rates(
     have = list(rated.agg(*expected).first())
     wanted = [w if h > 0 else 0.0 for w, h in zip(weights or [h**power for h in have], have)]
     if not sum(wanted):
-        return rated.drop("ahead")
+        return rated.drop("ahead"), [0.0] * len(d)
     wanted = [w / sum(wanted) for w in wanted]
     if total == 0:
         total = max(h / w for h, w in zip(have, wanted) if w)
     goal = [w * (sum(have) if total is None else total) for w in wanted]
-    now, last = have, None
-    for step in range(1, STEPS + 1):
+    now, moved = have, None
+    for step in range(1, STEPS + 2):
         gap = [(a - t) / h if h else 0.0 for a, t, h in zip(now, goal, have)]
-        # the targets are met, or the rates have come to rest at their bound
-        if max(map(abs, gap)) <= TOLERANCE or last and max(abs(g - x) for g, x in zip(gap, last)) <= TOLERANCE / 2:
+        # the targets are met, or no rate can move: the projected gradient has vanished
+        if max(map(abs, gap)) <= TOLERANCE or moved is not None and moved <= REST or step > STEPS:
             break
-        last = gap
         # a gradient step from the point ahead, back to the feasible rates, and on by momentum
         slope = _sum([F.col(p) * F.lit(g) for p, g in zip(d, gap)])
         rated = rated.withColumn("next", F.greatest(F.lit(floor), F.col("ahead") - slope))
         ahead = F.col("next") + (F.col("next") - F.col("rate")) * ((step - 1) / (step + 2))
+        rated = rated.withColumn("moved", F.abs(F.col("next") - F.col("ahead")))
         rated = rated.withColumn("ahead", ahead).drop("rate").withColumnRenamed("next", "rate")
         # written at each step: a plan of nested steps grows too fast to be optimised
         rated = scratch.keep(rated, f"rates{step}")
         scratch.keep_only(f"rates{step}")
-        now = list(rated.agg(*expected).first())
-    return rated.drop("ahead")
+        *now, moved = rated.agg(*expected, F.max("moved")).first()
+        rated = rated.drop("moved")
+    return rated.drop("ahead"), gap
 
 
 def mix(
@@ -156,16 +160,18 @@ def mix(
     total: float | None = None,
     power: float = 0.0,
 ) -> DataFrame:
-    """One row per row of ``documents``: doc_id, n_tokens, domain, probability, rate, expected_tokens.
+    """One row per row of ``documents``: doc_id, n_tokens, domain, probability, rate, expected_tokens, domain_gap.
 
     ``labelled``: (text, domain), a bounded table.  domain is the likeliest one,
-    of equal ones the first by name.
+    of equal ones the first by name.  domain_gap is what its expected tokens are off
+    their target at the end, as a part of its tokens; it is not 0 where the bound
+    of the rates makes the targets unreachable.
     """
     scratch = Scratch(documents.sparkSession)
     names, priors, model = fit_domains(labelled)
     members = scratch.keep(posteriors(documents, names, priors, model))
     shares = None if weights is None else [weights.get(n, 0.0) for n in names]
-    rated = fit_rates(members, shares, scratch, floor, total, power)
+    rated, gap = fit_rates(members, shares, scratch, floor, total, power)
     best = F.greatest(*[F.col(f"p{i}") for i in range(len(names))]) if len(names) > 1 else F.col("p0")
     domain = F.coalesce(*[F.when(F.col(f"p{i}") == F.col("best"), F.lit(n)) for i, n in enumerate(names)])
     return rated.withColumn("best", best).select(
@@ -175,6 +181,7 @@ def mix(
         F.col("best").alias("probability"),
         "rate",
         (F.col("rate") * F.col("n")).alias("expected_tokens"),
+        F.coalesce(*[F.when(domain == n, F.lit(g)) for n, g in zip(names, gap)]).alias("domain_gap"),
     )
 
 
@@ -187,7 +194,8 @@ def repeat_by_rate(documents: DataFrame, rates: DataFrame) -> DataFrame:
     """
     spin = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     times = rates.groupBy("doc_id").agg(F.avg("rate").alias("rate"))
-    times = times.select("doc_id", F.floor(F.col("rate") + spin).cast("int").alias("_times")).where("_times > 0").alias("t")
+    times = times.select("doc_id", F.floor(F.col("rate") + spin).cast("int").alias("times")).where("times > 0").alias("t")
     joined = documents.alias("d").join(times, F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")))
-    copies = joined.select("d.*", F.explode(F.sequence(F.lit(1), F.col("t._times"))).alias("_copy"))
-    return copies.drop("_copy")
+    # the document's columns, whatever their names, stay together in one
+    copies = joined.select(F.struct("d.*").alias("row"), F.explode(F.sequence(F.lit(1), F.col("t.times"))))
+    return copies.select("row.*")
