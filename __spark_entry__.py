@@ -15,7 +15,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trophos.functions.quantiles import STATS, quantile_summary, quantiles_long
+from trophos.functions.quantiles import PROBS, STATS, quantile_summary, quantiles_long
+from trophos.functions.sketches import merge_states, sketch_state, state_quantiles
 from trophos.operators import charts, metadata, mortality, network, ratios, series
 from trophos.plans.analyze import analyze, compute
 from trophos.plans.scratch import Scratch
@@ -191,7 +192,8 @@ def _analyze(sales, group=False):
     """All seven variables for a selection of every name there is, known to the
     model or not: what a variable cannot use is left out."""
     components, fluxes = _model(sales)
-    long, info = sales.long(), _info(sales)
+    # all seven read the table that is derived once
+    long, info = Scratch(sales.spark).keep(sales.long(), "long"), _info(sales)
     resolution = dimension(network.component_resolution(components, fluxes, long))
     names = [r["ID"] for r in info.collect()] + ["Z0"]
     edges = [r["Flux"] for r in fluxes.collect()]
@@ -215,10 +217,31 @@ def summary(sales):
 
 def selection(sales):
     """All values of a kind and year pooled: the largest groups there are."""
-    q = quantile_summary(sales.long(), ["Year", "kind"])
+    q = quantile_summary(sales.long(), ["Year", "kind"], method="bins")
     return _named(q, "Year", "kind")
 
 
+def sketched(sales):
+    """Sketches of each of eight parts of the samples, merged: whether every
+    quantile's rank among the pooled values is within 2 % of where it should be."""
+    rows = sales.long().select("Year", "kind", "Sample_id", "value")
+    keys = ["Year", "kind"]
+    parts = sketch_state(rows.withColumn("part", F.col("Sample_id") % 8), [*keys, "part"])
+    found = state_quantiles(merge_states(parts, keys), keys, PROBS)
+    found = found.select(*keys, F.posexplode("q").alias("i", "q"))
+    probs, names = F.array(*map(F.lit, PROBS)), F.array(*map(F.lit, STATS))
+    r, f = rows.alias("r"), found.alias("f")
+    pairs = r.join(f, (F.col("r.Year") == F.col("f.Year")) & (F.col("r.kind") == F.col("f.kind")))
+    ranks = pairs.groupBy("f.Year", "f.kind", "i").agg(
+        F.count("*").alias("n"),
+        F.avg((F.col("value") < F.col("q")).cast("double")).alias("below"),
+        F.avg((F.col("value") <= F.col("q")).cast("double")).alias("upto"),
+    )
+    p = F.get(probs, F.col("i"))
+    close = (F.col("below") <= p + 0.02) & (F.col("upto") >= p - 0.02)
+    return ranks.select("Year", "kind", F.get(names, F.col("i")).alias("Stat"), F.col("n").alias("n_values"), close.alias("is_close"))
+
+
 def summary_long(sales):
     values = sales.flux().select("Year", F.col("src").alias("ID"), "value")
     q = quantile_summary(values, ["Year", "ID"])
@@ -230,6 +253,18 @@ def trajectory_sample(sales):
     return _round(charts.trajectory_sample(values, LINES), "S1", "S2", "S3")
 
 
+def random_lines(sales):
+    """Lines of three samples drawn once, for all biomasses and all fluxes."""
+    long = sales.long()
+    drawn = charts.draw_samples(long, 3, seed=7)
+    few = charts.only_samples(long, drawn)
+    parts = [
+        charts.sampled_lines(values, drawn, 3).select(F.lit(name).alias("Var"), "Year", "ID", "S1", "S2", "S3")
+        for name, values in (("Biomass", series.biomass_values(few, None)), ("Fluxes", series.flux_values(few)))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def _proportions(values, keys, chart_keys=()):
     means = charts.mean_by_target(values, keys)
     # A mean of 5-decimal values over 32 or more samples may end in a tie at 9
@@ -366,8 +401,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "select_valid": select_valid,
         "quantile_summary": summary,
         "quantile_selection": selection,
+        "quantile_sketch": sketched,
         "quantiles_long": summary_long,
         "trajectory_sample": trajectory_sample,
+        "random_lines": random_lines,
         "proportion_by_year": proportion_by_year,
         "proportion_consumption": proportion_consumption,
         "proportion_biomass": proportion_biomass,
@@ -713,6 +750,18 @@ select ID as "Component" from clean where ID in (
 cells as (select "Year", Var as "ID", value from long where kind = 'component')
 """ + _named_sql("cells", '"Year", "ID"'),
         "quantile_selection": WEB + end + _named_sql("long", '"Year", kind'),
+        "quantile_sketch": WEB + end + """
+select "Year", kind, stat as "Stat", count(*) as n_values, true as is_close
+from long cross join (values ('q0'), ('q2.5'), ('q25'), ('q50'), ('q75'), ('q97.5'), ('q100')) s(stat)
+group by all""",
+        "random_lines": WEB + """
+drawn as (
+  select sid, row_number() over (order by sid) as slot
+  from (select distinct Sample_id as sid from long order by md5('7:' || Sample_id), Sample_id limit 3))
+select case kind when 'component' then 'Biomass' else 'Fluxes' end as "Var", "Year", Var as "ID",
+       max(value) filter (where slot = 1) as "S1", max(value) filter (where slot = 2) as "S2",
+       max(value) filter (where slot = 3) as "S3"
+from long join drawn on sid = Sample_id group by all""",
         "quantiles_long": WEB + f"""
 cells as (select "Year", src as ID, value from long where kind = 'flux'),
 quant as ({_quant_sql("cells", "Fluxes by prey", "1000t", ["Year", "ID"])})

@@ -90,3 +90,21 @@ def test_bands_of_mortality(long):
     values = mortality.mortality_values(long, ["A", "B"], True, "AB")
     bands = charts.beta_bands(charts.beta_params(values, share=True), k=10)
     assert bands.count() == 20 and bands.filter("abs(bottom + top - 1) > 1e-12").isEmpty()
+
+
+def test_drawn_samples_exist_and_are_shared(spark):
+    """Gaps in the ids, any partitioning, fewer ids than wanted."""
+    ids = [3, 8, 21, 500, 7_000_000_000]
+    long = spark.createDataFrame([(i, y, float(i * y)) for i in ids for y in (1, 2)], "Sample_id long, Year int, value double")
+    long = long.withColumn("ID", F.lit("A"))
+    first = [tuple(r) for r in charts.draw_samples(long, 3, seed=1).collect()]
+    again = [tuple(r) for r in charts.draw_samples(long.repartition(7), 3, seed=1).collect()]
+    assert sorted(first) == sorted(again) and len(first) == 3 and {i for i, _ in first} <= set(ids)
+    assert sorted(slot for _, slot in first) == [1, 2, 3] and sorted(first) == sorted(first, key=lambda r: r[1])
+    draws = {tuple(sorted(r["Sample_id"] for r in charts.draw_samples(long, 3, seed=s).collect())) for s in range(6)}
+    assert len(draws) > 1
+    drawn = charts.draw_samples(long, 9)
+    few = charts.only_samples(long, charts.draw_samples(long, 2))
+    assert few.count() == 4 and few.columns == long.columns
+    lines = charts.sampled_lines(long, drawn, 9).filter("Year = 2").first()
+    assert [lines[f"S{i}"] for i in range(1, 10)] == [2.0 * i for i in ids] + [None] * 4

@@ -34,6 +34,33 @@ def trajectory_sample(
     return chosen.groupBy(*keys).agg(*lines)
 
 
+def draw_samples(long: DataFrame, n: int = 3, seed: int = 0) -> DataFrame:
+    """``Sample_id, slot`` of ``n`` random samples among those that exist, numbered in their order.
+
+    The draw takes the ids with the least hashes of seed and id: the same seed
+    gives the same samples whatever the partitioning, and only ``n`` ids are
+    gathered.  All series of a call share one draw.
+    """
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("Sample_id").cast("string")))
+    ids = long.select("Sample_id").distinct().orderBy(key, "Sample_id").limit(n)
+    return ids.select("Sample_id", F.row_number().over(Window.orderBy("Sample_id")).alias("slot"))
+
+
+def only_samples(long: DataFrame, drawn: DataFrame) -> DataFrame:
+    """The long rows of drawn samples, from which any series is computed for them alone."""
+    # as many rows as samples were drawn
+    return long.join(F.broadcast(drawn.select("Sample_id")), "Sample_id", "left_semi")
+
+
+def sampled_lines(
+    values: DataFrame, drawn: DataFrame, n: int, keys: Sequence[str] = ("Year", "ID"), value: str = "value"
+) -> DataFrame:
+    """The values of drawn samples as columns ``S1 … Sn`` per group, NULL where a slot has none."""
+    rows = values.join(F.broadcast(drawn), "Sample_id")
+    lines = [F.max(F.when(F.col("slot") == i, F.col(value))).alias(f"S{i}") for i in range(1, n + 1)]
+    return rows.groupBy(*keys).agg(*lines)
+
+
 def mean_by_target(values: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Mean over the samples per group; missing when any sample is."""
     return values.groupBy(*keys).agg(strict_mean(F.col(value)).alias("value"))
