@@ -3,6 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from trophos.functions.quantiles import STATS
 from trophos.operators import series
 from trophos.schemas import REGISTRY
 from trophos.sources import store
@@ -77,3 +78,10 @@ def test_export(spark, tmp_path, long, info):
     assert back.count() == 2 * 3 * 7
     biomass = spark.read.csv(f"{tmp_path}/out/Biomass.csv", header=True)
     assert {r["ID"] for r in biomass.collect()} == {"A"} and biomass.count() == 3 * 7
+    # one file each, in order, written anew by a second export
+    lines = open(f"{tmp_path}/out/Biomass.csv").read().splitlines()
+    assert lines[0] == "Year,Var,Unit,ID,Stat,Value" and lines[1].startswith("1,Biomass,1000t,A,q0,")
+    assert [line.split(",")[0] + line.split(",")[4] for line in lines[1:]] == [f"{y}{s}" for y in (1, 2, 3) for s in STATS]
+    again = store.export_series(kept.filter("Var = 'Biomass'").withColumn("Value", F.lit(None).cast("double")), picked, f"{tmp_path}/out")
+    assert again == ["Biomass.csv"] and sorted(os.listdir(f"{tmp_path}/out")) == files
+    assert open(f"{tmp_path}/out/Biomass.csv").read().splitlines()[1] == "1,Biomass,1000t,A,q0,NA"

@@ -1,12 +1,16 @@
 """Registry of requested series, store of quantile tables, CSV export."""
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trophos.functions.quantiles import STATS
 from trophos.plans.scratch import Scratch
 from trophos.schemas import QUANT, VARIABLES, quant_columns
 
 KEY = ["Var", "ID"]
+CSV = {"nullValue": "NA"}
 
 
 def register_series(registry: DataFrame, variable: str, ids: DataFrame) -> DataFrame:
@@ -58,20 +62,50 @@ def export_rows(store: DataFrame, selection: DataFrame) -> DataFrame:
 
 
 def export_series(store: DataFrame, selection: DataFrame, path: str) -> list[str]:
-    """One CSV folder per selected variable below ``path``.
+    """One CSV file per selected variable below ``path``, in one job.
 
-    A variable of the model has its own columns, any other all of them.  The
-    store is evaluated once.  Returns the folders' names in their order.
+    A variable of the model has its own columns, any other all of them.  Rows
+    are in the order of ID, target or metric, year and statistic.  The store is
+    evaluated once.  Files appear under their names when all are written.
+    Returns these names in their order.
     """
-    scratch = Scratch(store.sparkSession)
+    spark = store.sparkSession
     full = export_rows(store, selection)
     for name in set(QUANT.names) - set(full.columns):
         full = full.withColumn(name, F.lit(None).cast(QUANT[name].dataType))
-    rows = scratch.keep(full, "export")
-    files = sorted((r["file"], r["Var"]) for r in rows.select("Var", "file").distinct().collect())
-    for file, variable in files:
-        columns = quant_columns(variable) if variable in VARIABLES else QUANT.names
-        own = rows.filter(F.col("Var") == variable).select(columns)
-        own.write.mode("overwrite").csv(f"{path}/{file}.csv", header=True, nullValue="NA")
-    scratch.keep_only()
-    return [f"{file}.csv" for file, _ in files]
+    line = F.to_csv(F.struct(*QUANT.names), CSV)
+    header = F.lit(",".join(QUANT.names))
+    for variable in VARIABLES:
+        columns = quant_columns(variable)
+        own = F.col("Var") == variable
+        line = F.when(own, F.to_csv(F.struct(*columns), CSV)).otherwise(line)
+        header = F.when(own, F.lit(",".join(columns))).otherwise(header)
+    stat = F.array_position(F.array(*map(F.lit, STATS)), F.col("Stat"))
+    order = ["Var", "ID", "Prey", "Predator", "Metric", "Year", "stat"]
+    rows = Scratch(spark).keep(full.select("file", *order[:-1], stat.alias("stat"), line.alias("value"), header.alias("header")), "export")
+    # a variable's least row brings its header along
+    first = Window.partitionBy("file").orderBy(*order)
+    rows = rows.withColumn("place", F.row_number().over(first))
+    rows = rows.select("file", "place", F.when(F.col("place") == 1, F.concat_ws("\n", "header", "value")).otherwise(F.col("value")).alias("value"))
+    written = f"{path}/_export-{uuid.uuid4().hex}"
+    rows.sortWithinPartitions("file", "place").select("file", "value").write.partitionBy("file").text(written)
+    return _named_files(spark, written, path)
+
+
+def _named_files(spark, written: str, path: str) -> list[str]:
+    """Gives the single part of each folder ``file=<name>`` its name; the folders go."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    folder = hadoop(written)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = []
+    for status in files.listStatus(folder):
+        kind, _, name = status.getPath().getName().partition("=")
+        if kind == "file":
+            (part,) = [f.getPath() for f in files.listStatus(status.getPath()) if f.getPath().getName().startswith("part-")]
+            target = hadoop(f"{path}/{name}.csv")
+            files.delete(target, True)
+            files.rename(part, target)
+            files.delete(hadoop(f"{path}/.{name}.csv.crc"), False)  # of a local file system
+            names.append(f"{name}.csv")
+    files.delete(folder, True)
+    return sorted(names)
