@@ -28,8 +28,8 @@ from trophos.plans.scratch import Scratch
 
 BUCKETS = 1 << 14
 MAX_DOMAINS = 256
-#: Most steps; relative gap that counts as met; change of a rate that counts as none.
-STEPS, TOLERANCE, REST = 100, 1e-4, 1e-6
+#: Most steps; relative gap that counts as met; change of a rate that counts as none; steps without progress at the end.
+STEPS, TOLERANCE, REST, STILL = 100, 1e-4, 1e-6, 5
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -118,8 +118,9 @@ def fit_rates(
     0 equal ones.  ``total`` None means as many tokens as
     there are; 0 means the least at which no domain has to shrink.  A domain
     without tokens cannot be filled and is left out of the targets.  The steps end
-    when the targets are met or the projected gradient has vanished; also returned
-    is what each domain is then off its target, as a part of its tokens.
+    when the targets are met, when the projected gradient has vanished, or when no
+    domain's gap has changed in several steps; also returned is what each domain is
+    then off its target, as a part of its tokens.
     """
     d = [c for c in members.columns if c.startswith("p") and c[1:].isdigit()]
     expected = [F.coalesce(F.sum(F.col("ahead") * F.col("n") * F.col(p)), F.lit(0.0)).alias(p) for p in d]
@@ -132,11 +133,13 @@ def fit_rates(
     if total == 0:
         total = max(h / w for h, w in zip(have, wanted) if w)
     goal = [w * (sum(have) if total is None else total) for w in wanted]
-    now, moved = have, None
+    now, moved, last, still = have, None, None, 0
     for step in range(1, STEPS + 2):
         gap = [(a - t) / h if h else 0.0 for a, t, h in zip(now, goal, have)]
-        # the targets are met, or no rate can move: the projected gradient has vanished
-        if max(map(abs, gap)) <= TOLERANCE or moved is not None and moved <= REST or step > STEPS:
+        still = still + 1 if last and max(abs(g - x) for g, x in zip(gap, last)) <= TOLERANCE / 2 else 0
+        last = gap
+        # the targets are met, no rate can move as the projected gradient has vanished, or there is no progress
+        if max(map(abs, gap)) <= TOLERANCE or moved is not None and moved <= REST or still >= STILL or step > STEPS:
             break
         # a gradient step from the point ahead, back to the feasible rates, and on by momentum
         slope = _sum([F.col(p) * F.lit(g) for p, g in zip(d, gap)])
