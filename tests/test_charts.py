@@ -108,3 +108,28 @@ def test_drawn_samples_exist_and_are_shared(spark):
     assert few.count() == 4 and few.columns == long.columns
     lines = charts.sampled_lines(long, drawn, 9).filter("Year = 2").first()
     assert [lines[f"S{i}"] for i in range(1, 10)] == [2.0 * i for i in ids] + [None] * 4
+
+
+def test_beta_quantiles_by_few_evaluations(monkeypatch):
+    """The digits of 60 bisections, by about a third of the evaluations and less."""
+    from trophos.functions import beta
+
+    seen, plain = [0], beta.beta_cdf
+
+    def counted(x, a, b):
+        seen[0] += np.broadcast(x, a, b).size
+        return plain(x, a, b)
+
+    rng = np.random.default_rng(0)
+    a, b = np.exp(rng.uniform(-3, 7, (2, 300)))
+    monkeypatch.setattr(beta, "beta_cdf", counted)
+    for p in (0.05, 0.5, 0.95):
+        low, high = np.zeros(300), np.ones(300)
+        for _ in range(60):
+            middle = (low + high) / 2
+            right = plain(middle, a, b) < p
+            low, high = np.where(right, middle, low), np.where(right, high, middle)
+        seen[0] = 0
+        assert np.abs(beta.beta_quantile(p, a, b) - (low + high) / 2).max() < 1e-13
+        assert seen[0] / 300 < 20
+    assert beta.beta_quantile(0.5, 2.0, 2.0) == pytest.approx(0.5, abs=1e-15)

@@ -54,14 +54,38 @@ def _fraction(x, a, b, limit=20_000, accuracy=8e-15):
 
 
 def beta_quantile(p, a, b):
-    """Inverse of ``beta_cdf`` in ``x`` by bisection, elementwise."""
+    """Inverse of ``beta_cdf`` in ``x``, elementwise: Newton steps within a bracket.
+
+    A step that leaves the bracket, or after which the function is not at least
+    halved, gives way to the middle of the bracket.  What has settled is not
+    evaluated again.
+    """
     p, a, b = np.broadcast_arrays(*(np.asarray(t, dtype=float) for t in (p, a, b)))
+    shape = p.shape
+    p, a, b = (np.ravel(t) for t in (p, a, b))
     low, high = np.zeros_like(p), np.ones_like(p)
-    for _ in range(60):
-        mid = (low + high) / 2
-        right = beta_cdf(mid, a, b) < p
-        low, high = np.where(right, mid, low), np.where(right, high, mid)
-    return (low + high) / 2
+    x = a / (a + b)
+    off = np.full_like(p, np.inf)
+    log_beta = _lgamma(a) + _lgamma(b) - _lgamma(a + b)
+    todo = np.arange(p.size)
+    for _ in range(200):
+        if not len(todo):
+            break
+        own, pa, pb = x[todo], a[todo], b[todo]
+        f = beta_cdf(own, pa, pb) - p[todo]
+        left, right = np.where(f < 0, own, low[todo]), np.where(f < 0, high[todo], own)
+        low[todo], high[todo] = left, right
+        middle = (left + right) / 2
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            density = np.exp((pa - 1) * np.log(own) + (pb - 1) * np.log1p(-own) - log_beta[todo])
+            step = own - f / density
+        good = np.isfinite(step) & (step > left) & (step < right) & (np.abs(f) <= off[todo] / 2)
+        off[todo] = np.abs(f)
+        new = np.where(good, step, middle)
+        x[todo] = np.where(f == 0, own, new)
+        settled = (f == 0) | (np.abs(new - own) <= 2e-15 * own) | (right - left <= 2.0**-60)
+        todo = todo[~settled]
+    return x.reshape(shape)[()]
 
 
 def cdf_at_midpoints(k: int):
