@@ -40,7 +40,9 @@ def _files(spark, path):
 
 def _read(spark, path, fmt, *more):
     if fmt != "csv":
-        return spark.read.option("mergeSchema", "true").format(fmt).load(path).select("*", *more)
+        # the chains of a list may have different columns; one path's files have the same
+        merge = str(not isinstance(path, str)).lower()
+        return spark.read.option("mergeSchema", merge).format(fmt).load(path).select("*", *more)
     # the header of every file must be that of the first; longer and shorter rows are errors
     text = StructType([StructField(c, StringType()) for c in spark.read.csv(path, header=True).columns])
     raw = spark.read.schema(text).csv(path, header=True, nullValue="NA", mode="FAILFAST", enforceSchema=False)
