@@ -8,6 +8,7 @@ import duckdb
 import pytest
 import xxhash
 from llm_rows import ODD, words
+from pyspark.sql import functions as F
 
 from trophos.llm import fingerprints as P
 from trophos.llm import licenses as L
@@ -335,6 +336,28 @@ def test_next_document_and_edit(spark, odd, documents):
         assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in rows)
 
 
+@pytest.mark.parametrize("kind", ["outlier", "cluster", "one id", "null ids"])
+def test_parts_are_balanced(spark, kind):
+    """Parts follow the rows: with an outlying id, a narrow cluster among wide ids, and rows of one id or none."""
+    n = 6_000
+    ids = {
+        "outlier": "if(id = 0, 1000000000000, id)",
+        "cluster": "if(id < 3000, 7000000 + id, id * 100000000)",
+        "one id": "if(id < 3000, 7, id)",
+        "null ids": "if(id < 3000, null, id)",
+    }[kind]
+    rows = spark.range(n).select(F.expr(ids).alias("doc_id"), F.concat(F.xxhash64("id").cast("string"), F.lit(" a b")).alias("text"))
+    sizes = [r["count"] for r in P._dealt(rows).where("not _guest").groupBy("_part").count().collect()]
+    parts = P.PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sum(sizes) == n and len(sizes) > parts / 2 and max(sizes) < 4 * n / parts
+    assert P._dealt(rows).where("_guest").count() == len(sizes)
+    ordered = rows.orderBy(F.desc_nulls_last("doc_id"), "text").toPandas()["text"].tolist()
+    third = [len(t) // 3 for t in ordered]
+    expected = [t[: len(t) - k] + ordered[(i + 1) % n][:k] for i, (t, k) in enumerate(zip(ordered, third))]
+    got = P.beside_next(rows).select("edited_sha256").toPandas()["edited_sha256"]
+    assert sorted(got) == sorted(hashlib.sha256(t.encode()).hexdigest() for t in expected)
+
+
 def test_likeness_is_unbiased(documents):
     pairs = [(r["doc_id"], r["text"] or "") for r in documents.orderBy("doc_id", ascending=False).collect()]
     near = {r["doc_id"]: r["near_edited"] for r in P.beside_next(documents).collect()}

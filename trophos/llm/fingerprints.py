@@ -24,8 +24,8 @@ BINS = 1 << BIN_BITS
 LOW_BITS = 4
 #: Bins that an empty bin tries before all of them are ranked for it.
 TRIES = 24
-#: Cells of the id range that are counted to deal out the rows evenly.
-CELLS = 1 << 14
+#: Parts of the id order for each shuffle partition, rows drawn for each part, bytes of a text that part an id.
+PARTS, SAMPLED, START = 4, 16, 24
 SPACE = r"[\x20\x09-\x0D]+"
 
 #: The hash of an empty bin: all bits below the bin's number are set.
@@ -100,37 +100,53 @@ def fingerprint(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
 # --- documents beside the next one ------------------------------------------
 
 
+def _heads(rows: DataFrame) -> list[tuple[int | None, str]]:
+    """First (doc_id, start) of each part, in order; the first one is that of all rows.
+
+    The others are those of a sample of rows, whose size follows the number of
+    shuffle partitions and not that of the rows.
+    """
+    parts = PARTS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n, high = rows.agg(F.count("*"), F.max("doc_id")).first()
+    first = rows.where(F.col("doc_id").eqNullSafe(F.lit(high).cast("long"))).agg(F.min("_start")).first()[0]
+    drawn = rows.sample(fraction=min(1.0, SAMPLED * parts / max(n, 1)), seed=5).select("doc_id", "_start").collect()
+    drawn = sorted(drawn, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["_start"]))
+    cuts = [drawn[i * len(drawn) // parts] for i in range(1, parts)] if drawn else []
+    return list(dict.fromkeys([(high, first or ""), *((r["doc_id"], r["_start"]) for r in cuts)]))
+
+
 def _dealt(documents: DataFrame) -> DataFrame:
-    """(_part, _guest, doc_id, _text): rows in parts of the id range, largest id first.
+    """(_part, _guest, doc_id, _text): rows in parts of about one size, largest id first, null ids last.
 
     Every part is followed by a guest: the first row of the part below it, and
-    below the last part the first of all.  Parts are cut from counts of ids in
-    ``CELLS`` cells, so at most that many rows come to the driver and go back in a
-    broadcast; texts are moved once.  Ids may have gaps.  Null ids come last.
+    below the last part the first of all.  Parts begin at ids, and within an id
+    at the start of a text, that a sample of rows has, so they follow the rows
+    whatever gaps, clusters or repeated and null ids there are; a row finds its
+    part by a binary search.  Texts are moved once.  Only rows of one id whose
+    texts begin with the same ``START`` bytes cannot be parted.
     """
-    spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_text"))
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = low or 0, high or 0
-    place = (F.col("doc_id").cast("double") - float(low)) * (CELLS / (float(high) - float(low) + 1))
-    rows = rows.withColumn("_cell", F.coalesce(F.least(F.floor(place), F.lit(CELLS - 1)), F.lit(-1)).cast("int"))
-    cells = rows.groupBy("_cell").agg(F.count("*").alias("n"), F.max("doc_id").alias("head")).orderBy(F.desc("_cell")).collect()
-    per_part = max(1, n // (8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    parts: list[list] = [[]]  # the cells of each part
-    for cell in cells:
-        if sum(c["n"] for c in parts[-1]) >= per_part:
-            parts.append([])
-        parts[-1].append(cell)
-    plan = [
-        (cell["_cell"], p, own[0]["head"], (p or len(parts)) - 1, cell["_cell"] == own[0]["_cell"])
-        for p, own in enumerate(parts)
-        for cell in own
-    ]
-    plan = spark.createDataFrame(plan, "_cell int, _own int, _head long, _above int, _first boolean")
-    rows = rows.join(F.broadcast(plan), "_cell")
+    # hexadecimal digits are in the order of the bytes, and so in that of the texts
+    rows = rows.withColumn("_start", F.hex(F.substring(F.encode("_text", "UTF-8"), 1, START)))
+    heads = _heads(rows)
+    known = sum(i is not None for i, _ in heads)
+    ids, starts = _numbers([i or 0 for i, _ in heads], "bigint"), F.split(F.lit(",".join(s for _, s in heads)), ",")
+    doc_id, start = F.col("doc_id"), F.col("_start")
+
+    def reached(place: Column) -> Column:
+        """Whether the row is the head of this number or comes after it."""
+        further = start >= F.get(starts, place)
+        among_ids = doc_id.isNull() | (doc_id < F.get(ids, place)) | (doc_id == F.get(ids, place)) & further
+        return F.when(place >= len(heads), False).when(place >= known, doc_id.isNull() & further).otherwise(among_ids)
+
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(heads).bit_length()))])
+    count = F.aggregate(steps, F.lit(0), lambda n, step: F.when(reached(n + step - 1), n + step).otherwise(n))
+    rows = rows.withColumn("_own", F.greatest(count - 1, F.lit(0)))
+    at = F.when(F.col("_own") < known, F.get(ids, "_own"))
+    leads = doc_id.eqNullSafe(at) & (start == F.get(starts, "_own"))
+    above = F.when(F.col("_own") == 0, len(heads)).otherwise(F.col("_own")) - 1
     own = F.struct(F.col("_own").alias("_part"), F.lit(False).alias("_guest"))
-    guest = F.struct(F.col("_above").alias("_part"), F.lit(True).alias("_guest"))
-    leads = F.col("_first") & F.col("doc_id").eqNullSafe(F.col("_head"))
+    guest = F.struct(above.alias("_part"), F.lit(True).alias("_guest"))
     places = F.when(leads, F.array(own, guest)).otherwise(F.array(own))
     return rows.select("doc_id", "_text", F.explode(places).alias("_at")).select("_at.*", "doc_id", "_text")
 
