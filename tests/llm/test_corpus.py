@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_rows import ODD, prose, words
 from pyspark.sql import functions as F
@@ -89,21 +90,39 @@ def test_given_documents(documents):
     assert found(M.near_duplicates(documents)) == plain_components(rows, 2)
 
 
-@pytest.mark.parametrize("block", [512, 2])
-def test_bucket_of_unlike_texts(spark, monkeypatch, block):
+@pytest.mark.parametrize("two", [False, True])
+def test_blocks_return_members_and_not_pairs(two):
+    """A chain of 300 sets, each linked with the next few, and a ring of near copies, in one block or two."""
+    chain = [range(i, i + 60) for i in range(300)]
+    copies = [[*range(10_000, 10_100), 20_000 + i] for i in range(300)]
+    sets = [np.sort(W.mix(np.array(s, np.uint64))).view(np.int64) for s in [*chain, *copies, range(50_000, 50_009)]]
+    ids = np.random.default_rng(1).permutation(len(sets)) * 3
+    rows = {
+        "id": ids, "label": ids, "n": [len(s) for s in sets], "set": [s.tolist() for s in sets],
+        "block": [i % 2 if two else 4 for i in range(len(sets))],
+    }
+    got = M._across(80)(pa.Table.from_batches(pa.table(rows).to_batches(max_chunksize=100))).to_pydict()
+    assert len(got["a"]) <= 2 * len(sets)
+    joined = dict(zip(got["a"], got["b"]))
+    assert all(b == (min(ids[:300]) if a in set(ids[:300]) else min(ids[300:600])) for a, b in joined.items())
+    assert len(joined) == 598 and ids[600] not in joined
+
+
+@pytest.mark.parametrize("block,elements", [(512, 1 << 19), (2, 1 << 19), (512, 20)])
+def test_bucket_of_unlike_texts(spark, monkeypatch, block, elements):
     """Members of one bucket that are linked, but not to its smallest id, in one block and across blocks."""
     monkeypatch.setattr(M, "BLOCK", block)
+    monkeypatch.setattr(M, "ELEMENTS", elements)
     monkeypatch.setattr(M, "COLUMNS", 7)
     ranges = {1: (0, 10), 2: (100, 110), 3: (100, 111), 4: (200, 210), 5: (200, 211), 6: (300, 305), 7: (99, 111)}
     sets = {i: np.sort(W.mix(np.arange(*r).astype(np.uint64))) for i, r in ranges.items()}
     sets[8] = np.sort(np.append(sets[6], sets[6][-1] + np.uint64(1)))  # alike in 32 bits
     members = [(7, i, len(s)) for i, s in sets.items()]
-    short = {i: np.unique((s >> np.uint64(32)).astype("<u4")).tobytes() for i, s in sets.items()}
-    rows = [(i, s.view(np.int64).tolist(), short[i]) for i, s in sets.items()]
+    rows = [(i, s.view(np.int64).tolist()) for i, s in sets.items()]
     scratch = Scratch(spark)
     labels = M.link(
         scratch.keep(table(spark, members, "bucket long, id long, n long")),
-        scratch.keep(table(spark, rows, "id long, set array<long>, short binary")),
+        scratch.keep(table(spark, rows, "id long, set array<long>")),
         80,
         scratch,
     )

@@ -16,8 +16,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Rounds of large-star and small-star steps.  The smallest neighbour of a node
     is an aggregate with map-side combine, so the many edges of one node are not
-    brought together to find it, and joining it back is a join whose skewed
-    side Spark may split.  Every round is written to the shared folder.  The
+    brought together to find it.  It is written before it is joined back, so
+    that both sides of the join are shuffled for it alone and Spark may split a
+    skewed one.  Every round is written to the shared folder.  The
     rounds end when each node hangs directly on a smallest one; their number
     grows with the logarithm of the longest chain.
     """
@@ -26,6 +27,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         # large star: larger neighbours of a node move to its smallest, which may be itself
         both = state.union(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("m"))
+        least = scratch.keep(least)
         large = state.join(least, F.col("b") == F.col("node")).select("a", F.col("m").alias("b"))
         large = large.union(least.select(F.col("node").alias("a"), F.col("m").alias("b")))
         large = scratch.keep(large.where("a <> b").distinct())

@@ -19,11 +19,12 @@ Two documents are linked if 100 * intersection >= ``percent`` * union.
 4. In each bucket all members are compared with its smallest id, on full sets.
    That connects a group of copies at once, with as many comparisons as members.
 5. A bucket whose members are still in several components is compared across
-   them.  Its members fall into blocks of about ``BLOCK``, and a task takes two
-   blocks at a time: it gets their sets, shortened to 32 bits an element, counts
-   all intersections as a matrix product, and returns the pairs that may be
-   linked, which are then verified on full sets.  Only buckets of unlike members
-   need this, no task holds more than two blocks, and no candidate is left out.
+   them.  Its members fall into blocks of about ``BLOCK``, fewer if their sets
+   are large, and a task takes two blocks at a time: it gets their full sets,
+   counts all intersections as a matrix product, and returns for each member the
+   smallest id that links join it to, so no pairs leave the task.  Only buckets
+   of unlike members need this, no task holds more than two blocks, and no
+   candidate is left out.
 """
 
 import hashlib
@@ -39,8 +40,8 @@ from trophos.llm.components import components
 from trophos.plans.scratch import Scratch
 
 BANDS, ROWS = 50, 7
-#: Members of a block, about; shingles that a matrix product takes at once.
-BLOCK, COLUMNS = 512, 8_192
+#: Members of a block and elements of their sets, about; elements that a matrix product takes at once.
+BLOCK, ELEMENTS, COLUMNS = 512, 1 << 19, 8_192
 
 
 def sketch(elements: np.ndarray, bins: int) -> np.ndarray:
@@ -122,54 +123,66 @@ def _band_keys(sketches: list[np.ndarray]) -> np.ndarray:
 
 
 def _sets(size: int):
-    """Arrow function: name, elements, and the high 32 bits of the elements of each text's set."""
+    """Arrow function: name and elements of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(batch["text"], size))
             keys = pa.array([_name(s) for s in sets], pa.binary())
             whole = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-            short = pa.array([np.unique((s >> np.uint64(32)).astype("<u4")).tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([keys, whole, short], ["key", "set", "short"])
+            yield pa.RecordBatch.from_arrays([keys, whole], ["key", "set"])
 
     return run
 
 
+def _smallest(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each member the smallest id that links reach; ``near`` tells for left and right members whether they are linked."""
+    left, top = near.shape[0], len(ids)
+    values, least = np.unique(ids, return_inverse=True)
+    while True:
+        before = least.copy()
+        least[left:] = np.minimum(least[left:], np.where(near, least[:left, None], top).min(axis=0, initial=top))
+        least[:left] = np.minimum(least[:left], np.where(near, least[None, left:], top).min(axis=1, initial=top))
+        if (least == before).all():
+            return values[least]
+
+
 def _across(percent: int):
-    """Arrow function of two blocks of a bucket: pairs of unlike label that may be linked."""
+    """Arrow function of two blocks of a bucket: each member that links join to a smaller id, and the smallest.
+
+    Intersections are those of full sets.  The result has no more rows than the
+    blocks have members, however many pairs are linked.
+    """
 
     def run(rows: pa.Table) -> pa.Table:
-        block, label, n = (np.asarray(rows[c]) for c in ("block", "label", "n"))
-        short = [np.frombuffer(x, "<u4") for x in rows["short"].to_pylist()]
-        sizes = np.array([len(x) for x in short])
-        # what two elements of a text have in common when shortened is counted for both
-        lost = n - sizes
-        owner = np.repeat(np.arange(len(short)), sizes)
-        elements, column, often = np.unique(np.concatenate(short), return_inverse=True, return_counts=True)
+        block, label, n, ids = (np.asarray(rows[c]) for c in ("block", "label", "n", "id"))
+        # left members come first
+        order = np.argsort(block != block.min(), kind="stable")
+        block, label, n, ids = block[order], label[order], n[order], ids[order]
+        left = int((block == block.min()).sum())
+        if left == len(block):  # one block with itself
+            block, label, n, ids, order = (np.concatenate([x, x]) for x in (block, label, n, ids, order))
+        sets = rows["set"].combine_chunks()
+        flat, ends = np.asarray(sets.flatten()), np.asarray(sets.offsets)
+        ends = ends - ends[0]
+        sizes = np.diff(ends)
+        _, column, often = np.unique(flat, return_inverse=True, return_counts=True)
         shared = often[column] > 1
+        owner = np.repeat(np.arange(len(sizes)), sizes)[shared]
         column = (np.cumsum(often > 1) - 1)[column[shared]]
-        owner = owner[shared]
-        left, right = (np.flatnonzero(block == b) for b in (block.min(), block.max()))
-        place = np.zeros(len(short), np.int64)
-        place[left] = np.arange(len(left))
-        place_right = np.zeros(len(short), np.int64)
-        place_right[right] = np.arange(len(right))
-        both = np.zeros((len(left), len(right)), np.float32)
+        both = np.zeros((left, len(block) - left), np.float32)
         for start in range(0, int((often > 1).sum()), COLUMNS):
             own = (column >= start) & (column < start + COLUMNS)
-            x, y = np.zeros((len(left), COLUMNS), np.float32), np.zeros((len(right), COLUMNS), np.float32)
-            of = owner[own]
-            at_left, at_right = np.isin(of, left), np.isin(of, right)
-            x[place[of[at_left]], column[own][at_left] - start] = 1
-            y[place_right[of[at_right]], column[own][at_right] - start] = 1
-            both += x @ y.T
-        both = both.astype(np.int64) + np.minimum(lost[left][:, None], lost[right][None, :])
-        union = n[left][:, None] + n[right][None, :] - both
-        near = (100 * both >= percent * union) & (label[left][:, None] != label[right][None, :])
-        i, j = np.nonzero(near)
-        ids = np.asarray(rows["id"])
-        a, b = ids[left[i]], ids[right[j]]
-        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+            x = np.zeros((len(sizes), COLUMNS), np.float32)
+            x[owner[own], column[own] - start] = 1
+            both += x[order[:left]] @ x[order[left:]].T
+        both = both.astype(np.int64)
+        both[order[:left][:, None] == order[left:][None, :]] = 0
+        union = n[:left][:, None] + n[left:][None, :] - both
+        near = (100 * both >= percent * union) & (label[:left][:, None] != label[left:][None, :])
+        least = _smallest(near, ids)
+        a, b = ids[ids != least], least[ids != least]
+        return pa.table({"a": a, "b": b})
 
     return run
 
@@ -197,7 +210,7 @@ def link(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) ->
     """(id, component) of all candidates: the smallest id that links reach.
 
     ``members``: written (bucket, id, n), at least two a bucket.  ``sets``: written
-    (id, set, short).
+    (id, set).
     """
     fits = F.least("n", "n_b") * 100 >= percent * F.greatest("n", "n_b")
     lead = members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("lead"))
@@ -208,15 +221,15 @@ def link(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) ->
     labels = _merged(labels, found.where("linked").select("a", "b"), scratch)
 
     rows = members.join(labels, "id").withColumnRenamed("component", "label")
-    mixed = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y"))
-    mixed = mixed.where("x <> y").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    size = F.greatest(F.count("*") / BLOCK, F.sum("n") / ELEMENTS)
+    mixed = rows.groupBy("bucket").agg(size.alias("size"), F.min("label").alias("x"), F.max("label").alias("y"))
+    mixed = mixed.where("x <> y").select("bucket", F.ceil("size").cast("int").alias("blocks"))
     rows = rows.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    rows = rows.join(sets.select("id", "short"), "id").select("bucket", "i", "j", "id", "n", "label", "block", "short")
-    pairs = rows.groupBy("bucket", "i", "j").applyInArrow(_across(percent), "a long, b long").distinct()
-    found = scratch.keep(_verified(pairs, sets, percent))
-    return _merged(labels, found.where("linked").select("a", "b"), scratch)
+    rows = rows.join(sets, "id").select("bucket", "i", "j", "id", "n", "label", "block", "set")
+    found = rows.groupBy("bucket", "i", "j").applyInArrow(_across(percent), "a long, b long")
+    return _merged(labels, scratch.keep(found.distinct()), scratch)
 
 
 def near_duplicates(documents: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
@@ -247,8 +260,8 @@ def _judged(documents: DataFrame, size: int, percent: int) -> DataFrame:
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").alias("d")
     wanted = candidates.select("doc_id").distinct().alias("w")
     texts = texts.join(wanted, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
-    sets = texts.mapInArrow(_sets(size), "key binary, set array<long>, short binary")
-    sets = sets.join(candidates.select("key", "id"), "key").dropDuplicates(["id"]).select("id", "set", "short")
+    sets = texts.mapInArrow(_sets(size), "key binary, set array<long>")
+    sets = sets.join(candidates.select("key", "id"), "key").dropDuplicates(["id"]).select("id", "set")
     labels = link(members, scratch.keep(sets), percent, scratch)
     parts = own.select("id", "key", "doc_id").join(labels, "id", "left")
     parts = scratch.keep(parts.withColumn("component", F.coalesce("component", "id")).drop("id"))
