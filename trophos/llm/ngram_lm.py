@@ -34,6 +34,7 @@ probability 1 / (V + 1) = 1.
 
 import functools
 import os
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from urllib.parse import urlparse
@@ -164,7 +165,7 @@ def _counts(folder: str, kind: str, shard: int, places: np.ndarray) -> np.ndarra
 def _write(folder: str, kind: str, shard: int, values: np.ndarray) -> None:
     target = f"{folder}/{kind}-{shard:06d}.npy"
     os.makedirs(folder, exist_ok=True)
-    part = f"{target}.{os.getpid()}.part"
+    part = f"{target}.{uuid.uuid4().hex}.part"  # a copy of the task may write the same file
     with open(part, "wb") as file:
         np.save(file, values)
     os.replace(part, target)
