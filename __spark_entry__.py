@@ -341,9 +341,11 @@ def register_series(sales):
 def upsert_quantiles(sales):
     """A store of fluxes and biomasses; a later run replaces the biomasses and
     adds the group."""
-    old = series_run("Fluxes")(sales).unionByName(series_run("Biomass")(sales))
-    new = series_run("Biomass")(sales).withColumn("Value", F.round(F.col("Value") * 2, 9))
-    again = series_run("Biomass", group=True)(sales)
+    scratch = Scratch(sales.spark)
+    biomass = scratch.keep(series_run("Biomass")(sales))
+    old = series_run("Fluxes")(sales).unionByName(biomass)
+    new = biomass.withColumn("Value", F.round(F.col("Value") * 2, 9))
+    again = scratch.keep(series_run("Biomass", group=True)(sales))
     return store.upsert_quantiles(store.upsert_quantiles(old, new), again)
 
 
@@ -369,8 +371,9 @@ def metadata_file(sales):
 
 def quantile_store(sales):
     """A stored run, parts of which two later runs replace on disk."""
-    path = f"{Scratch(sales.spark).path}/store"
-    biomass = series_run("Biomass")(sales)
+    scratch = Scratch(sales.spark)
+    path = f"{scratch.path}/store"
+    biomass = scratch.keep(series_run("Biomass")(sales))
     store.write_quantiles(biomass.unionByName(series_run("Fluxes")(sales)), path)
     store.write_quantiles(biomass.withColumn("Value", F.round(F.col("Value") * 2, 9)), path)
     store.write_quantiles(series_run("Biomass", group=True)(sales), path)

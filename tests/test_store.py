@@ -55,6 +55,59 @@ def test_an_empty_id_is_refused(spark, tmp_path, long):
         store.write_quantiles(quant, f"{tmp_path}/store")
 
 
+def biomass(long, names, times):
+    return series.biomass_series(long.withColumn("value", long["value"] * times), names)
+
+
+def least(df):
+    return {(r["ID"], r["Value"]) for r in df.filter("Year = 1 and Stat = 'q0'").collect()}
+
+
+def test_readers_see_whole_snapshots(spark, tmp_path, long, monkeypatch):
+    path = f"{tmp_path}/store"
+    with pytest.raises(FileNotFoundError, match="no quantiles"):
+        store.read_quantiles(spark, path)
+    store.write_quantiles(biomass(long, ["A", "B"], 1), path)
+    before = store.read_quantiles(spark, path)
+    store.write_quantiles(biomass(long, ["A"], 2), path)
+    assert least(before) == {("A", 100), ("B", 200)}
+    assert least(store.read_quantiles(spark, path)) == {("A", 200), ("B", 200)}
+    # a writer that is lost before its snapshot has a number leaves the store as it was
+    monkeypatch.setattr(store, "_claim", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.write_quantiles(biomass(long, ["A", "B"], 5), path)
+    assert least(store.read_quantiles(spark, path)) == {("A", 200), ("B", 200)}
+
+
+def test_two_writers_lose_nothing(spark, tmp_path, long, monkeypatch):
+    path = f"{tmp_path}/store"
+    store.write_quantiles(biomass(long, ["A", "B"], 1), path)
+    claim, calls = store._claim, []
+
+    def late(spark, path, number, folder):
+        calls.append(number)
+        if len(calls) == 1:  # another writer is first
+            store.write_quantiles(biomass(long, ["B"], 3), path)
+        return claim(spark, path, number, folder)
+
+    monkeypatch.setattr(store, "_claim", late)
+    store.write_quantiles(biomass(long, ["A"], 2), path)
+    assert calls == [2, 2, 3]
+    assert least(store.read_quantiles(spark, path)) == {("A", 200), ("B", 600)}
+    assert len([f for f in os.listdir(path) if f.startswith("rows-")]) == 3
+
+
+def test_files_of_the_store_are_bounded(spark, tmp_path, long):
+    path = f"{tmp_path}/store"
+    for times in range(1, 6):
+        store.write_quantiles(biomass(long, ["A", "B"], times), path, kept=2)
+    folders = [f for f in os.listdir(path) if f.startswith("rows-")]
+    assert len(folders) == 2 and least(store.read_quantiles(spark, path)) == {("A", 500), ("B", 1000)}
+    parts = [f for folder in folders for f in os.listdir(f"{path}/{folder}") if f.endswith(".parquet")]
+    assert len(parts) <= 4
+    assert [f for f in sorted(os.listdir(f"{path}/_snapshots")) if not f.startswith(".")] == ["000000000004", "000000000005"]
+
+
 def test_any_variable_is_exported(spark, tmp_path, long):
     own = series.biomass_series(long, ["A"]).withColumn("Var", F.lit("Fluxes by prey"))
     kept = store.upsert_quantiles(series.biomass_series(long, ["B"]), own)

@@ -2,6 +2,7 @@
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from trophos.schemas import QUANT, VARIABLES, quant_columns
 
 KEY = ["Var", "ID"]
 CSV = {"nullValue": "NA"}
+#: Folder of the files that name snapshots, and the number of snapshots that stay.
+CLAIMS, SNAPSHOTS = "_snapshots", 10
 
 
 def register_series(registry: DataFrame, variable: str, ids: DataFrame) -> DataFrame:
@@ -34,23 +37,106 @@ def upsert_quantiles(store: DataFrame, quant: DataFrame) -> DataFrame:
     return kept.unionByName(quant, allowMissingColumns=True)
 
 
-def write_quantiles(quant: DataFrame, path: str) -> None:
-    """Upsert on disk: the key is the partition, so only the partitions of the
-    keys in ``quant`` are replaced and no other file is read."""
+def write_quantiles(quant: DataFrame, path: str, kept: int = SNAPSHOTS) -> None:
+    """Upsert on disk: a new snapshot in which every ``(Var, ID)`` of ``quant`` has its rows of ``quant``.
+
+    A snapshot is a folder of files in the order of the keys; quantiles are as
+    many as the model has series and years, so it is written whole and stays in
+    few files.  Its number is claimed by renaming a small file that names the
+    folder, which fails if the number is taken: a reader sees all of an upsert
+    or nothing, and of two writers one starts again from the other's snapshot.
+    The newest ``kept`` snapshots stay for readers that still hold an older one.
+    """
+    spark = quant.sparkSession
     full = quant
     for field in QUANT.fields:
         if field.name not in full.columns:
             full = full.withColumn(field.name, F.lit(None).cast(field.dataType))
-    # a folder name cannot hold an empty key: it would be read back as NULL
-    key = F.when(F.col("ID") == "", F.raise_error(F.lit("a stored series needs an ID"))).otherwise(F.col("ID"))
-    full = full.withColumn("ID", key.cast("string"))
-    full.select(*QUANT.names).repartition(*KEY).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy(*KEY).parquet(path)
+    empty = F.coalesce(F.col("ID") == "", F.lit(True))
+    full = full.withColumn("ID", F.when(empty, F.raise_error(F.lit("a stored series needs an ID"))).otherwise(F.col("ID")).cast("string"))
+    new = Scratch(spark).keep(full.select(*QUANT.names), "upsert")
+    while True:
+        number, folder = _newest(spark, path)
+        old = spark.read.schema(QUANT).parquet(f"{path}/{folder}") if folder else spark.createDataFrame([], QUANT)
+        written = f"rows-{uuid.uuid4().hex}"
+        upsert_quantiles(old, new).select(*QUANT.names).sort(*KEY, "Year").write.parquet(f"{path}/{written}")
+        if _claim(spark, path, number + 1, written):
+            break
+        _files(spark, path).delete(_path(spark, f"{path}/{written}"), True)
+    _expire(spark, path, number + 1 - kept)
 
 
 def read_quantiles(spark, path: str) -> DataFrame:
-    return spark.read.schema(QUANT).parquet(path).select(*QUANT.names)
+    """The newest snapshot; it stays as it is while later ones are written."""
+    _, folder = _newest(spark, path)
+    if folder is None:
+        raise FileNotFoundError(f"no quantiles are stored in {path}")
+    return spark.read.schema(QUANT).parquet(f"{path}/{folder}")
+
+
+def _path(spark, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(spark, path: str):
+    """The file system of a path, which may be a shared one that only Spark reaches."""
+    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _numbers(spark, path: str) -> list[int]:
+    """Numbers of the snapshots, oldest first."""
+    files, folder = _files(spark, path), _path(spark, f"{path}/{CLAIMS}")
+    names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+    return sorted(int(name) for name in names if name.isdigit())
+
+
+def _claimed(spark, path: str, number: int):
+    return _path(spark, f"{path}/{CLAIMS}/{number:012d}")
+
+
+def _folder(spark, path: str, number: int) -> str:
+    file = _files(spark, path).open(_claimed(spark, path, number))
+    try:
+        return file.readUTF()
+    finally:
+        file.close()
+
+
+def _newest(spark, path: str) -> tuple[int, str | None]:
+    """Number and folder of the newest snapshot, 0 and None without one."""
+    numbers = _numbers(spark, path)
+    return (numbers[-1], _folder(spark, path, numbers[-1])) if numbers else (0, None)
+
+
+def _claim(spark, path: str, number: int, folder: str) -> bool:
+    """Makes ``folder`` the snapshot of this number, unless there is one."""
+    files, fs = _files(spark, path), spark._jvm.org.apache.hadoop.fs
+    draft = files.makeQualified(_path(spark, f"{path}/{CLAIMS}/_{folder}"))
+    file = files.create(draft, False)
+    file.writeUTF(folder)
+    file.close()
+    rename = getattr(fs, "Options$Rename")
+    no_overwrite = spark.sparkContext._gateway.new_array(rename, 1)
+    no_overwrite[0] = rename.NONE
+    target = files.makeQualified(_claimed(spark, path, number))
+    try:
+        fs.FileContext.getFileContext(draft.toUri(), spark._jsc.hadoopConfiguration()).rename(draft, target, no_overwrite)
+        return True
+    except Py4JJavaError:
+        files.delete(draft, False)
+        if files.exists(target):
+            return False
+        raise
+
+
+def _expire(spark, path: str, last: int) -> None:
+    """Removes the snapshots up to this number."""
+    files = _files(spark, path)
+    for number in _numbers(spark, path):
+        if number <= last:
+            folder = _folder(spark, path, number)
+            files.delete(_claimed(spark, path, number), False)
+            files.delete(_path(spark, f"{path}/{folder}"), True)
 
 
 def export_rows(store: DataFrame, selection: DataFrame) -> DataFrame:
