@@ -56,6 +56,18 @@ def test_learns_words_beginnings_and_exceptions(spark):
     assert found[0] > 0.5 > found[2] and found[1] == found[2] == found[3]
 
 
+def test_texts_are_scored_a_few_at_a_time(spark):
+    lexicon = T.Lexicon({" idiot ": 2.0}, [], 3.0, -1.0)
+    texts = ["an idiot", "fine " * 20_000, "", None] * 80
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(1)
+    scored = rows.select("i", T.score(rows, lexicon).alias("score"))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    found = [r["score"] for r in scored.orderBy("i").collect()]
+    raw = np.array([T.statistic(T.fold(t or ""), lexicon.automaton()) for t in texts])
+    assert found == T._probability(lexicon, raw).tolist()
+
+
 def test_without_both_labels_nothing_is_toxic(spark):
     rows = spark.createDataFrame([("a b", 0)], "text string, label int")
     assert T.learn(rows) == T.Lexicon() and T.learn(rows.limit(0)) == T.Lexicon()

@@ -112,16 +112,21 @@ def statistic(folded: str, automaton) -> float:
 
 
 def scorer(lexicon: Lexicon):
-    """Arrow function of a text column: the score, 0 to 1."""
+    """Function of a text column: the score, 0 to 1.
+
+    Not by Arrow, whose batches are of 10,000 rows: their texts would be held
+    several times over, in the executor and its worker, by each task.  A row of
+    a plain function goes with at most 99 others.
+    """
     ready = []
 
-    def score(texts: pa.Array) -> pa.Array:
+    def score(text: str | None) -> float:
         if not ready:
             ready.append(lexicon.automaton())
-        raw = np.array([statistic(fold(t.as_py() or ""), ready[0]) if t.is_valid else 0.0 for t in texts])
-        return pa.array(_probability(lexicon, raw))
+        raw = 0.0 if text is None else statistic(fold(text), ready[0])
+        return float(_probability(lexicon, np.array([raw]))[0])
 
-    return F.arrow_udf(score, "double")
+    return F.udf(score, "double", useArrow=False)
 
 
 def _probability(lexicon: Lexicon, raw: np.ndarray) -> np.ndarray:
