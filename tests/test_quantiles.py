@@ -186,3 +186,11 @@ def test_sketch_of_groups_without_values(spark):
     assert kept[0]["q50"] is None and [kept[1][s] for s in STATS] == [1.5] * 7
     with pytest.raises(SparkRuntimeException, match="missing values"):
         quantile_summary(df, ["k"], method="sketch").collect()
+
+
+def test_sorting_deals_the_groups_to_many_tasks_and_sorts_once(spark):
+    rows = spark.range(7000).selectExpr("id % 350 as k", "rand(1) as value", "rand(2) as other")
+    for found in (quantile_summary(rows, ["k"]), vector_quantiles(rows, ["k"], ["value", "other"])):
+        assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 20
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Sort [") == plan.count("Window [") == 1

@@ -5,9 +5,9 @@ wanted ranks are found; both give the same numbers, and no size decides between
 them:
 
 ``"sort"``  one shuffle by group; a task sorts the groups it gets, spilling to
-    disk, and numbers their values.  Work is spread over as many tasks as there
-    are groups: meant for the series, whose groups (series and year) have one
-    row per sample each.
+    disk, and numbers their values.  The groups are dealt to ``SORT_TASKS``
+    tasks, which hold a few each: meant for the series, whose groups (series and
+    year) have one row per sample each.
 ``"bins"``  ties are counted on the map side and dealt by group and value bin;
     running sums of the bins' counts say which few bins hold a wanted rank, and
     only their values are sorted.  No task sees a whole group, so one group with
@@ -27,6 +27,10 @@ from trophos.functions.sketches import sketch_state, state_quantiles
 PROBS = (0.0, 0.025, 0.25, 0.5, 0.75, 0.975, 1.0)
 STATS = ("q0", "q2.5", "q25", "q50", "q75", "q97.5", "q100")
 
+# Tasks that sort.  A given number, since partitions that Spark may join are
+# joined up to 64 MB of packed rows, which take some 26 times that when sorted.
+SORT_TASKS = 32
+
 # Bins between a number and its double; the bin of missing values.
 STEPS, MISSING = 64, -(1 << 62)
 
@@ -45,7 +49,8 @@ def grouped_quantiles(
     values: DataFrame, keys: Sequence[str], value: str = "value", method: str = "sort"
 ) -> DataFrame:
     """``keys``, ``missing`` (NULL/NaN count) and the quantile array ``q``."""
-    cells = values.select(F.struct(*keys).alias("k"), F.lit(0).alias("m"), known(F.col(value).cast("double")).alias("v"))
+    rows = values.select(F.struct(*keys).alias("k"), known(F.col(value).cast("double")).alias("v"))
+    cells = _dealt(rows, method).select("k", F.lit(0).alias("m"), "v")
     return _method(method)(cells).select("k.*", "missing", "q")
 
 
@@ -59,9 +64,7 @@ def vector_quantiles(
     """
     vector = F.array(*[known(F.col(c).cast("double")) for c in columns])
     rows = values.select(F.struct(*keys).alias("k"), vector.alias("vector"))
-    if method == "sort":
-        rows = rows.repartition("k")
-    cells = rows.select("k", F.posexplode("vector").alias("m", "v"))
+    cells = _dealt(rows, method).select("k", F.posexplode("vector").alias("m", "v"))
     return _method(method)(cells).select("k.*", F.col("m").alias("measure"), "missing", "q")
 
 
@@ -71,13 +74,18 @@ def _method(name: str):
     return METHODS[name]
 
 
+def _dealt(rows: DataFrame, method: str) -> DataFrame:
+    return rows.repartition(SORT_TASKS, "k") if method == "sort" else rows
+
+
 def _by_sorting(cells: DataFrame) -> DataFrame:
-    group = "over (partition by k, m"
     # missing values come last: they change no rank
+    group = "over (partition by k, m order by v nulls last"
+    # counts in the same order, so that the rows are sorted and held once
+    whole = f"{group} rows between unbounded preceding and unbounded following)"
     ranked = cells.selectExpr(
-        "k", "m", "v", f"count(v) {group}) as total", f"count(*) {group}) as rows",
-        f"row_number() {group} order by v nulls last) - 1 as first",
-    )
+        "k", "m", "v", f"count(v) {whole} as total", f"count(*) {whole} as rows", f"row_number() {group}) - 1 as first"
+    )
     held = " or ".join(f"first = {r}" for r in _RANKS)
     found = ranked.filter(f"(first < total and ({held})) or (total = 0 and first = 0)")
     return _interpolated(found.selectExpr("k", "m", "total", "rows - total as missing", "first", "1L as n", "v"))
