@@ -135,3 +135,47 @@ def test_bounds_cut_where_python_would():
         got = [tuple(parts[r].labels[i].as_py() for i in p if i >= 0) for p in parts[r].paths()[0]] if r in parts else []
         assert got == own
         assert all(r in bounds.ranges(p[:d]) for p in own for d in range(1, len(p) + 1))
+
+
+def test_parts_do_not_grow_with_blocks_times_ranges(spark, monkeypatch):
+    """Three blocks of text and 126 ranges are one shard, cut at groups of ranges."""
+    pick = random.Random(4)
+    some = [f"{i:02d}".ljust(20, "x") for i in range(60)]
+    rows = [(None, " ".join(pick.choices(some, k=300))) for _ in range(1200)]
+    frame = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+
+    def seen(parts, *_):
+        raise RuntimeError(f"parts: {parts.count()}")
+
+    monkeypatch.setattr(C, "united_ranges", seen)
+    with pytest.raises(RuntimeError, match="^parts: ") as found:
+        C.collocations(frame, range_bytes=60_000)
+    assert 1 < int(str(found.value).split()[1]) <= 100
+
+
+def test_paths_beyond_64_bits():
+    pick = np.random.default_rng(3)
+    paths = np.stack([pick.permutation(70_000) for _ in range(C.DEPTH)], axis=1).astype(np.int32)
+    paths, weights = np.concatenate([paths, paths[::3]]), np.ones(70_000 + len(paths[::3]), np.int64)
+    assert C._packed(paths) is None and C._packed(paths[:50_000]) is not None
+    for some in (paths, paths[:50_000] + [[0, 0, 2**30, 2**30]]):
+        plain = sorted(Counter(map(tuple, some.tolist())).items())
+        for own in (weights[: len(some)], None):
+            found, sums = C.summed_paths(some.astype(np.int32), own)
+            assert list(zip(map(tuple, found.tolist()), sums.tolist())) == plain
+    few = pick.integers(0, 3, size=(200, 3))
+    for large in ([1, 1, 1], [1, 2**60, 1], [2**30, 2**62, 2**30]):
+        rows = [tuple(r) for r in few.tolist()]
+        assert C._first_equal(*(few[:, i] * large[i] for i in range(3))).tolist() == [rows.index(r) for r in rows]
+
+
+def test_large_weights_and_single_prefixes():
+    names = pa.array([b"a", b"b", b"c"], pa.binary())
+    paths = np.array([[0, 0, -1, -1], [0, 0, 1, -1], [0, 0, 1, 2], [0, 2, -1, -1]], np.int32)
+    weights = np.array([10**15, 3, 2**40, 1])
+    made = C.Transducer.from_bytes(C.Transducer.of_paths(names, paths, weights).to_bytes())
+    got, sums = made.paths()
+    assert (got == paths).all() and (sums == weights).all()
+    wanted = {(b"a",): sum(weights), (b"a", b"a", b"b"): 3 + 2**40, (b"a", b"a", b"b", b"c"): 2**40, (b"a", b"c", b"a"): 0, (b"b",): 0, (b"x",): 0}
+    assert {p: made.weight_of(p) for p in wanted} == wanted
+    assert made.arcs(2, 2)[1].tolist() == [10**15 + 3 + 2**40]

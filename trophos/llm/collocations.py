@@ -7,17 +7,19 @@ a = f(phrase) >= ``least``; each cut into two parts with l and r occurrences sco
 floor(10 ** 6 a a / (l r)), and the lowest cut counts, of equal ones the first.  A
 candidate within a longer one that has at least ``percent`` of its occurrences goes.
 
-1. Each task turns a few MB of texts at a time into a count transducer: for every
-   word the path lang, word and the next two words of the piece, with the number
-   of its occurrences.  Paths come sorted and are added from first to last; a
+1. Each task turns some tens of MB of texts at a time, a shard, into count
+   transducers: for every word the path lang, word and the next two words of the
+   piece, with the number of its occurrences.  Paths come sorted and are added from first to last; a
    state is closed when the paths leave it, and shares the arcs of an equal state
    closed before it.  An arc's weight is the sum of all paths through it, so the
    arc that ends a phrase bears f(phrase), and the one of a lang bears n.
 2. Transducers are cut at bounds of paths, and each range's parts are united and
-   their weights summed, a few at a time.  Bounds are whole paths, so the range of
+   their weights summed, many at a time.  Bounds are whole paths, so the range of
    a word that is a third of all words is cut within it; they come from a bounded
    sample of texts and decide on balance alone.  What a bound cuts through is
-   added up afterwards.
+   added up afterwards.  A shard is cut at the bounds of groups of ranges only, and
+   a group once its parts are united: parts are as many as shards times groups,
+   and both are large, so that parts do not become many and tiny.
 3. The parts that candidates are cut into, distinct, go to the ranges that may hold
    them as an acceptor, which is composed with the range's transducer: the
    product's arcs bear the counts that were asked for.
@@ -27,8 +29,10 @@ table has no phrase.  Long texts are taken in pieces of a bounded number of word
 Other columns are not looked at.
 """
 
+import ctypes
 from bisect import bisect_right
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +43,18 @@ from pyspark.sql import functions as F
 from trophos.llm.words import LOWER, byte_view
 from trophos.plans.scratch import Scratch
 
-#: Bytes of text that a task turns into one transducer, about; words at most.
+#: Bytes of text whose words a task looks for at a time, about; words at most.
 TEXT_BYTES, TEXT_WORDS = 3 << 20, 1 << 20
-#: Paths of the transducers that a task unites at a time, about.
-MERGED = 1 << 19
+#: Words that a task counts at a time, about: a shard.
+SHARD_WORDS = 2_000_000
+#: Paths that a task unites at a time, about.
+MERGED = 1 << 20
 #: Bytes of text that a range stands for, about.
 RANGE_BYTES = 6 << 20
+#: Ranges of a group at most, and groups before that.
+GROUPED, GROUPS = 4, 64
+#: Bytes of parts that a task hands over at a time, about.
+HANDED = 4 << 20
 #: Sampled texts, and paths of each, that the bounds come from.
 SAMPLE_TEXTS, SAMPLE_PATHS = 4096, 32
 #: Words of a path: a phrase is up to three words of a lang.
@@ -77,23 +87,21 @@ class Transducer:
         """Of distinct sorted paths, rows of DEPTH label numbers with -1 after the end."""
         n = len(paths)
         opens = np.zeros(n, bool)
-        starts, levels = [], []
         opens[:1] = True
+        first, label, weight, target = [], [], [], []
+        above = np.zeros(1, np.int64)
         for i in range(DEPTH):  # where a path differs from the one before it within its first i + 1 labels
-            opens[1:] |= paths[1:, i] != paths[:-1, i]
-            at = np.flatnonzero(opens & (paths[:, i] >= 0))
-            starts.append(at)
+            own = paths[:, i]
+            opens[1:] |= own[1:] != own[:-1]
             ends = np.flatnonzero(opens)
-            sums = np.add.reduceat(weights, ends) if n else weights
-            levels.append((paths[at, i], sums[np.searchsorted(ends, at)]))
-        first, label, weight, target = [], [], [], []
-        for i, (own, sums) in enumerate(levels):
-            above = starts[i - 1] if i else np.zeros(1, np.int64)
-            bounds = np.searchsorted(starts[i], np.append(above, n)) if i else np.array([0, len(own)])
-            first.append(np.asarray(bounds, np.int64))
-            label.append(own)
-            weight.append(sums)
-            target.append(np.arange(len(own), dtype=np.int32))
+            here = own[ends] >= 0
+            at = ends[here]
+            before = np.concatenate([[0], np.cumsum(opens & (own >= 0))])  # arcs that begin before a path
+            first.append(before[np.append(above, n)] if i else np.array([0, len(at)]))
+            label.append(own[at])
+            weight.append((np.add.reduceat(weights, ends) if n else weights)[here])
+            target.append(np.arange(len(at), dtype=np.int32))
+            above = at
         out = cls(labels, first, label, weight, target, n)
         out._share_states()
         return out
@@ -107,16 +115,11 @@ class Transducer:
             # states of one arc are told apart by it; those of more seldom are equal and stay
             one = np.flatnonzero(count == 1)
             arcs = first[one]
-            key = np.stack([self.label[i][arcs], self.weight[i][arcs], self.target[i][arcs]], axis=1)
-            order = np.lexsort(key.T[::-1]) if len(key) else np.zeros(0, np.int64)
-            new = np.ones(len(one), bool)
-            new[1:] = (key[order][1:] != key[order][:-1]).any(axis=1)
-            same_as = np.empty(len(one), np.int64)
-            same_as[order] = one[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(one) else 0
+            same_as = one[_first_equal(self.label[i][arcs], self.weight[i][arcs], self.target[i][arcs] + 1)]
             stands_for = np.arange(len(count))
             stands_for[one] = same_as
             stands_for[count == 0] = -1
-            kept = np.unique(stands_for[stands_for >= 0])
+            kept = np.flatnonzero(stands_for == np.arange(len(count)))
             number = np.full(len(count) + 1, -1, np.int32)
             number[kept] = np.arange(len(kept))
             self.target[i - 1] = np.where(stands_for >= 0, number[stands_for], -1)
@@ -126,60 +129,133 @@ class Transducer:
 
     def paths(self) -> tuple[np.ndarray, np.ndarray]:
         """The sorted paths and their weights without those that go on."""
-        rows, weights = [], []
-        state, prefix = np.zeros(1, np.int64), np.zeros((1, 0), np.int32)
+        state, weights, columns = np.zeros(1, np.int64), np.zeros(1, np.int64), []  # state -1: the path has ended
         for i in range(DEPTH):
-            take, begins = _spans(self.first[i][state], self.first[i][state + 1] - self.first[i][state])
-            owner = np.repeat(np.arange(len(state)), np.diff(begins))
-            prefix = np.concatenate([prefix[owner], self.label[i][take][:, None]], axis=1)
-            weight, target = self.weight[i][take], self.target[i][take]
-            below = np.zeros(len(take), np.int64)
-            on = np.flatnonzero(target >= 0)
-            if len(on):
-                sums = np.concatenate([[0], np.cumsum(self.weight[i + 1])])
-                below[on] = sums[self.first[i + 1][target[on] + 1]] - sums[self.first[i + 1][target[on]]]
-            ends = np.flatnonzero(weight > below)
-            rows.append(np.pad(prefix[ends], ((0, 0), (0, DEPTH - 1 - i)), constant_values=-1))
-            weights.append((weight - below)[ends])
-            state, prefix = target[on], prefix[on]
-        rows, weights = np.concatenate(rows), np.concatenate(weights)
-        order = np.lexsort(rows.T[::-1])
-        return rows[order], weights[order]
-
-    def arcs(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """All prefixes of ``depth`` labels, sorted, and their weights."""
-        state, prefix = np.zeros(1, np.int64), np.zeros((1, 0), np.int32)
+            on = state >= 0
+            count = np.ones(len(state), np.int64)
+            count[on] = (self.first[i][1:] - self.first[i][:-1])[state[on]]
+            begins = np.cumsum(count) - count
+            owner = np.repeat(np.arange(len(state)), count)
+            on = on[owner]
+            arc = (np.arange(len(owner)) + np.repeat(self.first[i][state] - begins, count))[on]
+            label, target = np.full(len(owner), -1, np.int32), np.full(len(owner), -1, np.int64)
+            weights = weights[owner]
+            label[on], target[on], weights[on] = self.label[i][arc], self.target[i][arc], self.weight[i][arc]
+            columns = [*(c[owner] for c in columns), label]
+            goes_on = np.flatnonzero(target >= 0)
+            if len(goes_on):  # what ends here comes before what goes on
+                sums = np.concatenate([[0], np.cumsum(self.weight[i + 1])])[self.first[i + 1]]
+                rest = weights[goes_on] - np.diff(sums)[target[goes_on]]
+                both = goes_on[rest > 0]
+                copies = np.ones(len(target), np.int64)
+                copies[both] = 2
+                ends = both + np.arange(len(both))
+                target, weights, *columns = (np.repeat(c, copies) for c in (target, weights, *columns))
+                target[ends], weights[ends] = -1, rest[rest > 0]
+            state = target
+        return _matrix(columns), weights
+
+    def arcs(self, depth: int, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """All prefixes of ``depth`` labels that weigh ``least``, sorted, and their weights."""
+        state, columns = np.zeros(1, np.int64), []
         for i in range(depth):
             take, begins = _spans(self.first[i][state], self.first[i][state + 1] - self.first[i][state])
             owner = np.repeat(np.arange(len(state)), np.diff(begins))
-            prefix = np.concatenate([prefix[owner], self.label[i][take][:, None]], axis=1)
-            weight, state = self.weight[i][take], self.target[i][take]
+            keep = self.weight[i][take] >= least  # what it goes on to weighs no more
             if i < depth - 1:
-                prefix, state = prefix[state >= 0], state[state >= 0]
-        return prefix, weight
+                keep &= self.target[i][take] >= 0
+            take, owner = take[keep], owner[keep]
+            columns = [*(c[owner] for c in columns), self.label[i][take]]
+            weight, state = self.weight[i][take], self.target[i][take]
+        return _matrix(columns), weight
+
+    def weight_of(self, path: tuple[bytes, ...]) -> int:
+        """What one prefix weighs; 0 if there is none."""
+        state, weight = 0, 0
+        for i, name in enumerate(path):
+            number = pc.index(self.labels, pa.scalar(name, self.labels.type)).as_py() if state >= 0 else -1
+            if number < 0:
+                return 0
+            a, b = self.first[i][state], self.first[i][state + 1]
+            at = a + int(np.searchsorted(self.label[i][a:b], self.label[i].dtype.type(number)))
+            if at == b or self.label[i][at] != number:
+                return 0
+            state, weight = int(self.target[i][at]), int(self.weight[i][at])
+        return weight
 
     def to_bytes(self) -> bytes:
-        columns = {"labels": self.labels, "size": pa.array([self.size])}
+        _, offsets, data = self.labels.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[self.labels.offset : self.labels.offset + len(self.labels) + 1]
+        text = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+        columns = [np.diff(offsets)]
         for i in range(DEPTH):
-            columns[f"first{i}"] = pa.array(np.diff(self.first[i], prepend=0).astype(np.int32))
-            columns[f"label{i}"] = pa.array(self.label[i])
-            columns[f"weight{i}"] = pa.array(self.weight[i])
-            columns[f"target{i}"] = pa.array(self.target[i])
-        rows = [pa.LargeListArray.from_arrays(pa.array([0, len(c)], pa.int64()), c) for c in columns.values()]
-        batch = pa.RecordBatch.from_arrays(rows, list(columns))
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=_ZSTD)) as writer:
-            writer.write_batch(batch)
-        return sink.getvalue().to_pybytes()
+            columns += [np.diff(self.first[i], prepend=0), self.label[i], self.weight[i], self.target[i] + 1]
+        planes = [_planes(c) for c in columns]
+        body = np.concatenate([text, *(p.ravel() for p in planes)]).tobytes()
+        head = [self.size, len(body), len(text), *(x for p in planes for x in p.shape)]
+        return np.array(head, np.int64).tobytes() + _ZSTD.compress(body, asbytes=True)
 
     @classmethod
     def from_bytes(cls, data) -> "Transducer":
-        batch = pa.ipc.open_stream(data).read_next_batch()
-        part = lambda name: batch[name].flatten()
-        number = lambda name: part(name).to_numpy(zero_copy_only=False)
-        columns = [[number(f"{name}{i}") for i in range(DEPTH)] for name in ("first", "label", "weight", "target")]
-        columns[0] = [np.cumsum(c, dtype=np.int64) for c in columns[0]]
-        return cls(part("labels"), *columns, int(number("size")[0]))
+        data = memoryview(data)
+        head = np.frombuffer(data[: 8 * HEAD], np.int64).tolist()
+        body = np.frombuffer(_ZSTD.decompress(data[8 * HEAD :], decompressed_size=head[1]), np.uint8)
+        columns, at = [], head[2]
+        for bytes_each, n in zip(head[3::2], head[4::2]):
+            columns.append(_numbers(body[at : at + bytes_each * n].reshape(bytes_each, n)))
+            at += bytes_each * n
+        offsets = np.concatenate([[0], np.cumsum(columns[0])]).astype(np.int32)
+        labels = pa.Array.from_buffers(pa.binary(), len(columns[0]), [None, pa.py_buffer(offsets), pa.py_buffer(body[: head[2]])])
+        first = [np.cumsum(c) for c in columns[1::4]]
+        return cls(labels, first, [c.astype(np.int32) for c in columns[2::4]], columns[3::4], [(c - 1).astype(np.int32) for c in columns[4::4]], head[0])
+
+
+#: Numbers before the body of a transducer's bytes.
+HEAD = 3 + 2 * (1 + 4 * DEPTH)
+
+
+def _planes(numbers: np.ndarray) -> np.ndarray:
+    """The bytes of numbers from 0, all lowest ones first, as many as the greatest needs."""
+    own = np.ascontiguousarray(numbers, np.int64 if numbers.itemsize == 8 else np.int32)
+    needed = -(-int(own.max(initial=0)).bit_length() // 8)
+    return own.view(np.uint8).reshape(len(own), own.itemsize).T[:needed]
+
+
+def _numbers(planes: np.ndarray) -> np.ndarray:
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view(np.int64).ravel()
+
+
+def _matrix(columns: list[np.ndarray]) -> np.ndarray:
+    """Rows of numbers whose columns lie in one piece each."""
+    out = np.empty((len(columns), len(columns[0])), np.int32)
+    for i, column in enumerate(columns):
+        out[i] = column
+    return out.T
+
+
+def _first_equal(*columns: np.ndarray) -> np.ndarray:
+    """The number of the first of the rows that each row, of numbers from 0, equals."""
+    n = len(columns[0])
+    bits = [int(c.max(initial=0)).bit_length() for c in columns]
+    if sum(bits) <= 64:
+        keys = np.zeros(n, np.uint64)
+        for column, width in zip(columns, bits):
+            keys = (keys << np.uint64(width)) | column.astype(np.uint64)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        new = keys[1:] != keys[:-1]
+    else:
+        order = np.lexsort(columns)
+        new = np.zeros(max(n - 1, 0), bool)
+        for column in columns:
+            column = column[order]
+            new |= column[1:] != column[:-1]
+    at = np.flatnonzero(np.concatenate([[True], new])) if n else np.zeros(0, np.int64)
+    out = np.empty(n, np.int64)
+    out[order] = np.repeat(order[at], np.diff(np.append(at, n)))
+    return out
 
 
 def _spans(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,33 +273,80 @@ def _sorted_labels(labels: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy(zero_copy_only=False)]
 
 
-def summed_paths(paths: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct sorted paths and the sums of their weights."""
+def _packed(paths: np.ndarray) -> tuple[np.ndarray, list] | None:
+    """One number per path, in the order of the paths, and what tells the paths from them; None beyond 64 bits."""
+    most = [int(paths[:, i].max(initial=-1)) + 1 for i in range(DEPTH)]
+    values, ranks = [None] * DEPTH, [None] * DEPTH
+    for i in range(DEPTH):
+        if sum(m.bit_length() for m in most) <= 64:
+            break
+        present = np.zeros(most[i] + 1, bool)  # numbers that are there, told by their rank; -1 is the last place
+        present[paths[:, i]] = True
+        values[i] = np.flatnonzero(np.roll(present, 1)).astype(np.int32)
+        ranks[i] = np.roll(np.cumsum(np.roll(present, 1), dtype=np.int32) - 1, -1)
+        most[i] = len(values[i]) - 1
+    bits = [m.bit_length() for m in most]
+    if sum(bits) > 64:
+        return None
+    keys = np.zeros(len(paths), np.uint64)
+    for i in range(DEPTH):
+        keys <<= np.uint64(bits[i])
+        column = paths[:, i]
+        keys += (column + np.int32(1) if ranks[i] is None else ranks[i][column]).view(np.uint32)
+    return keys, list(zip(bits, values))
+
+
+def _unpacked(keys: np.ndarray, columns: list) -> np.ndarray:
+    out = np.empty((DEPTH, len(keys)), np.int32)
+    for i in reversed(range(DEPTH)):
+        bits, values = columns[i]
+        own = (keys & np.uint64((1 << bits) - 1)).astype(np.int64)
+        out[i] = (own if values is None else values[own]) - 1
+        keys = keys >> np.uint64(bits) if bits < 64 else np.zeros_like(keys)
+    return out.T
+
+
+def summed_paths(paths: np.ndarray, weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted paths and the sums of their weights; None: each weighs 1."""
     if not len(paths):
-        return paths, weights
-    # two labels make one number
-    high, low = ((paths[:, i].astype(np.int64) + 1 << 32) + paths[:, i + 1] + 1 for i in (0, 2))
-    order = np.lexsort((low, high))
-    high, low = high[order], low[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
-    at = np.flatnonzero(new)
-    return paths[order[at]], np.add.reduceat(weights[order], at)
+        return paths, np.zeros(0, np.int64)
+    order, n = None, len(paths)
+    if packed := _packed(paths):
+        keys, columns = packed
+        if weights is None:
+            paths = None  # large, and the caller need not hold them
+            keys.sort()
+        else:
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+        new = keys[1:] != keys[:-1]
+    else:  # two labels make one number
+        high, low = ((paths[:, i].astype(np.int64) + 1 << 32) + paths[:, i + 1] + 1 for i in (0, 2))
+        order = np.lexsort((low, high))
+        high, low = high[order], low[order]
+        new = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+    at = np.flatnonzero(np.concatenate([[True], new]))
+    sums = np.diff(np.append(at, n)) if weights is None else np.add.reduceat(weights[order], at)
+    return _unpacked(keys[at], columns) if packed else paths[order[at]], sums
+
+
+def _united_paths(parts: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The union of labels, and of paths in them with the sums of their weights."""
+    labels, number = _sorted_labels(pa.concat_arrays([own for own, _, _ in parts]))
+    columns, start = np.empty((DEPTH, sum(len(paths) for _, paths, _ in parts)), np.int32), 0
+    at = 0
+    for own, paths, _ in parts:
+        own = np.append(number[start : start + len(own)], np.int32(-1))  # -1 stays -1
+        start += len(own) - 1
+        for i in range(DEPTH):
+            columns[i, at : at + len(paths)] = own[paths[:, i]]
+        at += len(paths)
+    return labels, *summed_paths(columns.T, np.concatenate([weights for _, _, weights in parts]))
 
 
 def united(parts: list[Transducer]) -> Transducer:
     """The union of transducers, with the sums of their weights."""
-    labels = pa.concat_arrays([p.labels for p in parts])
-    labels, number = _sorted_labels(labels)
-    all_paths, all_weights, start = [], [], 0
-    for p in parts:
-        own = np.append(number[start : start + len(p.labels)], np.int32(-1))  # -1 stays -1
-        start += len(p.labels)
-        paths, weights = p.paths()
-        all_paths.append(own[paths])
-        all_weights.append(weights)
-    paths, weights = summed_paths(np.concatenate(all_paths), np.concatenate(all_weights))
-    return Transducer.of_paths(labels, paths, weights)
+    return Transducer.of_paths(*_united_paths([(p.labels, *p.paths()) for p in parts]))
 
 
 def composed(asked: Transducer, counts: Transducer) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -297,6 +420,7 @@ def _words(langs: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndar
     follows[:-1] = (piece[1:] == piece[:-1]) & (text[1:] == text[:-1])
     lang = langs.dictionary_encode()
     number = lang.indices.to_numpy(zero_copy_only=False)[text]
+    del begins, ends, filled, text, breaks, piece
     for a in range(0, len(start), TEXT_WORDS):
         b = min(a + TEXT_WORDS, len(start))
         c = min(b + 2, len(start))
@@ -309,18 +433,56 @@ def _words(langs: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndar
         yield words, marked, follows[a:c], lang.dictionary
 
 
-def counted_paths(words, lang, follows, langs) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Labels, and the distinct sorted paths that begin at each word with a lang, with their numbers."""
-    names = langs.cast(pa.string()).cast(pa.binary())
-    labels, number = _sorted_labels(pa.concat_arrays([names, words]))
-    lang_number, word = number[: len(names)], number[len(names) :]
-    n = int((lang >= 0).sum())
-    paths = np.full((n, DEPTH), -1, np.int32)
-    paths[:, 0], paths[:, 1] = lang_number[lang[:n]], word[:n]
-    for i in range(2, DEPTH):
-        after = np.flatnonzero(follows[:n]) if i == 2 else after[follows[after + i - 2]]
-        paths[after, i] = word[after + i - 1]
-    return labels, *summed_paths(paths, np.ones(n, np.int64))
+def _coded(words: pa.Array, lang: np.ndarray, follows: np.ndarray, langs: pa.Array) -> tuple:
+    """Labels, and by number of them the words, and the lang of each that has one; whether the next word follows."""
+    names, words = langs.cast(pa.string()).cast(pa.binary()), words.dictionary_encode()
+    word = words.indices.to_numpy(zero_copy_only=False).astype(np.int32) + np.int32(len(names))
+    return pa.concat_arrays([names, words.dictionary]), word, lang[lang >= 0].astype(np.int32), follows
+
+
+def counted_paths(coded: list[tuple]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Labels, and the distinct sorted paths that begin at each word with a lang, with their numbers; ``coded`` is emptied."""
+    labels, number = _sorted_labels(pa.concat_arrays([own for own, *_ in coded]))
+    return labels, *summed_paths(_paths_of(coded, number), None)
+
+
+def _paths_of(coded: list[tuple], number: np.ndarray) -> np.ndarray:
+    columns, at, start = np.full((DEPTH, sum(len(lang) for _, _, lang, _ in coded)), -1, np.int32), 0, 0
+    while coded:
+        own, word, lang, follows = coded.pop(0)
+        own = number[start : start + len(own)]
+        start += len(own)
+        word, n = own[word], len(lang)
+        paths = columns[:, at : at + n]
+        paths[0], paths[1] = own[lang], word[:n]
+        on = np.ones(n, bool)
+        for i in range(2, DEPTH):  # the word i - 1 places on, if every one before it is followed
+            more = max(0, min(n, len(word) - i + 1))
+            on = on[:more] & follows[i - 2 : i - 2 + more]
+            paths[i, :more] = np.where(on, word[i - 1 : i - 1 + more], np.int32(-1))
+        at += n
+    return columns.T
+
+
+def counted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Labels, paths and numbers of about SHARD_WORDS words at a time."""
+    coded, words = [], 0
+    for block in _blocks(batches):
+        for found in _words(*block):
+            coded.append(_coded(*found))
+            words += len(coded[-1][2])
+            if words >= SHARD_WORDS:
+                yield counted_paths(coded)
+                coded, words = [], 0
+    if coded:
+        yield counted_paths(coded)
+
+
+def _give_back() -> None:
+    """Memory that is free again goes back to the system: a worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # where there is no glibc
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 # --- ranges -----------------------------------------------------------------------
@@ -355,7 +517,7 @@ class Bounds:
                     break  # the bound itself comes before what it begins
                 number, present = known[p[i]]
                 column = paths[low:high, i]
-                a, b = np.searchsorted(column, number, "left"), np.searchsorted(column, number, "right")
+                a, b = (int(np.searchsorted(column, np.int32(number), side)) for side in ("left", "right"))
                 if not present:
                     high = low = low + a
                     break
@@ -377,15 +539,20 @@ def _rank(labels: pa.Array, name: bytes) -> int:
 
 def _cut(labels: pa.Array, paths: np.ndarray, weights: np.ndarray, bounds: Bounds) -> Iterator[tuple[int, Transducer]]:
     """The transducers of sorted paths by range, each with the labels it uses."""
-    edges = [0, *bounds.places(labels, paths), len(paths)]
+    edges = [0, *bounds.places(labels, paths).tolist(), len(paths)]
+    number, there = np.full(len(labels) + 1, -1, np.int32), np.zeros(len(labels) + 1, bool)  # -1, after the end, stays
     for r, (a, b) in enumerate(zip(edges, edges[1:])):
         if a < b:
-            used = np.zeros(len(labels) + 1, bool)
-            used[paths[a:b] + 1] = True
-            used[0] = False  # -1, after the end, stays
-            number = np.cumsum(used, dtype=np.int32) - 1
-            own = Transducer.of_paths(labels.take(pa.array(np.flatnonzero(used[1:]))), number[paths[a:b] + 1], weights[a:b])
-            yield r, own
+            own = paths[a:b]
+            if 32 * len(own) < len(labels):
+                used = np.sort(own, axis=None)
+                used = used[np.append(used[1:] != used[:-1], True) & (used >= 0)]
+            else:
+                there[own] = True
+                used = np.flatnonzero(there[:-1])
+                there[used] = False
+            number[used] = np.arange(len(used))
+            yield r, Transducer.of_paths(labels.take(pa.array(used)), _matrix([number[own[:, i]] for i in range(DEPTH)]), weights[a:b])
 
 
 def _sampled_paths(documents: DataFrame, total: int) -> list[tuple[bytes, ...]]:
@@ -430,43 +597,62 @@ def _read(documents: DataFrame) -> DataFrame:
     return documents.select(lang, F.col("text").cast("string").alias("text"))
 
 
+def _rows(parts: Iterator[tuple[int, Transducer]]) -> Iterator[pa.RecordBatch]:
+    """(range, part) of about HANDED bytes at a time."""
+    rows, held = [], 0
+    for r, part in parts:
+        rows.append((r, part.to_bytes()))
+        held += len(rows[-1][1])
+        if held >= HANDED:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["range", "part"])
+            rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["range", "part"])
+
+
 def shard_transducers(documents: DataFrame, bounds: Bounds) -> DataFrame:
-    """(range, part): the transducers of a few MB of texts each, cut by range."""
+    """(range, part): the transducers of some tens of MB of texts each, cut by range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches):
-            for found in _words(*block):
-                rows = [(r, part.to_bytes()) for r, part in _cut(*counted_paths(*found), bounds)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["range", "part"])
+        for shard in counted_shards(batches):
+            yield from _rows(_cut(*shard, bounds))
+            del shard
+            _give_back()
 
     return documents.mapInArrow(run, "range long, part binary")
 
 
-def united_ranges(parts: DataFrame, ranges: int) -> DataFrame:
-    """(range, part): one transducer per range."""
+def united_ranges(parts: DataFrame, bounds: Bounds, grouped: int) -> DataFrame:
+    """(range, part): one transducer per range, of the parts of groups of ``grouped`` ranges."""
+    groups = len(bounds.paths) // grouped + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, waiting, held = None, [], 0
 
-        def finished() -> pa.RecordBatch:
-            whole = waiting[0] if len(waiting) == 1 else united(waiting)
-            return pa.RecordBatch.from_arrays([pa.array([current]), pa.array([whole.to_bytes()], pa.binary())], ["range", "part"])
+        def finished() -> Iterator[pa.RecordBatch]:
+            whole = waiting.pop() if len(waiting) == 1 else _united_paths(waiting)
+            waiting.clear()
+            first = current * grouped
+            yield from _rows((first + r, part) for r, part in _cut(*whole, Bounds(bounds.paths[first : first + grouped - 1])))
+            del whole
+            _give_back()
 
         for batch in batches:
-            for r, data in zip(batch["range"].to_pylist(), batch["part"]):
-                if r != current and waiting:
-                    yield finished()
-                    waiting, held = [], 0
-                current = r
-                waiting.append(Transducer.from_bytes(data.as_buffer()))
-                held += waiting[-1].size
-                if held > MERGED and held > 2 * waiting[0].size:  # never many at once
-                    waiting = [united(waiting)]
-                    held = waiting[0].size
+            for group, data in zip(batch["range"].to_pylist(), batch["part"]):
+                if group != current and waiting:
+                    yield from finished()
+                    held = 0
+                current = group
+                part = Transducer.from_bytes(data.as_buffer())
+                waiting.append((part.labels, *part.paths()))
+                held += part.size
+                if held > MERGED and held > 2 * len(waiting[0][1]):  # never many at once
+                    waiting = [_united_paths(waiting)]
+                    held = len(waiting[0][1])
         if waiting:
-            yield finished()
+            yield from finished()
 
-    parts = parts.repartition(ranges, "range").sortWithinPartitions("range")
+    parts = parts.repartition(groups, "range").sortWithinPartitions("range")
     return parts.mapInArrow(run, "range long, part binary")
 
 
@@ -477,16 +663,16 @@ def phrase_counts(transducers: DataFrame, bounds: Bounds, least: int) -> DataFra
         for batch in batches:
             for r, data in zip(batch["range"].to_pylist(), batch["part"]):
                 counts = Transducer.from_bytes(data.as_buffer())
-                open_ends = {p[:d] for p in bounds.paths[max(r - 1, 0) : r + 1] for d in range(1, DEPTH + 1)}
+                open_ends = {p[:d] for p in bounds.paths[max(r - 1, 0) : r + 1] for d in (3, 4) if d <= len(p)}
                 for depth in (1, 3, 4):
-                    paths, weights = counts.arcs(depth)
-                    shared = np.zeros(len(paths), bool)  # another range may have the rest of its occurrences
-                    for p in (p for p in open_ends if len(p) == depth):
-                        number = [pc.index(counts.labels, pa.scalar(label, counts.labels.type)).as_py() for label in p]
-                        if min(number) >= 0:
-                            shared |= (paths == number).all(axis=1)
-                    take = np.flatnonzero((weights >= least) | shared | (depth == 1))
-                    yield _phrases(counts.labels, paths[take], weights[take])
+                    paths, weights = counts.arcs(depth, least if depth > 1 else 0)
+                    yield _phrases(counts.labels, paths, weights)
+                # another range may have the rest of their occurrences
+                few = [(p, w) for p in sorted(open_ends) if 0 < (w := counts.weight_of(p)) < least]
+                if few:
+                    lang, phrase = pa.array([p[0] for p, _ in few], pa.binary()), pa.array([p[1:] for p, _ in few], pa.list_(pa.binary()))
+                    columns = [lang.cast(pa.string()), phrase.cast(pa.list_(pa.string())), pa.array([w for _, w in few], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "f"])
 
     rows = transducers.mapInArrow(run, "lang string, phrase array<string>, f long")
     rows = rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
@@ -571,7 +757,9 @@ def collocations(documents: DataFrame, top: int = 2000, least: int = 10, percent
     ranges = max(1, -(-(size["bytes"] or 0) // range_bytes))
     bounds = bounds_of(documents, ranges, size["rows"])
     ranges = len(bounds.paths) + 1
-    transducers = scratch.keep(united_ranges(shard_transducers(documents, bounds), ranges), "transducers")
+    grouped = min(GROUPED, -(-ranges // GROUPS))
+    groups = Bounds(bounds.paths[grouped - 1 :: grouped])
+    transducers = scratch.keep(united_ranges(shard_transducers(documents, groups), bounds, grouped), "transducers")
     counted = scratch.keep(phrase_counts(transducers, bounds, least), "counted")
     found = counted.where(F.size("phrase") > 1)
 
